@@ -236,15 +236,15 @@ def win_dup_stamp(spark, sf):
     return m.duplicate_stamps(o, ["run_id"])
 
 
-@case("win_size_drift", """WITH f AS (SELECT l_orderkey AS run_id, l_linenumber AS seq, epoch_us(l_shipdate) * 1000 AS stamp_ns,
-  l_returnflag AS w, l_linestatus AS h FROM lineitem), k AS (SELECT DISTINCT * FROM f),
+@case("win_size_drift", """WITH f AS (SELECT l_orderkey AS run_id, l_linenumber * 1000000::BIGINT + l_partkey AS seq, epoch_us(l_shipdate) * 1000 AS stamp_ns,
+  l_returnflag AS w, l_linestatus AS h FROM lineitem),
   z AS (SELECT run_id, arg_min(struct_pack(w := w, h := h), struct_pack(s := stamp_ns, q := seq)) AS f0 FROM
     (SELECT run_id, stamp_ns, seq, min(w) AS w, min(h) AS h FROM f GROUP BY ALL) GROUP BY run_id)
   SELECT DISTINCT run_id, seq, stamp_ns, w, h FROM f JOIN z USING (run_id) WHERE w <> f0.w OR h <> f0.h""")
 def win_size_drift(spark, sf):
     f = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run_id"),
-        F.col("l_linenumber").alias("seq"),
+        (F.col("l_linenumber") * F.lit(1000000).cast("bigint") + F.col("l_partkey")).alias("seq"),
         (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("stamp_ns"),
         F.col("l_returnflag").alias("w"),
         F.col("l_linestatus").alias("h"),
@@ -297,8 +297,8 @@ def velocity_clamp(spark, sf):
 
 
 @case("pitch_segment", f"""WITH {LOG}, z AS (SELECT run_id, min(stamp_ns) AS t0 FROM log GROUP BY ALL)
-  SELECT run_id, seq, CASE WHEN stamp_ns - t0 >= {20 * DAY} THEN 7.5 WHEN stamp_ns - t0 >= {10 * DAY} THEN 4.0
-  WHEN stamp_ns - t0 >= 0 THEN 1.5 END AS pitch_deg FROM log JOIN z USING (run_id)""")
+  SELECT run_id, seq, CASE WHEN stamp_ns - t0 >= {20 * DAY} THEN 7.5::DOUBLE WHEN stamp_ns - t0 >= {10 * DAY} THEN 4.0::DOUBLE
+  WHEN stamp_ns - t0 >= 0 THEN 1.5::DOUBLE END AS pitch_deg FROM log JOIN z USING (run_id)""")
 def pitch_segment(spark, sf):
     from surveykit.operators.detections import piecewise
 

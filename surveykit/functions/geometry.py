@@ -114,17 +114,24 @@ def mat3_det(m: Column) -> Column:
     )
 
 
-def slerp(q0, q1, t: Column):
-    """Unit quaternion between ``q0`` and ``q1``, on the short way round."""
-    dot = reduce(lambda a, b: a + b, [a * b for a, b in zip(q0, q1)])
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    cos = F.least(F.abs(dot), F.lit(1.0))
-    theta = F.acos(cos)
-    near = cos > 0.9995
+def turn_between(q0, q1) -> tuple[Column, Column]:
+    """Angle between two unit quaternions on the short way round, and the sign to give ``q1``.
+
+    The angle comes from the lengths of sum and difference, which stays exact for small turns.
+    """
+    add = lambda items: reduce(lambda a, b: a + b, items)
+    plus = F.sqrt(add([(a + b) * (a + b) for a, b in zip(q0, q1)]))
+    minus = F.sqrt(add([(a - b) * (a - b) for a, b in zip(q0, q1)]))
+    theta = F.atan2(F.least(plus, minus), F.greatest(plus, minus)) * 2.0
+    return theta, F.when(minus > plus, -1.0).otherwise(1.0)
+
+
+def slerp_weights(theta: Column, t: Column) -> tuple[Column, Column]:
+    """Weights of start and end for a share ``t`` of the turn ``theta``."""
+    near = theta < 1e-7
     k0 = F.when(near, 1.0 - t).otherwise(F.try_divide(F.sin((1.0 - t) * theta), F.sin(theta)))
-    k1 = F.when(near, t).otherwise(F.try_divide(F.sin(t * theta), F.sin(theta))) * sign
-    mixed = [a * k0 + b * k1 for a, b in zip(q0, q1)]
-    return unit_quat(*mixed)
+    k1 = F.when(near, t).otherwise(F.try_divide(F.sin(t * theta), F.sin(theta)))
+    return k0, k1
 
 
 def plane_pose(nx: Column, ny: Column, nz: Column, d: Column):

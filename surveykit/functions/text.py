@@ -38,6 +38,11 @@ HALL_V1 = [
 LABEL_SETS = {"household": HOUSEHOLD, "door": DOOR, "door_v2": DOOR_V2, "hall_v1": HALL_V1}
 
 
+def strip(c: Column) -> Column:
+    """Remove all kinds of white space at both ends (``trim`` removes blanks only)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def normal_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
@@ -56,7 +61,7 @@ def canonical_label(c: Column, table: Sequence[tuple[str, Sequence[str]]]) -> Co
 
 
 def canonical_frame(c: Column) -> Column:
-    return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^/+", "")
+    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^/+", "")
 
 
 def edge_key(parent: Column, child: Column) -> Column:
@@ -64,13 +69,13 @@ def edge_key(parent: Column, child: Column) -> Column:
 
 
 def csv_labels(c: Column) -> Column:
-    parts = F.transform(F.split(c, ","), F.trim)
+    parts = F.transform(F.split(c, ","), strip)
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 
 def parse_space(c: Column) -> Column:
     """``700M`` to bytes; null for anything but a positive integer with an optional K, M or G."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = strip(F.coalesce(c, F.lit("")))
     digits = F.regexp_extract(text, r"^\+?([0-9]+)\s*([KkMmGg]?)$", 1)
     unit = F.lower(F.regexp_extract(text, r"^\+?([0-9]+)\s*([KkMmGg]?)$", 2))
     amount = digits.try_cast("bigint")
@@ -91,16 +96,16 @@ def mount_equal(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
 
 
 def is_sha256(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)).rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
 def is_token32(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c)).rlike("^[0-9a-f]{32}$"), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).rlike("^[0-9a-f]{32}$"), F.lit(False))
 
 
 def is_token(c: Column) -> Column:
     """1 to 256 characters, none of them blank or a control character."""
-    return F.coalesce(F.trim(c).rlike(r"^[^\x00-\x20]{1,256}$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"^[^\x00-\x20]{1,256}$"), F.lit(False))
 
 
 def content_sha(c: Column) -> Column:
@@ -131,7 +136,7 @@ def canonical_sha(fields: dict[str, Column]) -> Column:
 
 def best_text(candidates: Column) -> Column:
     """Most confident ``STRUCT<text, confidence>`` whose text has a letter or digit; null if none."""
-    named = F.transform(candidates, lambda c: F.struct(F.trim(c["text"]).alias("text"), c["confidence"].alias("confidence")))
+    named = F.transform(candidates, lambda c: F.struct(strip(c["text"]).alias("text"), c["confidence"].alias("confidence")))
     usable = F.filter(named, lambda c: c["text"].rlike(r"[\p{L}\p{N}]") & (c["confidence"] > 0))
 
     def better(acc: Column, c: Column) -> Column:

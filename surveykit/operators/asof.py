@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveykit.functions.geometry import slerp
+from surveykit.functions.geometry import slerp_weights, turn_between, unit_quat
 from surveykit.operators.folding import fold
 from surveykit.operators.ordered import Step, Timeline, scan
 
@@ -226,10 +226,28 @@ def tf_asof(
         .when(a.isNotNull(), "startup")
         .otherwise("missing")
     )
-    k = F.when(inside & a.isNotNull(), share).otherwise(0.0)
-    end = {c: F.coalesce(a[c], b[c]) for c in TRANSFORM}
-    quat = slerp([b[c] for c in TRANSFORM[3:]], [end[c] for c in TRANSFORM[3:]], k)
     usable = inside | hold
-    out = [F.when(usable, b[c] + (end[c] - b[c]) * k).alias(c) for c in TRANSFORM[:3]]
-    out += [F.when(usable, q).alias(c) for c, q in zip(TRANSFORM[3:], quat)]
-    return both.select(*[c for c in both.columns if c not in ("before", "after")], klass.alias("tf_class"), *out)
+    keep = [c for c in both.columns if c not in ("before", "after")]
+    end = {c: F.coalesce(a[c], b[c]) for c in TRANSFORM}
+    flat = both.select(
+        *keep,
+        klass.alias("tf_class"),
+        usable.alias("_use"),
+        F.when(inside & a.isNotNull(), share).otherwise(0.0).alias("_t"),
+        *[b[c].alias(f"_a_{c}") for c in TRANSFORM],
+        *[F.when(inside, end[c]).otherwise(b[c]).alias(f"_b_{c}") for c in TRANSFORM],
+    )
+    # staged columns: each value is computed once instead of being inlined into the next
+    q0 = [F.col(f"_a_{c}") for c in TRANSFORM[3:]]
+    q1 = [F.col(f"_b_{c}") for c in TRANSFORM[3:]]
+    theta, sign = turn_between(q0, q1)
+    turn = flat.withColumns({"_theta": theta, "_sign": sign})
+    k0, k1 = slerp_weights(F.col("_theta"), F.col("_t"))
+    turn = turn.withColumns({"_k0": k0, "_k1": k1})
+    mixed = {f"_q_{c}": x * F.col("_k0") + y * F.col("_k1") * F.col("_sign") for c, x, y in zip(TRANSFORM[3:], q0, q1)}
+    turn = turn.withColumns(mixed)
+    unit = unit_quat(*[F.col(f"_q_{c}") for c in TRANSFORM[3:]])
+    shift = [F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.col("_t") for c in TRANSFORM[:3]]
+    return turn.select(
+        *keep, "tf_class", *[F.when(F.col("_use"), v).alias(c) for c, v in zip(TRANSFORM, [*shift, *unit])]
+    )
