@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surveykit.functions.geometry import all_finite, is_finite
 from surveykit.operators.contracts import all_reasons, first_reason
 from surveykit.operators.quantile import group_percentiles
+from surveykit.session import settle
 
 
 def view_residuals(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,7 +49,7 @@ def _direction_cell(mesh: float) -> Column:
     return F.struct(*[F.floor(F.col(f"n{a}") / mesh).alias(a) for a in "xyz"])
 
 
-def pose_spread(normals: DataFrame, keys: Sequence[str], meshes: Sequence[float] = (0.25, 0.03125, 0.004)) -> DataFrame:
+def pose_spread(normals: DataFrame, keys: Sequence[str], meshes: Sequence[float] = (0.125, 0.008)) -> DataFrame:
     """Largest angle between two board normals of a calibration, in degrees.
 
     Directions are grouped into cells. The chord of two members differs from the chord of their cell
@@ -59,7 +60,7 @@ def pose_spread(normals: DataFrame, keys: Sequence[str], meshes: Sequence[float]
     keys = list(keys)
     norm = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
     unit = normals.select(*keys, *[F.try_divide(F.col(f"n{a}"), norm).alias(f"n{a}") for a in "xyz"])
-    unit = unit.where("nx is not null").distinct()
+    unit = settle(unit.where("nx is not null").distinct())
     parents: list[str] = []
     live = None
     for mesh in meshes:
@@ -79,9 +80,10 @@ def pose_spread(normals: DataFrame, keys: Sequence[str], meshes: Sequence[float]
         live = pair.join(top, keys).where(F.col("_gap") >= F.col("_top") - slack).select(
             *keys, F.col("cell_a").alias("parent_a"), F.col("cell_b").alias("parent_b")
         )
+        live = settle(live)
         unit = unit.drop(*parents).withColumnRenamed("cell", "parent")
         used = live.select(*keys, F.col("parent_a").alias("parent")).distinct()
-        unit = unit.join(used, [*keys, "parent"], "left_semi")
+        unit = settle(unit.join(used, [*keys, "parent"], "left_semi"))
         parents = ["parent"]
     ends = lambda s: unit.select(*keys, F.col("parent").alias(f"parent_{s}"), *[F.col(f"n{x}").alias(f"n{x}_{s}") for x in "xyz"])
     both = live.join(ends("a"), [*keys, "parent_a"]).join(ends("b"), [*keys, "parent_b"])
