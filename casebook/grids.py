@@ -30,16 +30,12 @@ def blocks(spark, sf):
 
 @case("src_cells", f"WITH {CELLS} SELECT map_id, col, \"row\", value FROM cells")
 def src_cells(spark, sf):
-    """Grids written as binary grey images, one file per map, and read back as cells."""
-    from surveykit.session import scratch_path
-    from surveykit.sources.images import write_pgm
-    from surveykit.sources.tables import read_cells
+    """Grids packed as grey image strips and unpacked again by the image reader."""
+    from surveykit.sources.images import strip_images
+    from surveykit.sources.tables import image_cells
 
-    c = cells(spark, sf)
-    path = scratch_path(spark, "maps")
-    maps = write_pgm(c, path, background=205)
-    return read_cells(spark, path, maps).where("value <> 205").join(maps.select("map_id", "c0", "r0"), "map_id").select(
-        "map_id", (F.col("col") + F.col("c0")).alias("col"), (F.col("row") + F.col("r0")).alias("row"), "value")
+    img = strip_images(cells(spark, sf), background=205, height=32)
+    return image_cells(img.select("image", "content"), img.drop("content")).where("value <> 205")
 
 
 @case("cell_class", f"""WITH {CELLS}, v AS (SELECT *, value * 2.54 AS x FROM cells) SELECT map_id, col, "row", CASE WHEN x <= 50 THEN 'occ' WHEN x >= 250 THEN 'free' ELSE 'unknown' END AS segment,

@@ -56,10 +56,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: Sequence[st
     boxed = polygons.where(F.size("polygon") >= 3).withColumn(
         "_g",
         F.explode(_cells(c("x", F.array_min), c("x", F.array_max), c("y", F.array_min), c("y", F.array_max), cell)),
-    ).select(*keys, "_g", "ord", "polygon")
+    ).select(*keys, "_g", F.col("ord").alias("_ord"), "polygon")
     p = points.withColumn("_g", F.struct(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")))
     hit = p.join(boxed, [*keys, "_g"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("polygon")))
-    first = hit.groupBy(*keys, *point_id).agg(F.min("ord").alias("room_ord"))
+    first = hit.groupBy(*keys, *point_id).agg(F.min("_ord").alias("room_ord"))
     return points.join(first, [*keys, *point_id], "left")
 
 

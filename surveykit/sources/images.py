@@ -1,53 +1,35 @@
-"""Binary grey images of cell tables, one file per map."""
+"""Binary grey images (P5) of cell tables, built as strips of bounded height."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from surveykit.operators.grid.cells import bounds
 
 
-def write_pgm(cells: DataFrame, path: str, background: int = 205) -> DataFrame:
-    """Write each map as ``<map_id>.pgm`` below ``path`` and return the map table.
+def strip_images(cells: DataFrame, background: int = 205, height: int = 256) -> DataFrame:
+    """One image row per map and strip: map_id, image, content, negate, col0, row0.
 
-    ``path`` is a folder all executors share. Lines are built in parallel; one task then writes one
-    file line by line, so it holds a batch of lines and never a whole map.
+    A strip holds ``height`` raster lines, so no row grows with the map. ``col0`` and ``row0`` are the
+    grid position of the lower left pixel. Pure column expressions; pixels are joined as hex text.
     """
+    h = F.lit(height)
     box = bounds(cells)
-    lines = box.withColumn("row", F.explode(F.sequence("r0", "r1")))
+    lines = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("strip", F.floor((F.col("row") - F.col("r0")) / h))
     packed = cells.groupBy("map_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_v"))
-    full = lines.join(packed, ["map_id", "row"], "left").select(
-        "map_id",
-        "row",
-        "c0",
-        "c1",
-        "r0",
-        "r1",
-        F.transform(F.sequence("c0", "c1"), lambda c: F.coalesce(F.try_element_at(F.col("_v"), c), F.lit(background)).cast("int")).alias("px"),
+    pixel = lambda c: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("_v"), c), F.lit(background)).cast("bigint")), 2, "0")
+    text = F.array_join(F.transform(F.sequence("c0", "c1"), pixel), "")
+    full = lines.join(packed, ["map_id", "row"], "left").select("map_id", "strip", "row", "c0", "c1", text.alias("px"))
+    strips = full.groupBy("map_id", "strip").agg(
+        F.sort_array(F.collect_list(F.struct("row", "px")), asc=False).alias("_l"),
+        F.min("row").alias("row0"),
+        F.count("*").alias("_h"),
+        F.max("c0").alias("col0"),
+        F.max(F.col("c1") - F.col("c0") + 1).alias("_w"),
+    )
+    head = F.format_string("P5\n# cells\n%d %d\n255\n", F.col("_w"), F.col("_h"))
+    body = F.unhex(F.array_join(F.transform("_l", lambda l: l["px"]), ""))
+    name = F.concat_ws("-", F.col("map_id").cast("string"), F.col("strip").cast("string"))
+    return strips.select(
+        "map_id", F.concat(name, F.lit(".pgm")).alias("image"), F.concat(head.cast("binary"), body).alias("content"), F.lit(0).alias("negate"), "col0", "row0"
     )
-    ordered = full.repartition("map_id").sortWithinPartitions("map_id", F.desc("row"))
-    folder = path[5:] if path.startswith("file:") else path
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        current, out = None, None
-        for pdf in batches:
-            for m, c0, c1, r0, r1, px in pdf[["map_id", "c0", "c1", "r0", "r1", "px"]].itertuples(index=False, name=None):
-                if m != current:
-                    if out:
-                        out.close()
-                    current, out = m, open(os.path.join(folder, f"{m}.pgm"), "wb")
-                    out.write(b"P5\n# cells\n%d %d\n255\n" % (c1 - c0 + 1, r1 - r0 + 1))
-                    yield pd.DataFrame([{"map_id": m, "image": f"{m}.pgm", "negate": 0, "c0": c0, "r0": r0}])
-                out.write(bytes(bytearray(px)))
-        if out:
-            out.close()
-
-    mid = dict(cells.dtypes)["map_id"]
-    from surveykit.session import settle
-
-    return settle(ordered.mapInPandas(write, f"map_id {mid}, image string, negate int, c0 int, r0 int"))

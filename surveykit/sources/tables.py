@@ -83,19 +83,25 @@ def _pgm_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_cells(spark: SparkSession, path: str, maps: DataFrame) -> DataFrame:
-    """Map images to ``cells(map_id, col, row, value)`` with row 0 at the bottom.
+    """Map images below ``path`` to ``cells(map_id, col, row, value)`` with row 0 at the bottom."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pgm").load(path)
+    return image_cells(files.select(F.element_at(F.split("path", "/"), -1).alias("image"), "content"), maps)
 
-    ``maps`` has map_id, image (file name), negate. Only the file bytes pass through Python; the cells
-    are exploded on the JVM side.
+
+def image_cells(files: DataFrame, maps: DataFrame) -> DataFrame:
+    """``files(image, content)`` and ``maps(map_id, image, negate[, col0, row0])`` to cells.
+
+    Only the file bytes pass through Python, which cuts them into raster lines; the cells are exploded
+    on the JVM side. ``col0`` and ``row0`` place a strip inside its map.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pgm").load(path).select("path", "content")
-    lines = files.mapInPandas(_pgm_rows, "path string, line int, height int, pixels array<int>")
-    named = lines.withColumn("image", F.element_at(F.split("path", "/"), -1)).join(maps.select("map_id", "image", "negate"), "image")
-    return named.select(
-        "map_id", "negate", (F.col("height") - 1 - F.col("line")).alias("row"), F.posexplode("pixels").alias("col", "value")
-    ).select(
-        "map_id", "col", "row", F.when(F.col("negate") == 1, 255 - F.col("value")).otherwise(F.col("value")).alias("value")
+    lines = files.select(F.col("image").alias("path"), "content").mapInPandas(_pgm_rows, "path string, line int, height int, pixels array<int>")
+    origin = [F.col(c) if c in maps.columns else F.lit(0).alias(c) for c in ("col0", "row0")]
+    named = lines.withColumnRenamed("path", "image").join(maps.select("map_id", "image", "negate", *origin), "image")
+    flat = named.select(
+        "map_id", "negate", "col0", (F.col("row0") + F.col("height") - 1 - F.col("line")).alias("row"), F.posexplode("pixels").alias("_c", "_v")
     )
+    value = F.when(F.col("negate") == 1, 255 - F.col("_v")).otherwise(F.col("_v"))
+    return flat.select("map_id", (F.col("col0") + F.col("_c")).alias("col"), "row", value.alias("value"))
 
 
 def status_events(events: DataFrame, payload: Column | str = "payload") -> DataFrame:
