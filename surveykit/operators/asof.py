@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveykit.functions.geometry import slerp_weights, turn_between, unit_quat
@@ -111,32 +110,27 @@ def mutual_nearest(
     return fwd.join(back, [*keys, "left_seq", "right_seq"], "left_semi")
 
 
-def _pair_oldest(gate: int, keys: list[str]):
+def _pair_oldest(gate: int):
     """Oldest-first pairing: a waiting message leaves when it is older than the gate."""
 
-    def step(pdf: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
-        waiting = [int(s) for s in state[1:]]
+    def step(rows: list[tuple], state: list[float]) -> tuple[list[tuple], list[float]]:
         side = int(state[0]) if state else 0
-        out = []
-        head = 0
-        for t, which in zip(pdf["stamp_ns"].to_numpy(), pdf["side"].to_numpy()):
-            t, which = int(t), int(which)
+        waiting = [int(s) for s in state[1:]]
+        out, head = [], 0
+        for t, which, _ in rows:
             while head < len(waiting) and t - waiting[head] > gate:
                 head += 1
             if head < len(waiting) and which != side:
                 mate = waiting[head]
                 head += 1
-                out.append((t, mate) if which == 0 else (mate, t))
-            else:
-                if head >= len(waiting):
-                    waiting, head, side = [], 0, which
-                waiting.append(t)
+                left, right = (t, mate) if which == 0 else (mate, t)
+                out.append((left, right, abs(right - left)))
+                continue
+            if head >= len(waiting):
+                waiting, head, side = [], 0, which
+            waiting.append(t)
         rest = waiting[head:]
-        frame = pd.DataFrame(out, columns=["left_ns", "right_ns"]).astype("int64")
-        frame["abs_dt_ns"] = (frame["right_ns"] - frame["left_ns"]).abs()
-        for k in reversed(keys):
-            frame.insert(0, k, pdf[k].iloc[0])
-        return frame, ([float(side), *[float(s) for s in rest]] if rest else [])
+        return out, [float(side), *map(float, rest)] if rest else []
 
     return step
 
@@ -150,10 +144,9 @@ def gate_one_to_one(stamps: DataFrame, keys: Sequence[str], gate: int, width: in
     """
     keys = list(keys)
     base = stamps.groupBy(*keys).agg(F.min("stamp_ns").alias("_t0"))
-    rel = stamps.join(base, keys).withColumn("_abs", F.col("stamp_ns")).withColumn("stamp_ns", F.col("stamp_ns") - F.col("_t0"))
+    rel = stamps.join(base, keys).withColumn("stamp_ns", F.col("stamp_ns") - F.col("_t0"))
     line = Timeline(tuple(keys), ("stamp_ns", "side", "seq"), width)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stamps.schema if f.name in keys)
-    pairs = fold(rel, line, _pair_oldest(gate, keys), f"{ddl}, left_ns bigint, right_ns bigint, abs_dt_ns bigint", ["side"])
+    pairs = fold(rel, line, _pair_oldest(gate), ["left_ns bigint", "right_ns bigint", "abs_dt_ns bigint"])
     return pairs.join(base, keys).select(
         *keys,
         (F.col("left_ns") + F.col("_t0")).alias("left_ns"),
@@ -162,15 +155,17 @@ def gate_one_to_one(stamps: DataFrame, keys: Sequence[str], gate: int, width: in
     )
 
 
-def _sampler(step_ns: int, keys: list[str]):
-    def step(pdf: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
+def _sampler(step_ns: int):
+    """Take a row when its time has come, then wait for one step."""
+
+    def step(rows: list[tuple], state: list[float]) -> tuple[list[tuple], list[float]]:
         ready = state[0] if state else 0.0
-        picks = []
-        for i, t in enumerate(pdf["stamp_ns"].to_numpy()):
+        out = []
+        for t, _, _, left, right in rows:
             if t >= ready:
-                picks.append(i)
-                ready = float(t) + step_ns
-        return pdf.iloc[picks][[*keys, "stamp_ns", "left_ns", "right_ns"]], [ready]
+                out.append((t, left, right))
+                ready = float(t + step_ns)
+        return out, [ready]
 
     return step
 
@@ -189,8 +184,7 @@ def latest_pair(stamps: DataFrame, keys: Sequence[str], tolerance: int, step_ns:
             Step("right_ns", "last", F.when(F.col("side") == 1, t)),
         ],
     ).where(F.abs(F.col("left_ns") - F.col("right_ns")) <= tolerance)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stamps.schema if f.name in keys)
-    out = fold(seen, line, _sampler(step_ns, keys), f"{ddl}, stamp_ns bigint, left_ns bigint, right_ns bigint", ["left_ns", "right_ns"])
+    out = fold(seen, line, _sampler(step_ns), ["stamp_ns bigint", "left_ns bigint", "right_ns bigint"], ["left_ns", "right_ns"])
     return out.join(base, keys).select(
         *keys, *[(F.col(c) + F.col("_t0")).alias(c) for c in ("stamp_ns", "left_ns", "right_ns")]
     )

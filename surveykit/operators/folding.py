@@ -9,7 +9,7 @@ loop ends after two or three rounds. At worst it takes one round per bucket.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -17,48 +17,70 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from surveykit.operators.ordered import BUCKET, Timeline
 from surveykit.session import settle
 
-Fold = Callable[[pd.DataFrame, list], tuple[pd.DataFrame, list]]
+# rows of one bucket as tuples (order columns, then the extra columns) and the state
+Fold = Callable[[list[tuple], list[float]], tuple[list[tuple], list[float]]]
+Group = tuple[tuple, list[tuple], list[float]]
 
 
-def fold(df: DataFrame, line: Timeline, step: Fold, out_schema: str, columns: Sequence[str]) -> DataFrame:
+def _groups(batches: Iterator[pd.DataFrame], n_keys: int) -> Iterator[Group]:
+    """Consecutive rows of one (keys, bucket) from sorted Arrow batches; the state is the last column."""
+    current: tuple | None = None
+    held: list[tuple] = []
+    state: list[float] = []
+    for pdf in batches:
+        for row in zip(*[pdf[c].tolist() for c in pdf.columns]):
+            group = row[:n_keys]
+            if group != current:
+                if current is not None:
+                    yield current, held, state
+                current, held, state = group, [], [float(v) for v in row[-1]]
+            held.append(row[n_keys:-1])
+    if current is not None:
+        yield current, held, state
+
+
+def fold(df: DataFrame, line: Timeline, step: Fold, out_columns: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
     """Run ``step(rows, state) -> (output rows, new state)`` over every sequence.
 
-    ``state`` is a list of doubles, empty at the start of a sequence. ``out_schema`` is the DDL of the
-    output rows, which must contain the key columns. ``columns`` limits what Python receives.
+    ``state`` is a list of doubles, empty at the start of a sequence. ``out_columns`` is the DDL of the
+    output rows, which follow the key columns. ``columns`` are the extra columns Python receives.
     """
     keys, order = list(line.keys), list(line.order)
-    need = list(dict.fromkeys([*keys, *order, *columns]))
-    rows = settle(df.select(*need).withColumn(BUCKET, line.bucket()))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    state_schema = f"{key_ddl}, {BUCKET} bigint, state_out array<double>"
-    spots = rows.select(*keys, BUCKET).distinct()
+    need = [*order, *[c for c in columns if c not in order]]
+    rows = settle(df.select(*keys, line.bucket().alias(BUCKET), *need))
+    group = [*keys, BUCKET]
+    width = len(group)
+    ddl = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
+    group_ddl = ", ".join(ddl[c] for c in group)
     empty = F.expr("cast(array() as array<double>)")
-    guess = spots.withColumn("state_in", empty)
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        _, state = step(pdf, [float(v) for v in pdf["state_in"].iloc[0]])
-        first = pdf.iloc[0]
-        return pd.DataFrame([{**{k: first[k] for k in keys}, BUCKET: first[BUCKET], "state_out": list(state)}])
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, held, state in _groups(batches, width):
+            _, after = step(held, list(state))
+            yield pd.DataFrame([(*key, state, list(after))], columns=[*group, "state_in", "state_out"])
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, _ = step(pdf, [float(v) for v in pdf["state_in"].iloc[0]])
-        return out
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, held, state in _groups(batches, width):
+            out, _ = step(held, list(state))
+            if out:
+                yield pd.DataFrame([(*key[:-1], *r) for r in out], columns=[*keys, *names])
 
-    group = [*keys, BUCKET]
-    known = None  # (keys, bucket, state_in, state_out)
-    todo = guess
+    names = [c.strip().split(" ")[0] for c in ", ".join(out_columns).split(", ")]
+
+    def with_state(todo: DataFrame | None) -> DataFrame:
+        started = rows.withColumn("_s", empty) if todo is None else rows.join(todo.withColumnRenamed("state_in", "_s"), group)
+        return started.select(*group, *need, "_s").repartition(*group).sortWithinPartitions(*group, *order)
+
+    known, todo = None, None
     while True:
-        fresh = rows.join(todo, group).groupBy(*group).applyInPandas(ends, state_schema)
-        fresh = fresh.join(todo, group)
-        known = fresh if known is None else known.join(todo.select(*group), group, "left_anti").unionByName(fresh)
-        known = settle(known.select(*group, "state_in", "state_out"))
-        chain = W.partitionBy(*keys).orderBy(BUCKET)
+        fresh = with_state(todo).mapInPandas(ends, f"{group_ddl}, state_in array<double>, state_out array<double>")
+        known = settle(fresh if known is None else known.join(todo.select(*group), group, "left_anti").unionByName(fresh))
+        chain = W.partitionBy(*keys).orderBy(BUCKET)  # one row per bucket
         truth = known.withColumn("want", F.coalesce(F.lag("state_out").over(chain), empty))
         wrong = truth.where(~F.col("want").eqNullSafe(F.col("state_in")))
         todo = settle(wrong.select(*group, F.col("want").alias("state_in")))
         if todo.isEmpty():
             break
-    final = rows.join(known.select(*group, "state_in"), group)
-    return final.groupBy(*group).applyInPandas(emit, out_schema)
+    final = with_state(known.select(*group, "state_in"))
+    key_ddl = ", ".join(ddl[c] for c in keys)
+    return final.mapInPandas(emit, f"{key_ddl}, {', '.join(out_columns)}")

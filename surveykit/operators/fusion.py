@@ -92,8 +92,8 @@ def roi_depth(
     expand: bool = True,
     min_samples: int = 12,
     depth_min: float = 0.3,
-    depth_max: float = 8.0,
-    iqr_max: float = 0.8,
+    depth_max: float = 10.0,
+    iqr_max: float = 1.5,
     gap: float = 0.60,
     max_bearing: float = math.radians(40.0),
     mirror_x: bool = False,

@@ -1,8 +1,12 @@
-"""Run summaries and ordered rules over time-stamped logs."""
+"""Run summaries and ordered rules over time-stamped logs.
+
+A scan reads its input twice (rows and bucket summaries). Rules that chain scans cut the lineage
+between them, so the work grows with the number of scans and not with its power of two.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -11,6 +15,7 @@ from surveykit.functions.geometry import angle_delta, hypot2, is_finite
 from surveykit.operators.folding import fold
 from surveykit.operators.ordered import BUCKET, Step, Timeline, islands, scan, with_halo
 from surveykit.operators.quantile import group_percentiles
+from surveykit.session import settle
 
 # ---------------------------------------------------------------- run summaries
 
@@ -203,8 +208,8 @@ def drift(series: DataFrame, line: Timeline, value: str, required: int = 3, min_
     a = scan(series, line, [Step("_prev", "lag", F.when(ok, v))])
     rise = ok & F.col("_prev").isNotNull() & (v - F.col("_prev") >= min_step)
     rise = F.coalesce(rise, F.lit(False))
-    run = islands(a.withColumn("_rise", rise), line, ~F.col("_rise"), "_run")
-    return consecutive(run, line, F.col("_rise"), "_run", "rises").withColumn(
+    run = islands(settle(a.withColumn("_rise", rise)), line, ~F.col("_rise"), "_run")
+    return consecutive(settle(run), line, F.col("_rise"), "_run", "rises").withColumn(
         "drifting", F.col("rises") >= required
     ).drop("_prev", "_rise", "_run")
 
@@ -218,8 +223,8 @@ def consecutive(df: DataFrame, line: Timeline, flag: Column, run: str, out: str)
 def motion_latch(series: DataFrame, line: Timeline, moving: Column, confirm: int) -> DataFrame:
     """Debounced motion: ``confirm`` moving samples in a row set it, one still sample clears it."""
     a = series.withColumn("_m", F.coalesce(moving, F.lit(False)))
-    a = islands(a, line, ~F.col("_m"), "_run")
-    a = consecutive(a, line, F.col("_m"), "_run", "hits")
+    a = settle(islands(a, line, ~F.col("_m"), "_run"))
+    a = settle(consecutive(a, line, F.col("_m"), "_run", "hits"))
     need = max(1, confirm)
     a = a.withColumn("robot_moving", F.col("hits") >= need)
     longer = Timeline((*line.keys, "_run"), line.order, line.width)
@@ -243,7 +248,7 @@ def localization_health(
     The bad run restarts on a good sample and when motion begins.
     """
     t = F.col(line.order[0])
-    a = samples.withColumn("_g", F.coalesce(good, F.lit(False))).withColumn("_mv", F.coalesce(moving, F.lit(False)))
+    a = settle(samples).withColumn("_g", F.coalesce(good, F.lit(False))).withColumn("_mv", F.coalesce(moving, F.lit(False)))
     a = a.withColumn("_ms", motion_started)
     a = scan(
         a,
@@ -255,6 +260,7 @@ def localization_health(
             Step("last_good", "last", F.when(F.col("_g"), t)),
         ],
     )
+    a = settle(a)
     onset = F.col("_mv") & ~F.coalesce(F.col("_was"), F.lit(False))
     # counts since the last reset = running count minus the count held at the reset
     at_reset = F.when(F.col("_g"), F.col("_bad_runs")).when(onset, F.col("_bad_runs") - F.when(F.col("_g"), 0).otherwise(1))
@@ -266,6 +272,7 @@ def localization_health(
             Step("_good0", "last", F.when(~F.col("_g"), F.col("_good_runs"))),
         ],
     )
+    a = settle(a)
     a = a.withColumn("bad_samples", F.col("_bad_runs") - F.coalesce("_bad0", F.lit(0)))
     a = a.withColumn("_stable", F.col("_good_runs") - F.coalesce("_good0", F.lit(0)))
     a = scan(a, line, [Step("_ready", "max", F.when(F.col("_stable") >= stable, 1).otherwise(0))])
@@ -286,7 +293,7 @@ def stationary(series: DataFrame, line: Timeline, moving: Column, settle_ns: int
     """Time since the robot stands still and whether it stood for ``settle_ns``."""
     t = F.col(line.order[0])
     a = series.withColumn("_m", F.coalesce(moving, F.lit(True)))
-    a = scan(a, line, [Step("_was", "lag", F.col("_m"))])
+    a = settle(scan(a, line, [Step("_was", "lag", F.col("_m"))]))
     began = F.when(~F.col("_m") & F.coalesce(F.col("_was"), F.lit(True)), t)
     a = scan(a, line, [Step("_since", "last", began)])
     since = F.when(~F.col("_m"), F.col("_since"))
@@ -364,27 +371,22 @@ def stride(messages: DataFrame, line: Timeline, n: int) -> DataFrame:
     return a.where((F.col("_i") - 1) % n == 0).drop("_i")
 
 
-def _thin(step_m: float, keys: list[str]):
-    limit = step_m
-
-    def step(pdf: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
-        last = tuple(state) if state else None
-        picks = []
-        for i, (x, y) in enumerate(zip(pdf["x"].to_numpy(), pdf["y"].to_numpy())):
-            if last is None or ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 >= limit:
-                picks.append(i)
-                last = (float(x), float(y))
-        return pdf.iloc[picks][[*keys, "stamp_ns", "seq", "x", "y"]], list(last or ())
+def _thin(limit: float):
+    def step(rows: list[tuple], state: list[float]) -> tuple[list[tuple], list[float]]:
+        last, out = tuple(state), []
+        for t, q, x, y in rows:
+            if not last or math.hypot(x - last[0], y - last[1]) >= limit:
+                out.append((t, q, x, y))
+                last = (x, y)
+        return out, list(last)
 
     return step
 
 
 def pose_thin(poses: DataFrame, keys: Sequence[str], step_m: float, width: int) -> DataFrame:
     """Keep a pose when it lies at least ``step_m`` from the last kept pose."""
-    keys = list(keys)
     line = Timeline(tuple(keys), ("stamp_ns", "seq"), width)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in poses.schema if f.name in keys)
-    return fold(poses, line, _thin(step_m, keys), f"{ddl}, stamp_ns bigint, seq bigint, x double, y double", ["x", "y"])
+    return fold(poses, line, _thin(step_m), ["stamp_ns bigint", "seq bigint", "x double", "y double"], ["x", "y"])
 
 
 def arrivals(poses: DataFrame, goals: DataFrame, keys: Sequence[str], radius: float = 0.28) -> DataFrame:

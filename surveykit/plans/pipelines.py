@@ -29,7 +29,7 @@ class PlaceParams:
     tf_slip_ns: int = 250_000_000
     bucket_ns: int = 60_000_000_000
     occupied_radius_m: float = 0.30
-    min_hits: int = 3
+    min_hits: int = 5
     max_spread_m: float = 0.25
     depth: dict = field(default_factory=dict)
 
