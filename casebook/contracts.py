@@ -275,7 +275,7 @@ def chk_startup(spark, sf):
     l = log(spark, sf)
     now = l.agg(F.max("stamp_ns").alias("now_ns"))
     latest = l.groupBy("run_id", "topic").agg(F.max("stamp_ns").alias("last_ns"))
-    runs = l.select("run_id").distinct().crossJoin(now)  # one aggregate row
+    runs = l.select("run_id").distinct().withColumn("now_ns", now.scalar())
     req = runs.select("run_id", "now_ns", F.explode(F.array(F.lit("view"), F.lit("click"))).alias("topic"))
     loc = runs.select("run_id", F.when(F.col("run_id") % 5 == 2, 1).otherwise(3).alias("good_in_a_row"), F.lit(0).alias("bad_samples"), F.col("now_ns").alias("last_good"), F.lit(False).alias("moving"), F.lit(3).alias("stable_required"))
     return k.check_startup(latest, loc, req, ["run_id"], 4 * DAY)

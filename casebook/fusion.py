@@ -119,14 +119,7 @@ def win_poi_dedupe(spark, sf):
 
 @case("sort_poi", f"WITH {PTS} SELECT run_id, label, seq % 7 + 1 AS hits, seq AS ord, row_number() OVER (PARTITION BY run_id ORDER BY label, seq % 7 + 1 DESC, x, y) AS place FROM pts")
 def sort_poi(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("run_id", "label").orderBy(F.desc("hits"), "x", "y")
-    p = poi(spark, sf).withColumn("_r", F.row_number().over(w))
-    per = p.groupBy("run_id", "label").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("run_id").orderBy("label").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    off = per.select("run_id", "label", before.alias("_b"))
-    return p.join(off, ["run_id", "label"]).select("run_id", "label", "hits", "ord", (F.col("_b") + F.col("_r")).alias("place")).orderBy("run_id", "place")
+    return fu.rank_points(poi(spark, sf), ["run_id"]).select("run_id", "label", "hits", "ord", "place").orderBy("run_id", "place")
 
 
 @case("src_poi_docs", "SELECT p_partkey, p_name, contains(lower(p_name), 'widget') OR contains(lower(p_name), 'ring') AS is_door FROM part")

@@ -329,8 +329,5 @@ def canonical_sha(spark, sf):
 @case("best_text", """WITH c AS (SELECT conv_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, (turn * 37 % 11) / 10.0 AS conf, turn FROM conversations)
   SELECT conv_id, arg_min(text, struct_pack(a := -conf, b := turn)) FILTER (conf > 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS best FROM c GROUP BY ALL""")
 def best_text(spark, sf):
-    # turns of one conversation stand in for the few readings of one plate
-    c = table(spark, sf, "conversations").select(
-        "conv_id", F.struct("turn", "text", (F.col("turn") * 37 % 11 / 10.0).alias("confidence")).alias("c"))
-    arr = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    return arr.select("conv_id", tx.best_text(F.col("c")).alias("best"))
+    c = table(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(tx.best_text_of(F.col("text"), F.col("turn") * 37 % 11 / 10.0, F.col("turn")).alias("best"))

@@ -134,6 +134,13 @@ def canonical_sha(fields: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
+def best_text_of(text: Column, confidence: Column, order: Column) -> Column:
+    """The same choice as an aggregate over candidate rows, for any number of them."""
+    clean = strip(text)
+    usable = clean.rlike(r"[\p{L}\p{N}]") & (confidence > 0)
+    return F.min_by(clean, F.when(usable, F.struct((-confidence).alias("c"), order.alias("o"))))
+
+
 def best_text(candidates: Column) -> Column:
     """Most confident ``STRUCT<text, confidence>`` whose text has a letter or digit; null if none."""
     named = F.transform(candidates, lambda c: F.struct(strip(c["text"]).alias("text"), c["confidence"].alias("confidence")))

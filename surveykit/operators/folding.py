@@ -19,6 +19,7 @@ from surveykit.session import settle
 
 # rows of one bucket as tuples (order columns, then the extra columns) and the state
 Fold = Callable[[list[tuple], list[float]], tuple[list[tuple], list[float]]]
+CHUNK = 4096  # rows per Arrow batch handed back
 Group = tuple[tuple, list[tuple], list[float]]
 
 
@@ -53,23 +54,32 @@ def fold(df: DataFrame, line: Timeline, step: Fold, out_columns: Sequence[str],
     ddl = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
     group_ddl = ", ".join(ddl[c] for c in group)
     empty = F.expr("cast(array() as array<double>)")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
         for key, held, state in _groups(batches, width):
-            _, after = step(held, list(state))
-            yield pd.DataFrame([(*key, state, list(after))], columns=[*group, "state_in", "state_out"])
+            found.append((*key, state, list(step(held, list(state))[1])))
+            if len(found) >= CHUNK:
+                yield pd.DataFrame(found, columns=[*group, "state_in", "state_out"])
+                found = []
+        yield pd.DataFrame(found, columns=[*group, "state_in", "state_out"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
         for key, held, state in _groups(batches, width):
-            out, _ = step(held, list(state))
-            if out:
-                yield pd.DataFrame([(*key[:-1], *r) for r in out], columns=[*keys, *names])
+            found += [(*key[:-1], *r) for r in step(held, list(state))[0]]
+            if len(found) >= CHUNK:
+                yield pd.DataFrame(found, columns=[*keys, *names])
+                found = []
+        yield pd.DataFrame(found, columns=[*keys, *names])
 
     names = [c.strip().split(" ")[0] for c in ", ".join(out_columns).split(", ")]
 
     def with_state(todo: DataFrame | None) -> DataFrame:
         started = rows.withColumn("_s", empty) if todo is None else rows.join(todo.withColumnRenamed("state_in", "_s"), group)
-        return started.select(*group, *need, "_s").repartition(*group).sortWithinPartitions(*group, *order)
+        # a fixed number of parts: Python work is not to be merged into few tasks because it is small in bytes
+        return started.select(*group, *need, "_s").repartition(parts, *group).sortWithinPartitions(*group, *order)
 
     known, todo = None, None
     while True:

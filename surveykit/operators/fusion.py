@@ -304,7 +304,8 @@ def associate(observations: DataFrame, keys: Sequence[str] = ("run_id", "label")
     keys = list(keys)
     parted = axis_parts(observations.withColumn("_rad", radius_of(F.col("label"))), keys, F.col("_rad"))
     cols = [*keys, "part", "stamp_ns", "seq", "cid", "x", "y", "_rad"]
-    ordered = parted.select(*cols).repartition(*keys, "part").sortWithinPartitions(*keys, "part", "stamp_ns", "seq")
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = parted.select(*cols).repartition(parts, *keys, "part").sortWithinPartitions(*keys, "part", "stamp_ns", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tracks = None, []
@@ -361,6 +362,22 @@ def top_tracks(tracks: DataFrame, run: Sequence[str], limit: int = 6) -> DataFra
     return best.drop("_s").withColumn("text", text)
 
 
+def rank_points(points: DataFrame, run: Sequence[str], cell: float = 1.0) -> DataFrame:
+    """Place of each point in its run, by label, most hits, x and y.
+
+    Places are counted from groups of (label, hits, x cell): one running sum over groups and a row
+    number inside each, so no task sorts a whole run.
+    """
+    run = list(run)
+    p = points.withColumn("_b", F.floor(F.col("x") / cell)).withColumn("_h", -F.col("hits"))
+    group = [*run, "label", "_h", "_b"]
+    sizes = p.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*run).orderBy("label", "_h", "_b").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(*group, F.coalesce(before, F.lit(0)).alias("_s"))
+    inner = F.row_number().over(W.partitionBy(*group).orderBy("x", "y"))
+    return p.withColumn("_r", inner).join(starts, group).withColumn("place", F.col("_s") + F.col("_r")).drop("_b", "_h", "_r", "_s")
+
+
 def missing_labels(confirmed: DataFrame, runs: DataFrame, required: Sequence[str], run: str = "run_id") -> DataFrame:
     """Required labels a run has not confirmed (the required list is short and fixed)."""
     want = F.array(*[F.lit(x) for x in required])

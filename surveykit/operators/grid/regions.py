@@ -465,6 +465,8 @@ def evaluate(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     region, merged truth pairs, extra significant parts.
     """
     keys = list(keys)
+    if not keys:
+        return evaluate(pairs.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     table = pairs.groupBy(*keys, "gt", "pred").agg(F.count("*").alias("n"))
     gt = table.where("gt is not null").groupBy(*keys, "gt").agg(
         F.sum("n").alias("total"),
@@ -482,5 +484,5 @@ def evaluate(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     prec = pred.groupBy(*keys).agg(F.avg(F.col("best_n") / F.col("total")).alias("precision"), F.count("*").alias("n_pred"))
     out = recall
     for other in (prec, under, over):
-        out = out.join(other, keys, "left") if keys else out.crossJoin(other)  # single rows when there is no key
+        out = out.join(other, keys, "left")
     return out.fillna(0)

@@ -390,13 +390,12 @@ def pose_thin(poses: DataFrame, keys: Sequence[str], step_m: float, width: int)
 
 
 def arrivals(poses: DataFrame, goals: DataFrame, keys: Sequence[str], radius: float = 0.28) -> DataFrame:
-    """First stamp within ``radius`` (inclusive) of each goal of the run.
+    """First stamp within ``radius`` (inclusive) of each goal of the run, by a join on grid cells."""
+    from surveykit.operators.spatial import radius_join
 
-    Goals per run are a short list, so the join key is the run and the aggregate runs map-side.
-    """
     keys = list(keys)
-    near = hypot2(F.col("gx") - F.col("x"), F.col("gy") - F.col("y")) <= radius
-    hit = poses.join(goals, keys).where(near)
+    # goals are copied to the cells they reach, poses stay in theirs
+    hit = radius_join(goals, poses, keys, radius, px="gx", py="gy", tx="x", ty="y")
     return hit.groupBy(*keys, "goal").agg(F.min("stamp_ns").alias("arrived_ns"), F.count("*").alias("samples_inside"))
 
 

@@ -13,6 +13,10 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # small shuffles keep their parallelism; large ones still aim at the advisory size
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # checkpoints go away with the last plan that reads them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # shuffled files are re-planned by AQE, so start wide and let it coalesce
     "spark.sql.files.maxPartitionBytes": "128m",
 }
