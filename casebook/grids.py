@@ -124,7 +124,9 @@ def cell_distance(spark, sf):
     return g.distance(free(spark, sf)).select("map_id", "col", "row", "d2", "o_col", "o_row")
 
 
-@case("cell_seed_scan")
+@case("cell_seed_scan", f"""WITH RECURSIVE {FREE}, {DIST}, thr AS (SELECT map_id * 10 + k AS map_id, col, "row" FROM dist, (VALUES (0, 1.0), (1, 1.5), (2, 2.0), (3, 2.5), (4, 3.0)) t(k, v) WHERE sqrt(d2::DOUBLE) >= v),
+  {components_sql(OFF4, 'thr')}, n AS (SELECT map_id, count(DISTINCT label) AS n FROM comp GROUP BY ALL)
+  SELECT CAST(map_id // 10 AS BIGINT) AS map_id, 1.0::DOUBLE + (map_id % 10) * 0.5::DOUBLE AS threshold, n AS components FROM n QUALIFY row_number() OVER (PARTITION BY map_id // 10 ORDER BY n DESC, map_id DESC) = 1""")
 def cell_seed_scan(spark, sf):
     return g.seed_scan(g.distance(free(spark, sf)), [1.0, 1.5, 2.0, 2.5, 3.0])
 

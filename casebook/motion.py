@@ -252,7 +252,12 @@ def win_size_drift(spark, sf):
     return m.size_drift(f, ["run_id"]).distinct()
 
 
-@case("win_pose_thin")
+@case("win_pose_thin", f"""WITH RECURSIVE {POSE}, p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY stamp_ns, seq) AS i FROM pose),
+  w AS (SELECT run_id, i, stamp_ns, seq, x, y, x AS kx, y AS ky, true AS keep FROM p WHERE i = 1
+    UNION ALL SELECT p.run_id, p.i, p.stamp_ns, p.seq, p.x, p.y, CASE WHEN sqrt((p.x-kx)*(p.x-kx)+(p.y-ky)*(p.y-ky)) >= 20 THEN p.x ELSE kx END,
+      CASE WHEN sqrt((p.x-kx)*(p.x-kx)+(p.y-ky)*(p.y-ky)) >= 20 THEN p.y ELSE ky END, sqrt((p.x-kx)*(p.x-kx)+(p.y-ky)*(p.y-ky)) >= 20
+    FROM w JOIN p ON p.run_id = w.run_id AND p.i = w.i + 1)
+  SELECT run_id, stamp_ns, seq, x, y FROM w WHERE keep""")
 def win_pose_thin(spark, sf):
     p = poses(spark, sf).select("run_id", "stamp_ns", "seq", "x", "y")
     return m.pose_thin(p, ["run_id"], 20.0, 10 * DAY)

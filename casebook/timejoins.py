@@ -131,7 +131,14 @@ def agg_pair_stats_linear(spark, sf):
     return out
 
 
-@case("join_latest_pair")
+@case("join_latest_pair", f"""WITH RECURSIVE {LOG}, m AS (SELECT run_id, stamp_ns, seq, topic = 'click' AS side FROM log WHERE topic IN ('view', 'click')),
+  s AS (SELECT *, last_value(CASE WHEN NOT side THEN stamp_ns END IGNORE NULLS) OVER w AS left_ns, last_value(CASE WHEN side THEN stamp_ns END IGNORE NULLS) OVER w AS right_ns
+    FROM m WINDOW w AS (PARTITION BY run_id ORDER BY stamp_ns, side, seq)),
+  c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY stamp_ns, side, seq) AS i FROM s WHERE abs(left_ns - right_ns) <= {GATE}),
+  w AS (SELECT run_id, i, stamp_ns, left_ns, right_ns, stamp_ns + {2 * DAY} AS ready, true AS keep FROM c WHERE i = 1
+    UNION ALL SELECT c.run_id, c.i, c.stamp_ns, c.left_ns, c.right_ns, CASE WHEN c.stamp_ns >= ready THEN c.stamp_ns + {2 * DAY} ELSE ready END, c.stamp_ns >= ready
+    FROM w JOIN c ON c.run_id = w.run_id AND c.i = w.i + 1)
+  SELECT run_id, stamp_ns, left_ns, right_ns FROM w WHERE keep""")
 def join_latest_pair(spark, sf):
     return asof.latest_pair(two_sided(spark, sf), ["run_id"], GATE, 2 * DAY, WIDE)
 
