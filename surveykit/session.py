@@ -15,8 +15,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # small shuffles keep their parallelism; large ones still aim at the advisory size
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    # checkpoints go away with the last plan that reads them
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # shuffled files are re-planned by AQE, so start wide and let it coalesce
     "spark.sql.files.maxPartitionBytes": "128m",
 }
@@ -55,6 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table in the shared folder (survives executor loss).
+
+    Reading the table back starts a fresh plan. A checkpointed frame would carry the constraints of
+    its old plan along, and in loops of self joins their number explodes in the optimizer.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
