@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,29 @@ def build_session(app: str = "surveykit", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Send Python packages that lie beside this one to the executors, once per application.
+
+    Spark copies the archive to each executor's own folder; the temporary file is only where the driver packs it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "packages.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for package in ("surveykit", *packages):
+            for folder, _, names in os.walk(os.path.join(top, package)):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
