@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from surveykit.llm.registry import query, table
+from surveykit.llm.runs import key_runs
 from surveykit.llm.shingles import mixed, shingles, split
 from surveykit.operators.components import connected_components
 from surveykit.session import settle
@@ -216,22 +217,8 @@ def candidate_pairs(trees: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                now = tuple(keys[:, a].tolist())
-                if held and now != key:
-                    yield from search(pa.Table.from_batches(held))
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from search(pa.Table.from_batches(held))
+        for rows in key_runs(batches, ["token", "i", "j"]):
+            yield from search(rows)
 
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveykit.llm.bpe import encoded, public_vocabulary
+from surveykit.llm.bpe import encoded, public_vocabulary, slices
 from surveykit.llm.registry import query, table
 from surveykit.session import settle
 
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int, room: int = ROOM) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 4 * room
-        for batch in batches:
+        for batch in slices(batches):
             counts, crcs = [], []
             for ids in encoded(batch.column("text").to_pylist(), vocabulary, end):
                 counts.append(len(ids) // 4)

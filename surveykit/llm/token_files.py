@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveykit.llm.bpe import encoded, public_vocabulary
+from surveykit.llm.bpe import encoded, public_vocabulary, slices
 from surveykit.llm.registry import query, table
 from surveykit.session import scratch_path, settle
 
@@ -72,7 +72,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     """``doc_id, ids``: all ids of the text and the end id, as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array(encoded(batch.column("text").to_pylist(), vocabulary, end), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
