@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
 from surveykit.llm.runs import key_runs
 from surveykit.llm.shingles import mixed, shingles, split
@@ -28,7 +29,7 @@ from surveykit.session import settle
 
 WIDTH = 5
 PERCENT = 75
-BITS = 2048
+LEAST_BITS, MOST_BITS = 512, 1 << 14
 BUCKETS = 1 << 18
 TREE_SETS = 4096
 FAN = 8
@@ -44,35 +45,50 @@ def _class_of(values: np.ndarray) -> int:
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(values % np.uint64(BITS)).astype(np.int64)] = 1
+    """A power of two of bits, about four for each shingle within limits."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(values) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(values % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _unfolded(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps at the width of the widest, and the bits set in each as it came.
+
+    A narrow bitmap is repeated: that sets every bit that the set would set in a wide one, so bounds stay bounds.
+    """
+    width = max(map(len, bitmaps))
+    own = np.array([int.from_bytes(x).bit_count() for x in bitmaps], np.int64)
+    return np.frombuffer(b"".join(x * (width // len(x)) for x in bitmaps), np.uint64).reshape(len(bitmaps), -1), own
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (``doc_id, n, cls, bits``) and one per task with its shingle counts by hash bucket.
+    """One row per document (``doc_id, n, cls``) and one per task with its shingle counts by hash bucket.
 
     ``cls`` is a fingerprint of the set; equal sets share it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            n, cls, bits, at = [], [], [], []
+        seen, at, held = np.zeros(BUCKETS, np.int64), [], 0
+        for batch in slices(batches):
+            n, cls = [], []
             for text in batch.column("text").to_pylist():
                 values = _set_of(text, width)
                 n.append(len(values))
                 cls.append(_class_of(values))
-                bits.append(_bitmap(values) if len(values) else None)
-                at.append(values >> np.uint64(46))
-            if at:
-                seen += np.bincount(np.concatenate(at).astype(np.int64), minlength=BUCKETS)
+                at.append((values >> np.uint64(46)).astype(np.int32))
+                held += len(values)
+                if held >= 1 << 22:
+                    seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
+                    at, held = [], 0
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none], ["doc_id", "n", "cls", "bits", "seen"])
-        blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "cls", "bits", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none], ["doc_id", "n", "cls", "seen"])
+        if at:
+            seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
+        blank = [pa.nulls(1, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "cls", "seen"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, seen binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, seen binary")
 
 
 def bucket_ranks(parts: DataFrame) -> np.ndarray:
@@ -102,7 +118,7 @@ def prefix_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int)
     """``token, cls``: the shingles of each set of which similar sets share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             tokens, classes = [], []
             for text in batch.column("text").to_pylist():
                 values = _set_of(text, width)
@@ -138,11 +154,11 @@ def _ones(bits: np.ndarray) -> np.ndarray:
 class Tree:
     """Sets of one tree, or of one part of it, as levels of nodes; each node has up to ``FAN`` nodes of the level below."""
 
-    def __init__(self, classes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray):
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, ones: np.ndarray):
         order = np.lexsort((classes, sizes, labels))
         self.classes = classes[order]
         bits, sizes, labels = bits[order], sizes[order], labels[order]
-        extra = sizes - _ones(bits)
+        extra = sizes - ones[order]
         self.levels = [(bits, sizes, sizes, extra, labels, labels)]
         while len(self.levels[-1][0]) > 1:
             b, small, large, extra, low, high = self.levels[-1]
@@ -205,14 +221,14 @@ def candidate_pairs(trees: DataFrame, percent: int) -> DataFrame:
 
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         side = rows.column("side").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(side), -1)
+        bits, ones = _unfolded(rows.column("bits").to_pylist())
         cls, n, label = (rows.column(c).to_numpy() for c in ("cls", "n", "label"))
         if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
-            a = b = Tree(cls, n, label, bits)
+            a = b = Tree(cls, n, label, bits, ones)
         else:
             if side.all() or not side.any():
                 return
-            a, b = (Tree(cls[side == s], n[side == s], label[side == s], bits[side == s]) for s in (0, 1))
+            a, b = (Tree(cls[side == s], n[side == s], label[side == s], bits[side == s], ones[side == s]) for s in (0, 1))
         for x, y in dual_traversal(a, b, percent):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -223,14 +239,37 @@ def candidate_pairs(trees: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of classes whose sets are similar. ``of``: ``cls, doc_id`` of one document per class."""
+def _signs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = [_set_of(t, width) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(v) for v in sets], pa.int64()), pa.array(map(_bitmap, sets), pa.binary())], ["cls", "n", "bits"])
+
+
+def possible_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            (x, one), (y, two) = _unfolded(batch.column("x").to_pylist()), _unfolded(batch.column("y").to_pylist())
+            width = max(x.shape[1], y.shape[1])
+            overlap = _ones(np.tile(x, width // x.shape[1]) & np.tile(y, width // y.shape[1]))
+            overlap = np.minimum(overlap + np.minimum(m - one, n - two), np.minimum(m, n))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * overlap >= percent * (m + n)))
+
+    left = signs.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    right = signs.select(F.col("cls").alias("b"), "n", F.col("bits").alias("y"))
+    near = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
+    sizes = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(near).select("a", "b")
+    return sizes.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of classes whose sets are similar; ``texts``: ``cls, text`` of one document per class."""
     pairs = settle(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(of, "cls")
-    texts = settle(docs.select("doc_id", "text").join(needed, "doc_id").groupBy("cls").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known: dict[str, np.ndarray] = {}
             keep = []
             for one, two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -255,18 +294,16 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     known = parts.where("seen IS NULL")
     of = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent))
-    signs = known.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(shared.select("cls").distinct(), "cls")
-    signs = settle(signs)
-    sized = signs.select("cls", "n")
+    needed = of.join(shared.select("cls").distinct(), "cls")
+    texts = settle(docs.join(needed, "doc_id").groupBy("cls").agg(F.min("text").alias("text")))
+    signs = settle(texts.mapInArrow(lambda batches: _signs(batches, width), "cls long, n long, bits binary"))
     stars = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    stars = stars.join(sized.alias("x"), F.col("a") == F.col("x.cls")).join(sized.alias("y"), (F.col("b") == F.col("y.cls")) & near).select("a", "b")
-    found = linked(stars, docs, of, width, percent)
+    found = linked(possible_pairs(stars, signs, percent), texts, width, percent)
     labels = settle(connected_components(found))
     labelled = shared.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("token", "sets", "cls", F.coalesce("root", "cls").alias("label"))
     open_trees = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     trees = labelled.join(open_trees, "token").join(signs, "cls")
-    more = linked(candidate_pairs(trees, percent), docs, of, width, percent)
+    more = linked(candidate_pairs(trees, percent), texts, width, percent)
     roots = connected_components(found.unionByName(more)).withColumnRenamed("id", "cls")
     placed = known.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

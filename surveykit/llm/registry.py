@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["token_files", "mixing", "warc", "packing", "quality", "ngram_join"]
+MODULES = ["toxicity", "token_files", "mixing", "warc", "passages", "packing", "quality", "embeddings", "ngram_join"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
