@@ -6,10 +6,12 @@ enough are the runs of equal minima of a window of that width, which numpy finds
 a compact window: from, to and the smallest hash. Windows that share it in two documents hold subsequences with equal
 min-hash; where windows of enough hash functions meet on a pair of documents, both are read and compared.
 
-A window is first held against the first document that has its hash, so a passage in g documents costs g comparisons,
-not g**2. A window that no verified passage explains moves on to the next document with that hash, until it is
-explained or every earlier document was tried; so no partner is left out. Each round takes for every document the
-partner with most of its open windows.
+A window is held against the first document that has its hash and against the one before its own in order of id, so
+a passage in g documents costs 2 g comparisons at most, not g**2. The partner with most windows of a document is read
+first; windows that its passages explain are done, the others' partners are read after that. A passage of ``WORDS``
+words shares at least one window per hash function with each of its copies. It stays unseen only if, for all but one
+function, an unrelated earlier document that happens to hold the window's one shingle stands first and another one
+stands in between.
 """
 
 from __future__ import annotations
@@ -89,7 +91,8 @@ def _runs(at: np.ndarray, gap: int) -> Iterator[np.ndarray]:
 
 def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = GAP) -> Iterator[tuple[int, int, int, int]]:
     """Spans (first and last shingle in ``a``, then in ``b``) of at least ``least`` shingles that are similar enough."""
-    todo = list(_runs(np.flatnonzero(np.isin(a, b)), gap))
+    in_b, at_b = np.unique(b, return_index=True)
+    todo = list(_runs(np.flatnonzero(np.isin(a, in_b)), gap))
     while todo:
         run = todo.pop()
         if run[-1] - run[0] + 1 < least:
@@ -102,8 +105,7 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, ga
             yield int(run[0]), int(run[-1]), int(best[0]), int(best[-1])
             continue
         # two passages of b side by side in a, or loose ends: part where the partner jumps, else at the widest gap
-        place = {int(v): k for k, v in reversed(list(enumerate(b.tolist())))}
-        jumps = np.abs(np.diff([place[int(v)] for v in a[run]])) + gap * np.diff(run)
+        jumps = np.abs(np.diff(at_b[np.searchsorted(in_b, a[run])])) + gap * np.diff(run)
         if len(jumps) and jumps.max() > gap + 1:
             cut = int(jumps.argmax()) + 1
             todo += [run[:cut], run[cut:]]
@@ -131,77 +133,60 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     least = words - width + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by = Window.partitionBy("key")
+    before = by.orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
     shared = settle(
         window_rows(docs, hashes, words, width)
-        .withColumns({"lead": F.min("doc").over(by), "hi": F.max("doc").over(by)})
+        .withColumns({"lead": F.min("doc").over(by), "hi": F.max("doc").over(by), "prev": F.max("doc").over(before)})
         .where("lead <> hi")
-        .withColumn("rank", F.dense_rank().over(by.orderBy("doc")))
-        .select("key", "doc", "place", "rank", "lead")
+        .select("doc", "place", "lead", "prev")
     )
     needed = shared.select(F.col("doc").alias("doc_id")).distinct()
     texts = settle(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.char_length("text"), "text")).alias("text")))
-    found: list[DataFrame] = []
-    todo = shared.where("doc <> lead").select("doc", F.struct("key", "place", "rank", F.lit(1).alias("at"), F.col("lead").alias("to")).alias("w"))
+    partner = F.explode(F.array_distinct(F.array("lead", "prev"))).alias("to")
+    todo = shared.where("doc <> lead").select("doc", "place", partner)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            best = []
-            for one in batch.column("ws"):
-                to, n = np.unique(one.values.field("to").to_numpy(), return_counts=True)
-                best.append(int(to[n.argmax()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int64())], ["doc", "ws", "best"])
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        y = texts.select(F.col("doc_id").alias("to"), F.col("text").alias("y"))
+        return pairs.join(y, "to").join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc")
 
-    kinds = "array<struct<key:bigint,place:bigint,rank:int,at:int,to:bigint>>"
-    spans_kind = "array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>"
+    most = todo.groupBy("doc", "to").agg(F.count("*").alias("n"), F.count_distinct(F.shiftright("place", 60)).alias("fns"))
+    most = most.where(F.col("fns") >= enough).groupBy("doc").agg(F.max(F.struct("n", (-F.col("to")).alias("to")))["to"].alias("to")).withColumn("to", -F.col("to"))
+    most = most.join(todo.groupBy("doc").agg(F.collect_list(F.struct("place", "to")).alias("ws")), "doc")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passages of a document and a partner, and the windows with other partners that they don't explain."""
         for batch in slices(batches, 64):
             spans, rest = [], []
-            for ws, best, x, y in zip(batch.column("ws"), *(batch.column(c).to_pylist() for c in ("best", "x", "y")), strict=True):
-                ws = ws.as_py()
-                own = [w for w in ws if w["to"] == best]
-                got = []
-                if len({w["place"] >> 60 for w in own}) >= enough:
-                    a, b = (shingles(split(t), width) for t in (x, y))
-                    for s, e, s0, e0 in matching_passages(a, b, least, percent):
-                        met = {w["place"] >> 60 for w in own if (w["place"] >> 30 & 0x3FFFFFFF) <= e and (w["place"] & 0x3FFFFFFF) >= s}
-                        if len(met) >= enough:
-                            got.append((s, e, s0, e0))
-                left = []
-                for w in ws:
-                    if _unexplained(w["place"] >> 30 & 0x3FFFFFFF, w["place"] & 0x3FFFFFFF, [(s, e) for s, e, _, _ in got], least):
-                        if w["to"] != best:
-                            left.append(w)
-                        elif w["at"] + 1 < w["rank"]:
-                            left.append({**w, "at": w["at"] + 1, "to": None})
-                spans.append([{"s": s, "e": e, "s0": s0, "e0": e0} for s, e, s0, e0 in got])
-                rest.append(left)
-            arrow = [pa.array(spans, pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "s0", "e0")])))]
-            arrow.append(pa.array(rest, pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("rank", pa.int32()), ("at", pa.int32()), ("to", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("best"), *arrow], ["doc", "best", "spans", "rest"])
-
-    targets = shared.select("key", F.col("rank").alias("at"), F.col("doc").alias("next")).distinct()
-    while True:
-        picked = todo.groupBy("doc").agg(F.collect_list("w").alias("ws")).mapInArrow(choose, f"doc long, ws {kinds}, best long")
-        read = picked.join(texts.select(F.col("doc_id").alias("best"), F.col("text").alias("y")), "best").join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc")
-        done = settle(read.select("doc", "ws", "best", "x", "y").mapInArrow(verify, f"doc long, best long, spans {spans_kind}, rest {kinds}"))
-        found.append(done.select("doc", "best", F.explode("spans").alias("p")))
-        rest = done.select("doc", F.explode("rest").alias("w"))
-        if rest.isEmpty():
-            break
-        waiting = rest.where("w.to IS NOT NULL")
-        moved = rest.where("w.to IS NULL").select("doc", "w.key", "w.place", "w.rank", "w.at").join(targets, ["key", "at"])
-        moved = moved.select("doc", F.struct("key", "place", "rank", "at", F.col("next").alias("to")).alias("w"))
-        todo = waiting.unionByName(moved)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+            for ws, to, x, y in zip(batch.column("ws"), *(batch.column(c).to_pylist() for c in ("to", "x", "y")), strict=True):
+                place = ws.values.field("place").to_numpy()
+                whom = ws.values.field("to").to_numpy()
+                first, last, fn = place >> 30 & 0x3FFFFFFF, place & 0x3FFFFFFF, place >> 60
+                own, got = whom == to, []
+                a, b = (shingles(split(t), width) for t in (x, y))
+                for s, e, s0, e0 in matching_passages(a, b, least, percent):
+                    if len(np.unique(fn[own & (first <= e) & (last >= s)])) >= enough:
+                        got.append((s, e, s0, e0))
+                cuts = [(s, e) for s, e, _, _ in got]
+                left = [k for k in np.flatnonzero(~own).tolist() if _unexplained(int(first[k]), int(last[k]), cuts, least)]
+                spans.append([dict(zip(("s", "e", "s0", "e0"), g, strict=True)) for g in got])
+                rest.append([{"place": int(place[k]), "to": int(whom[k])} for k in left])
+            found = pa.array(spans, pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "s0", "e0")])))
+            open_ = pa.array(rest, pa.list_(pa.struct([(c, pa.int64()) for c in ("place", "to")])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("to"), found, open_], ["doc", "to", "spans", "rest"])
+
+    schema = "doc long, to long, spans array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>, rest array<struct<place:bigint,to:bigint>>"
+    columns = ["doc", "ws", "to", "x", "y"]
+    done = settle(with_texts(most).select(columns).mapInArrow(verified, schema))
+    others = done.select("doc", F.explode("rest").alias("w")).groupBy("doc", F.col("w.to").alias("to")).agg(F.collect_list("w").alias("ws"))
+    others = others.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
+    also = with_texts(others).select(columns).mapInArrow(verified, schema)
+    every = done.select("doc", "to", F.explode("spans").alias("p")).unionByName(also.select("doc", "to", F.explode("spans").alias("p")))
     edge = width - 1
     return every.select(
         F.col("doc").alias("doc_id"),
         F.col("p.s").alias("start"),
         (F.col("p.e") - F.col("p.s") + 1 + edge).alias("n_words"),
-        F.col("best").alias("source_doc_id"),
+        F.col("to").alias("source_doc_id"),
         F.col("p.s0").alias("source_start"),
         (F.col("p.e0") - F.col("p.s0") + 1 + edge).alias("source_words"),
     ).distinct()
