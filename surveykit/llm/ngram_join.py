@@ -312,9 +312,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
 
 def keep_one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows whose id is the smallest of their component, one row each, with the columns they came with."""
-    first = ngram_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One row of each component, that of the smallest id, with the columns it came with. Rows without an id stay."""
+    lost = ngram_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    kept = docs.withColumn("_alone", alone).join(lost, "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id", "_alone"]).select(docs.columns)
 
 
 @query("op10_ngram_jaccard_join")
