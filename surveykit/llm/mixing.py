@@ -56,28 +56,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = SHARE_
     ``copies`` is floor(rate) and one more where the row's draw is below the fraction; rate is target / source_size.
     A source uses the one of ``seeds`` seeds whose draws bring it nearest to its target, the smallest on ties; that is
     one sum per seed and source. A null text has size 0, a null source is a source, a source without words has target
-    0 and no copies, repeated rows are drawn alike, and an empty table gives no rows.
+    0 and no copies, repeated rows are drawn alike, and an empty table gives no rows. Columns of ``docs`` with the names of
+    the added ones are replaced.
     """
-    seen = sized(docs)
+    seen = sized(docs.drop("source_size", "target", "copies"))
     sizes = seen.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = source_targets(sizes, weights, percent, times).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    hashed = seen.select("size", "doc_id", "source").alias("d").join(targets.alias("t"), same).select("t.*", "d.size", "d.doc_id")
-    sums = [F.sum(F.when(draw(s) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(seeds)]
-    tried = hashed.groupBy("source", "source_size", "target", "whole", "part").agg(*sums)
+    targets = targets.withColumnRenamed("source", "_source")
+    same = F.col("d.source").eqNullSafe(F.col("t._source"))
+    hashed = seen.select("size", "doc_id", "source").alias("d").join(targets.alias("t"), same).select("t.*", F.col("d.size").alias("_size"), "d.doc_id")
+    sums = [F.sum(F.when(draw(s) < F.col("part"), F.col("_size")).otherwise(0)).alias(f"s{s}") for s in range(seeds)]
+    tried = hashed.groupBy("_source", "source_size", "target", "whole", "part").agg(*sums)
     off = [F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)]
-    chosen = tried.select("source", "source_size", "target", "whole", "part", (F.least(*off) if seeds > 1 else off[0])["seed"].alias("seed"))
-    drawn = F.coalesce(*(F.when(F.col("seed") == s, draw(s)) for s in range(seeds)))
-    joined = seen.alias("d").join(chosen.alias("t"), same).select("d.*", "t.source_size", "t.target", "t.whole", "t.part", "t.seed")
-    return joined.withColumn("copies", (F.col("whole") + (drawn < F.col("part")).cast("long")).cast("long")).drop("whole", "part", "seed")
+    chosen = tried.select("_source", "source_size", "target", F.struct("whole", "part", (F.least(*off) if seeds > 1 else off[0])["seed"].alias("seed")).alias("_plan"))
+    drawn = F.coalesce(*(F.when(F.col("_plan.seed") == s, draw(s)) for s in range(seeds)))
+    joined = seen.alias("d").join(chosen.alias("t"), same).select("d.*", "t.source_size", "t.target", "t._plan")
+    return joined.withColumn("copies", (F.col("_plan.whole") + (drawn < F.col("_plan.part")).cast("long")).cast("long")).drop("_plan")
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns it came with and ``copy`` from 0."""
+    """The mix itself: every row as often as it is taken, with the columns it came with."""
     held = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
-    mixed = mix(held).where("copies > 0")
-    return mixed.select("_row.*", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
+    return mix(held).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_row.*")
 
 
 def mix_sql(source: str = "documents") -> str:

@@ -315,8 +315,8 @@ def keep_one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """One row of each component, that of the smallest id, with the columns it came with. Rows without an id stay."""
     lost = ngram_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    kept = docs.withColumn("_alone", alone).join(lost, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "_alone"]).select(docs.columns)
+    held = docs.select("doc_id", alone.alias("alone"), F.struct("*").alias("row")).join(lost, "doc_id", "left_anti")
+    return held.dropDuplicates(["doc_id", "alone"]).select("row.*")
 
 
 @query("op10_ngram_jaccard_join")
