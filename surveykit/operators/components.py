@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from surveykit.session import settle
+from surveykit.session import discard, settle
 
 
 def _both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,7 +56,8 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
         seen = (mark.n, mark.h)
         if mark.n == 0:
             break
-        current = settle(_small_star(_large_star(current, keys), keys))
+        before, current = current, settle(_small_star(_large_star(current, keys), keys))
+        discard(before)
     roots = current.groupBy(*keys, F.col("a").alias("id")).agg(F.min("b").alias("root"))
     tops = current.select(*keys, F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return roots.unionByName(tops)

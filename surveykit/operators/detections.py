@@ -10,11 +10,9 @@ from surveykit.functions.boxes import box_iou, clip_box, orient_back, side, warp
 from surveykit.functions.text import canonical_label
 from surveykit.operators.components import connected_components
 from surveykit.operators.spatial import home_cell, overlap_pairs, probe_cells
-from surveykit.session import settle
+from surveykit.session import discard, settle
 
 FRAME = ("run_id", "stamp_ns")
-# largest box list that is sorted inside one row; longer frames take the round-based form
-ROW_LIMIT = 2000
 
 
 def piecewise(t: Column, segments: Sequence[tuple[float, float]]) -> Column:
@@ -40,25 +38,14 @@ def seeded_cap(df: DataFrame, keys: Sequence[str], ident: Sequence[str], limit:
 # ---------------------------------------------------------------- suppression
 
 
-def _nms_in_row(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """Greedy suppression as a fold over the score-ordered array of one frame and label."""
-    fields = [c for c in boxes.columns if c not in keys]
-    item = F.struct((-F.col("score")).alias("_o"), F.col("seq").alias("_q"), *fields)
-    packed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_d"))
-    kept = F.aggregate(
-        "_d",
-        F.slice("_d", 1, 0),
-        lambda acc, d: F.when(F.exists(acc, lambda k: box_iou(k, d) > iou), acc).otherwise(F.array_append(acc, d)),
-    )
-    return packed.select(*keys, F.explode(kept).alias("_k")).select(*keys, *[F.col(f"_k.{c}") for c in fields])
-
-
-def _nms_rounds(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """The same result without a row that holds the frame.
+def nms(boxes: DataFrame, keys: Sequence[str] = FRAME, iou: float = 0.50) -> DataFrame:
+    """Greedy same-label suppression; a box stays when its overlap with every kept box is <= ``iou``.
 
     A box that ranks first among everything it could overlap is final. Final boxes remove what they
-    suppress, and the rest goes to the next round. Nothing is paired but boxes with winners.
+    suppress, and the rest goes to the next round. Nothing is paired but boxes with winners, and no
+    row or task holds a frame.
     """
+    keys = [*keys, "label"]
     rank = F.struct((-F.col("score")).alias("o"), F.col("seq").alias("q"))
     flat = boxes.where((F.col("sx") <= 0) | (F.col("sy") <= 0))
     cell = [*keys, "_g"]
@@ -75,21 +62,9 @@ def _nms_rounds(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
         gone = probes.join(lead, cell).where(over).select(*keys, "seq").distinct()
         gone = gone.unionByName(won.select(*keys, "seq")).distinct()
         kept = kept.unionByName(won.drop("_g").select(*kept.columns))
-        left = settle(left.join(gone, [*keys, "seq"], "left_anti"))
-    return kept
-
-
-def nms(boxes: DataFrame, keys: Sequence[str] = FRAME, iou: float = 0.50, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """Greedy same-label suppression; a box stays when its overlap with every kept box is <= ``iou``."""
-    keys = [*keys, "label"]
-    sizes = boxes.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > row_limit).select(*keys)
-    if large.isEmpty():
-        return _nms_in_row(boxes, keys, iou).select(*boxes.columns)
-    large = settle(large)
-    small_part = _nms_in_row(boxes.join(large, keys, "left_anti"), keys, iou)
-    large_part = _nms_rounds(boxes.join(large, keys, "left_semi"), keys, iou)
-    return small_part.select(*boxes.columns).unionByName(large_part.select(*boxes.columns))
+        before, left = left, settle(left.join(gone, [*keys, "seq"], "left_anti"))
+        discard(before)
+    return kept.select(*boxes.columns)
 
 
 def ambiguity(boxes: DataFrame, keys: Sequence[str] = FRAME, iou: float = 0.80, margin: float = 0.10) -> DataFrame:

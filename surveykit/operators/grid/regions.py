@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveykit.functions.geometry import hypot2
 from surveykit.operators.grid.cells import AT, EIGHT, FOUR, components, component_sizes, inside, spread
 from surveykit.operators.spatial import _cells, radius_join
-from surveykit.session import settle
+from surveykit.session import discard, settle
 
 # ---------------------------------------------------------------- measures
 
@@ -91,125 +90,76 @@ def label_anchor(labelled: DataFrame, dist: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- merging
 
 
-class _Graph:
-    """Contracted region graph of one map: a few hundred rows, never cells."""
-
-    def __init__(self, pdf: pd.DataFrame, res: float) -> None:
-        self.area = {int(l): n * res * res for l, n in zip(pdf["label"], pdf["n"])}
-        self.wall = {int(l): int(w) for l, w in zip(pdf["label"], pdf["wall"])}
-        self.near: dict[int, dict[int, int]] = {}
-        for l, items in zip(pdf["label"], pdf["near"]):
-            self.near[int(l)] = {int(i["neighbour"]): int(i["shared"]) for i in items}
-        self.home = {l: l for l in self.area}
-
-    def total(self, i: int) -> int:
-        return max(1, self.wall[i] + sum(self.near[i].values()))
-
-    def order(self) -> list[int]:
-        return sorted(self.area, key=lambda i: (self.area[i], i))
-
-    def longest(self, i: int) -> int:
-        return min(self.near[i], key=lambda j: (-self.near[i][j], j))
-
-    def merge(self, src: int, dst: int) -> None:
-        self.area[dst] += self.area.pop(src)
-        self.wall[dst] += self.wall.pop(src)
-        for j, shared in self.near.pop(src).items():
-            self.near[j].pop(src)
-            if j != dst:
-                self.near[dst][j] = self.near[dst].get(j, 0) + shared
-                self.near[j][dst] = self.near[j].get(dst, 0) + shared
-        for l, h in self.home.items():
-            if h == src:
-                self.home[l] = dst
-
-    def drop(self, test) -> None:
-        gone = [i for i in self.area if test(i)]
-        self.home = {l: h for l, h in self.home.items() if h not in gone}
+def _contact_facts(regions: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Per region with a neighbour: its size, border and what the rules ask about its contacts."""
+    ring = contacts.groupBy("map_id", F.col("a").alias("label")).agg(F.sum("shared").alias("border"), F.count("*").alias("k"))
+    known = regions.join(ring, ["map_id", "label"]).withColumn("total", F.greatest(F.lit(1), F.col("wall") + F.col("border")))
+    mine = known.select("map_id", F.col("label").alias("a"), "n", "wall", "k", "total")
+    theirs = known.select("map_id", F.col("label").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("total").alias("total_b"))
+    pairs = contacts.join(mine, ["map_id", "a"]).join(theirs, ["map_id", "b"])
+    own, other = F.col("shared") / F.col("total"), F.col("shared") / F.col("total_b")
+    inward = F.col("n") <= F.col("n_b")
+    open_ = F.when(inward, (own >= 0.20) & (other >= 0.10)).otherwise((other >= 0.20) & (own >= 0.10))
+    move = F.when(inward, F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))).otherwise(F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.groupBy("map_id", F.col("a").alias("label"), "n", "wall", "k", "total").agg(
+        F.max("shared").alias("top"),
+        F.min_by("b", F.struct(-F.col("shared"), "b")).alias("longest"),
+        F.max_by("b", F.struct("shared", "b")).alias("widest"),
+        F.max("k_b").alias("k_b"),
+        F.min(F.when(open_, F.struct("b", move.alias("move"))))["move"].alias("open"),
+        F.min(F.when(own > 0.40, F.col("b"))).alias("wide"),
+    )
 
 
-def _merge_small(g: _Graph, min_room: float, single: float) -> None:
-    for _ in range(50):
-        if len(g.area) <= 1:
-            break
-        move = None
-        for i in g.order():
-            if g.near[i] and g.area[i] < min_room:
-                move = (i, g.longest(i))
-            elif len(g.near[i]) == 1 and g.area[i] < single:
-                move = (i, next(iter(g.near[i])))
-            if move:
-                break
-        if not move:
-            break
-        g.merge(*move)
-    g.drop(lambda i: g.area[i] < 0.5)
-
-
-def _five_rules(g: _Graph, i: int, min_room: float, single: float) -> tuple[int, int] | None:
-    near, total = g.near[i], g.total(i)
-    wall_share = g.wall[i] / total
-    if near and g.area[i] < min_room:
-        wide = [(shared / total, j) for j, shared in near.items() if shared / total >= 0.20]
-        if wide:
-            top = max(s for s, _ in wide)
-            shared = max(near[j] for s, j in wide if s == top)
-            return i, max(j for s, j in wide if near[j] == shared)
-        return i, g.longest(i)
-    if len(near) == 1:
-        j = next(iter(near))
-        if g.area[i] < single and wall_share < 0.75:
-            return i, j
-        if len(g.near[j]) <= 2 and wall_share >= 0.50:
-            return i, j
-    for j in sorted(near):
-        small, large = (i, j) if g.area[i] <= g.area[j] else (j, i)
-        if g.near[small][large] / g.total(small) >= 0.20 and g.near[large][small] / g.total(large) >= 0.10:
-            return small, large
-    for j in sorted(near):
-        if near[j] / total > 0.40:
-            return i, j
-    return None
-
-
-def _merge_five(g: _Graph, min_room: float, single: float) -> None:
-    for _ in range(200):
-        if len(g.area) <= 1:
-            break
-        move = None
-        for i in g.order():
-            move = _five_rules(g, i, min_room, single)
-            if move:
-                break
-        if not move:
-            break
-        g.merge(*move)
-    g.drop(lambda i: g.area[i] < 0.5 and not g.near[i])
+def _moves(regions: DataFrame, contacts: DataFrame, rules: str, res: float, min_room: float, single: float) -> DataFrame:
+    """``map_id, src, dst``: the move of each map that has one."""
+    area, walled = F.col("n") * (res * res), F.col("wall") / F.col("total")
+    to = lambda c: F.struct(F.col("label").alias("src"), F.col(c).alias("dst"))
+    lone = F.col("k") == 1
+    if rules == "small":
+        choice = F.when((area < min_room) | (lone & (area < single)), to("longest"))
+    else:
+        choice = (
+            F.when((area < min_room) & (F.col("top") / F.col("total") >= 0.20), to("widest"))
+            .when(area < min_room, to("longest"))
+            .when(lone & (area < single) & (walled < 0.75), to("longest"))
+            .when(lone & (F.col("k_b") <= 2) & (walled >= 0.50), to("longest"))
+            .when(F.col("open").isNotNull(), F.col("open"))
+            .when(F.col("wide").isNotNull(), to("wide"))
+        )
+    facts = _contact_facts(regions, contacts).withColumn("move", choice).where("move IS NOT NULL")
+    return facts.groupBy("map_id").agg(F.min_by("move", F.struct("n", "label")).alias("m")).select("map_id", "m.src", "m.dst")
 
 
 def merge_regions(labelled: DataFrame, free: DataFrame, box: DataFrame, res: float, rules: str = "small", min_room: float = 2.0, single: float = 12.5) -> DataFrame:
     """Cells with merged labels under the small-room rules or the five ordered rules.
 
-    Cells are reduced once to a region graph (area, wall, shared borders). The one-by-one merge order
-    is part of the rules, so each map's graph is settled as one small group, all maps in parallel; the
-    cells only receive a label mapping by join.
+    Cells are reduced once to two tables: regions (cells, wall) and contacts (shared border, both ways).
+    In each round every map makes one move, the first in order of area, until no map has one. A round is
+    a few joins over regions, so no task or row holds a map; the cells only receive a label at the end.
     """
     own = settle(labelled.select(*AT, F.col("label").cast("bigint").alias("label")))
-    n = component_sizes(own)
     wall = borders(own, free, box).select("map_id", "label", "wall")
-    near = adjacency(own).groupBy("map_id", "label").agg(F.collect_list(F.struct("neighbour", "shared")).alias("near"))
-    none = F.expr("cast(array() as array<struct<neighbour: bigint, shared: bigint>>)")
-    graph = n.join(wall, ["map_id", "label"], "left").join(near, ["map_id", "label"], "left").select(
-        "map_id", "label", "n", F.coalesce("wall", F.lit(0)).alias("wall"), F.coalesce("near", none).alias("near")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _Graph(pdf, res)
-        (_merge_small if rules == "small" else _merge_five)(g, min_room, single)
-        return pd.DataFrame({"map_id": pdf["map_id"].iloc[0], "label": list(g.home), "merged": list(g.home.values())})
-
-    mid = dict(own.dtypes)["map_id"]
-    mapping = graph.groupBy("map_id").applyInPandas(run, f"map_id {mid}, label bigint, merged bigint")
+    regions = settle(component_sizes(own).join(wall, ["map_id", "label"], "left").select("map_id", "label", "n", F.coalesce("wall", F.lit(0)).alias("wall")))
+    contacts = settle(adjacency(own).select("map_id", F.col("label").alias("a"), F.col("neighbour").alias("b"), "shared"))
+    homes = settle(regions.select("map_id", "label", F.col("label").alias("merged")))
+    renamed = lambda c: F.when(F.col(c) == F.col("src"), F.col("dst")).otherwise(F.col(c)).alias(c)
+    while True:
+        moves = settle(_moves(regions, contacts, rules, res, min_room, single))
+        if moves.isEmpty():
+            break
+        spent = (regions, contacts, homes, moves)
+        grown = regions.join(moves, "map_id", "left").select("map_id", renamed("label"), "n", "wall")
+        joined = contacts.join(moves, "map_id", "left").select("map_id", renamed("a"), renamed("b"), "shared").where("a <> b")
+        homes = settle(homes.join(moves, "map_id", "left").select("map_id", "label", renamed("merged")))
+        regions = settle(grown.groupBy("map_id", "label").agg(F.sum("n").alias("n"), F.sum("wall").alias("wall")))
+        contacts = settle(joined.groupBy("map_id", "a", "b").agg(F.sum("shared").alias("shared")))
+        for cut in spent:
+            discard(cut)
+    alone = contacts.select("map_id", F.col("a").alias("label")).distinct().withColumn("near", F.lit(True))
+    sure = F.col("n") * (res * res) >= 0.5
+    stay = regions.join(alone, ["map_id", "label"], "left").where(sure if rules == "small" else sure | F.col("near").isNotNull())
+    mapping = homes.join(stay.select("map_id", F.col("label").alias("merged")), ["map_id", "merged"])
     return own.join(mapping, ["map_id", "label"]).select(*AT, F.col("merged").alias("label"))
 
 

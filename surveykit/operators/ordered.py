@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -123,7 +125,10 @@ def scan(df: DataFrame, line: Timeline, steps: Sequence[Step]) -> DataFrame:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right, on, "left")
+    """Left join on equal keys, a null key being equal to a null one."""
+    held = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(held, reduce(and_, same), "left").drop(*[f"_on_{c}" for c in on])
 
 
 def islands(df: DataFrame, line: Timeline, starts: Column, out: str) -> DataFrame:

@@ -1,74 +1,79 @@
-"""Ground-plane fits per frame."""
+"""Ground-plane fits per frame, counted over all points of a frame."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from surveykit.operators.detections import seeded_cap
+from surveykit.session import settle
 
-# fixed value: most points of a frame that enter a fit
-POINT_CAP = 4000
-
-
-def _believable(n: np.ndarray, d: np.ndarray) -> np.ndarray:
-    pitch = np.degrees(np.arctan2(n[..., 2], -n[..., 1]))
-    roll = np.degrees(np.arctan2(n[..., 0], -n[..., 1]))
-    height = np.abs(d)
-    # fixed values: roll, pitch and height limits of a believable floor
-    return (np.abs(roll) < 15) & (pitch > -10) & (pitch < 50) & (height > 0.04) & (height < 0.40)
-
-
-def _fit(p: np.ndarray, hypotheses: int, tolerance: float, minimum: int, seed: int):
-    """Best believable plane through random triples, refitted to its inliers; None when there is none."""
-    if len(p) < minimum:
-        return None
-    pick = np.random.default_rng(seed).integers(0, len(p), (hypotheses, 3))
-    a, b, c = p[pick[:, 0]], p[pick[:, 1]], p[pick[:, 2]]
-    n = np.cross(b - a, c - a)
-    size = np.linalg.norm(n, axis=1)
-    keep = size > 1e-9
-    n, a = n[keep] / size[keep, None], a[keep]
-    n = np.where(n[:, 1:2] > 0, -n, n)
-    d = -(n * a).sum(axis=1)
-    ok = _believable(n, d)
-    n, d = n[ok], d[ok]
-    if not len(n):
-        return None
-    hits = (np.abs(p @ n.T + d) < tolerance).sum(axis=0)
-    best = int(hits.argmax())
-    if hits[best] < minimum:
-        return None
-    inliers = p[np.abs(p @ n[best] + d[best]) < tolerance]
-    centre = inliers.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov((inliers - centre).T))
-    normal = vectors[:, 0] if vectors[1, 0] <= 0 else -vectors[:, 0]
-    offset = -float(normal @ centre)
-    if not _believable(normal, np.float64(offset)):
-        return None
-    return normal, offset, len(inliers)
+#: points of a frame that candidate planes are drawn through; inliers are counted over all of its points
+DRAWN = 96
+
+
+def believable(n: Column, d: Column) -> Column:
+    """Whether a plane can be the floor in front of the camera (fixed values: limits of roll, pitch, height)."""
+    roll = F.degrees(F.atan2(n["x"], -n["y"]))
+    pitch = F.degrees(F.atan2(n["z"], -n["y"]))
+    return (F.abs(roll) < 15) & (pitch > -10) & (pitch < 50) & (F.abs(d) > 0.04) & (F.abs(d) < 0.40)
+
+
+def _candidates(points: DataFrame, keys: list[str], hypotheses: int, seed: int) -> DataFrame:
+    """``keys, no, n, d``: believable planes through three drawn points of the frame, facing up (y negative)."""
+    drawn = seeded_cap(points, keys, ["x", "y", "z"], DRAWN, seed).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("p"))
+    turn = lambda k: F.get("p", F.pmod(F.xxhash64("no", F.lit(seed), F.lit(k)), F.size("p")).cast("int"))
+    triples = drawn.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1)))).select(*keys, "no", *(turn(k).alias(c) for k, c in enumerate("abc")))
+    u = {c: F.col("b")[c] - F.col("a")[c] for c in "xyz"}
+    v = {c: F.col("c")[c] - F.col("a")[c] for c in "xyz"}
+    cross = {"x": u["y"] * v["z"] - u["z"] * v["y"], "y": u["z"] * v["x"] - u["x"] * v["z"], "z": u["x"] * v["y"] - u["y"] * v["x"]}
+    size = F.sqrt(sum((c * c for c in cross.values()), F.lit(0.0)))
+    sized = triples.select(*keys, "no", "a", *(c.alias(f"c{k}") for k, c in cross.items()), size.alias("size")).where("size > 1e-9")
+    up = F.when(F.col("cy") > 0, -F.col("size")).otherwise(F.col("size"))
+    facing = sized.select(*keys, "no", "a", F.struct(*((F.col(f"c{k}") / up).alias(k) for k in "xyz")).alias("n"))
+    planes = facing.withColumn("d", -(F.col("n.x") * F.col("a.x") + F.col("n.y") * F.col("a.y") + F.col("n.z") * F.col("a.z")))
+    return planes.where(believable(F.col("n"), F.col("d"))).select(*keys, "no", "n", "d")
+
+
+def _refitted(keys: list[str]):
+    """From the moments of the inliers to the plane of least squares."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[[*keys, "m"]].rename(columns={"m": "inliers"})
+            mean = pdf[["mx", "my", "mz"]].to_numpy(np.float64)
+            c = {k: pdf[k].to_numpy(np.float64) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+            cov = np.stack([c[k] for k in ("xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz")], axis=1).reshape(-1, 3, 3)
+            normal = np.linalg.eigh(cov)[1][:, :, 0] if len(pdf) else np.zeros((0, 3))
+            normal = np.where(normal[:, 1:2] > 0, -normal, normal)
+            yield out.assign(nx=normal[:, 0], ny=normal[:, 1], nz=normal[:, 2], d=-(normal * mean).sum(axis=1))
+
+    return run
 
 
 def fit_planes(points: DataFrame, keys: Sequence[str], hypotheses: int = 400, tolerance: float = 0.02, min_inliers: int = 300, seed: int = 0) -> DataFrame:
     """One believable floor plane per frame: normal, offset and inlier count.
 
-    The point cap comes first, so a group handed to Python never exceeds it. The random draws differ
-    from other generators; results agree within the inlier tolerance.
+    Planes through drawn triples are candidates; every point of the frame counts for each candidate it lies
+    on, in partial sums that are added up. The best one is refitted to the moments of its inliers. No task
+    holds a frame. Other draws give planes that agree within the inlier tolerance.
     """
     keys = list(keys)
-    capped = seeded_cap(points.select(*keys, "x", "y", "z"), keys, ["x", "y", "z"], POINT_CAP, seed + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["x", "y", "z"])
-        got = _fit(ordered[["x", "y", "z"]].to_numpy(np.float64), hypotheses, tolerance, min_inliers, seed)
-        if got is None:
-            return pd.DataFrame(columns=[*keys, "nx", "ny", "nz", "d", "inliers"])
-        n, d, k = got
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "nx": n[0], "ny": n[1], "nz": n[2], "d": d, "inliers": k}])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in capped.schema if f.name in keys)
-    out = capped.groupBy(*keys).applyInPandas(run, f"{ddl}, nx double, ny double, nz double, d double, inliers bigint")
-    return out.select(*keys, "nx", "ny", "nz", "d", F.col("inliers"))
+    points = settle(points.select(*keys, "x", "y", "z"))
+    planes = settle(_candidates(points, keys, hypotheses, seed))
+    away = F.abs(F.col("n.x") * F.col("x") + F.col("n.y") * F.col("y") + F.col("n.z") * F.col("z") + F.col("d"))
+    listed = planes.groupBy(*keys).agg(F.collect_list(F.struct("no", "n", "d")).alias("all"))
+    off = lambda p: F.abs(p["n"]["x"] * F.col("x") + p["n"]["y"] * F.col("y") + p["n"]["z"] * F.col("z") + p["d"])
+    met = points.join(listed, keys).select(*keys, F.explode(F.transform(F.filter("all", lambda p: off(p) < tolerance), lambda p: p["no"])).alias("no"))
+    hits = met.groupBy(*keys, "no").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_inliers)
+    best = hits.groupBy(*keys).agg(F.min_by("no", F.struct(-F.col("hits"), "no")).alias("no"))
+    inliers = points.join(planes.join(best, [*keys, "no"]), keys).where(away < tolerance)
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    moments = inliers.groupBy(*keys).agg(F.count("*").alias("m"), *(F.avg(c).alias(f"m{c}") for c in "xyz"), *(F.covar_pop(a, b).alias(a + b) for a, b in pairs))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in keys)
+    out = moments.mapInPandas(_refitted(keys), f"{ddl}, inliers bigint, nx double, ny double, nz double, d double")
+    sure = believable(F.struct(F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z")), F.col("d"))
+    return out.where(sure).select(*keys, "nx", "ny", "nz", "d", "inliers")

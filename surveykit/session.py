@@ -17,8 +17,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # small shuffles keep their parallelism; large ones still aim at the advisory size
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    # shuffled files are re-planned by AQE, so start wide and let it coalesce
     "spark.sql.files.maxPartitionBytes": "128m",
+    # shuffles of unknown size start wide; AQE joins small partitions to the advisory size
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
 }
 
 
@@ -26,7 +27,10 @@ def build_session(app: str = "surveykit", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **extra}.items():
+    settings = {**DEFAULTS, **extra}
+    if "spark.sql.shuffle.partitions" in extra:  # a stated number holds from the start
+        settings.pop("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -86,4 +90,14 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut._cut_path = path
+    return cut
+
+
+def discard(cut: DataFrame) -> None:
+    """Delete the table behind a settled frame that nothing reads any more, as loops do with the round before."""
+    spark, path = cut.sparkSession, cut.__dict__.pop("_cut_path", None)
+    if path:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

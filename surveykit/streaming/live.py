@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -95,24 +96,37 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(frames).sort_values(["stamp_ns", "seq"], kind="stable")
 
 
+def _since(marks: np.ndarray, carried: float) -> np.ndarray:
+    """Rows since the last mark, the marked row being 0; before the first mark ``carried`` rows count too."""
+    at = np.arange(len(marks))
+    last = np.maximum.accumulate(np.where(marks, at, -1))
+    return np.where(last >= 0, at - last, at + 1 + carried)
+
+
+def _latest(values: np.ndarray, there: np.ndarray, carried: float) -> np.ndarray:
+    """The newest value that is there, up to each row; ``carried`` (or nan) before the first."""
+    last = np.maximum.accumulate(np.where(there, np.arange(len(values)), -1))
+    return np.where(last >= 0, values[np.maximum(last, 0)], carried)
+
+
 def drift_alarm(distances: DataFrame, keys: Sequence[str], key_ddl: str, required: int = 3, min_step: float = 0.04) -> DataFrame:
-    """Rows on which ``required`` consecutive rises are reached; state is (previous, count)."""
+    """Rows that end ``required`` rises in a row or more; state is the last value and the rises so far.
+
+    A row rises when the row before it has a distance too and lies ``min_step`` or more below. The rises
+    at a row are the rows since the last one that did not rise.
+    """
 
     def run(key, batches, state: GroupState):
-        prev, count = state.get if state.exists else (None, 0)
-        out = []
         for pdf in _ordered(batches):
-            for t, q, v in zip(pdf["stamp_ns"], pdf["seq"], pdf["value"]):
-                if v is None or v != v or v in (float("inf"), float("-inf")) or v < 0:
-                    prev, count = None, 0
-                    continue
-                if prev is not None:
-                    count = count + 1 if v - prev >= min_step else 0
-                prev = float(v)
-                if count >= required:
-                    out.append((*key, int(t), int(q), count))
-        state.update((prev, count))
-        yield pd.DataFrame(out, columns=[*keys, "stamp_ns", "seq", "rises"])
+            before, rises = state.get if state.exists else (float("nan"), 0)
+            v = pdf["value"].to_numpy(np.float64, na_value=np.nan)
+            v = np.where(np.isfinite(v) & (v >= 0), v, np.nan)
+            step = np.diff(v, prepend=before)
+            count = _since(~(step >= min_step), rises)
+            state.update((float(v[-1]), int(count[-1])))
+            hit = count >= required
+            out = pdf.loc[hit, ["stamp_ns", "seq"]].assign(rises=count[hit].astype(np.int32))
+            yield out.assign(**dict(zip(keys, key, strict=True)))[[*keys, "stamp_ns", "seq", "rises"]]
 
     return distances.groupBy(*keys).applyInPandasWithState(
         run, f"{key_ddl}, stamp_ns bigint, seq bigint, rises int", "prev double, cnt int", "append", GroupStateTimeout.NoTimeout
@@ -145,38 +159,48 @@ def staleness_latch(messages: DataFrame, keys: Sequence[str], key_ddl: str, time
 
 
 def motion_localization(samples: DataFrame, keys: Sequence[str], key_ddl: str, confirm: int, stable: int, bad_limit: int, timeout_ns: int) -> DataFrame:
-    """Debounced motion, ready latch, bad-sample run and health per sample (``moving``, ``good``)."""
+    """Bad samples in a row, ready latch and health per sample (``moving``, ``good``).
+
+    Motion is confirmed on a sample with ``confirm`` moving ones in a row. Bad samples count from the last
+    good one or from the start of a motion, whichever is later. Ready stays once ``stable`` good samples came
+    in a row. A ready key is healthy while a good sample is recent, without motion, or while neither the bad
+    samples nor the time since the last good sample or start of motion exceed their limits. State is the
+    lengths of the runs at the end of a micro-batch and the two newest stamps.
+    """
 
     def run(key, batches, state: GroupState):
-        hits, moving, began, good_n, bad_n, ready, last_good = state.get if state.exists else (0, False, None, 0, 0, False, None)
-        out = []
         for pdf in _ordered(batches):
-            for t, q, m, g in zip(pdf["stamp_ns"], pdf["seq"], pdf["moving"], pdf["good"]):
-                t, was = int(t), moving
-                hits = hits + 1 if m else 0
-                if not m:
-                    moving, began = False, None
-                elif hits >= confirm:
-                    began = began if was else t
-                    moving = True
-                if moving and not was:
-                    bad_n = 0
-                if g:
-                    good_n, bad_n, last_good = good_n + 1, 0, t
-                    ready = ready or good_n >= stable
-                else:
-                    good_n, bad_n = 0, bad_n + 1
-                recent = last_good is not None and t - last_good <= timeout_ns
-                ref = max([v for v in (last_good, began) if v is not None], default=None)
-                healthy = ready and (recent or not moving or (bad_n < bad_limit and ref is not None and t - ref <= timeout_ns))
-                out.append((*key, int(q), bad_n, ready, healthy))
-        state.update((hits, moving, began, good_n, bad_n, ready, last_good))
-        yield pd.DataFrame(out, columns=[*keys, "seq", "bad_samples", "ready", "healthy"])
+            still_n, calm_n, good_n, ready, good_at, start_at = state.get if state.exists else (0, 0, 0, False, None, None)
+            moves, good = (pdf[c].to_numpy(bool) for c in ("moving", "good"))
+            t = pdf["stamp_ns"].to_numpy(np.int64)
+            in_motion = _since(~moves, still_n)
+            start, moving = in_motion == confirm, in_motion >= confirm
+            # a start is like a good sample that lies just before its own row
+            bad = np.where(good, 0, np.minimum(_since(good, calm_n), _since(start, np.inf) + 1)).astype(np.int64)
+            run_good = _since(~good, good_n)
+            latched = ready | np.logical_or.accumulate(run_good >= stable)
+            # stamps are kept as places in the batch, the carried ones before it, so that they stay exact
+            stamps = np.concatenate([[-1 if start_at is None else start_at, -1 if good_at is None else good_at], t])
+            place = np.arange(2, len(stamps))
+            at_good = _latest(place, good, 1).astype(int)
+            at_start = np.where(moving, _latest(place, start, 0), 0).astype(int)
+            known_good = (at_good > 1) | (good_at is not None)
+            known_start = moving & ((at_start > 1) | (start_at is not None))
+            recent = known_good & (t - stamps[at_good] <= timeout_ns)
+            ref = np.maximum(np.where(known_good, stamps[at_good], np.iinfo(np.int64).min), np.where(known_start, stamps[at_start], np.iinfo(np.int64).min))
+            within = (known_good | known_start) & (t - np.where(known_good | known_start, ref, t) <= timeout_ns)
+            healthy = latched & (recent | ~moving | ((bad < bad_limit) & within))
+            state.update((
+                int(in_motion[-1]), int(bad[-1]), int(run_good[-1]), bool(latched[-1]),
+                int(stamps[at_good[-1]]) if known_good[-1] else None, int(stamps[at_start[-1]]) if known_start[-1] else None,
+            ))
+            out = pdf[["seq"]].assign(bad_samples=bad.astype(np.int32), ready=latched, healthy=healthy)
+            yield out.assign(**dict(zip(keys, key, strict=True)))[[*keys, "seq", "bad_samples", "ready", "healthy"]]
 
     return samples.groupBy(*keys).applyInPandasWithState(
         run,
         f"{key_ddl}, seq bigint, bad_samples int, ready boolean, healthy boolean",
-        "hits int, moving boolean, began bigint, good_n int, bad_n int, ready boolean, last_good bigint",
+        "in_motion int, bad_n int, good_n int, ready boolean, good_at bigint, start_at bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )
