@@ -34,6 +34,7 @@ BUCKETS = 1 << 18
 TREE_SETS = 4096
 FAN = 8
 NODE_PAIRS = 4096
+FILTER_BITS = 1 << 24
 
 
 def _set_of(text: str | None, width: int) -> np.ndarray:
@@ -63,7 +64,7 @@ def _unfolded(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (``doc_id, n, cls``) and one per task with its shingle counts by hash bucket.
+    """One row per document (``doc_id, n, cls, bits``) and one per task with its shingle counts by hash bucket.
 
     ``cls`` is a fingerprint of the set; equal sets share it.
     """
@@ -71,24 +72,25 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, at, held = np.zeros(BUCKETS, np.int64), [], 0
         for batch in slices(batches):
-            n, cls = [], []
+            n, cls, bits = [], [], []
             for text in batch.column("text").to_pylist():
                 values = _set_of(text, width)
                 n.append(len(values))
                 cls.append(_class_of(values))
+                bits.append(_bitmap(values) if len(values) else None)
                 at.append((values >> np.uint64(46)).astype(np.int32))
                 held += len(values)
                 if held >= 1 << 22:
                     seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
                     at, held = [], 0
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none], ["doc_id", "n", "cls", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none], ["doc_id", "n", "cls", "bits", "seen"])
         if at:
             seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
-        blank = [pa.nulls(1, pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "cls", "seen"])
+        blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "cls", "bits", "seen"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, seen binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, seen binary")
 
 
 def bucket_ranks(parts: DataFrame) -> np.ndarray:
@@ -239,12 +241,6 @@ def candidate_pairs(trees: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _signs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = [_set_of(t, width) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(v) for v in sets], pa.int64()), pa.array(map(_bitmap, sets), pa.binary())], ["cls", "n", "bits"])
-
-
 def possible_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sizes and bitmaps allow a link."""
 
@@ -264,9 +260,43 @@ def possible_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFram
     return sizes.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of classes whose sets are similar; ``texts``: ``cls, text`` of one document per class."""
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that may have one of ``ids``, so that few texts are shuffled for a join that follows.
+
+    A bit table of ``FILTER_BITS`` is all that passes the driver; a full one lets every row through.
+    """
+
+    def spots(values: np.ndarray) -> np.ndarray:
+        h = mixed(values.astype(np.int64).view(np.uint64))
+        return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)]).astype(np.int64)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, np.uint8)
+        for batch in batches:
+            bits[spots(batch.column("doc_id").to_numpy()).ravel()] = 1
+        packed = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["word", "bits"])
+
+    words = ids.select("doc_id").mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed = np.zeros(FILTER_BITS // 64, np.int64)
+    packed[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    table = packed.view(np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = spots(batch.column("doc_id").to_numpy())
+            hit = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.all(axis=0)))
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of classes whose sets are similar. ``of``: ``cls, doc_id`` of one document per class."""
     pairs = settle(pairs)
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(of, "cls"))
+    texts = settle(of_ids(docs, needed).join(needed, "doc_id").groupBy("cls").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -294,16 +324,15 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     known = parts.where("seen IS NULL")
     of = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent))
-    needed = of.join(shared.select("cls").distinct(), "cls")
-    texts = settle(docs.join(needed, "doc_id").groupBy("cls").agg(F.min("text").alias("text")))
-    signs = settle(texts.mapInArrow(lambda batches: _signs(batches, width), "cls long, n long, bits binary"))
+    signs = known.where("n > 0").join(of, ["cls", "doc_id"]).select("cls", "n", "bits").dropDuplicates(["cls"])
+    signs = settle(signs.join(shared.select("cls").distinct(), "cls"))
     stars = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    found = linked(possible_pairs(stars, signs, percent), texts, width, percent)
+    found = linked(possible_pairs(stars, signs, percent), docs, of, width, percent)
     labels = settle(connected_components(found))
     labelled = shared.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("token", "sets", "cls", F.coalesce("root", "cls").alias("label"))
     open_trees = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     trees = labelled.join(open_trees, "token").join(signs, "cls")
-    more = linked(candidate_pairs(trees, percent), texts, width, percent)
+    more = linked(candidate_pairs(trees, percent), docs, of, width, percent)
     roots = connected_components(found.unionByName(more)).withColumnRenamed("id", "cls")
     placed = known.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
