@@ -79,13 +79,12 @@ def _flood_sql(offsets: str, src: str = "free") -> str:
     UNION SELECT f.map_id, f.col, f."row", r.s FROM reach r, {offsets} JOIN {src} f ON f.map_id = r.map_id AND f.col = r.col + o.a AND f."row" = r."row" + o.b)"""
 
 
-# labels travel as shrinking minima, so the recursion keeps one row per cell and better label
+# labels travel as shrinking minima; a round hands on only the cells whose label fell, until none does
 def components_sql(offsets: str, src: str = "free", name: str = "comp") -> str:
-    return f"""{name}_it(map_id, col, "row", s, k) AS (SELECT map_id, col, "row", ("row"::BIGINT << 32) + col, 0 FROM {src}
-    UNION ALL SELECT map_id, col, "row", min(s), any_value(k) + 1 FROM (SELECT map_id, col, "row", s, k FROM {name}_it UNION ALL
-      SELECT f.map_id, f.col, f."row", r.s, r.k FROM {name}_it r, {offsets} JOIN {src} f ON f.map_id = r.map_id AND f.col = r.col + o.a AND f."row" = r."row" + o.b)
-      WHERE k < 90 GROUP BY map_id, col, "row"),
-  {name} AS (SELECT map_id, col, "row", min(s) AS label FROM {name}_it WHERE k = (SELECT max(k) FROM {name}_it) GROUP BY ALL)"""
+    return f"""{name}_it(map_id, col, "row", s) USING KEY (map_id, col, "row") AS (SELECT map_id, col, "row", ("row"::BIGINT << 32) + col FROM {src}
+    UNION SELECT f.map_id, f.col, f."row", min(r.s) FROM {name}_it r, {offsets} JOIN {src} f ON f.map_id = r.map_id AND f.col = r.col + o.a AND f."row" = r."row" + o.b
+      JOIN recurring.{name}_it c ON c.map_id = f.map_id AND c.col = f.col AND c."row" = f."row" WHERE r.s < c.s GROUP BY ALL),
+  {name} AS (SELECT map_id, col, "row", s AS label FROM {name}_it)"""
 
 
 @case("cell_components", f"WITH RECURSIVE {FREE}, {components_sql(OFF8)} SELECT * FROM comp")
@@ -136,10 +135,10 @@ def seeds(spark, sf):
 
 
 @case("cell_wavefront", f"""WITH RECURSIVE {FREE}, seed AS (SELECT *, "row"::BIGINT * 1000 + col AS label FROM free WHERE (col * 7 + "row" * 13) % 97 = 0),
-  w(map_id, col, "row", label, k) AS (SELECT map_id, col, "row", label, 0 FROM seed
-    UNION ALL SELECT map_id, col, "row", min(label), any_value(k) + 1 FROM (SELECT f.map_id, f.col, f."row", w.label, w.k FROM w, {OFF4} JOIN free f ON f.map_id = w.map_id AND f.col = w.col + o.a AND f."row" = w."row" + o.b) WHERE k < 40 GROUP BY map_id, col, "row"),
-  b AS (SELECT map_id, col, "row", min(k) AS steps, arg_min(label, struct_pack(k := k, l := label)) AS label FROM w GROUP BY ALL)
-  SELECT f.map_id, f.col, f."row", steps::BIGINT AS steps, label FROM free f LEFT JOIN b USING (map_id, col, "row")""")
+  w(map_id, col, "row", label, k) USING KEY (map_id, col, "row") AS (SELECT map_id, col, "row", label, 0 FROM seed
+    UNION SELECT f.map_id, f.col, f."row", min(w.label), any_value(w.k) + 1 FROM w, {OFF4} JOIN free f ON f.map_id = w.map_id AND f.col = w.col + o.a AND f."row" = w."row" + o.b
+      LEFT JOIN recurring.w c ON c.map_id = f.map_id AND c.col = f.col AND c."row" = f."row" WHERE c.map_id IS NULL GROUP BY ALL)
+  SELECT f.map_id, f.col, f."row", k::BIGINT AS steps, label FROM free f LEFT JOIN w USING (map_id, col, "row")""")
 def cell_wavefront(spark, sf):
     return g.wavefront(seeds(spark, sf), free(spark, sf), tile=32).select("map_id", "col", "row", "steps", "label")
 
