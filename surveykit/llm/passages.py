@@ -89,23 +89,37 @@ def _runs(at: np.ndarray, gap: int) -> Iterator[np.ndarray]:
         yield from np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)
 
 
+def _in(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in the ascending ``known``, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
 def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = GAP) -> Iterator[tuple[int, int, int, int]]:
     """Spans (first and last shingle in ``a``, then in ``b``) of at least ``least`` shingles that are similar enough."""
     in_b, at_b = np.unique(b, return_index=True)
-    todo = list(_runs(np.flatnonzero(np.isin(a, in_b)), gap))
+    which, there = _in(in_b, a)
+    todo = [r for r in _runs(np.flatnonzero(there), gap) if r[-1] - r[0] + 1 >= least]
+    if not todo:
+        return
+    inverse = _in(in_b, b)[0]
     while todo:
         run = todo.pop()
         if run[-1] - run[0] + 1 < least:
             continue
-        own = np.unique(a[run[0] : run[-1] + 1])
-        best = max(_runs(np.flatnonzero(np.isin(b, own)), gap), key=lambda r: len(np.unique(b[r])))
-        other = np.unique(b[best[0] : best[-1] + 1])
-        both = len(np.intersect1d(own, other, assume_unique=True))
-        if 100 * both >= percent * (len(own) + len(other) - both):
+        shared = np.zeros(len(in_b), bool)
+        shared[which[run]] = True
+        best = max(_runs(np.flatnonzero(shared[inverse]), gap), key=lambda r: len(np.unique(inverse[r])))
+        theirs = np.zeros(len(in_b), bool)
+        theirs[inverse[best[0] : best[-1] + 1]] = True
+        both, mine = int((shared & theirs).sum()), int(shared.sum())
+        inside = a[run[0] : run[-1] + 1][~there[run[0] : run[-1] + 1]]
+        union = mine + len(np.unique(inside)) + int(theirs.sum()) - both
+        if 100 * both >= percent * union:
             yield int(run[0]), int(run[-1]), int(best[0]), int(best[-1])
             continue
         # two passages of b side by side in a, or loose ends: part where the partner jumps, else at the widest gap
-        jumps = np.abs(np.diff(at_b[np.searchsorted(in_b, a[run])])) + gap * np.diff(run)
+        jumps = np.abs(np.diff(at_b[which[run]])) + gap * np.diff(run)
         if len(jumps) and jumps.max() > gap + 1:
             cut = int(jumps.argmax()) + 1
             todo += [run[:cut], run[cut:]]
