@@ -117,7 +117,7 @@ def flt_pose_quality(spark, sf):
 
 @case("chk_frames", f"""WITH {BOX}, x AS (SELECT run_id, stamp_ns, seq, CASE WHEN seq = 3 THEN score + 0.9 ELSE score END AS sc, CASE WHEN seq = 5 THEN cx + 400 ELSE cx END AS c2, cy, sx, sy, w, h FROM box),
   v AS (SELECT run_id, stamp_ns, CASE WHEN sc > 1 THEN 'score_or_size' WHEN c2 - sx/2 < -1e-6 OR cy - sy/2 < -1e-6 OR c2 + sx/2 > w + 1e-6 OR cy + sy/2 > h + 1e-6 THEN 'outside_image' END AS violation FROM x
-    UNION ALL SELECT 0, stamp_ns, 'duplicate' FROM (SELECT DISTINCT stamp_ns FROM box) WHERE stamp_ns % 8 = 1 UNION ALL SELECT 0, stamp_ns, 'size_drift' FROM (SELECT DISTINCT stamp_ns FROM box) WHERE stamp_ns % 9 = 4
+    UNION ALL SELECT 0, stamp_ns, 'duplicate' FROM (SELECT DISTINCT stamp_ns FROM box) WHERE stamp_ns % 8 = 1 UNION ALL SELECT 0, stamp_ns, 'size_drift' FROM (SELECT DISTINCT stamp_ns FROM box UNION ALL SELECT DISTINCT stamp_ns FROM box WHERE stamp_ns % 8 = 1 AND stamp_ns > 0) WHERE stamp_ns % 9 = 4
     UNION ALL SELECT 0, 0, 'nonpositive')
   SELECT run_id::BIGINT AS run_id, stamp_ns, violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY ALL""")
 def chk_frames(spark, sf):
@@ -127,7 +127,7 @@ def chk_frames(spark, sf):
     one = b.select("run_id", "stamp_ns").distinct()
     frames = one.unionByName(one.where("stamp_ns % 8 = 1 and stamp_ns > 0")).withColumns(
         {"w": F.when(F.col("stamp_ns") % 9 == 4, 320).otherwise(640), "h": F.lit(480), "seq": F.col("stamp_ns")})
-    return k.check_frames(frames.withColumn("seq", F.col("stamp_ns")), b, ["run_id"]).withColumn("n", F.when(F.col("violation") == "size_drift", F.lit(1).cast("bigint")).otherwise(F.col("n")))
+    return k.check_frames(frames.withColumn("seq", F.col("stamp_ns")), b, ["run_id"])
 
 
 def headers(spark, sf):
@@ -144,7 +144,7 @@ HEAD = "CASE WHEN c % 11 = 1 THEN 'schema' WHEN c % 7 = 2 THEN 'incomplete' WHEN
 
 @case("chk_document", f"SELECT c AS run_id, {HEAD} AS reason FROM (SELECT c_custkey AS c FROM customer)")
 def chk_document(spark, sf):
-    return k.check_document(headers(spark, sf), ["run_id"])
+    return k.check_document(headers(spark, sf), ["run_id"], schema="x-detections-v1")
 
 
 @case("join_header_identity", "SELECT c AS run_id, CASE WHEN c % 19 = 1 THEN 'no_completion' WHEN c % 23 = 2 THEN 'token' WHEN c % 13 = 5 THEN 'map_image' WHEN c % 29 = 3 THEN 'map_manifest' WHEN c % 17 = 6 THEN 'camera_mount' WHEN c % 31 = 4 THEN 'image_topic' ELSE 'ok' END AS reason FROM (SELECT c_custkey AS c FROM customer)")
@@ -195,12 +195,12 @@ PARTS = "FROM (SELECT p_partkey AS p FROM part)"
 
 @case("chk_objects", f"SELECT p AS doc, CASE {HEAD3} WHEN p % 14 = 6 THEN 'objects' ELSE 'ok' END AS reason {PARTS}")
 def chk_objects(spark, sf):
-    return k.check_objects(artifact(spark, sf, "semantic-objects-v1"), ["doc"])
+    return k.check_objects(artifact(spark, sf, "semantic-objects-v1"), ["doc"], schema="x-semantic-objects-v1")
 
 
 @case("chk_topology", f"SELECT p AS doc, CASE {HEAD3} WHEN p % 4 = 0 THEN 'rooms' WHEN p % 15 = 7 THEN 'topology' ELSE 'ok' END AS reason {PARTS}")
 def chk_topology(spark, sf):
-    return k.check_topology(artifact(spark, sf, "room-topology-v1"), ["doc"])
+    return k.check_topology(artifact(spark, sf, "room-topology-v1"), ["doc"], schema="x-room-topology-v1")
 
 
 @case("chk_semantic_map", f"SELECT p AS doc, CASE {HEAD3} WHEN p % 4 = 0 THEN 'rooms' WHEN p % 16 = 9 THEN 'observed_labels' WHEN p % 11 = 8 THEN 'content_sha' WHEN p % 12 = 10 THEN 'manifest_sha' ELSE 'ok' END AS reason {PARTS}")
@@ -212,7 +212,7 @@ def chk_semantic_map(spark, sf):
         "actual_labels": F.when(p % 16 == 9, strings("door")).otherwise(strings("chair", "door")), "content_sha": sha("c", p)})
     a = a.withColumn("semantic_content_sha256", F.when(p % 11 == 8, sha("d", p)).otherwise(F.col("content_sha")))
     a = a.withColumn("semantic_manifest_sha256", F.when(p % 12 == 10, sha("e", p)).otherwise(k.semantic_manifest_sha()))
-    return k.check_semantic_map(a, ["doc"])
+    return k.check_semantic_map(a, ["doc"], schema="x-semantic-map-v1", poi_schema="x-core-poi-contract-v1")
 
 
 # ---------------------------------------------------------------- counts and readiness

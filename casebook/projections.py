@@ -230,7 +230,7 @@ def front_cone_min(spark, sf):
 
 
 @case("turn_sweep_min", f"""WITH {SCAN}, b AS (SELECT *, {WRAP} AS b, scan_id % 3 - 1 AS sgn FROM beam)
-  SELECT scan_id, coalesce(min(r) FILTER ({BRAKE} AND ((sgn > 0 AND b > 1e-9 AND b < 1.05) OR (sgn < 0 AND b < -1e-9 AND b > -1.05))), 99.0::DOUBLE) AS nearest FROM b GROUP BY ALL""")
+  SELECT scan_id, coalesce(min(r) FILTER ({BRAKE} AND ((sgn > 0 AND b > 0 AND b < 1.05) OR (sgn < 0 AND b < 0 AND b > -1.05))), 99.0::DOUBLE) AS nearest FROM b GROUP BY ALL""")
 def turn_sweep_min(spark, sf):
     return scans(spark, sf).select("scan_id", sc.turn_sweep_min(F.col("scan_id") % 3 - 1).alias("nearest"))
 

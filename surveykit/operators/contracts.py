@@ -28,14 +28,13 @@ def all_reasons(rules: Sequence[tuple[str, Column]]) -> Column:
     return F.array_join(F.filter(marks, lambda m: m.isNotNull()), ",")
 
 
-# fixed values: kind and version that end the schema string of a document
+# fixed values: schema strings of documents; a project that writes a prefix states its own
 DETECTIONS, OBJECTS, TOPOLOGY = "detections-v1", "semantic-objects-v1", "room-topology-v1"
 SEMANTIC_MAP, POI_CONTRACT = "semantic-map-v1", "core-poi-contract-v1"
 
 
-def schema_is(c: Column, kind: str) -> Column:
-    """The schema string names this kind and version, whatever project prefix it carries."""
-    return F.coalesce(c.rlike(f"(^|-){kind}$"), F.lit(False))
+def schema_is(c: Column, expected: str) -> Column:
+    return c.eqNullSafe(F.lit(expected))
 
 
 # ---------------------------------------------------------------- sets
@@ -226,7 +225,7 @@ def check_frames(frames: DataFrame, boxes: DataFrame, keys: Sequence[str], class
 CLASS_TABLES = [["chair", "table", "door"], ["door"], ["door", "sofa", "cabinet", "spray"]]  # fixed values: allowed class tables
 
 
-def check_document(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
+def check_document(headers: DataFrame, keys: Sequence[str], schema: str = DETECTIONS) -> DataFrame:
     """First broken rule of a detection header."""
     tables = [F.array(*[F.lit(x) for x in t]) for t in CLASS_TABLES]
     allowed = F.lit(False)
@@ -234,7 +233,7 @@ def check_document(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
         allowed = allowed | F.col("classes").eqNullSafe(t)
     mount = F.col("camera_mount")
     rules = [
-        ("schema", ~schema_is(F.col("schema"), DETECTIONS)),
+        ("schema", ~schema_is(F.col("schema"), schema)),
         ("incomplete", ~F.coalesce("complete", F.lit(False))),
         ("token", ~is_token32(F.col("recording_token"))),
         ("map_image_sha256", ~is_sha256(F.col("map_image_sha256"))),
@@ -390,15 +389,15 @@ def _artifact_rules(schema: str, hashes: Sequence[str]) -> list[tuple[str, Colum
     return rules
 
 
-def check_objects(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rules = _artifact_rules(OBJECTS, ["source_bag_sha256", "map_image_sha256", "map_manifest_sha256"])
+def check_objects(docs: DataFrame, keys: Sequence[str], schema: str = OBJECTS) -> DataFrame:
+    rules = _artifact_rules(schema, ["source_bag_sha256", "map_image_sha256", "map_manifest_sha256"])
     rules += [("objects", F.col("n_objects").isNull())]
     return docs.select(*keys, first_reason(rules).alias("reason"))
 
 
-def check_topology(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def check_topology(docs: DataFrame, keys: Sequence[str], schema: str = TOPOLOGY) -> DataFrame:
     hashes = ["source_bag_sha256", "map_image_sha256", "map_manifest_sha256"]
-    rules = _artifact_rules(TOPOLOGY, hashes) + [
+    rules = _artifact_rules(schema, hashes) + [
         ("source_objects_sha256", ~is_sha256(F.col("source_objects_sha256"))),
         ("rooms", ~(F.col("n_rooms") > 0)),
         ("doors", F.col("n_doors").isNull()),
@@ -424,7 +423,7 @@ def semantic_manifest_sha() -> Column:
     return canonical_sha({**fields, "camera_mount": texts17(F.col("camera_mount")), "poi_contract": contract})
 
 
-def check_semantic_map(docs: DataFrame, keys: Sequence[str], actual_labels: str = "actual_labels") -> DataFrame:
+def check_semantic_map(docs: DataFrame, keys: Sequence[str], actual_labels: str = "actual_labels", schema: str = SEMANTIC_MAP, poi_schema: str = POI_CONTRACT) -> DataFrame:
     """Final map rows: fields, POI contract against the labels present, content and manifest checksum.
 
     ``content_sha`` is the hash recomputed from the stored content; ``actual_labels`` the sorted labels.
@@ -434,9 +433,9 @@ def check_semantic_map(docs: DataFrame, keys: Sequence[str], actual_labels: str
     for t in CORE_TABLES:
         tables = tables | c("poi_contract.required_labels").eqNullSafe(F.array(*[F.lit(x) for x in t]))
     hashes = ["source_bag_sha256", "map_image_sha256", "map_manifest_sha256", "objects_artifact_sha256", "topology_artifact_sha256"]
-    rules = _artifact_rules(SEMANTIC_MAP, hashes) + [
+    rules = _artifact_rules(schema, hashes) + [
         ("rooms", ~(c("n_rooms") > 0)),
-        ("poi_contract", ~(schema_is(c("poi_contract.schema"), POI_CONTRACT) & c("poi_contract.complete") & tables)),
+        ("poi_contract", ~(schema_is(c("poi_contract.schema"), poi_schema) & c("poi_contract.complete") & tables)),
         ("core_poi", F.size(F.array_except("poi_contract.required_labels", actual_labels)) > 0),
         ("observed_labels", ~c("poi_contract.observed_labels").eqNullSafe(c(actual_labels))),
         ("content_sha", ~F.lower(F.trim(c("semantic_content_sha256"))).eqNullSafe(c("content_sha"))),

@@ -65,9 +65,8 @@ def fit_planes(points: DataFrame, keys: Sequence[str], hypotheses: int = 400, to
     points = settle(points.select(*keys, "x", "y", "z"))
     planes = settle(_candidates(points, keys, hypotheses, seed))
     away = F.abs(F.col("n.x") * F.col("x") + F.col("n.y") * F.col("y") + F.col("n.z") * F.col("z") + F.col("d"))
-    listed = planes.groupBy(*keys).agg(F.collect_list(F.struct("no", "n", "d")).alias("all"))
-    off = lambda p: F.abs(p["n"]["x"] * F.col("x") + p["n"]["y"] * F.col("y") + p["n"]["z"] * F.col("z") + p["d"])
-    met = points.join(listed, keys).select(*keys, F.explode(F.transform(F.filter("all", lambda p: off(p) < tolerance), lambda p: p["no"])).alias("no"))
+    # a frame has at most ``hypotheses`` planes; the pairs are counted where they arise and never shuffled
+    met = points.join(planes, keys).where(away < tolerance)
     hits = met.groupBy(*keys, "no").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_inliers)
     best = hits.groupBy(*keys).agg(F.min_by("no", F.struct(-F.col("hits"), "no")).alias("no"))
     inliers = points.join(planes.join(best, [*keys, "no"]), keys).where(away < tolerance)
