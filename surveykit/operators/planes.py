@@ -26,16 +26,18 @@ def _candidates(points: DataFrame, keys: list[str], hypotheses: int, seed: int)
     """``keys, no, n, d``: believable planes through three drawn points of the frame, facing up (y negative)."""
     drawn = seeded_cap(points, keys, ["x", "y", "z"], DRAWN, seed).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("p"))
     turn = lambda k: F.get("p", F.pmod(F.xxhash64("no", F.lit(seed), F.lit(k)), F.size("p")).cast("int"))
-    triples = drawn.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1)))).select(*keys, "no", *(turn(k).alias(c) for k, c in enumerate("abc")))
+    numbered = drawn.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    triples = settle(numbered.select(*keys, "no", *(turn(k).alias(c) for k, c in enumerate("abc"))))
     u = {c: F.col("b")[c] - F.col("a")[c] for c in "xyz"}
     v = {c: F.col("c")[c] - F.col("a")[c] for c in "xyz"}
     cross = {"x": u["y"] * v["z"] - u["z"] * v["y"], "y": u["z"] * v["x"] - u["x"] * v["z"], "z": u["x"] * v["y"] - u["y"] * v["x"]}
     size = F.sqrt(sum((c * c for c in cross.values()), F.lit(0.0)))
-    sized = triples.select(*keys, "no", "a", *(c.alias(f"c{k}") for k, c in cross.items()), size.alias("size")).where("size > 1e-9")
-    up = F.when(F.col("cy") > 0, -F.col("size")).otherwise(F.col("size"))
+    sized = settle(triples.select(*keys, "no", "a", *(c.alias(f"c{k}") for k, c in cross.items()), size.alias("size")))
+    # points on one line span no plane
+    up = F.when(F.col("size") > 1e-9, F.when(F.col("cy") > 0, -F.col("size")).otherwise(F.col("size")))
     facing = sized.select(*keys, "no", "a", F.struct(*((F.col(f"c{k}") / up).alias(k) for k in "xyz")).alias("n"))
     planes = facing.withColumn("d", -(F.col("n.x") * F.col("a.x") + F.col("n.y") * F.col("a.y") + F.col("n.z") * F.col("a.z")))
-    return planes.where(believable(F.col("n"), F.col("d"))).select(*keys, "no", "n", "d")
+    return planes.where(F.col("d").isNotNull()).where(believable(F.col("n"), F.col("d"))).select(*keys, "no", "n", "d")
 
 
 def _refitted(keys: list[str]):
