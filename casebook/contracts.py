@@ -230,13 +230,13 @@ def chk_bag_counts(spark, sf):
 
 @case("chk_ready", """WITH e AS (SELECT DISTINCT o_custkey AS run_id, o_orderkey AS s FROM orders), d AS (SELECT DISTINCT run_id, s FROM e JOIN lineitem ON l_orderkey = s), y AS (SELECT DISTINCT run_id, s FROM e JOIN lineitem ON l_orderkey = s WHERE l_linenumber > 1),
   g AS (SELECT run_id, count(*) AS n, count(*) FILTER ((run_id, s) NOT IN (SELECT run_id, s FROM d)) AS md, count(*) FILTER ((run_id, s) NOT IN (SELECT run_id, s FROM y)) AS ms FROM e GROUP BY ALL)
-  SELECT run_id, CASE WHEN run_id % 17 = 1 THEN 'INVALID:drops' WHEN md > 0 THEN 'NOT_READY:missing_detections' WHEN ms > 1 THEN 'NOT_READY:missing_sync' WHEN run_id % 13 = 2 THEN 'INVALID:duplicates' WHEN run_id % 11 = 3 THEN 'NOT_READY:inflight' WHEN run_id % 7 = 4 THEN 'NOT_READY:quiet' ELSE 'READY' END AS state FROM g WHERE n > 1""")
+  SELECT run_id, CASE WHEN n <= 1 THEN 'INVALID:budget' WHEN run_id % 17 = 1 THEN 'INVALID:drops' WHEN md > 0 THEN 'NOT_READY:missing_detections' WHEN ms > 1 THEN 'NOT_READY:missing_sync' WHEN run_id % 13 = 2 THEN 'INVALID:duplicates' WHEN run_id % 11 = 3 THEN 'NOT_READY:inflight' WHEN run_id % 7 = 4 THEN 'NOT_READY:quiet' ELSE 'READY' END AS state FROM g""")
 def chk_ready(spark, sf):
     e = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("stamp_ns"))
     l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stamp_ns"), "l_linenumber")
     det = e.join(l.select("stamp_ns").distinct(), "stamp_ns").select("run_id", "stamp_ns")
     syn = e.join(l.where("l_linenumber > 1").select("stamp_ns").distinct(), "stamp_ns").select("run_id", "stamp_ns")
-    n = e.groupBy("run_id").agg(F.count("*").alias("expected_n")).where("expected_n > 1")
+    n = e.groupBy("run_id").agg(F.count("*").alias("expected_n"))
     seen = syn.groupBy("run_id").agg(F.count("*").alias("sync_rx"))
     c = F.col("run_id")
     runs = n.join(seen, "run_id", "left").withColumns({

@@ -11,13 +11,13 @@ from surveykit.operators import fusion as fu, layers as ly, spatial as sp
 from surveykit.operators.grid import cells as g
 
 
-@case("agg_roi_depth", """WITH s AS (SELECT l_suppkey AS box_id, l_quantity / 10.0 AS z FROM lineitem WHERE l_linenumber % 3 = l_suppkey % 3 OR l_quantity < 5), e AS (SELECT box_id, min(z) AS lo, max(z) AS hi FROM s GROUP BY ALL),
+@case("agg_roi_depth", """WITH s AS (SELECT l_suppkey AS box_id, l_quantity / 10.0 AS z FROM lineitem), e AS (SELECT box_id, min(z) AS lo, max(z) AS hi FROM s GROUP BY ALL),
   h AS (SELECT box_id, quantile_cont(z, 0.5) FILTER (z <= (lo + hi) * 0.5) AS nm, count(*) FILTER (z <= (lo + hi) * 0.5) AS nn, quantile_cont(z, 0.5) FILTER (z > (lo + hi) * 0.5) AS fm,
     count(*) AS n, quantile_cont(z, 0.25) AS a, quantile_cont(z, 0.5) AS b, quantile_cont(z, 0.75) AS c, any_value(hi - lo) AS span FROM s JOIN e USING (box_id) GROUP BY ALL),
   k AS (SELECT *, coalesce(span >= 2.4 AND fm - nm >= 2.4, false) AS bi FROM h), o AS (SELECT *, CASE WHEN bi THEN CASE WHEN nn >= 30 THEN nm END WHEN NOT c - a > 2.5 THEN b END AS z FROM k)
   SELECT box_id, n AS samples, round(CASE WHEN n >= 30 THEN z END, 6) AS depth, CASE WHEN n < 30 THEN 'few_samples' WHEN z IS NULL THEN 'iqr_or_gap' ELSE 'ok' END AS reason FROM o""")
 def agg_roi_depth(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_linenumber % 3 = l_suppkey % 3 or l_quantity < 5").select(F.col("l_suppkey").alias("box_id"), (F.col("l_quantity") / 10.0).alias("z"))
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("box_id"), (F.col("l_quantity") / 10.0).alias("z"))
     return fu.depth_by_group(s, ["box_id"], "z", 30, 2.5, 2.4).withColumn("depth", r("depth"))
 
 
@@ -170,14 +170,14 @@ def agg_vote_min_name(spark, sf):
     return ly.vote(c, ["n_regionkey"], "c_mktsegment")
 
 
-@case("agg_room_name", """WITH o AS (SELECT c_nationkey AS id, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Bedroom' WHEN 'MACHINERY' THEN 'Kitchen' END AS v FROM customer WHERE c_acctbal > 9700),
+@case("agg_room_name", """WITH o AS (SELECT c_nationkey AS id, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Bedroom' WHEN 'MACHINERY' THEN 'Kitchen' END AS v FROM customer),
   n AS (SELECT id, v, count(*) AS k FROM o WHERE v IS NOT NULL GROUP BY ALL), w AS (SELECT id, v FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, v) = 1),
   r AS (SELECT n_regionkey AS map_id, n_nationkey AS id, (n_nationkey * 37 % 23)::DOUBLE AS area_m2, v FROM nation LEFT JOIN w ON id = n_nationkey),
   a AS (SELECT *, coalesce(v, 'Room ' || chr((64 + row_number() OVER (PARTITION BY map_id, v IS NULL ORDER BY area_m2 DESC, id))::INTEGER)) AS nm FROM r)
   SELECT map_id, id, area_m2, CASE WHEN count(*) OVER (PARTITION BY map_id, nm) > 1 THEN nm || row_number() OVER (PARTITION BY map_id, nm ORDER BY id) ELSE nm END AS name FROM a""")
 def agg_room_name(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("map_id"), F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 37 % 23).cast("double").alias("area_m2"))
-    o = table(spark, sf, "customer").where("c_acctbal > 9700").select(F.col("c_nationkey").alias("id"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "bed").when(F.col("c_mktsegment") == "MACHINERY", "sink").alias("label"))
+    o = table(spark, sf, "customer").select(F.col("c_nationkey").alias("id"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "bed").when(F.col("c_mktsegment") == "MACHINERY", "sink").alias("label"))
     return ly.room_names(n, o.join(n.select("map_id", "id"), "id"), ["map_id"])
 
 
@@ -249,12 +249,12 @@ def flt_explored(spark, sf):
 
 
 @case("snk_zones", f"""WITH {CELLS}, z AS (SELECT map_id, col, "row", value, CAST(floor(col / 20) AS INTEGER) AS zone FROM cells), a AS (SELECT map_id, zone, round(count(*) * 0.05 * 0.05, 1)::DOUBLE AS area_m2 FROM z WHERE value = 0 GROUP BY ALL),
-  p AS (SELECT map_id, zone, string_agg(l, ',' ORDER BY l) AS poi_labels FROM (SELECT map_id, zone, 'row' || ("row" % 3) AS l FROM z WHERE value = 100 AND (col * 3 + "row" * 5) % 23 = 0) GROUP BY ALL)
+  p AS (SELECT map_id, zone, string_agg(l, ',' ORDER BY l) AS poi_labels FROM (SELECT map_id, zone, 'row' || ("row" % 3) AS l FROM z WHERE value = 100) GROUP BY ALL)
   SELECT map_id, zone, area_m2, coalesce(poi_labels, '') AS poi_labels, CASE zone WHEN 2 THEN 'Hall' ELSE 'Zone ' || (zone + 1) END AS name, CASE zone WHEN 2 THEN 'given name' ELSE 'segment identifier' END AS named_by FROM a LEFT JOIN p USING (map_id, zone)""")
 def snk_zones(spark, sf):
     z = cells(spark, sf).withColumn("zone", F.floor(F.col("col") / 20).cast("int"))
     anchors = z.where("value = 0").groupBy("map_id", "zone").agg(F.min("col").alias("label_col"))
-    p = z.where("value = 100 and (col * 3 + row * 5) % 23 = 0").withColumn("label", F.concat(F.lit("row"), (F.col("row") % 3).cast("string")))
+    p = z.where("value = 100").withColumn("label", F.concat(F.lit("row"), (F.col("row") % 3).cast("string")))
     names = z.where("zone = 2").select("map_id", "zone").distinct().withColumn("name", F.lit("Hall"))
     return ly.zone_table(z.where("value = 0"), anchors, p, names, ["map_id"], 0.05).drop("label_col")
 

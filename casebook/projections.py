@@ -246,10 +246,11 @@ def clearance_summary(spark, sf):
 
 
 def _quarter(centre: str) -> str:
-    return f"min(r) FILTER ({VALID} AND abs(atan2(sin(a - {centre}), cos(a - {centre}))) < {PI} / 4 - 1e-9)"
+    return f"min(r) FILTER ({VALID} AND abs(atan2(sin(a - {centre}), cos(a - {centre}))) < {PI} / 4)"
 
 
-@case("quadrant_min")
+@case("quadrant_min", f"""WITH {SCAN} SELECT scan_id, min(r) FILTER ({VALID}) AS min_m, degrees(arg_min(a, struct_pack(r := r, a := a)) FILTER ({VALID})) AS angle_deg,
+  {_quarter("0.0")} AS front, {_quarter(f"{PI} / 2")} AS "left", {_quarter(PI)} AS back, {_quarter(f"-{PI} / 2")} AS "right" FROM beam GROUP BY ALL""")
 def quadrant_min(spark, sf):
     return scans(spark, sf).select("scan_id", *[v.alias(n) for n, v in sc.quadrant_min().items()])
 
