@@ -64,10 +64,6 @@ def canonical_frame(c: Column) -> Column:
     return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^/+", "")
 
 
-def edge_key(parent: Column, child: Column) -> Column:
-    return F.struct(canonical_frame(parent).alias("parent"), canonical_frame(child).alias("child"))
-
-
 def csv_labels(c: Column) -> Column:
     parts = F.transform(F.split(c, ","), strip)
     return F.array_distinct(F.filter(parts, lambda p: p != ""))

@@ -78,27 +78,6 @@ def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], carry: Sequen
     return both.withColumn("match", F.when(fresh, F.col("before"))).drop("before", "after")
 
 
-def within(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    slop: int,
-    left_stamp: str,
-    right_stamp: str,
-) -> DataFrame:
-    """All pairs with ``|dt| <= slop``: equi join on time buckets, then the exact test.
-
-    The left side is copied to at most three buckets of width ``slop``, so candidates stay within a
-    factor three of the true pairs of a uniform stream.
-    """
-    w = F.lit(max(1, slop))
-    l = left.withColumn("_b", F.explode(F.sequence(
-        F.floor((F.col(left_stamp) - slop) / w), F.floor((F.col(left_stamp) + slop) / w))))
-    r = right.withColumn("_b", F.floor(F.col(right_stamp) / w))
-    near = F.abs(F.col(left_stamp) - F.col(right_stamp)) <= slop
-    return l.join(r, [*keys, "_b"]).where(near).drop("_b")
-
-
 def mutual_nearest(
     left: DataFrame, right: DataFrame, keys: Sequence[str], slop: int, width: int
 ) -> DataFrame:

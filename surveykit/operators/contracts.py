@@ -132,24 +132,6 @@ def state_chain(events: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFra
     ).withColumn("ok", F.col("reason") == "ok")
 
 
-def turn_chain(turns: DataFrame, keys: Sequence[str], opener: str, closer: str, known: Sequence[str]) -> DataFrame:
-    """The chain rule on any role sequence: known roles only, an opener, and no opener after the last closer."""
-    g = turns.groupBy(*keys).agg(
-        F.count_if(~F.col("state").isin(*known)).alias("n_unknown"),
-        F.count_if(F.col("state") == closer).alias("n_done"),
-        F.min(F.when(F.col("state") == opener, F.col("seq"))).alias("first_open"),
-        F.max(F.when(F.col("state") == opener, F.col("seq"))).alias("last_open"),
-        F.max(F.when(F.col("state") == closer, F.col("seq"))).alias("last_done"),
-    )
-    reason = (
-        F.when(F.col("n_unknown") > 0, "unknown_state")
-        .when(F.col("n_done") == 0, "completion_count")
-        .when(F.col("first_open").isNull() | (F.col("last_open") >= F.col("last_done")), "order")
-        .otherwise("ok")
-    )
-    return g.select(*keys, reason.alias("reason"))
-
-
 def edge_matches(tolerance: float = 1e-5, expected_child: str = "stereo_left_optical") -> Column:
     """Camera transform (parent, child, tx..qw) equals the sealed ``mount`` array of the run."""
     mount = F.col("mount")
@@ -293,10 +275,6 @@ def check_bag_counts(counts: DataFrame, required: DataFrame, keys: Sequence[str]
     return g.select(*keys, "short_topics", reason.alias("reason"))
 
 
-def unsynced_budget(n: Column, share: float = 0.05) -> Column:
-    return F.floor(n * share)
-
-
 def check_ready(runs: DataFrame, expected: DataFrame, detected: DataFrame, synced: DataFrame, keys: Sequence[str], quiet_s: float = 1.0) -> DataFrame:
     """Completeness barrier per run: INVALID, NOT_READY or READY with the first reason.
 
