@@ -142,3 +142,12 @@ def test_drift_resets_on_nonfinite_and_negative(spark):
     assert not any(flags([1.0, 1.05, float("nan"), 1.1, 1.15, 1.2]))
     assert not any(flags([1.0, 1.05, -1.0, 1.1, 1.15, 1.2]))
     assert not any(flags([1.0, 1.03, 1.06, 1.09, 1.12]))
+
+
+def test_scan_carries_state_under_a_null_key(spark):
+    stamps = [1, 5, 12, 25]
+    df = spark.createDataFrame([(k, t, t, 1.0) for k in ("a", None) for t in stamps], "run_id string, stamp_ns bigint, seq bigint, v double")
+    line = Timeline(("run_id",), ("stamp_ns", "seq"), 10)
+    got = scan(df, line, [Step("n", "count", F.col("v")), Step("before", "lag", F.col("stamp_ns"))]).orderBy("stamp_ns").collect()
+    for key in ("a", None):
+        assert [(r.n, r.before) for r in got if r.run_id == key] == [(1, None), (2, 1), (3, 5), (4, 12)]
