@@ -135,18 +135,21 @@ def prefix_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int)
     return docs.select("text").mapInArrow(run, "token long, cls long")
 
 
-def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """The rows of tokens that two classes have, once each, and of tokens with the same classes only one token's."""
+def shared_tokens(tokens: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of tokens that two classes have, once each, and of tokens with the same classes only one token's.
+
+    ``leader`` is the class of the tree's smallest document id: copies mostly resemble what came first.
+    """
     by = Window.partitionBy("token")
     kept = (
         tokens.withColumns({"lo": F.min("cls").over(by), "hi": F.max("cls").over(by), "prev": F.lag("cls").over(by.orderBy("cls"))})
         .where("lo <> hi AND (prev IS NULL OR prev <> cls)")
         .select("token", "cls")
     )
-    kept = settle(kept)
-    posting = kept.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls", F.lit(7))).alias("y"), F.min("cls").alias("leader"), F.max("cls").alias("hi"))
+    kept = settle(kept.join(of, "cls"))
+    posting = kept.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls", F.lit(7))).alias("y"), F.min_by("cls", F.struct("doc_id", "cls")).alias("leader"), F.max("cls").alias("hi"))
     one = posting.groupBy("sets", "x", "y", "leader", "hi").agg(F.min("token").alias("token")).select("token", "sets", "leader")
-    return settle(kept.join(one, "token"))
+    return settle(kept.drop("doc_id").join(one, "token"))
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
@@ -323,7 +326,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     parts = settle(described(docs, width))
     known = parts.where("seen IS NULL")
     of = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent))
+    shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent), of)
     signs = known.where("n > 0").join(of, ["cls", "doc_id"]).select("cls", "n", "bits").dropDuplicates(["cls"])
     signs = settle(signs.join(shared.select("cls").distinct(), "cls"))
     stars = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
