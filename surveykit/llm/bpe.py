@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 
 #: pieces and parts kept by a worker; past that a table starts anew, so a worker's memory has a bound
-KEPT = 1_000_000
+KEPT = 500_000
 #: rows whose texts are held as Python strings at a time
 ROWS = 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
