@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveykit.llm.bpe import encoded, public_vocabulary, slices
 from surveykit.llm.registry import query, table
-from surveykit.session import scratch_path, settle
+from surveykit.session import discard, scratch_path, settle
 
 MAGIC = b"RANKVB01"
 HEAD = np.dtype([("magic", "S8"), ("part", "<i8"), ("docs", "<i8"), ("ids", "<i8"), ("before", "<i8")])
@@ -68,25 +68,31 @@ def from_file(content: bytes) -> tuple[int, int, list[int | None], np.ndarray, n
     return int(head["part"]), int(head["before"]), [int(d) if t else None for d, t in zip(ids, there, strict=True)], counts, values
 
 
-def token_table(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """``doc_id, ids``: all ids of the text and the end id, as little-endian unsigned 32-bit integers."""
+def _narrow(ids: int) -> np.dtype:
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
+def token_table(docs: DataFrame, vocabulary: str, end: int, ids: int) -> DataFrame:
+    """``doc_id, ids``: all ids of the text and the end id, in as few bytes each as a vocabulary of ``ids`` needs."""
+    kind = _narrow(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = pa.array(encoded(batch.column("text").to_pylist(), vocabulary, end), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            held = (np.frombuffer(one, "<u4").astype(kind).tobytes() for one in encoded(batch.column("text").to_pylist(), vocabulary, end))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def frequency_ranks(tokens: DataFrame, ids: int) -> np.ndarray:
     """Ids by falling frequency in all documents, the smaller first on ties; as long as the vocabulary."""
+    kind = _narrow(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(ids, np.int64)
         for batch in batches:
             for one in batch.column("ids"):
-                seen += np.bincount(np.frombuffer(one.as_buffer(), "<u4"), minlength=ids)
+                seen += np.bincount(np.frombuffer(one.as_buffer(), kind), minlength=ids)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 
@@ -103,7 +109,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
     other. A file is written under a name of its own attempt and then renamed, so a repeated task leaves the same file.
     """
     spark = docs.sparkSession
-    tokens = settle(token_table(docs, vocabulary, end))
+    tokens, kind = settle(token_table(docs, vocabulary, end, ids)), _narrow(ids)
     by_rank = frequency_ranks(tokens, ids)
     spark.createDataFrame([(bytearray(by_rank.tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.empty(ids, "<u4")
@@ -119,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
 
         def flush() -> tuple[int, int]:
             name = f"{root}/part-{part:07d}-{number:07d}.rvb"
-            values = rank_of[np.frombuffer(b"".join(held), "<u4")]
+            values = rank_of[np.frombuffer(b"".join(held), kind)]
             with store.open_output_stream(f"{name}.{task.attemptNumber()}.{task.taskAttemptId()}.tmp") as out:
                 out.write(to_file(part, before, doc_ids, counts, values))
             store.move(f"{name}.{task.attemptNumber()}.{task.taskAttemptId()}.tmp", name)
@@ -129,7 +135,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
             for doc, one in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 doc_ids.append(doc)
                 held.append(one.as_py())
-                counts.append(len(held[-1]) // 4)
+                counts.append(len(held[-1]) // kind.itemsize)
                 running += counts[-1]
                 if running >= file_ids:
                     number, before = flush()
@@ -140,6 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
 
     ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     sizes = ordered.mapInArrow(run, "part long, ids long").collect()
+    discard(tokens)
     out = np.zeros(max((r.part for r in sizes), default=-1) + 1, np.int64)
     for row in sizes:
         out[row.part] = row.ids
