@@ -6,12 +6,14 @@ enough are the runs of equal minima of a window of that width, which numpy finds
 a compact window: from, to and the smallest hash. Windows that share it in two documents hold subsequences with equal
 min-hash; where windows of enough hash functions meet on a pair of documents, both are read and compared.
 
-A window is held against the first document that has its hash and against the one before its own in order of id, so
-a passage in g documents costs 2 g comparisons at most, not g**2. The partner with most windows of a document is read
-first; windows that its passages explain are done, the others' partners are read after that. A passage of ``WORDS``
-words shares at least one window per hash function with each of its copies. It stays unseen only if, for all but one
-function, an unrelated earlier document that happens to hold the window's one shingle stands first and another one
-stands in between.
+A window is first held against the first document that has its hash and the one before its own in order of id. The
+partner with most windows of a document is read first; windows that its passages explain are done, the others' partners
+are read after that. Most windows of copies end here, at 2 g comparisons for a passage in g documents.
+
+Windows that do not lie inside a passage found so far go on. Runs of ``LEAST`` shingles in them are compared by hash
+with those of all documents that share the windows' hashes of every function, so an exact repeat is found whatever other
+documents hold its smallest shingle. Windows still without a passage are held against every earlier document of their
+hash that shares a rare one of their shingles, as each passage of them does.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ ENOUGH = 2
 PERCENT = 75
 #: shingles without a partner that a passage may run over: two changed words next to each other
 GAP = 10
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,6 +88,17 @@ def window_rows(docs: DataFrame, hashes: int, words: int, width: int) -> DataFra
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key long, doc long, place long")
 
 
+def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` values, equal wherever the run stands."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    up, down = np.full(n, _STEP), np.full(n, _BACK)
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)])
+    return mixed((sums[width:] - sums[:-width]) * np.cumprod(down, dtype=np.uint64)[: n - width + 1])
+
+
 def _runs(at: np.ndarray, gap: int) -> Iterator[np.ndarray]:
     if len(at):
         yield from np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)
@@ -137,6 +152,129 @@ def _unexplained(first: int, last: int, spans: list[tuple[int, int]], least: int
     return last + 1 - at >= least
 
 
+def _with_spans(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``rows`` with the spans found in their document, ``cuts``, null where there is none."""
+    return rows.join(every.groupBy("doc").agg(F.collect_set(F.struct("p.s", "p.e")).alias("cuts")), "doc", "left")
+
+
+def _inside(first, last):
+    return F.coalesce(F.exists("cuts", lambda c: (c["s"] <= first) & (c["e"] >= last)), F.lit(False))
+
+
+def exact_repeats(shared: DataFrame, texts: DataFrame, every: DataFrame, width: int, least: int, hashes: int) -> DataFrame:
+    """``doc, to, p``: runs of ``least`` shingles and more that lie in no span of ``every`` and repeat word by word.
+
+    ``to`` is the first document with the run. A run's windows of all functions are open where it is, and shared with
+    each document that holds it; so only the places of documents are hashed that such windows of every function cover.
+    """
+    last = F.col("place").bitwiseAND(0x3FFFFFFF)
+    first = F.shiftright("place", 30).bitwiseAND(0x3FFFFFFF)
+    keys = _with_spans(shared.where("doc <> lead").select("key", "doc", "place"), every).where(~_inside(first, last)).select("key").distinct()
+    places = shared.join(keys, "key").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    places = places.where(F.size(F.array_distinct(F.transform("places", lambda x: F.shiftright(x, 60)))) == hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, docs, starts = [], [], []
+            for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
+                runs = run_hashes(shingles(split(text), width), least)
+                place = held.values.to_numpy()
+                met = np.zeros((hashes, len(runs) + 1), np.int32)
+                # a repeated id has windows of all its texts, the longest is read
+                place = place[(place & 0x3FFFFFFF) < len(runs) + least - 1]
+                np.add.at(met, (place >> 60, place >> 30 & 0x3FFFFFFF), 1)
+                np.add.at(met, (place >> 60, (place & 0x3FFFFFFF) - least + 2), -1)
+                at = np.flatnonzero((np.cumsum(met, axis=1) > 0).all(axis=0)[:-1])
+                keys.append(runs[at].view(np.int64))
+                docs.append(np.full(len(at), doc, np.int64))
+                starts.append(at)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, starts)], ["run", "doc", "at"])
+
+    runs = settle(places.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "places").mapInArrow(run, "run long, doc long, at long"))
+    heads = runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("h"), F.max("doc").alias("hi")).where("h.doc <> hi").select("run", F.col("h.doc").alias("to"), F.col("h.at").alias("from"))
+    met = _with_spans(runs.join(heads, "run").where("doc <> to"), every).where(~_inside(F.col("at"), F.col("at") + least - 1))
+    by = ["doc", "to", (F.col("from") - F.col("at")).alias("off")]
+    met = met.select(*by, "at").distinct().withColumn("isle", F.col("at") - F.row_number().over(Window.partitionBy("doc", "to", "off").orderBy("at")))
+    spans = met.groupBy("doc", "to", "off", "isle").agg(F.min("at").alias("s"), (F.max("at") + least - 1).alias("e"))
+    return settle(spans.select("doc", "to", F.struct("s", "e", (F.col("s") + F.col("off")).alias("s0"), (F.col("e") + F.col("off")).alias("e0")).alias("p")))
+
+
+def rarest(counts: np.ndarray, values: np.ndarray, least: int) -> np.ndarray:
+    """Places that are among the ``least // 2`` rarest of some ``least`` in a row.
+
+    A passage shares three quarters of its shingles, so somewhere in it more than half of ``least`` in a row, and one of
+    these places at least.
+    """
+    rank = np.empty(len(counts), np.int64)
+    rank[np.lexsort((values, counts))] = np.arange(len(counts))
+    chosen = np.zeros(len(counts), bool)
+    views = np.lib.stride_tricks.sliding_window_view(rank, least)
+    for k in range(0, len(views), 4096):
+        part = np.argpartition(views[k : k + 4096], least // 2 - 1, axis=1)[:, : least // 2]
+        chosen[(part + np.arange(k, k + len(part))[:, None]).ravel()] = True
+    return np.flatnonzero(chosen)
+
+
+def others_of_key(shared: DataFrame, texts: DataFrame, with_texts, every: DataFrame, verified, schema: str, width: int, least: int, enough: int) -> DataFrame:
+    """``doc, to, p``: passages of windows that no span of ``every`` explains, with any earlier document of their keys.
+
+    Of all documents of a key those are read that share a shingle with the window that is rare among them.
+    """
+    texts = texts.withColumnRenamed("doc_id", "doc")
+
+    def unexplained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, cuts = batch.column("place").to_pylist(), batch.column("cuts").to_pylist()
+            keep = [_unexplained(x >> 30 & 0x3FFFFFFF, x & 0x3FFFFFFF, [(c["s"], c["e"]) for c in cut or ()], least) for x, cut in zip(place, cuts, strict=True)]
+            yield batch.select(["key", "doc", "place"]).filter(pa.array(keep, pa.bool_()))
+
+    def every_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.unique(shingles(split(t), width)) for t in batch.column("text").to_pylist()]
+            docs = np.repeat(batch.column("doc").to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(docs)], ["sh", "to"])
+
+    def open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
+                own, there = shingles(split(text), width), held.values.to_numpy()
+                met = np.zeros(len(own), bool)
+                for x in np.unique(there & 0xFFFFFFFFFFFFFFF).tolist():
+                    met[x >> 30 : (x & 0x3FFFFFFF) + 1] = True
+                at = np.flatnonzero(met)
+                out.append((own[at].view(np.int64), np.full(len(at), doc, np.int64), at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc", "at"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for doc, held in zip(batch.column("doc").to_pylist(), batch.column("all"), strict=True):
+                at, n, sh = (held.values.field(c).to_numpy() for c in ("at", "n", "sh"))
+                by = np.argsort(at)
+                at, n, sh = at[by], n[by], sh[by]
+                got = [np.zeros(0, np.int64)]
+                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1):
+                    if len(run) >= least:
+                        got.append(run[rarest(n[run], sh[run], least)])
+                kept = np.concatenate(got)
+                found = np.unique(sh[kept[n[kept] > 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc, np.int64))], ["sh", "doc"])
+
+    open_ = settle(_with_spans(shared.where("doc <> lead").select("key", "doc", "place"), every).select("key", "doc", "place", "cuts").mapInArrow(unexplained, "key long, doc long, place long"))
+    holders = settle(shared.join(open_.select("key").distinct(), "key").select("key", F.col("doc").alias("to")).distinct())
+    places = open_.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    own = settle(places.join(texts, "doc").select("doc", "text", "places").mapInArrow(open_shingles, "sh long, doc long, at long"))
+    held = texts.join(holders.select(F.col("to").alias("doc")).distinct(), "doc").select("doc", "text").mapInArrow(every_shingle, "sh long, to long")
+    held = settle(held.join(own.select("sh").distinct(), "sh"))
+    ranked = own.join(held.groupBy("sh").agg(F.count("*").alias("n")), "sh").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "sh")).alias("all"))
+    near = ranked.mapInArrow(rare, "sh long, doc long").join(held, "sh").where("to < doc").select("doc", "to").distinct()
+    pairs = near.join(open_, "doc").join(holders, ["key", "to"]).groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws"))
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
+    return settle(with_texts(pairs).select("doc", "ws", "to", "x", "y").mapInArrow(verified, schema).select("doc", "to", F.explode("spans").alias("p")))
+
+
 def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """One row per passage of ``words`` words or more that an earlier document (by id) holds too.
 
@@ -152,7 +290,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
         window_rows(docs, hashes, words, width)
         .withColumns({"lead": F.min("doc").over(by), "hi": F.max("doc").over(by), "prev": F.max("doc").over(before)})
         .where("lead <> hi")
-        .select("doc", "place", "lead", "prev")
+        .select("key", "doc", "place", "lead", "prev")
     )
     needed = shared.select(F.col("doc").alias("doc_id")).distinct()
     texts = settle(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.char_length("text"), "text")).alias("text")))
@@ -194,7 +332,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     others = done.select("doc", F.explode("rest").alias("w")).groupBy("doc", F.col("w.to").alias("to")).agg(F.collect_list("w").alias("ws"))
     others = others.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
     also = with_texts(others).select(columns).mapInArrow(verified, schema)
-    every = done.select("doc", "to", F.explode("spans").alias("p")).unionByName(also.select("doc", "to", F.explode("spans").alias("p")))
+    span = F.explode("spans").alias("p")
+    every = settle(done.select("doc", "to", span).unionByName(also.select("doc", "to", span)))
+    every = every.unionByName(exact_repeats(shared, texts, every, width, least, hashes))
+    every = every.unionByName(others_of_key(shared, texts, with_texts, every, verified, schema, width, least, enough))
     edge = width - 1
     return every.select(
         F.col("doc").alias("doc_id"),

@@ -192,3 +192,30 @@ def test_embeddings_edges(spark):
     same = [(k, [1.0, 2.0, 3.0]) for k in range(5)] + [(9, [2.0, 4.0, 6.0]), (12, [-1.0, 0.0, 0.5])]
     got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.near_duplicates(vectors(spark, same)).collect()}
     assert got == {0: (5, 0), 1: (5, 0), 2: (5, 0), 3: (5, 0), 4: (5, 0), 9: (5, 0), 12: (0, 12)}
+
+
+def test_passages_behind_popular_runs(docs_of):
+    """Every older document holds a run of the passage, and documents between source and copy hold it too."""
+    r = random.Random(11)
+    run = words(r, 44, 10**6)
+    filler = lambda: words(r, 80, 10**6)
+    popular = lambda n: [" ".join([*filler(), *run, *filler()]) for _ in range(n)]
+    passages_ = [[*words(r, 8, 10**6), *run, *words(r, 8, 10**6)] for _ in range(12)]
+    near = [edited(r, p, 1) for p in passages_[6:]]
+    texts = popular(25) + [" ".join([*filler(), *p, *filler()]) for p in passages_] + popular(25)
+    at = len(texts)
+    texts += [" ".join([*filler(), *p, *filler()]) for p in passages_[:6] + near]
+    found = passages.repeated_passages(docs_of(texts)).collect()
+    exact = {(f.doc_id, f.source_doc_id): f for f in found}
+    for k in range(6):
+        f = exact[at + k, 25 + k]
+        assert texts[f.doc_id].split()[f.start : f.start + f.n_words] == passages_[k]
+    assert {f.doc_id for f in found} <= set(range(at, at + 12))
+
+
+def test_passages_of_two_sources_that_overlap(docs_of):
+    x = words(random.Random(3), 131, 10**6)
+    found = passages.repeated_passages(docs_of([" ".join(x[:100]), " ".join(x[60:]), " ".join(x)])).collect()
+    assert {(f.doc_id, f.source_doc_id, f.start, f.n_words) for f in found} >= {(2, 0, 0, 100)}
+    covered = {w for f in found if f.doc_id == 2 for w in range(f.start, f.start + f.n_words)}
+    assert covered == set(range(131))
