@@ -219,3 +219,19 @@ def test_passages_of_two_sources_that_overlap(docs_of):
     assert {(f.doc_id, f.source_doc_id, f.start, f.n_words) for f in found} >= {(2, 0, 0, 100)}
     covered = {w for f in found if f.doc_id == 2 for w in range(f.start, f.start + f.n_words)}
     assert covered == set(range(131))
+
+
+def test_embeddings_recall_by_band(spark):
+    """Pairs at a stated cosine from 0.90 up, 64 components, each vector with one partner."""
+    r = np.random.default_rng(8)
+    bands, n = (0.901, 0.92, 0.95, 0.98), 150
+    x = r.standard_normal((len(bands) * n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = np.repeat(bands, n)[:, None]
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z])
+    got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(vectors(spark, [(k, v.tolist()) for k, v in enumerate(both)])).collect()}
+    recall = [np.mean([got[k] > 0 for k in range(b * n, (b + 1) * n)]) for b in range(len(bands))]
+    assert min(recall) >= 0.99, recall
