@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["toxicity", "token_files", "mixing", "licences", "warc", "passages", "packing", "quality", "embeddings", "ngram_join", "token_counts", "whitening"]
+MODULES = ["toxicity", "token_files", "mixing", "licences", "warc", "passages", "packing", "quality", "embeddings", "ngram_join", "token_counts", "whitening", "spelling"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
