@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from casebook import case
 from casebook.motion import _DRIFT, _HEALTH, _LATCH, r
-from casebook.timejoins import SIDES
+from casebook.timejoins import SETS_SQL, SIDES, SLOP4, four_sided
 from casebook.views import DAY, HOUR, LOG, log
 from surveykit.session import scratch_path
 from surveykit.sources.sinks import batch_committer, commit_once, read_committed
-from surveykit.streaming import live as st
+from surveykit.streaming import live as st, timed
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 HOURS8 = 8 * HOUR
@@ -33,6 +33,31 @@ def drain(df, name, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
+def replay(spark, rows, name, end_ns, parts=6, jitter=2 * DAY):
+    """``rows`` as a stream of files out of order, one per trigger: a row comes up to ``jitter`` after later ones.
+
+    The last file holds one row of no run at ``end_ns``, which ends the recording.
+    """
+    path = scratch_path(spark, name)
+    came = F.col("stamp_ns") + F.pmod(F.xxhash64("seq"), F.lit(jitter))
+    ends = rows.agg(F.min("stamp_ns").alias("a"), F.max("stamp_ns").alias("b")).first()
+    wide = (ends.b + jitter - ends.a) // parts + 1
+    for k in range(parts):
+        here = rows.where(F.floor((came - ends.a) / wide) == k)
+        here.repartition(1).orderBy(F.xxhash64("seq", F.lit(1))).write.mode("append").parquet(path)
+    rows.limit(1).select(*[F.lit(end_ns(ends.b)).alias(c) if c == "stamp_ns" else F.lit(None).cast(t).alias(c) if c in ("run_id", "topic") else F.col(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drain_timed(df, name):
+    with timed.timer_store(df.sparkSession):
+        return drain(df, name)
+
+
+LAG = "3 days"
+later = lambda last: last + 40 * DAY
+
+
 def drain_all(df, name):
     """For aggregations: every group once, written by the complete output of the last batch."""
     spark = df.sparkSession
@@ -49,18 +74,24 @@ def sides(spark, sf):
     return [stream(spark, sf).where(F.col("topic") == t).select("run_id", "stamp_ns", "seq") for t in ("view", "click")]
 
 
-@case("st_sync_join", f"WITH {SIDES} SELECT l.run_id, l.seq AS left_seq, r.seq AS right_seq FROM l JOIN r ON l.run_id = r.run_id AND abs(l.stamp_ns - r.stamp_ns) <= {HOURS8}")
-def st_sync_join(spark, sf):
+@case("st_sync_pairs", f"WITH {SIDES} SELECT l.run_id, l.seq AS left_seq, r.seq AS right_seq FROM l JOIN r ON l.run_id = r.run_id AND abs(l.stamp_ns - r.stamp_ns) <= {HOURS8}")
+def st_sync_pairs(spark, sf):
     a, b = sides(spark, sf)
     return drain(st.sync_join(a, b, ["run_id"], HOURS8, "1 day"), "sync").select("run_id", "left_seq", "right_seq")
 
 
+@case("st_sync_join", SETS_SQL)
+def st_sync_join(spark, sf):
+    live = replay(spark, four_sided(spark, sf), "sets-in", later)
+    return drain_timed(timed.sync_sets(live, ["run_id"], "run_id bigint", SLOP4, LAG), "sets")
+
+
 @case("st_nearest_odom", f"""WITH {SIDES}, p AS (SELECT l.run_id, l.seq AS left_seq, r.seq AS right_seq, abs(l.stamp_ns - r.stamp_ns) AS d, r.stamp_ns AS rt FROM l JOIN r ON l.run_id = r.run_id AND abs(l.stamp_ns - r.stamp_ns) <= {HOURS8})
   SELECT run_id, left_seq, right_seq FROM p QUALIFY row_number() OVER (PARTITION BY left_seq ORDER BY d, rt) = 1""")
 def st_nearest_odom(spark, sf):
-    a, b = sides(spark, sf)
-    c = drain(st.nearest_cache(a, b, ["run_id"], HOURS8, "1 day"), "nearest")
-    return c.groupBy("run_id", "left_seq").agg(F.min_by("right_seq", F.struct("gap_ns", "right_ns")).alias("right_seq"))
+    live = replay(spark, log(spark, sf).select("run_id", "topic", "stamp_ns", "seq"), "nearest-in", later)
+    a, b = (live.where(F.col("topic").eqNullSafe(t) | F.col("topic").isNull()).select("run_id", "stamp_ns", "seq") for t in ("view", "click"))
+    return drain_timed(timed.nearest_live(a, b, ["run_id"], "run_id bigint", HOURS8, LAG), "nearest").where("run_id IS NOT NULL").select("run_id", "left_seq", "right_seq")
 
 
 @case("st_pair_health", f"""WITH {LOG}, s AS (SELECT run_id % 10 AS run_id, CAST(floor(stamp_ns / {DAY}) AS BIGINT) * {DAY // 1000} AS start_us, topic, value FROM log),
@@ -85,9 +116,29 @@ def st_stamp_cache(spark, sf):
     return drain(st.known_stamps(s, ["run_id"], DELAY), "stamps")
 
 
-@case("st_staleness", f"""WITH {LOG}, g AS (SELECT run_id, topic, stamp_ns, lag(stamp_ns) OVER (PARTITION BY run_id, topic ORDER BY stamp_ns, seq) AS p FROM log)
-  SELECT run_id, topic, arg_min(p, stamp_ns) AS last_ns, arg_min(stamp_ns - p, stamp_ns) AS gap_ns FROM g WHERE stamp_ns - p > {5 * DAY} GROUP BY ALL""")
+GRACE, SILENCE = 12 * DAY, 8 * DAY
+
+
+@case("st_staleness", f"""WITH {LOG}, e AS (SELECT max(stamp_ns) AS z FROM log), b AS (SELECT run_id, min(stamp_ns) AS began FROM log GROUP BY ALL),
+  k AS (SELECT run_id, began, topic FROM b, (SELECT DISTINCT topic FROM log)),
+  f AS (SELECT k.*, (SELECT min(stamp_ns) FROM log WHERE log.run_id = k.run_id AND log.topic = k.topic) AS first_ns FROM k),
+  g AS (SELECT run_id, topic, stamp_ns AS p, coalesce(lead(stamp_ns) OVER (PARTITION BY run_id, topic ORDER BY stamp_ns), z) AS n FROM log, e),
+  s AS (SELECT run_id, topic, min(p) AS last_ns FROM g WHERE n - p > {SILENCE} GROUP BY ALL),
+  m AS (SELECT run_id, topic, began + {GRACE} AS due_ns FROM f, e WHERE coalesce(first_ns, z) - began > {GRACE})
+  SELECT run_id, topic, 'missing' AS reason, NULL::BIGINT AS last_ns, due_ns FROM m
+  UNION ALL SELECT run_id, topic, 'stale', last_ns, last_ns + {SILENCE} FROM s ANTI JOIN m USING (run_id, topic)""")
 def st_staleness(spark, sf):
+    messages = log(spark, sf).select("run_id", "topic", "stamp_ns", "seq", F.lit(False).alias("start"))
+    began = messages.groupBy("run_id").agg(F.min("stamp_ns").alias("stamp_ns"), F.min("seq").alias("seq"))
+    topics = F.explode(F.array(*[F.lit(t) for t in ("signup", "error", "purchase", "view", "click")]))
+    starts = began.select("run_id", topics.alias("topic"), "stamp_ns", "seq", F.lit(True).alias("start"))
+    live = replay(spark, messages.unionByName(starts), "silent-in", lambda last: last + 3 * DAY)
+    return drain_timed(timed.silent_topics(live, ["run_id", "topic"], "run_id bigint, topic string", SILENCE, GRACE, LAG), "silent")
+
+
+@case("st_staleness_gaps", f"""WITH {LOG}, g AS (SELECT run_id, topic, stamp_ns, lag(stamp_ns) OVER (PARTITION BY run_id, topic ORDER BY stamp_ns, seq) AS p FROM log)
+  SELECT run_id, topic, arg_min(p, stamp_ns) AS last_ns, arg_min(stamp_ns - p, stamp_ns) AS gap_ns FROM g WHERE stamp_ns - p > {5 * DAY} GROUP BY ALL""")
+def st_staleness_gaps(spark, sf):
     return drain(st.staleness_latch(stream(spark, sf), ["run_id", "topic"], "run_id bigint, topic string", 5 * DAY), "stale")
 
 

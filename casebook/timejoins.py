@@ -67,13 +67,39 @@ def join_scan_fallback(spark, sf):
     return out.select("run_id", "seq", F.col("match.seq").alias("scan_seq"))
 
 
-@case("join_approx_sync", f"""WITH {SIDES}, p AS (SELECT l.run_id, l.seq AS ls, r.seq AS rs, l.stamp_ns AS lt, r.stamp_ns AS rt, abs(l.stamp_ns - r.stamp_ns) AS d,
+# one step of the walk takes the next message of each run; a side's waiting messages are a list, the newest at its end
+SLOP4 = 2 * DAY
+_NAMES4 = ["left", "right", "left_info", "right_info"]
+_TOPICS4 = ["view", "click", "purchase", "signup"]
+_FULL = " AND ".join(f"(m.side = {k} OR (len(w.h{k}) > 0 AND m.stamp_ns - w.h{k}[len(w.h{k})].t <= {SLOP4}))" for k in range(4))
+_NEXT = ", ".join(f"CASE WHEN {_FULL} THEN CASE WHEN m.side = {k} THEN w.h{k} ELSE w.h{k}[1:len(w.h{k}) - 1] END WHEN m.side = {k} THEN list_append(w.h{k}, {{'t': m.stamp_ns, 'q': m.seq}}) ELSE w.h{k} END" for k in range(4))
+_USED = ", ".join(f"CASE WHEN {_FULL} THEN CASE WHEN m.side = {k} THEN {{'t': m.stamp_ns, 'q': m.seq}} ELSE w.h{k}[len(w.h{k})] END END" for k in range(4))
+_NONE = "CAST([] AS STRUCT(t BIGINT, q BIGINT)[])"
+SETS_SQL = f"""WITH RECURSIVE {LOG}, m AS (SELECT run_id, list_position({_TOPICS4}, topic) - 1 AS side, stamp_ns, seq, row_number() OVER (PARTITION BY run_id ORDER BY stamp_ns, list_position({_TOPICS4}, topic), seq) AS i FROM log WHERE topic IN ({str(_TOPICS4)[1:-1]})),
+  walk(run_id, i, h0, h1, h2, h3, u0, u1, u2, u3) AS (
+    SELECT DISTINCT run_id, 0::BIGINT, {", ".join([_NONE] * 4)}, {", ".join(["NULL::STRUCT(t BIGINT, q BIGINT)"] * 4)} FROM m
+    UNION ALL SELECT w.run_id, m.i, {_NEXT}, {_USED} FROM walk w JOIN m ON m.run_id = w.run_id AND m.i = w.i + 1)
+  SELECT run_id, u0.t AS stamp_ns, {", ".join(f"u{k}.q AS {n}_seq" for k, n in enumerate(_NAMES4))}, greatest(u0.t, u1.t, u2.t, u3.t) - least(u0.t, u1.t, u2.t, u3.t) AS span_ns
+  FROM walk WHERE u0 IS NOT NULL"""
+
+
+def four_sided(spark, sf):
+    side = F.array_position(F.array(*[F.lit(t) for t in _TOPICS4]), F.col("topic")).cast("int") - 1
+    return log(spark, sf).where(F.col("topic").isin(_TOPICS4)).select("run_id", side.alias("side"), "stamp_ns", "seq")
+
+
+@case("join_approx_sync", SETS_SQL)
+def join_approx_sync(spark, sf):
+    return asof.approx_sync(four_sided(spark, sf), ["run_id"], SLOP4, WIDE)
+
+
+@case("join_mutual_nearest", f"""WITH {SIDES}, p AS (SELECT l.run_id, l.seq AS ls, r.seq AS rs, l.stamp_ns AS lt, r.stamp_ns AS rt, abs(l.stamp_ns - r.stamp_ns) AS d,
     CASE WHEN r.stamp_ns <= l.stamp_ns THEN 0 ELSE 1 END AS a1, CASE WHEN l.stamp_ns <= r.stamp_ns THEN 0 ELSE 1 END AS a2
     FROM l JOIN r ON l.run_id = r.run_id AND abs(l.stamp_ns - r.stamp_ns) <= {8 * HOUR}),
   f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY ls ORDER BY d, a1) = 1),
   g AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY rs ORDER BY d, a2) = 1)
   SELECT f.run_id, f.ls AS left_seq, f.lt AS stamp_ns, f.rs AS right_seq, f.rt AS right_stamp_ns FROM f JOIN g ON f.ls = g.ls AND f.rs = g.rs""")
-def join_approx_sync(spark, sf):
+def join_mutual_nearest(spark, sf):
     a, b = sides(spark, sf)
     return asof.mutual_nearest(a, b, ["run_id"], 8 * HOUR, WIDE)
 

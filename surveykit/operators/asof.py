@@ -6,7 +6,7 @@ scan, so cost is linear and no pair is built that the result does not hold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -134,6 +134,54 @@ def gate_one_to_one(stamps: DataFrame, keys: Sequence[str], gate: int, width: in
     )
 
 
+#: the streams of a synchronised set, by their number
+SIDES4 = ("left", "right", "left_info", "right_info")
+
+
+def span_sets(rows: Iterable[tuple[int, int, int]], held: list[list[tuple[int, int]]], slop: int) -> list[tuple]:
+    """Sets that ``rows`` (stamp, side, seq, in order) complete; ``held`` are the waiting messages by side, changed here.
+
+    A message makes a set with the newest waiting message of each other side, which is the set of smallest span that
+    holds it, if that span is at most ``slop``. Messages of a set are used up; others wait.
+    """
+    sets = []
+    for t, side, seq in rows:
+        others = [held[k][-1] if held[k] else None for k in range(len(held)) if k != side]
+        if all(o is not None and t - o[0] <= slop for o in others):
+            used = [(t, seq) if k == side else held[k].pop() for k in range(len(held))]
+            stamps = [u[0] for u in used]
+            sets.append((used[0][0], *[u[1] for u in used], max(stamps) - min(stamps)))
+            continue
+        held[side].append((t, seq))
+        if t - held[side][0][0] > slop:  # the oldest ones meet nobody any more
+            held[side][:] = [h for h in held[side] if t - h[0] <= slop]
+    return sets
+
+
+def approx_sync(messages: DataFrame, keys: Sequence[str], slop: int, width: int) -> DataFrame:
+    """Synchronised sets of four streams (``side`` 0 to 3: left, right and their infos): ``stamp_ns`` of the left
+    message, the four ``seq``, and ``span_ns``, at most ``slop``.
+
+    Messages count in the order of (stamp, side, seq), each is used once, and the message that completes a set decides
+    it, see ``span_sets``. Its memory reaches ``slop`` back, so buckets are folded in parallel.
+    """
+    keys = list(keys)
+    base = messages.groupBy(*keys).agg(F.min("stamp_ns").alias("_t0"))
+    rel = messages.select(*keys, "stamp_ns", F.col("side").cast("int").alias("side"), "seq").join(base, keys).withColumn("stamp_ns", F.col("stamp_ns") - F.col("_t0"))
+
+    def step(rows: list[tuple], state: list[float]) -> tuple[list[tuple], list[float]]:
+        held: list[list[tuple[int, int]]] = [[] for _ in SIDES4]
+        for at in range(0, len(state), 3):
+            held[int(state[at])].append((int(state[at + 1]), int(state[at + 2])))
+        sets = span_sets(rows, held, slop)
+        newest = rows[-1][0] if rows else 0
+        return sets, [float(v) for k, h in enumerate(held) for t, q in h if newest - t <= slop for v in (k, t, q)]
+
+    line = Timeline(tuple(keys), ("stamp_ns", "side", "seq"), width)
+    out = fold(rel, line, step, ["stamp_ns bigint", *[f"{s}_seq bigint" for s in SIDES4], "span_ns bigint"])
+    return out.join(base, keys).select(*keys, (F.col("stamp_ns") + F.col("_t0")).alias("stamp_ns"), *[f"{s}_seq" for s in SIDES4], "span_ns")
+
+
 def _sampler(step_ns: int):
     """Take a row when its time has come, then wait for one step."""
 
