@@ -33,7 +33,7 @@ def drain(df, name, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
-def replay(spark, rows, name, end_ns, parts=6, jitter=2 * DAY):
+def replay(spark, rows, name, end_ns, parts=4, jitter=2 * DAY):
     """``rows`` as a stream of files out of order, one per trigger: a row comes up to ``jitter`` after later ones.
 
     The last file holds one row of no run at ``end_ns``, which ends the recording.

@@ -112,43 +112,62 @@ class _Watch(_Woken):
             new = new.assign(start=new["start"].astype("int64"))
         ripe, waiting = _in_order(_held(self.waiting, ["stamp_ns", "start"]), new, passed, ["stamp_ns"])
         began, last, heard, failed = self.watch.get() if self.watch.exists() else (None, None, None, False)
-        starts, stamps = (ripe.loc[ripe["start"] == k, "stamp_ns"].to_numpy(np.int64) for k in (1, 0))
-        if began is None and len(starts):
-            began = int(starts[0])
-        if len(ripe):
-            heard = max(heard or 0, int(ripe["stamp_ns"].iloc[-1]))
-        found = None
-        if not failed:
-            # stamps that move on, behind the one that the topic is known by
-            known = stamps if last is None else np.concatenate([[last], stamps])
-            top = np.maximum.accumulate(known) if len(known) else known
-            due = began + self.grace if began is not None else NEVER
-            late_first = last is None and (int(top[0]) if len(top) else passed) > due and (not len(top) or top[0] >= began)
-            gaps = np.diff(top) > self.timeout
-            if late_first:
-                found = ("missing", None, due)
-            elif gaps.any():
-                before = int(top[np.flatnonzero(gaps)[0]])
-                found = ("stale", before, before + self.timeout)
-            elif len(top):
-                last = int(top[-1])
-                if passed - last > self.timeout:
-                    found = ("stale", last, last + self.timeout)
-            failed = found is not None
-        if not failed:
-            wake = last + self.timeout + _MS if last is not None else began + self.grace + _MS if began is not None else NEVER
-        else:
-            wake = NEVER if self.forget is None else (heard if heard is not None else passed) + self.forget
+        stamps, starts = (ripe[c].to_numpy(np.int64) for c in ("stamp_ns", "start"))
+        found = []
+        while True:
+            if failed:
+                rest = self._after_silence(heard, stamps, passed)
+                if rest is None:
+                    heard = int(max([heard, *stamps[-1:]]))
+                    break
+                stamps, starts = stamps[rest:], starts[rest:]
+                began, last, heard, failed = None, None, None, False
+            began, last, failure = self._judged(stamps, starts == 1, began, last, passed)
+            if failure is None:
+                break
+            found.append((*key, *failure))
+            failed, heard = True, began if failure[1] is None else failure[1]
+            later = stamps > heard
+            stamps, starts = stamps[later], starts[later]
         _keep(self.waiting, waiting)
-        if failed and self.forget is not None and wake < passed and not len(waiting):
-            self.watch.clear()
-            wake = NEVER
+        if failed:
+            wake = NEVER if self.forget is None else heard + self.forget + _MS
         else:
+            wake = last + self.timeout + _MS if last is not None else began + self.grace + _MS if began is not None else NEVER
+        if failed or began is not None or last is not None:
             self.watch.update((began, last, heard, failed))
+        elif self.watch.exists():
+            self.watch.clear()
         if len(waiting):
             wake = min(wake, int(waiting["stamp_ns"].min()))
-        rows = [] if found is None else [(*key, *found)]
-        return pd.DataFrame(rows, columns=[*self.keys, "reason", "last_ns", "due_ns"]).astype({"last_ns": "Int64", "due_ns": "Int64"}), wake
+        out = pd.DataFrame(found, columns=[*self.keys, "reason", "last_ns", "due_ns"])
+        return out.astype({"last_ns": "Int64", "due_ns": "Int64"}), wake
+
+    def _after_silence(self, heard: int, stamps: np.ndarray, passed: int) -> int | None:
+        """Where the rows after a silence of ``forget`` begin; none while the failure is remembered."""
+        if self.forget is None:
+            return None
+        known = np.concatenate([[heard], stamps])
+        quiet = np.flatnonzero(np.diff(known) > self.forget)
+        if len(quiet):
+            return int(quiet[0])
+        return len(stamps) if passed - known[-1] > self.forget else None
+
+    def _judged(self, stamps: np.ndarray, starts: np.ndarray, began: int | None, last: int | None, passed: int):
+        """Start, last stamp, and the failure that rows up to ``passed`` show, if any: (reason, last stamp, due stamp)."""
+        if began is None and starts.any():
+            began = int(stamps[starts][0])
+        stamps = stamps[~starts]
+        # stamps that move on, behind the one that the topic is known by
+        top = np.maximum.accumulate(stamps if last is None else np.concatenate([[last], stamps]))
+        if not len(top):
+            late = began is not None and passed - began > self.grace
+            return began, last, ("missing", None, began + self.grace) if late else None
+        if last is None and began is not None and top[0] - began > self.grace:
+            return began, last, ("missing", None, began + self.grace)
+        gaps = np.flatnonzero(np.diff(top, append=passed) > self.timeout)
+        last = int(top[gaps[0]] if len(gaps) else top[-1])
+        return began, last, ("stale", last, last + self.timeout) if len(gaps) else None
 
 
 def silent_topics(messages: DataFrame, keys: Sequence[str], key_ddl: str, timeout_ns: int, grace_ns: int, delay: str, forget_ns: int | None = None) -> DataFrame:
