@@ -60,7 +60,21 @@ def tracks(spark, sf):
     return fu.track_summary(members(spark, sf), ["run_id", "label", "part", "track"])
 
 
-@case("win_track_associate")
+# one step of the walk takes the next sighting of each run and label; tracks are a list in the order of opening
+_NEAR = "list_sort(list_transform(range(1, len(w.tracks) + 1), lambda k: {'d': sqrt((list_median(w.tracks[k].xs) - o.x) ** 2 + (list_median(w.tracks[k].ys) - o.y) ** 2), 'k': k}))[1]"
+ASSOCIATE_SQL = f"""WITH RECURSIVE {PTS}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY stamp_ns, seq) AS i FROM pts),
+  walk(run_id, label, i, seq, stamp_ns, tracks, track, part) AS (
+    SELECT DISTINCT run_id, label, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, CAST([] AS STRUCT(seq BIGINT, ns BIGINT, xs DOUBLE[], ys DOUBLE[], last BIGINT)[]), NULL::BIGINT, NULL::VARCHAR FROM o
+    UNION ALL SELECT run_id, label, i, seq, stamp_ns,
+      CASE WHEN k IS NULL THEN list_append(tracks, {{'seq': seq, 'ns': stamp_ns, 'xs': [x], 'ys': [y], 'last': stamp_ns}}) WHEN tracks[k].last = stamp_ns THEN tracks
+        ELSE list_transform(tracks, lambda t, j: CASE WHEN j = k THEN {{'seq': t.seq, 'ns': t.ns, 'xs': list_append(t.xs, x), 'ys': list_append(t.ys, y), 'last': stamp_ns}} ELSE t END) END,
+      CASE WHEN k IS NULL THEN seq WHEN tracks[k].last <> stamp_ns THEN tracks[k].seq END,
+      CAST(CASE WHEN k IS NULL THEN stamp_ns WHEN tracks[k].last <> stamp_ns THEN tracks[k].ns END AS VARCHAR)
+    FROM (SELECT o.run_id, o.label, o.i, o.seq, o.stamp_ns, o.x, o.y, w.tracks, CASE WHEN {_NEAR}.d <= 0.5 THEN {_NEAR}.k END AS k FROM walk w JOIN o ON o.run_id = w.run_id AND o.label = w.label AND o.i = w.i + 1))
+  SELECT run_id, label, part, track, stamp_ns, seq FROM walk WHERE track IS NOT NULL"""
+
+
+@case("win_track_associate", ASSOCIATE_SQL)
 def win_track_associate(spark, sf):
     return members(spark, sf).select("run_id", "label", "part", "track", "stamp_ns", "seq")
 

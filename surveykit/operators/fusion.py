@@ -12,24 +12,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surveykit.functions.geometry import hypot2, is_finite
 from surveykit.functions.scans import sorted_quantile
+from surveykit.operators.association import associate, radius_of  # noqa: F401
 from surveykit.operators.quantile import group_percentiles
 
-# fixed values: association radii by object size (m)
-SMALL_LABELS = ["cup", "bottle", "book", "mouse", "remote", "cell phone", "keyboard", "vase", "clock", "scissors", "bowl", "wine glass"]
-BIG_LABELS = ["couch", "bed", "refrigerator", "dining table", "table", "tv", "desk", "toilet", "door"]
-RADIUS_SMALL, RADIUS_BIG, RADIUS_DEFAULT = 0.35, 0.9, 0.5
 # fixed values: smallest distance between two points of one label (m)
 MIN_DIST = {"door": 1.0, "sofa": 1.0, "cabinet": 0.8, "spray": 0.6}
 MIN_DIST_DEFAULT = 0.8
 REASONS = ["ok", "roi_empty", "calib", "no_pos_d", "few_samples", "depth_gate", "iqr_or_gap", "bearing"]
 
 
-def radius_of(label: Column) -> Column:
-    return (
-        F.when(label.isin(*SMALL_LABELS), RADIUS_SMALL).when(label.isin(*BIG_LABELS), RADIUS_BIG).otherwise(RADIUS_DEFAULT)
-    )
-
-
 # ---------------------------------------------------------------- depth
 
 
@@ -295,36 +286,6 @@ def observe(tracks: list[_Track], x: float, y: float, stamp: int, radius: float)
     return fresh.no
 
 
-def associate(observations: DataFrame, keys: Sequence[str] = ("run_id", "label")) -> DataFrame:
-    """Online nearest-median association; adds ``part`` and ``track`` and drops same-stamp repeats.
-
-    Parts are independent, so they are the unit of distribution. Rows of a part arrive sorted and are
-    streamed: a task holds the tracks of the current part, never its rows.
-    """
-    keys = list(keys)
-    parted = axis_parts(observations.withColumn("_rad", radius_of(F.col("label"))), keys, F.col("_rad"))
-    cols = [*keys, "part", "stamp_ns", "seq", "cid", "x", "y", "_rad"]
-    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parted.select(*cols).repartition(parts, *keys, "part").sortWithinPartitions(*keys, "part", "stamp_ns", "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracks = None, []
-        for pdf in batches:
-            got = []
-            for row in pdf.itertuples(index=False, name=None):
-                group = row[: len(keys) + 1]
-                if group != current:
-                    current, tracks = group, []
-                stamp, _, _, x, y, rad = row[len(keys) + 1 :]
-                got.append(observe(tracks, x, y, stamp, rad))
-            out = pdf[cols[:-1]].copy()
-            out["track"] = pd.array(got, dtype="Int64")
-            yield out[out["track"].notna()]
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name != "_rad")
-    return ordered.mapInPandas(run, f"{ddl}, track bigint")
-
-
 def track_summary(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per track: hits, median x and y, and the root mean square of both offsets from the median."""
     keys = list(keys)

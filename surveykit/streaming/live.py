@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from surveykit.operators.fusion import _Track, observe, radius_of
+from surveykit.operators.association import radius_of
+from surveykit.operators.fusion import _Track, observe
 
 
 def event_time(ns: Column) -> Column:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from surveykit.functions import text
@@ -95,12 +96,13 @@ def slow_associate(obs, radius):
     return out
 
 
-def test_association_in_parts_equals_whole(spark):
+@pytest.mark.parametrize("tile", [1.0, 3.0, 1000.0])
+def test_association_in_tiles_equals_whole(spark, tile):
     r = random.Random(3)
     data = [(run, i // 3, i, "chair", 0, r.uniform(0, 9), r.uniform(0, 9)) for run in range(3) for i in range(120)]
     df = spark.createDataFrame(data, "run_id bigint, stamp_ns bigint, seq bigint, label string, cid int, x double, y double")
     got = {}
-    for row in fusion.associate(df).collect():
+    for row in fusion.associate(df, tile=tile).collect():
         got.setdefault((row.run_id, row.part, row.track), set()).add(row.seq)
     for run in range(3):
         groups = {}
@@ -110,6 +112,26 @@ def test_association_in_parts_equals_whole(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine))
 
 
+def test_association_follows_chains_over_borders(spark):
+    """A track that wanders over many tiles, ties between tracks, repeated rows and places that are not finite."""
+    r = random.Random(8)
+    line = [(i, i, i * 0.21, 0.0) for i in range(60)]
+    ties = [(100 + i, 100 + i, x, 50.0) for i, x in enumerate((0.0, 1.0, 0.5, 0.5, 0.5))]
+    crowd = [(200 + i // 2, 200 + i, r.gauss(20, 0.7), r.gauss(20, 0.7)) for i in range(150)]
+    data = [(1, t, q, "chair", 0, x, y) for t, q, x, y in line + ties + crowd]
+    odd = [(2, 5, 5, "chair", 0, 1.0, 1.0), (2, 5, 5, "chair", 0, 9.0, 1.0), (2, 6, 6, "chair", 0, float("nan"), 1.0), (2, 7, 7, "chair", 0, 9.1, 1.0)]
+    df = spark.createDataFrame(data + odd, "run_id bigint, stamp_ns bigint, seq bigint, label string, cid int, x double, y double")
+    want = slow_associate([(d[1], d[2], d[5], d[6]) for d in data], 0.5)
+    first = {}
+    for d in sorted(data):
+        if d[2] in want:
+            first.setdefault(want[d[2]], d[2])
+    got = fusion.associate(df, tile=1.5).collect()
+    assert {g.seq: g.track for g in got if g.run_id == 1} == {seq: first[no] for seq, no in want.items()}
+    assert sorted((g.seq, g.x, g.part, g.track) for g in got if g.run_id == 2 and g.seq != 6) == [(5, 1.0, "5", 5), (5, 9.0, "5.2", 5), (7, 9.1, "5.2", 5)]
+    assert [g.track for g in got if g.seq == 6 and g.run_id == 2] == [6]
+
+
 def tracks_of(spark, pts):
     data = [(0, i, i, "door", 0, float(x), float(y)) for i, (x, y) in enumerate(pts)]
     df = spark.createDataFrame(data, "run_id bigint, stamp_ns bigint, seq bigint, label string, cid int, x double, y double")
