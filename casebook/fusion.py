@@ -60,21 +60,24 @@ def tracks(spark, sf):
     return fu.track_summary(members(spark, sf), ["run_id", "label", "part", "track"])
 
 
-# one step of the walk takes the next sighting of each run and label; tracks are a list in the order of opening
-_NEAR = "list_sort(list_transform(range(1, len(w.tracks) + 1), lambda k: {'d': sqrt((list_median(w.tracks[k].xs) - o.x) ** 2 + (list_median(w.tracks[k].ys) - o.y) ** 2), 'k': k}))[1]"
-ASSOCIATE_SQL = f"""WITH RECURSIVE {PTS}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY stamp_ns, seq) AS i FROM pts),
-  walk(run_id, label, i, seq, stamp_ns, tracks, track, part) AS (
-    SELECT DISTINCT run_id, label, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, CAST([] AS STRUCT(seq BIGINT, ns BIGINT, xs DOUBLE[], ys DOUBLE[], last BIGINT)[]), NULL::BIGINT, NULL::VARCHAR FROM o
-    UNION ALL SELECT run_id, label, i, seq, stamp_ns,
+def associate_sql(sightings: str, radius: float, found: str) -> str:
+    """The plain loop over table ``o`` (``run_id, label, seq, stamp_ns, x, y``), ``found`` naming a track's columns.
+
+    One step of the walk takes the next sighting of each run and label; tracks are a list in the order of opening.
+    """
+    near = "list_sort(list_transform(range(1, len(w.tracks) + 1), lambda k: {'d': sqrt((list_median(w.tracks[k].xs) - o.x) ** 2 + (list_median(w.tracks[k].ys) - o.y) ** 2), 'k': k}))[1]"
+    return f"""WITH RECURSIVE {sightings}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY stamp_ns, seq) AS i FROM sightings),
+  walk(run_id, label, i, seq, stamp_ns, x, y, tracks, k) AS (
+    SELECT DISTINCT run_id, label, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, CAST([] AS STRUCT(seq BIGINT, ns BIGINT, xs DOUBLE[], ys DOUBLE[], last BIGINT)[]), NULL::BIGINT FROM o
+    UNION ALL SELECT run_id, label, i, seq, stamp_ns, x, y,
       CASE WHEN k IS NULL THEN list_append(tracks, {{'seq': seq, 'ns': stamp_ns, 'xs': [x], 'ys': [y], 'last': stamp_ns}}) WHEN tracks[k].last = stamp_ns THEN tracks
         ELSE list_transform(tracks, lambda t, j: CASE WHEN j = k THEN {{'seq': t.seq, 'ns': t.ns, 'xs': list_append(t.xs, x), 'ys': list_append(t.ys, y), 'last': stamp_ns}} ELSE t END) END,
-      CASE WHEN k IS NULL THEN seq WHEN tracks[k].last <> stamp_ns THEN tracks[k].seq END,
-      CAST(CASE WHEN k IS NULL THEN stamp_ns WHEN tracks[k].last <> stamp_ns THEN tracks[k].ns END AS VARCHAR)
-    FROM (SELECT o.run_id, o.label, o.i, o.seq, o.stamp_ns, o.x, o.y, w.tracks, CASE WHEN {_NEAR}.d <= 0.5 THEN {_NEAR}.k END AS k FROM walk w JOIN o ON o.run_id = w.run_id AND o.label = w.label AND o.i = w.i + 1))
-  SELECT run_id, label, part, track, stamp_ns, seq FROM walk WHERE track IS NOT NULL"""
+      CASE WHEN k IS NULL THEN len(tracks) + 1 WHEN tracks[k].last <> stamp_ns THEN k END
+    FROM (SELECT o.run_id, o.label, o.i, o.seq, o.stamp_ns, o.x, o.y, w.tracks, CASE WHEN {near}.d <= {radius} THEN {near}.k END AS k FROM walk w JOIN o ON o.run_id = w.run_id AND o.label = w.label AND o.i = w.i + 1))
+  SELECT run_id, label, {found}, stamp_ns, seq FROM walk WHERE k IS NOT NULL"""
 
 
-@case("win_track_associate", ASSOCIATE_SQL)
+@case("win_track_associate", associate_sql(PTS + ", sightings AS (SELECT * FROM pts)", 0.5, "CAST(tracks[k].ns AS VARCHAR) AS part, tracks[k].seq AS track"))
 def win_track_associate(spark, sf):
     return members(spark, sf).select("run_id", "label", "part", "track", "stamp_ns", "seq")
 
@@ -126,7 +129,27 @@ def poi(spark, sf):
     return p.select("run_id", "label", "cid", "x", "y", (F.col("seq") % 7 + 1).alias("hits"), (F.col("seq") % 3 / 10.0).alias("spread_m"), F.col("seq").alias("ord"))
 
 
-@case("win_poi_dedupe")
+def _to_mm(value: str) -> str:
+    """Rounded by the exact binary value, as text output does."""
+    return f"CAST(printf('%.3f', {value}) AS DOUBLE)"
+
+
+# one step of the walk merges the closest pair of each run and label; merged points go to the end of the list
+_OBJ = "STRUCT(cid INTEGER, x DOUBLE, y DOUBLE, hits BIGINT, spread DOUBLE, n BIGINT)"
+_CLOSEST = "list_sort(list_filter(flatten(list_transform(range(1, len(o) + 1), lambda i: list_transform(range(i + 1, len(o) + 1), lambda j: {'d': sqrt((o[i].x - o[j].x) ** 2 + (o[i].y - o[j].y) ** 2), 'i': i, 'j': j}))), lambda p: p.d < lim))[1]"
+DEDUPE_SQL = f"""WITH RECURSIVE {PTS}, g AS (SELECT run_id, label, CASE label WHEN 'class1' THEN 0.9::DOUBLE WHEN 'class2' THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS lim,
+    list(CAST({{'cid': cid, 'x': x, 'y': y, 'hits': seq % 7 + 1, 'spread': seq % 3 / 10.0::DOUBLE, 'n': 1}} AS {_OBJ}) ORDER BY seq) AS o FROM pts GROUP BY ALL),
+  walk(run_id, label, lim, o, p) AS (
+    SELECT run_id, label, lim, o, {_CLOSEST} FROM g
+    UNION ALL SELECT run_id, label, lim, o, {_CLOSEST} FROM (
+      SELECT run_id, label, lim, list_append(list_transform(list_filter(range(1, len(o) + 1), lambda k: k <> p.i AND k <> p.j), lambda k: o[k]), CAST({{
+        'cid': o[p.i].cid, 'x': {_to_mm("(o[p.i].x * o[p.i].hits + o[p.j].x * o[p.j].hits) / (o[p.i].hits + o[p.j].hits)")}, 'y': {_to_mm("(o[p.i].y * o[p.i].hits + o[p.j].y * o[p.j].hits) / (o[p.i].hits + o[p.j].hits)")},
+        'hits': o[p.i].hits + o[p.j].hits, 'spread': {_to_mm('greatest(o[p.i].spread, o[p.j].spread, p.d / 2.0)')}, 'n': o[p.i].n + o[p.j].n}} AS {_OBJ})) AS o
+      FROM walk WHERE p IS NOT NULL))
+  SELECT run_id, label, u.cid AS cid, u.x AS x, u.y AS y, u.hits AS hits, u.spread AS spread_m, u.n AS merged_from FROM (SELECT run_id, label, unnest(o) AS u FROM walk WHERE p IS NULL)"""
+
+
+@case("win_poi_dedupe", DEDUPE_SQL)
 def win_poi_dedupe(spark, sf):
     return fu.dedupe_points(poi(spark, sf), min_dist={"class1": 0.9, "class2": 0.3}, default=0.6)
 

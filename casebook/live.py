@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casebook import case
+from casebook.fusion import associate_sql
 from casebook.motion import _DRIFT, _HEALTH, _LATCH, r
 from casebook.timejoins import SETS_SQL, SIDES, SLOP4, four_sided
 from casebook.views import DAY, HOUR, LOG, log
@@ -153,7 +154,10 @@ def st_drift(spark, sf):
     return drain(st.drift_alarm(stream(spark, sf), ["run_id"], "run_id bigint"), "drift")
 
 
-@case("st_tracks")
+SIGHTINGS = LOG + ", sightings AS (SELECT run_id % 20 AS run_id, topic AS label, stamp_ns, seq, value / 100 AS x, 0.0::DOUBLE AS y FROM log)"
+
+
+@case("st_tracks", associate_sql(SIGHTINGS, 0.5, "CAST(k - 1 AS INTEGER) AS track, x, y"))
 def st_tracks(spark, sf):
     s = stream(spark, sf).select((F.col("run_id") % 20).alias("run_id"), F.col("topic").alias("label"), "stamp_ns", "seq", (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"))
     return drain(st.tracks(s), "tracks")
