@@ -20,6 +20,9 @@ AT = ("map_id", "col", "row")
 FOUR = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
+#: side of the tiles that components are labelled in
+TILE = 256
+
 # fixed values: class limits of the grid flavours (occupied at most / free at least, or exact)
 SCHEMES = {"segment": (50, 250), "plan": (100, 240)}
 
@@ -169,23 +172,60 @@ def row_runs(mask: DataFrame, keys: Sequence[str] = ("map_id",)) -> DataFrame:
     return a.withColumn("run", F.shiftleft(F.col("row").cast("bigint"), 32) + start.cast("bigint")).drop("_i")
 
 
-def components(mask: DataFrame, connect: int = 8, keys: Sequence[str] = ("map_id",)) -> DataFrame:
-    """Label connected cells: ``label`` is the smallest run id of the component.
+def _roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest vertex of each component of ``n`` vertices: roots are hooked under smaller ones, then paths are halved."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
+
+
+def _tile_labels(col: np.ndarray, row: np.ndarray, connect: int) -> np.ndarray:
+    """Smallest cell number of each cell's component inside one tile."""
+    cells, first, back = np.unique((row << 32) + col, return_index=True, return_inverse=True)
+    row, col = row[first], col[first]
+    at = np.full((row.max() - row.min() + 2, col.max() - col.min() + 3), -1)
+    r, c = row - row.min(), col - col.min() + 1
+    at[r, c] = np.arange(len(cells))
+    ends = [(at[r, c], at[r + dr, c + dc]) for dr, dc in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if connect == 8 else ()))]
+    a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+    return cells[_roots_of(len(cells), a[b >= 0], b[b >= 0])][back]
 
-    Rows are run-length coded first, so the graph has one vertex per run. Runs of adjacent rows meet
-    through the 64-column blocks they cover.
+
+def components(mask: DataFrame, connect: int = 8, keys: Sequence[str] = ("map_id",), tile: int = TILE) -> DataFrame:
+    """Label connected cells: ``label`` is the smallest ``(row << 32) + col`` of the component.
+
+    Tiles of ``tile`` x ``tile`` cells are labelled side by side, each in one task. Only labels that touch a tile's border
+    enter the graph, whose components are found by star contraction.
     """
     keys = list(keys)
-    tagged = settle(row_runs(mask, keys))
-    runs = tagged.groupBy(*keys, "row", "run").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    reach = 1 if connect == 8 else 0
-    blocks = F.explode(F.sequence(F.floor((F.col("a") - reach) / 64), F.floor((F.col("b") + reach) / 64)))
-    upper = runs.select(*keys, (F.col("row") - 1).alias("row"), F.col("run").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), blocks.alias("_k"))
-    lower = runs.select(*keys, "row", F.col("run").alias("l"), F.col("a").alias("la"), F.col("b").alias("lb"), F.explode(F.sequence(F.floor(F.col("a") / 64), F.floor(F.col("b") / 64))).alias("_k"))
-    touch = upper.join(lower, [*keys, "row", "_k"]).where((F.col("ua") - reach <= F.col("lb")) & (F.col("la") <= F.col("ub") + reach))
-    edges = touch.select(*keys, F.col("u").alias("a"), F.col("l").alias("b"))
-    roots = connected_components(edges, keys).select(*keys, F.col("id").alias("run"), "root")
-    return tagged.join(roots, [*keys, "run"], "left").select(*keys, "col", "row", F.coalesce("root", "run").alias("label"))
+    where = {"_tx": F.floor(F.col("col") / tile), "_ty": F.floor(F.col("row") / tile)}
+    cells = mask.select(*keys, "col", "row")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", label bigint"
+    names = cells.columns
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[names].assign(label=_tile_labels(pdf["col"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), connect))
+
+    tagged = settle(cells.withColumns(where).groupBy(*keys, "_tx", "_ty").applyInPandas(label, schema))
+    x, y = F.pmod(F.col("col"), F.lit(tile)), F.pmod(F.col("row"), F.lit(tile))
+    rim = tagged.where((x == 0) | (x == tile - 1) | (y == 0) | (y == tile - 1)).withColumns(where)
+    steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if connect == 8 else [])]
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("s")
+    ahead = rim.select(*keys, "col", "row", "_tx", "_ty", "label", step)
+    ahead = ahead.select(*keys, (F.col("col") + F.col("s.a")).alias("col"), (F.col("row") + F.col("s.b")).alias("row"), F.col("_tx").alias("_fx"), F.col("_ty").alias("_fy"), F.col("label").alias("a"))
+    ahead = ahead.where((F.floor(F.col("col") / tile) != F.col("_fx")) | (F.floor(F.col("row") / tile) != F.col("_fy")))
+    meets = ahead.join(rim.select(*keys, "col", "row", F.col("label").alias("b")), [*keys, "col", "row"]).select(*keys, "a", "b")
+    roots = connected_components(meets, keys).select(*keys, F.col("id").alias("label"), "root")
+    return tagged.join(roots, [*keys, "label"], "left").select(*keys, "col", "row", F.coalesce("root", "label").alias("label"))
 
 
 def component_sizes(labelled: DataFrame, keys: Sequence[str] = ("map_id",)) -> DataFrame:
@@ -221,76 +261,110 @@ def fill_holes(mask: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- distances
 
 
+def _nearest_on_line(t: np.ndarray, c: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """For each place ``t`` the source that minimises ``(t - c)^2 + cost``, the first in the given order of equal ones.
+
+    Sources ordered by place, the best one moves to the right with ``t``. So the middle place of a run of places cuts
+    the sources in two, and all runs of one depth are searched together: every depth looks at each source about once.
+    """
+    n = len(c)
+    order = np.lexsort((np.arange(n), c))
+    c, cost, rank = c[order], cost[order], order
+    places, back = np.unique(t, return_inverse=True)
+    best = np.empty(len(places), np.int64)
+    # runs of places [a, b) whose sources lie in [low, high]
+    a, b, low, high = (np.array([v]) for v in (0, len(places), 0, n - 1))
+    while len(a):
+        mid = (a + b) // 2
+        size = high - low + 1
+        starts = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(a)), size)
+        source = np.arange(size.sum()) - starts[run] + low[run]
+        d2 = (places[mid][run] - c[source]) ** 2 + cost[source]
+        top = np.minimum.reduceat(d2, starts)
+        tied = np.where(d2 == top[run], rank[source], n)
+        first = np.minimum.reduceat(tied, starts)
+        hit = np.flatnonzero(tied == first[run])
+        best[mid] = source[hit]
+        # equal sources: those left of the first of them can't win further right, nor the others further left
+        left, right = np.full(len(a), n), np.full(len(a), -1)
+        ties = np.flatnonzero(d2 == top[run])
+        np.minimum.at(left, run[ties], source[ties])
+        np.maximum.at(right, run[ties], source[ties])
+        a, b, low, high = (np.concatenate(p) for p in ((a, mid + 1), (mid, b), (low, left), (right, high)))
+        some = a < b
+        a, b, low, high = a[some], b[some], low[some], high[some]
+    return order[best[back]]
+
+
 def _row_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nearest obstacle of each wanted cell of one grid row, from the vertical distances."""
+    """Nearest source of each wanted cell of one grid row, from the vertical distances; ties: lower row, lower column."""
     src = pdf[pdf["o_row"].notna()]
     want = pdf[pdf["want"]]
     out = want[["map_id", "col", "row"]].copy()
-    if src.empty:
+    if src.empty or want.empty:
         out["o_col"], out["o_row"], out["d2"] = pd.NA, pd.NA, pd.NA
         return out.iloc[0:0]
-    c = src["col"].to_numpy(np.int64)
-    g = src["o_row"].to_numpy(np.int64) - src["row"].to_numpy(np.int64)
-    rows = src["o_row"].to_numpy(np.int64)
+    c, rows = src["col"].to_numpy(np.int64), src["o_row"].to_numpy(np.int64)
     order = np.lexsort((c, rows))
-    c, g, rows = c[order], g[order], rows[order]
-    t = want["col"].to_numpy(np.int64)
-    pick = np.empty(len(t), dtype=np.int64)
-    best = np.empty(len(t), dtype=np.int64)
-    for i in range(0, len(t), 256):
-        d2 = (t[i : i + 256, None] - c[None, :]) ** 2 + (g * g)[None, :]
-        j = d2.argmin(axis=1)
-        pick[i : i + 256], best[i : i + 256] = j, d2[np.arange(len(j)), j]
-    out["o_col"], out["o_row"], out["d2"] = c[pick], rows[pick], best
+    c, rows = c[order], rows[order]
+    t, cost = want["col"].to_numpy(np.int64), (rows - int(src["row"].iloc[0])) ** 2
+    pick = _nearest_on_line(t, c, cost)
+    out["o_col"], out["o_row"], out["d2"] = c[pick], rows[pick], (t - c[pick]) ** 2 + cost[pick]
     return out
 
 
-def distance(free: DataFrame, box: DataFrame | None = None) -> DataFrame:
-    """Exact distance (in cells) of each free cell to the nearest cell that is not free.
+def nearest_cells(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nearest source of each target cell: ``o_col, o_row, d2`` in cells; ties go to the lower row, then lower column.
 
-    The nearest obstacle always touches free space, so the rim around the mask stands for all
-    obstacles. First the nearest rim cell along the grid column, then the best of one grid row: both
-    groups are single lines of the raster. Ties go to the lower row, then the lower column.
+    First the nearest source along each grid column, for the lines that hold targets, then the best of one grid row: both
+    groups are single lines of the raster, and each is read once. Targets of a map without sources have no result.
     """
-    f = free.select(*AT)
-    rim = dilate(f, EIGHT, box).join(f, list(AT), "left_anti")
-    both = f.withColumn("want", F.lit(True)).unionByName(rim.withColumn("want", F.lit(False)))
+    lines = targets.select("map_id", "row").distinct().withColumn("_no", F.pmod(F.xxhash64("row"), F.lit(64)))
+    columns = sources.select("map_id", "col").distinct().withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    crossings = lines.join(columns, ["map_id", "_no"]).select(*AT, F.lit(False).alias("hit"))
+    return _by_lines(crossings.unionByName(sources.select(*AT, F.lit(True).alias("hit"))).withColumn("want", F.lit(False)), targets)
+
+
+def _by_lines(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Nearest ``hit`` cell of each ``want`` cell, and of ``targets``; a row's sources are the nearest hits of its cells."""
     w = W.partitionBy("map_id", "col").orderBy("row")
-    hit = F.when(~F.col("want"), F.col("row"))
+    hit = F.when(F.col("hit"), F.col("row"))
     low = F.last(hit, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     high = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    lines = both.withColumns({"_a": low, "_b": high})
+    lines = cells.withColumns({"_a": low, "_b": high})
     up = F.col("_b") - F.col("row")
     down = F.col("row") - F.col("_a")
     o_row = F.when(F.col("_b").isNull() | (down <= up), F.col("_a")).otherwise(F.col("_b"))
     lines = lines.select(*AT, "want", F.coalesce(o_row, "_b").alias("o_row"))
-    types = dict(free.select(*AT).dtypes)
-    schema = f"map_id {types['map_id']}, col int, row int, o_col int, o_row int, d2 bigint"
+    if targets is not None:
+        lines = lines.unionByName(targets.select(*AT, F.lit(True).alias("want"), F.lit(None).cast("int").alias("o_row")))
+    schema = f"map_id {dict(cells.dtypes)['map_id']}, col int, row int, o_col int, o_row int, d2 bigint"
     cast = lines.select("map_id", F.col("col").cast("int").alias("col"), F.col("row").cast("int").alias("row"), "want", F.col("o_row").cast("int").alias("o_row"))
-    near = cast.groupBy("map_id", "row").applyInPandas(_row_nearest, schema)
-    return near.withColumn("dist", F.sqrt(F.col("d2").cast("double")))
+    return cast.groupBy("map_id", "row").applyInPandas(_row_nearest, schema)
+
+
+def distance(free: DataFrame, box: DataFrame | None = None) -> DataFrame:
+    """Exact distance (in cells) of each free cell to the nearest cell that is not free.
+
+    The nearest obstacle always touches free space, so the rim around the mask stands for all obstacles, and the cells of
+    the mask and its rim stand for all crossings of columns and rows. Ties go to the lower row, then the lower column.
+    """
+    f = free.select(*AT)
+    rim = dilate(f, EIGHT, box).join(f, list(AT), "left_anti")
+    both = f.select(*AT, F.lit(True).alias("want"), F.lit(False).alias("hit")).unionByName(rim.select(*AT, F.lit(False).alias("want"), F.lit(True).alias("hit")))
+    return _by_lines(both).withColumn("dist", F.sqrt(F.col("d2").cast("double")))
 
 
-def fill_nearest(targets: DataFrame, labelled: DataFrame, start: int = 4) -> DataFrame:
+def fill_nearest(targets: DataFrame, labelled: DataFrame, start: int | None = None) -> DataFrame:
     """Give each target the label of the nearest labelled cell (ties: lower row, then lower column).
 
-    Bucketed radius join; the radius doubles for the targets that found nothing, so no distance is out
-    of reach and near ones stay cheap.
+    A labelled cell is its own nearest one. Targets of a map without labelled cells have no result. ``start`` was the
+    first radius of an earlier search and has no effect.
     """
-    from surveykit.operators.spatial import radius_join
-
-    left = settle(targets.select(*AT).join(labelled.select(*AT), list(AT), "left_anti"))
-    with_label = settle(labelled.select("map_id", "label", F.col("col").alias("tx"), F.col("row").alias("ty")))
-    left = left.join(with_label.select("map_id").distinct(), "map_id", "left_semi")
-    done = targets.select(*AT).join(labelled.select(*AT, "label"), list(AT))
-    radius = start
-    while not left.isEmpty():
-        near = radius_join(left, with_label, ["map_id"], float(radius), px="col", py="row")
-        got = settle(near.groupBy(*AT).agg(F.min_by("label", F.struct("d", "ty", "tx")).alias("label")))
-        done = done.unionByName(got)
-        left = settle(left.join(got, list(AT), "left_anti"))
-        radius *= 2
-    return done
+    near = nearest_cells(targets.select(*AT), labelled)
+    names = labelled.select("map_id", F.col("col").alias("o_col"), F.col("row").alias("o_row"), "label")
+    return near.join(names, ["map_id", "o_col", "o_row"]).select(*AT, "label")
 
 
 # ---------------------------------------------------------------- labels

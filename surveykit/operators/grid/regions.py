@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveykit.functions.geometry import hypot2
-from surveykit.operators.grid.cells import AT, EIGHT, FOUR, components, component_sizes, inside, spread
+from surveykit.operators.grid.cells import AT, EIGHT, FOUR, components, component_sizes, inside, nearest_cells, spread
 from surveykit.operators.spatial import _cells, radius_join
 from surveykit.session import discard, settle
 
@@ -375,18 +375,12 @@ def door_behind(doors: DataFrame, cells: DataFrame, keys: Sequence[str], res: fl
     )
 
 
-def mask_distance(points: DataFrame, mask: DataFrame, keys: Sequence[str], start: float = 8.0) -> DataFrame:
-    """Distance of each point (in cells) to the nearest mask cell; the search radius doubles until found."""
-    m = settle(mask.select("map_id", F.col("col").alias("tx"), F.col("row").alias("ty")))
-    left = settle(points.select("map_id", *keys, "col", "row").join(m.select("map_id").distinct(), "map_id", "left_semi"))
-    done, radius = None, start
-    while not left.isEmpty():
-        near = radius_join(left, m, ["map_id"], radius, px="col", py="row").groupBy("map_id", *keys).agg(F.min("d").alias("dist"))
-        near = settle(near)
-        done = near if done is None else done.unionByName(near)
-        left = settle(left.join(near, ["map_id", *keys], "left_anti"))
-        radius *= 2
-    return done if done is not None else points.select("map_id", *keys, F.lit(0.0).alias("dist")).where("false")
+def mask_distance(points: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distance of each point (whole ``col, row``) to the nearest mask cell, in cells; none on maps without a mask."""
+    if not {dict(points.dtypes)[c] for c in ("col", "row")} <= {"tinyint", "smallint", "int", "bigint"}:
+        raise ValueError("points are given by whole cells")
+    near = nearest_cells(points.select("map_id", "col", "row").distinct(), mask.select("map_id", "col", "row"))
+    return points.select("map_id", *keys, "col", "row").join(near, ["map_id", "col", "row"]).select("map_id", *keys, F.sqrt(F.col("d2").cast("double")).alias("dist"))
 
 
 def patch_cells(cells: DataFrame, patches: DataFrame) -> DataFrame:

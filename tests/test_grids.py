@@ -4,6 +4,7 @@ import math
 import random
 from collections import deque
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from surveykit.operators.grid import cells as g, regions as rg
@@ -38,10 +39,12 @@ def flood(cells, offsets):
 
 
 def test_components_match_flood(spark):
-    for offsets, connect in ((g.FOUR, 4), (g.EIGHT, 8)):
-        m = mask(connect)
+    for offsets, connect, tile in ((g.FOUR, 4, 256), (g.EIGHT, 8, 256), (g.FOUR, 4, 5), (g.EIGHT, 8, 7)):
+        m = {(c - 9, r - 4) for c, r in mask(connect)}
         got = {}
-        for r in g.components(frame(spark, m), connect).collect():
+        rows = g.components(frame(spark, m), connect, tile=tile).collect()
+        assert {(r.col, r.row): r.label for r in rows} == {p: (s[1] << 32) + s[0] for p, s in flood(m, offsets).items()}
+        for r in rows:
             got.setdefault(r.label, set()).add((r.col, r.row))
         want = {}
         for cell, root in flood(m, offsets).items():
@@ -49,6 +52,30 @@ def test_components_match_flood(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_snake_through_many_tiles_is_one_component(spark):
+    m = {(c, r) for r in range(0, 40, 2) for c in range(40)} | {(39 if r % 4 == 1 else 0, r) for r in range(1, 39, 2)}
+    assert {r.label for r in g.components(frame(spark, m), 4, tile=8).collect()} == {0}
+
+
+def test_nearest_cells_and_their_ties(spark):
+    r = random.Random(3)
+    for n in (1, 3, 12, 60):
+        sources = {(r.randrange(-12, 12), r.randrange(-12, 12)) for _ in range(n)}
+        targets = {(r.randrange(-30, 30), r.randrange(-30, 30)) for _ in range(80)} | set(list(sources)[:2])
+        got = {(x.col, x.row): (x.d2, x.o_row, x.o_col) for x in g.nearest_cells(frame(spark, targets), frame(spark, sources)).collect()}
+        assert got == {(c, q): min(((c - a) ** 2 + (q - b) ** 2, b, a) for a, b in sources) for c, q in targets}
+    assert g.nearest_cells(frame(spark, {(0, 0)}), frame(spark, {(1, 1)}, m=5)).count() == 0
+
+
+def test_line_search_picks_the_first_of_equal_sources():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 9, 200):
+        for spread in (3, 40):
+            c, cost, t = r.integers(-spread, spread, n), r.integers(0, 9, n) ** 2, r.integers(-60, 60, 50)
+            want = ((t[:, None] - c) ** 2 + cost).argmin(axis=1)
+            assert (g._nearest_on_line(t, c, cost) == want).all()
+
+
 def test_distance_and_its_obstacle(spark):
     m = mask(7, p=0.85)
     got = g.distance(frame(spark, m)).collect()
