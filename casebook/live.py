@@ -34,19 +34,21 @@ def drain(df, name, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
-def replay(spark, rows, name, end_ns, parts=4, jitter=2 * DAY):
+def replay(spark, rows, name, end_ns=None, parts=4, jitter=2 * DAY, shift=None):
     """``rows`` as a stream of files out of order, one per trigger: a row comes up to ``jitter`` after later ones.
 
-    The last file holds one row of no run at ``end_ns``, which ends the recording.
+    ``shift`` is by how much, from the row's seq. The last file holds one row of no run at ``end_ns``, which ends the
+    recording.
     """
     path = scratch_path(spark, name)
-    came = F.col("stamp_ns") + F.pmod(F.xxhash64("seq"), F.lit(jitter))
+    came = F.col("stamp_ns") + (F.pmod(F.xxhash64("seq"), F.lit(jitter)) if shift is None else shift)
     ends = rows.agg(F.min("stamp_ns").alias("a"), F.max("stamp_ns").alias("b")).first()
     wide = (ends.b + jitter - ends.a) // parts + 1
     for k in range(parts):
         here = rows.where(F.floor((came - ends.a) / wide) == k)
         here.repartition(1).orderBy(F.xxhash64("seq", F.lit(1))).write.mode("append").parquet(path)
-    rows.limit(1).select(*[F.lit(end_ns(ends.b)).alias(c) if c == "stamp_ns" else F.lit(None).cast(t).alias(c) if c in ("run_id", "topic") else F.col(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
+    if end_ns is not None:
+        rows.limit(1).select(*[F.lit(end_ns(ends.b)).alias(c) if c == "stamp_ns" else F.lit(None).cast(t).alias(c) if c in ("run_id", "topic") else F.col(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -111,6 +113,16 @@ def st_dup_guard(spark, sf):
     return drain_all(st.duplicate_guard(s, ["run_id"], DELAY), "dup")
 
 
+@case("st_provenance", f"""WITH {LOG}, s AS (SELECT run_id, topic, CAST(floor(stamp_ns / {6 * HOUR}) AS BIGINT) * {6 * HOUR} AS stamp_ns, seq FROM log)
+  SELECT d.run_id, d.stamp_ns, d.seq FROM s d SEMI JOIN (SELECT * FROM s WHERE topic = 'view') c ON d.run_id = c.run_id AND d.stamp_ns = c.stamp_ns WHERE d.topic = 'purchase'""")
+def st_provenance(spark, sf):
+    """Detections whose stamp the camera has published, files out of order."""
+    stamps = log(spark, sf).withColumn("stamp_ns", F.floor(F.col("stamp_ns") / (6 * HOUR)) * (6 * HOUR)).select("run_id", "topic", "stamp_ns", "seq")
+    s = replay(spark, stamps, "proof-in", later)
+    made, seen = (s.where(F.col("topic") == t).select("run_id", "stamp_ns", "seq") for t in ("purchase", "view"))
+    return drain(st.proven(made, seen, ["run_id"], LAG), "proof")
+
+
 @case("st_stamp_cache", f"WITH {LOG} SELECT DISTINCT run_id, CAST(floor(stamp_ns / {6 * HOUR}) AS BIGINT) AS stamp_ns FROM log")
 def st_stamp_cache(spark, sf):
     s = stream(spark, sf).withColumn("stamp_ns", F.floor(F.col("stamp_ns") / (6 * HOUR)))
@@ -170,6 +182,21 @@ def st_late(spark, sf):
     return drain(st.late_counter(s, ["run_id"], 10000), "late")
 
 
+LATE_SHIFT = "(seq * 7919 % 48) * 3600000000000"
+
+
+@case("st_late_rows", f"""WITH {LOG}, e AS (SELECT min(stamp_ns) AS a, max(stamp_ns) AS b FROM log),
+  c AS (SELECT run_id, stamp_ns, (stamp_ns + {LATE_SHIFT} - a) // ((b + {2 * DAY} - a) // 4 + 1) AS part FROM log, e),
+  p AS (SELECT run_id, part, max(stamp_ns) AS top FROM c GROUP BY ALL),
+  n AS (SELECT run_id, part, max(top) OVER (PARTITION BY run_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_ns FROM p)
+  SELECT run_id, newest_ns, count(*) AS late, max(newest_ns - stamp_ns) AS latest_slip_ns FROM c JOIN n USING (run_id, part) WHERE newest_ns - stamp_ns > {6 * HOUR} GROUP BY run_id, part, newest_ns""")
+def st_late_rows(spark, sf):
+    """Rows that come more than six hours behind their run, files out of order."""
+    rows = log(spark, sf).select("run_id", "stamp_ns", "seq")
+    live = replay(spark, rows, "late-in", shift=F.expr(LATE_SHIFT))
+    return drain(st.late_rows(live, ["run_id"], "run_id bigint", 6 * HOUR), "late-rows")
+
+
 @case("st_quiet_close", f"""WITH {LOG}, d AS (SELECT *, stamp_ns - lag(stamp_ns) OVER (PARTITION BY run_id ORDER BY stamp_ns) AS g FROM log), i AS (SELECT *, sum(CASE WHEN g IS NULL OR g >= {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY stamp_ns) AS s FROM d)
   SELECT run_id, (min(stamp_ns) // 1000)::BIGINT AS start_us, count(*) AS messages, max(stamp_ns) AS last_ns FROM i GROUP BY run_id, s""")
 def st_quiet_close(spark, sf):
@@ -180,7 +207,7 @@ def st_quiet_close(spark, sf):
 def st_commit_once(spark, sf):
     root, mark = scratch_path(spark, "commit"), scratch_path(spark, "commit-mark")
     s = stream(spark, sf).select("run_id", "seq", "value")
-    write = batch_committer(root, "run")
+    write = batch_committer(root, "survey-7")
 
     def twice(df, batch_id):
         write(df, batch_id)

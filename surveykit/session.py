@@ -32,10 +32,13 @@ def build_session(app: str = "surveykit", master: str | None = None, **extra: st
         settings.pop("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
-_SHIPPED: set[str] = set()
+#: packages sent, by application
+_SHIPPED: dict[str, set[str]] = {}
 
 
 def ship(spark: SparkSession, *packages: str) -> None:
@@ -44,18 +47,20 @@ def ship(spark: SparkSession, *packages: str) -> None:
     Spark copies the archive to each executor's own folder; the temporary file is only where the driver packs it.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    sent = _SHIPPED.setdefault(sc.applicationId, set())
+    new = {"surveykit", *packages} - sent
+    if not new:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "packages.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{'-'.join(sorted(new))}.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for package in ("surveykit", *packages):
+        for package in new:
             for folder, _, names in os.walk(os.path.join(top, package)):
                 for name in names:
                     if name.endswith(".py"):
                         out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
     sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+    sent |= new
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -73,6 +73,43 @@ def known_stamps(messages: DataFrame, keys: Sequence[str], delay: str) -> DataFr
     return stamped(messages, delay).dropDuplicatesWithinWatermark([*keys, "stamp_ns"]).select(*keys, "stamp_ns")
 
 
+def proven(rows: DataFrame, messages: DataFrame, keys: Sequence[str], delay: str) -> DataFrame:
+    """Rows whose stamp a message of the same key carries: a stream-stream semi join on the exact stamp.
+
+    Both watermarks bound the state; a stamp proves rows that come before and after it, as often as they come.
+    """
+    stamp = [*keys, "stamp_ns"]
+    left = stamped(rows, delay, out="l_ts")
+    right = stamped(messages, delay, out="r_ts").select(*[F.col(c).alias(f"r_{c}") for c in stamp], "r_ts")
+    same = F.expr("l_ts = r_ts")
+    for c in stamp:
+        same = same & (F.col(c) == F.col(f"r_{c}"))
+    return left.join(right, same, "left_semi").drop("l_ts")
+
+
+def late_rows(messages: DataFrame, keys: Sequence[str], key_ddl: str, allowed_ns: int) -> DataFrame:
+    """Counter of late rows: per key and micro-batch that has any, ``newest_ns`` before it, ``late`` and ``latest_slip_ns``.
+
+    A row is late when it lies more than ``allowed_ns`` behind the newest stamp of its key in earlier micro-batches. The
+    engine's watermark drops such rows without a trace; this side output sees the stream before it, and keeps one number
+    per key.
+    """
+
+    def run(key, batches, state: GroupState):
+        stamps = np.concatenate([b["stamp_ns"].to_numpy(np.int64) for b in batches])
+        newest = state.get[0] if state.exists else None
+        if newest is not None:
+            slip = newest - stamps
+            late = slip > allowed_ns
+            if late.any():
+                yield pd.DataFrame([(*key, newest, int(late.sum()), int(slip.max()))], columns=[*keys, "newest_ns", "late", "latest_slip_ns"])
+        state.update((int(stamps.max() if newest is None else max(newest, stamps.max())),))
+
+    return messages.groupBy(*keys).applyInPandasWithState(
+        run, f"{key_ddl}, newest_ns bigint, late bigint, latest_slip_ns bigint", "newest bigint", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def late_counter(messages: DataFrame, keys: Sequence[str], tolerance_ns: int) -> DataFrame:
     """Split by slip against the newest transform: used as is, replaced by the latest, or dropped."""
     slip = F.col("stamp_ns") - F.col("latest_tf_ns")
