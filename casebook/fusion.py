@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casebook import case
+from casebook.grids import DIST, FREE
 from casebook.motion import r
 from casebook.views import CELLS, LOG, PTS, VEC, cells, log, points, table, vectors
 from surveykit.operators import fusion as fu, layers as ly, spatial as sp
@@ -274,9 +275,15 @@ def walls(spark, sf):
     return d.select(F.col("map_id").alias("run_id"), (F.col("col") - 64).alias("col"), (F.col("row") - 64).alias("row"), (F.col("dist") * 0.1).alias("dist_m"))
 
 
-@case("join_edge_wall")
+@case("join_edge_wall", f"""WITH {FREE}, {DIST}, {ROOMS}, {EDGE}, wd AS (SELECT map_id AS run_id, col - 64 AS col, "row" - 64 AS "row", sqrt(d2::DOUBLE) * 0.1::DOUBLE AS dist_m FROM dist),
+  ends AS (SELECT run_id, min(col) AS c0, max(col) AS c1, min("row") AS r0, max("row") AS r1 FROM wd GROUP BY ALL),
+  s AS (SELECT e.*, 0.15::DOUBLE + i * (0.70::DOUBLE / 8) AS share FROM edges e, (SELECT unnest(range(0, 9)) AS i)),
+  q AS (SELECT s.*, greatest(c0, least(c1, CAST(round_even((ax + (bx - ax) * share) / 0.1::DOUBLE, 0) AS BIGINT))) AS col, greatest(r0, least(r1, CAST(round_even((ay + (b_y - ay) * share) / 0.1::DOUBLE, 0) AS BIGINT))) AS "row" FROM s JOIN ends USING (run_id)),
+  m AS (SELECT run_id, ord, edge_no, median(coalesce(dist_m, 'infinity'::DOUBLE)) < 0.3::DOUBLE AS real_, max(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) AS long_ FROM q LEFT JOIN wd USING (run_id, col, "row") GROUP BY ALL)
+  SELECT run_id, ord, count(*) AS edges, count(*) FILTER (real_) AS wall_edges, round(sum(CASE WHEN real_ THEN long_ ELSE 0 END) / sum(long_), 6) AS explored_frac FROM m GROUP BY ALL""")
 def join_edge_wall(spark, sf):
-    return ly.edge_walls(rooms(spark, sf), walls(spark, sf), ["run_id"], near=0.3, res=0.1)
+    out = ly.edge_walls(rooms(spark, sf), walls(spark, sf), ["run_id"], near=0.3, res=0.1)
+    return out.withColumn("explored_frac", r("explored_frac"))
 
 
 @case("flt_explored", "SELECT n_nationkey, CASE WHEN n_regionkey / 5.0 < 0.35 THEN 'unexplored' ELSE 'room' END AS status FROM nation")

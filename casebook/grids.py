@@ -223,14 +223,22 @@ def ridge_prune(spark, sf):
     return rg.ridge_prune(ridge(spark, sf), 3).select("map_id", "col", "row")
 
 
-@case("critical_points", f"""WITH {FREE}, {DIST}, {RIDGE}, rd AS (SELECT map_id, col, "row", sqrt(d2::DOUBLE) AS d FROM ridge JOIN dist USING (map_id, col, "row")),
-  m AS (SELECT a.map_id, a.col, a."row", a.d, min(b.d) AS lo, max(b.d) AS hi FROM rd a JOIN rd b ON a.map_id = b.map_id AND abs(a.col - b.col) <= 7 AND abs(a."row" - b."row") <= 7 GROUP BY ALL)
-  SELECT map_id, col, "row" FROM m WHERE d <= lo + 1e-6 AND d < hi - 1e-6 AND d <= 20""")
+CRITICAL = f"""{RIDGE}, rd AS (SELECT map_id, col, "row", sqrt(d2::DOUBLE) AS d FROM ridge JOIN dist USING (map_id, col, "row")),
+  m AS (SELECT a.map_id, a.col, a."row", a.d, min(b.d) AS lo, max(b.d) AS hi FROM rd a JOIN rd b ON a.map_id = b.map_id AND abs(a.col - b.col) <= 7 AND abs(a."row" - b."row") <= 7 GROUP BY ALL),
+  critical AS (SELECT map_id, col, "row" FROM m WHERE d <= lo + 1e-6 AND d < hi - 1e-6 AND d <= 20)"""
+
+
+@case("critical_points", f"WITH {FREE}, {DIST}, {CRITICAL} SELECT map_id, col, \"row\" FROM critical")
 def critical_points(spark, sf):
     return rg.critical_points(ridge(spark, sf), 7, 20.0).select("map_id", "col", "row")
 
 
-@case("critical_cut")
+@case("critical_cut", f"""WITH {FREE}, {DIST}, {CRITICAL}, p AS (SELECT c.map_id, c.col, c."row", o_col, o_row, CAST(floor(sqrt(d2::DOUBLE)) AS INTEGER) + 4 AS w FROM critical c JOIN dist USING (map_id, col, "row") WHERE o_col <> c.col OR o_row <> c."row"),
+  j AS (SELECT p.*, m.col AS c2, m."row" AS r2, o_col - p.col AS ac, o_row - p."row" AS ar, m.col - p.col AS bc, m."row" - p."row" AS br FROM p JOIN rim m ON m.map_id = p.map_id AND abs(m.col - p.col) <= w AND abs(m."row" - p."row") <= w),
+  k AS (SELECT * FROM j WHERE (ac * bc + ar * br) / (sqrt((ac * ac + ar * ar)::DOUBLE) * (sqrt((bc * bc + br * br)::DOUBLE) + 1e-9::DOUBLE)) < cos(radians(60.0::DOUBLE))),
+  s AS (SELECT map_id, o_col, o_row, c2, r2, abs(c2 - o_col) AS dc, abs(r2 - o_row) AS dr FROM k QUALIFY row_number() OVER (PARTITION BY map_id, col, "row" ORDER BY bc * bc + br * br, r2, c2) = 1),
+  l AS (SELECT *, CASE WHEN dc + dr = 0 THEN 0 ELSE (i * dc * 2 + dc + dr) // ((dc + dr) * 2) END AS c FROM (SELECT *, unnest(range(0, dc + dr + 1)) AS i FROM s))
+  SELECT DISTINCT map_id, CAST(o_col + sign(c2 - o_col) * c AS INTEGER) AS col, CAST(o_row + sign(r2 - o_row) * (i - c) AS INTEGER) AS "row" FROM l""")
 def critical_cut(spark, sf):
     f = free(spark, sf)
     rim = g.dilate(f, g.EIGHT).join(f, ["map_id", "col", "row"], "left_anti")
