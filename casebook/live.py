@@ -48,7 +48,7 @@ def replay(spark, rows, name, end_ns=None, parts=4, jitter=2 * DAY, shift=None):
         here = rows.where(F.floor((came - ends.a) / wide) == k)
         here.repartition(1).orderBy(F.xxhash64("seq", F.lit(1))).write.mode("append").parquet(path)
     if end_ns is not None:
-        rows.limit(1).select(*[F.lit(end_ns(ends.b)).alias(c) if c == "stamp_ns" else F.lit(None).cast(t).alias(c) if c in ("run_id", "topic") else F.col(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
+        rows.limit(1).select(*[F.lit(end_ns(ends.b)).alias(c) if c == "stamp_ns" else F.lit(None).cast(t).alias(c) if c in ("run_id", "topic", "label") else F.col(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -171,8 +171,9 @@ SIGHTINGS = LOG + ", sightings AS (SELECT run_id % 20 AS run_id, topic AS label,
 
 @case("st_tracks", associate_sql(SIGHTINGS, 0.5, "CAST(k - 1 AS INTEGER) AS track, x, y"))
 def st_tracks(spark, sf):
-    s = stream(spark, sf).select((F.col("run_id") % 20).alias("run_id"), F.col("topic").alias("label"), "stamp_ns", "seq", (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"))
-    return drain(st.tracks(s), "tracks")
+    rows = log(spark, sf).select((F.col("run_id") % 20).alias("run_id"), F.col("topic").alias("label"), "stamp_ns", "seq", (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"))
+    live = replay(spark, rows, "tracks-in", later)
+    return drain_timed(timed.live_tracks(live, ["run_id", "label"], "run_id bigint, label string", LAG), "tracks")
 
 
 @case("st_late", f"WITH {LOG} SELECT run_id, stamp_ns, CASE WHEN value < 20 THEN 'startup' WHEN value <= 250 THEN 'exact' WHEN value <= 350 THEN 'latest' ELSE 'stale' END AS tf_class FROM log")

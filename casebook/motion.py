@@ -315,7 +315,7 @@ def pitch_segment(spark, sf):
     )
 
 
-@case("sample_cap")
+@case("sample_cap", f"WITH {LOG} SELECT run_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY md5(concat_ws('|', 1, stamp_ns, seq)), stamp_ns, seq) <= 40")
 def sample_cap(spark, sf):
     from surveykit.operators.detections import seeded_cap
 

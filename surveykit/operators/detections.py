@@ -24,11 +24,11 @@ def piecewise(t: Column, segments: Sequence[tuple[float, float]]) -> Column:
 
 
 def seeded_cap(df: DataFrame, keys: Sequence[str], ident: Sequence[str], limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` rows per key, drawn by a seeded hash order.
+    """At most ``limit`` rows per key, the first in the order of the MD5 of seed and identity, ``seed|a|b``.
 
-    A first cut runs per salt, so a hot key is thinned in parallel before the exact cut.
+    A first cut runs per salt, so a hot key is thinned in parallel, and the exact cut sees 64 x ``limit`` rows at most.
     """
-    salted = df.withColumn("_h", F.xxhash64(F.lit(seed), *ident)).withColumn("_s", F.pmod("_h", F.lit(64)))
+    salted = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), *ident))).withColumn("_s", F.pmod(F.xxhash64("_h"), F.lit(64)))
     order = [F.col("_h"), *[F.col(c) for c in ident]]
     first = salted.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))).where(F.col("_r") <= limit)
     last = first.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= limit)

@@ -268,24 +268,6 @@ class _Track:
         self.last = stamp
 
 
-def observe(tracks: list[_Track], x: float, y: float, stamp: int, radius: float) -> int | None:
-    """Join the nearest track within ``radius`` or open one; null when that track already has the stamp."""
-    best, gap = None, math.inf
-    for t in tracks:
-        d = math.hypot(_Track.mid(t.xs) - x, _Track.mid(t.ys) - y)
-        if d < gap:
-            best, gap = t, d
-    if best is not None and gap <= radius:
-        if best.last == stamp:
-            return None
-        best.add(x, y, stamp)
-        return best.no
-    fresh = _Track(len(tracks))
-    fresh.add(x, y, stamp)
-    tracks.append(fresh)
-    return fresh.no
-
-
 def track_summary(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per track: hits, median x and y, and the root mean square of both offsets from the median."""
     keys = list(keys)

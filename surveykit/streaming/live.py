@@ -9,9 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from surveykit.operators.association import radius_of
-from surveykit.operators.fusion import _Track, observe
-
 
 def event_time(ns: Column) -> Column:
     """Timestamp for watermarks only; joins and equality stay on the nanosecond integer."""
@@ -242,40 +239,3 @@ def motion_localization(samples: DataFrame, keys: Sequence[str], key_ddl: str, c
         "append",
         GroupStateTimeout.NoTimeout,
     )
-
-
-def nearest_cache(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance_ns: int, delay: str) -> DataFrame:
-    """Candidates within the tolerance as they meet; the caller keeps the nearest per left row."""
-    return sync_join(left, right, keys, tolerance_ns, delay).withColumn("gap_ns", F.abs(F.col("left_ns") - F.col("right_ns")))
-
-
-def tracks(observations: DataFrame, keys: Sequence[str] = ("run_id", "label"), key_ddl: str = "run_id bigint, label string") -> DataFrame:
-    """Online association: each sighting gets a track of its (run, label); state holds the members."""
-    obs = observations.withColumn("rad", radius_of(F.col("label")))
-
-    def run(key, batches, state: GroupState):
-        held = []
-        if state.exists:
-            xs, ys, last, sizes = state.get
-            at = 0
-            for no, n in enumerate(sizes):
-                t = _Track(no)
-                t.xs, t.ys, t.last = list(xs[at : at + n]), list(ys[at : at + n]), last[no]
-                held.append(t)
-                at += n
-        out = []
-        for pdf in _ordered(batches):
-            for t, q, x, y, rad in zip(pdf["stamp_ns"], pdf["seq"], pdf["x"], pdf["y"], pdf["rad"]):
-                no = observe(held, float(x), float(y), int(t), float(rad))
-                if no is not None:
-                    out.append((*key, no, int(t), int(q), float(x), float(y)))
-        state.update(([v for t in held for v in t.xs], [v for t in held for v in t.ys], [t.last for t in held], [len(t.xs) for t in held]))
-        yield pd.DataFrame(out, columns=[*keys, "track", "stamp_ns", "seq", "x", "y"])
-
-    return obs.groupBy(*keys).applyInPandasWithState(
-        run,
-        f"{key_ddl}, track int, stamp_ns bigint, seq bigint, x double, y double",
-        "xs array<double>, ys array<double>, last array<bigint>, sizes array<int>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )

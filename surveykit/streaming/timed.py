@@ -9,6 +9,7 @@ Timers need the RocksDB state store, see ``timer_store``.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from surveykit.operators.asof import SIDES4, span_sets
+from surveykit.operators.association import radius_of
+from surveykit.operators.fusion import _Track
 from surveykit.streaming.live import event_time
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -241,6 +244,82 @@ def nearest_live(left: DataFrame, right: DataFrame, keys: Sequence[str], key_ddl
     return rows.groupBy(*keys, "bucket").transformWithStateInPandas(_Nearest(keys, tolerance_ns), ddl, "append", "eventtime")
 
 
+# ---------------------------------------------------------------- tracks
+
+
+class _Tracks(_Woken):
+    """Small facts of all tracks and the members of each are kept apart: a batch reads and writes members of few tracks."""
+
+    COLUMNS = ("stamp_ns", "seq", "x", "y", "rad")
+
+    def __init__(self, keys: Sequence[str], forget_ns: int | None):
+        self.keys, self.forget = list(keys), forget_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "stamp_ns bigint, seq bigint, x double, y double, rad double")
+        self.opened = handle.getValueState("opened", "n int")
+        self.facts = handle.getMapState("facts", "track int", "x double, y double, last bigint")
+        self.members = handle.getMapState("members", "track int", "xs array<double>, ys array<double>")
+
+    def advance(self, key, new, passed):
+        held = _held(self.waiting, self.COLUMNS)
+        rows = held if new is None else new[list(self.COLUMNS)] if not len(held) else pd.concat([held, new[list(self.COLUMNS)]])
+        ripe = rows["stamp_ns"].to_numpy(np.int64) <= passed
+        now, waiting = rows[ripe].sort_values(["stamp_ns", "seq"], kind="stable"), rows[~ripe]
+        known = sorted((k[0], *v) for k, v in self.facts.iterator()) if self.facts.exists() else []
+        names, mx, my, last = ([r[i] for r in known] for i in range(4))
+        opened = self.opened.get()[0] if self.opened.exists() else 0
+        touched: dict[int, tuple[list[float], list[float]]] = {}
+        out = []
+        for t, seq, x, y, rad in now.itertuples(index=False, name=None):
+            gap = np.hypot(np.array(mx) - x, np.array(my) - y)
+            if self.forget is not None:
+                gap[t - np.array(last, np.int64) > self.forget] = np.inf
+            k = int(gap.argmin()) if len(gap) else -1
+            if k >= 0 and gap[k] <= rad:
+                if last[k] == t:
+                    continue  # that track has a sighting of this frame
+            else:
+                k, opened = len(names), opened + 1
+                names.append(opened - 1)
+                for v in (mx, my, last):
+                    v.append(None)
+                touched[names[k]] = ([], [])
+            if names[k] not in touched:
+                touched[names[k]] = tuple(list(v) for v in self.members.getValue((names[k],)))
+            xs, ys = touched[names[k]]
+            insort(xs, float(x))
+            insort(ys, float(y))
+            mx[k], my[k], last[k] = _Track.mid(xs), _Track.mid(ys), int(t)
+            out.append((*key, names[k], int(t), int(seq), float(x), float(y)))
+        for name, x, y, t in zip(names, mx, my, last, strict=True):
+            if self.forget is not None and passed - t > self.forget:
+                if self.facts.containsKey((name,)):
+                    self.facts.removeKey((name,))
+                    self.members.removeKey((name,))
+            elif name in touched:
+                self.facts.updateValue((name,), (x, y, t))
+                self.members.updateValue((name,), touched[name])
+        self.opened.update((opened,))
+        _keep(self.waiting, waiting.astype({"stamp_ns": "int64", "seq": "int64"}))
+        wake = int(waiting["stamp_ns"].min()) if len(waiting) else NEVER
+        if self.forget is not None:
+            wake = min([wake, *[t + self.forget + _MS for t in last if passed - t <= self.forget]])
+        return pd.DataFrame(out, columns=[*self.keys, "track", "stamp_ns", "seq", "x", "y"]), wake
+
+
+def live_tracks(observations: DataFrame, keys: Sequence[str], key_ddl: str, delay: str, forget_ns: int | None = None) -> DataFrame:
+    """Live association, in the order of (stamp, seq) per key: each sighting with the number of its track.
+
+    The rule is that of ``association.associate``; tracks of a key are numbered as they open. ``keys`` contain the label.
+    With ``forget_ns`` a track unseen for longer takes no sighting any more, and its state goes.
+    """
+    rows = _timed(observations.select(*keys, "stamp_ns", "seq", "x", "y", radius_of(F.col("label")).alias("rad")), delay)
+    ddl = f"{key_ddl}, track int, stamp_ns bigint, seq bigint, x double, y double"
+    return rows.groupBy(*keys).transformWithStateInPandas(_Tracks(keys, forget_ns), ddl, "append", "eventtime")
+
+
 # ---------------------------------------------------------------- sets of four streams
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from surveykit.operators import contracts as k
 from surveykit.session import scratch_path
+from surveykit.sources import sinks
 from surveykit.sources.sinks import commit_once, read_committed
 from surveykit.sources.tables import STATUS, read_detections, status_events  # noqa: F401
 from surveykit.streaming import live
 
+exists = sinks._exists
 RUN = "run_id int, error string, expected_n int, det_rx int, sync_rx int, inflight int, drops int, budget int, last_activity_s double, now_s double"
 
 
@@ -73,6 +75,30 @@ def test_commit_happens_once(spark):
     assert read_committed(spark, root).count() == 5
 
 
+def test_two_writers_of_one_token(spark, monkeypatch):
+    root = scratch_path(spark, "race")
+    monkeypatch.setattr(sinks, "_exists", lambda s, where: False if where.endswith(".json") else exists(s, where))
+    token = "a/b =%1"
+    assert commit_once(spark.range(5), root, token) == "committed"
+    assert commit_once(spark.range(9), root, token) == "refused"  # it did not see the first one, the name did
+    assert commit_once(spark.range(2), root, token + "x") == "committed"
+    assert sorted(r.id for r in read_committed(spark, root).collect()) == [0, 0, 1, 1, 2, 3, 4]
+    assert spark.read.parquet(f"{root}/data").count() == 7
+    assert sorted((r.token, r.rows) for r in sinks.committed(spark, root).collect()) == [(token, 5), (token + "x", 2)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src = f"file:{tmp_path}/in"
+    schema = "run_id bigint, stamp_ns bigint"
+    for rows in ([(1, 100), (2, 5)], [(1, 60), (1, 94), (1, 89), (2, 9)], [(1, 120), (2, 1)], [(1, 109)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = live.late_rows(s, ["run_id"], "run_id bigint", 10)
+    q.writeStream.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    got = spark.read.schema(q.schema).parquet(f"file:{tmp_path}/out").collect()
+    assert sorted(map(tuple, got)) == [(1, 100, 2, 40), (1, 120, 1, 11)]
+
+
 def test_staleness_latch_is_terminal_across_batches(spark, tmp_path):
     src = str(tmp_path / "in")
     for i, stamps in enumerate([[0, 10, 20], [15, 20, 95], [96, 97, 300]]):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveykit.operators import asof
+from surveykit.operators.association import associate
 from surveykit.streaming import timed
 
 US = 1000
@@ -125,3 +126,29 @@ def test_forgotten_failures_are_watched_anew(spark, tmp_path):
     make = lambda s: timed.silent_topics(s, ["run_id"], "run_id bigint", 3 * SECOND, SECOND, "1 second", forget_ns=20 * SECOND)
     got = play(spark, f"file:{tmp_path}", "run_id bigint, stamp_ns bigint, start boolean", batches, make)
     assert [(g.last_ns // SECOND, g.due_ns // SECOND) for g in sorted(got, key=lambda g: g.due_ns) if g.run_id == 1] == [(100, 103), (160, 163)]
+
+
+def test_live_tracks_equal_batch_association(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(run, "chair", (10 + k // 2) * SECOND, k, r.gauss(0, 1.0), r.gauss(0, 1.0)) for run in (1, 2) for k in range(80)]
+    schema = "run_id bigint, label string, stamp_ns bigint, seq bigint, x double, y double"
+    batches = [*dealt(r, rows, 2, SECOND), [(None, "chair", 10**15, 0, 0.0, 0.0)]]
+    got = play(spark, f"file:{tmp_path}", schema, batches, lambda s: timed.live_tracks(s, ["run_id", "label"], "run_id bigint, label string", DELAY))
+    want = associate(spark.createDataFrame(rows, schema).withColumn("cid", F.lit(0))).collect()
+
+    def groups(rows, name):
+        out = {}
+        for g in rows:
+            out.setdefault((g.run_id, name(g)), []).append(g.seq)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(got, lambda g: g.track) == groups(want, lambda g: (g.part, g.track))
+    opened = [min(g.seq for g in got if (g.run_id, g.track) == (1, k)) for k in range(1 + max(g.track for g in got if g.run_id == 1))]
+    assert opened == sorted(opened) and len(opened) > 5
+
+
+def test_tracks_unseen_for_long_are_forgotten(spark, tmp_path):
+    rows = [[(1, "chair", t * SECOND, t, 0.0, 0.0)] for t in (10, 12, 40, 41)] + [[(2, "chair", t * SECOND, t, 5.0, 5.0)] for t in (60, 90)]
+    schema = "run_id bigint, label string, stamp_ns bigint, seq bigint, x double, y double"
+    got = play(spark, f"file:{tmp_path}", schema, rows, lambda s: timed.live_tracks(s, ["run_id", "label"], "run_id bigint, label string", DELAY, forget_ns=10 * SECOND))
+    assert sorted((g.seq, g.track) for g in got if g.run_id == 1) == [(10, 0), (12, 0), (40, 1), (41, 1)]
