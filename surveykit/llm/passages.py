@@ -350,10 +350,14 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
 def cut_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` without the repeated passages of later documents; a row with nothing left goes.
 
-    The first document of a passage keeps it. Rows without a repeated passage stay as they are. ``n_chars`` follows.
+    The first document of a passage keeps it. Rows without a repeated passage stay as they are. ``n_chars`` follows. Of
+    rows that repeat an id, those with the text that was read for it are cut, and the others stay as they are.
     """
     spans = repeated_passages(docs, words).groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("_cut"))
-    held = docs.select("doc_id", F.struct("*").alias("_row"), "text").join(spans, "doc_id", "left")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    read = docs.select("doc_id", "text").join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.char_length("text"), "text")).alias("_read"))
+    held = docs.select("doc_id", F.struct("*").alias("_row"), "text").join(spans, "doc_id", "left").join(read, "doc_id", "left")
+    held = held.withColumn("_cut", F.when(F.col("_read").isNull() | (F.col("text") == F.col("_read")), F.col("_cut")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re

@@ -235,3 +235,12 @@ def test_embeddings_recall_by_band(spark):
     got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(vectors(spark, [(k, v.tolist()) for k, v in enumerate(both)])).collect()}
     recall = [np.mean([got[k] > 0 for k in range(b * n, (b + 1) * n)]) for b in range(len(bands))]
     assert min(recall) >= 0.99, recall
+
+
+def test_cutting_leaves_other_texts_of_a_repeated_id(docs_of):
+    r = random.Random(12)
+    shared = " ".join(words(r, 80))
+    tail = " ".join(words(r, 30))
+    rows = [(1, shared, "s"), (2, f"{shared} {tail}", "s"), (2, f"{shared} {tail}", "s"), (2, None, "s"), (2, "short one", "s"), (2, "", "s"), (None, shared, "s")]
+    got = passages.cut_repeats(docs_of(rows))
+    assert sorted(((g.doc_id or 0, g.text) for g in got.collect()), key=repr) == sorted([(1, shared), (2, tail), (2, tail), (2, None), (2, "short one"), (2, ""), (0, shared)], key=repr)
