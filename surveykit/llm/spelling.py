@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
-from surveykit.llm.runs import key_runs
 from surveykit.session import discard, settle
 
 SHORTEST = 5
@@ -183,6 +182,21 @@ def _half(side, length):
     return length // 2 if side == 0 else length - length // 2
 
 
+def _best_near(index: DelimitedIndex, side: int, known: list[str], frequent: list[int], words: list[str], change: np.ndarray) -> dict[int, tuple[int, int, str]]:
+    """By row of ``words`` that has near words: their number, the frequency (negative) of the commonest, and that word."""
+    exact = np.array([_half(side, len(w) + c) for w, c in zip(words, change.tolist(), strict=True)])
+    best: dict[int, tuple[int, int, str]] = {}
+    for k, t in np.stack(index.near(words if side == 0 else [w[::-1] for w in words], change, exact), axis=1).tolist():
+        near = known[t]
+        first = len(near) // 2
+        if side == 1 and near[:first] == words[k][:first]:
+            continue  # found from the left as well
+        n, low, name = best.get(k, (0, 0, ""))
+        new = (-frequent[t], near)
+        best[k] = (n + 1, *(min((low, name), new) if n else new))
+    return best
+
+
 def _searched(words: DataFrame, shard: int) -> DataFrame:
     """``word, k, best_n, best``: partial counts of near words, and the commonest, of each shard a word is sent to."""
     count = words.count()
@@ -210,33 +224,33 @@ def _searched(words: DataFrame, shard: int) -> DataFrame:
     met = held.unionByName(asked).select("side", place.alias("shard"), "role", "word", "n", "change")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in key_runs(batches, ["side", "shard"]):
-            side = rows.column("side")[0].as_py()
-            role = rows.column("role").to_numpy()
-            targets = rows.filter(pa.array(role == 0)).select(["word", "n"])
-            if not len(targets):
-                continue
-            known, frequent = targets.column("word").to_pylist(), targets.column("n").to_numpy()
-            index = DelimitedIndex(known if side == 0 else [w[::-1] for w in known])
-            asking = rows.filter(pa.array(role == 1)).select(["word", "change"])
-            for at in range(0, len(asking), BATCH):
-                part = asking.slice(at, BATCH)
-                words, change = part.column("word").to_pylist(), part.column("change").to_numpy()
-                exact = np.array([_half(side, len(w) + c) for w, c in zip(words, change.tolist(), strict=True)])
-                best: dict[int, tuple[int, int, str]] = {}
-                for k, t in np.stack(index.near(words if side == 0 else [w[::-1] for w in words], change, exact), axis=1).tolist():
-                    near = known[t]
-                    first = len(near) // 2
-                    if side == 1 and near[:first] == words[k][:first]:
-                        continue  # found from the left as well
-                    n, low, name = best.get(k, (0, 0, ""))
-                    new = (-int(frequent[t]), near)
-                    best[k] = (n + 1, *(min((low, name), new) if n else new))
-                if best:
-                    counts, low, names = zip(*best.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in best]), pa.array(counts, pa.int64()), pa.array([-n for n in low], pa.int64()), pa.array(names)], ["word", "k", "best_n", "best"])
-
-    return met.repartition("side", "shard").sortWithinPartitions("side", "shard").mapInArrow(search, "word string, k long, best_n long, best string")
+        """A shard's own words come first and are held; the words sent to it pass by."""
+        place, known, frequent, index = None, [], [], None
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy() for c in ("side", "shard", "role")])
+            cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if at == end:
+                    continue
+                side, shard_no, role = values[:, at].tolist()
+                if place != (side, shard_no):
+                    place, known, frequent, index = (side, shard_no), [], [], None
+                words = batch.column("word").slice(at, end - at).to_pylist()
+                if role == 0:
+                    known += words
+                    frequent += batch.column("n").slice(at, end - at).to_pylist()
+                    continue
+                if not known:
+                    continue
+                index = index or DelimitedIndex(known if side == 0 else [w[::-1] for w in known])
+                change = batch.column("change").slice(at, end - at).to_numpy()
+                for k in range(0, len(words), BATCH):
+                    best = _best_near(index, side, known, frequent, words[k : k + BATCH], change[k : k + BATCH])
+                    if best:
+                        counts, low, names = zip(*best.values(), strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([words[k + i] for i in best]), pa.array(counts, pa.int64()), pa.array([-n for n in low], pa.int64()), pa.array(names)], ["word", "k", "best_n", "best"])
+
+    return met.repartition("side", "shard").sortWithinPartitions("side", "shard", "role").mapInArrow(search, "word string, k long, best_n long, best string")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
