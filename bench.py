@@ -34,6 +34,11 @@ HEADLINE = [
     "chk_ready",
     "anti_missing_stamp",
     "st_drift",
+    "join_approx_sync",
+    "win_poi_dedupe",
+    "cell_fill_nearest",
+    "critical_cut",
+    "place_detections",
 ]
 
 
