@@ -1,10 +1,13 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, and a rerank with the vectors.
 
 A rotation of the principal axes is learned so that signs lose least (iterative quantisation); signs of the rotated
-vector are its code. Many rotations from different starts give one long code. Each run of ``CHUNK`` bits of it is
-the key of one table. Rows that share a key and differ in few bits of the first ``FILTER`` rotations are compared by
-cosine, in double precision. At a cosine of 0.9 a bit differs with odds of 0.144, so 16 bits agree with odds of 0.083;
-in 12 tables that leaves a third of such pairs out, in 104 about one in ten thousand.
+vector are its code. It is learned around the mean, which balances the codes, and applied from the origin, so that a
+bit differs with the odds of the angle between two vectors whatever direction they have in common. Many rotations from
+different starts give one long code; each run of ``chunk`` bits of it is the key of one table. ``chunk`` is the binary
+logarithm of the number of vectors, so buckets do not grow with it, and the number of tables is what leaves a pair at
+the threshold no common key with odds of ``MISS`` only: at a cosine of 0.9 a bit differs with odds of 0.144, 16 bits
+agree with odds of 0.084, and 105 tables are used. Rows that share a key and differ in few bits of the first
+``FILTER_BITS`` are compared by cosine, in double precision.
 
 Equal vectors are one class. A bucket is split into blocks by hash, and each pair of blocks is a task; a task hands
 on link counts per row and one component edge per row, never its pairs. A pair that meets in several tables is counted
@@ -22,43 +25,49 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surveykit.llm.registry import query, table
 from surveykit.llm.runs import key_runs
 from surveykit.operators.components import connected_components
-from surveykit.session import settle
+from surveykit.session import discard, settle
 
 #: vectors that the rotations are learned from, at most; every vector is indexed
 SAMPLE = 20_000
-ROTATIONS = 26
-#: rotations whose bits travel with each key
-FILTER = 3
-CHUNK = 16
-#: bits of the code (of up to 64 a rotation) in which rows may differ to be compared by cosine, per rotation
-RADIUS = 18
+#: odds at which a pair at the threshold may meet in no table
+MISS = 1e-4
+LEAST_CHUNK = 8
+#: leading bits of the code that travel with each key, and the share of them in which rows may differ to be compared
+FILTER_BITS = 192
+REACH = 18 / 64
+#: rotations of fewer bits say too little about an angle: every second one stays random, and no row is filtered out
+FEW_BITS = 16
 BLOCK = 1024
 COSINE = 0.9
 
 
 class Codes:
-    """Codes learned from a sample of unit vectors."""
-
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 30, seed: int = 0):
-        self.mean = sample.mean(axis=0)
-        centred = sample - self.mean
-        _, axes = np.linalg.eigh(centred.T @ centred)
-        bits = min(64, sample.shape[1])
-        axes = axes[:, ::-1][:, :bits]
+    """Codes of ``n`` bits, learned from a sample of unit vectors."""
+
+    def __init__(self, sample: np.ndarray, n: int, rounds: int = 30, seed: int = 0):
+        self.rotated = min(64, sample.shape[1])
+        _, axes = np.linalg.eigh(sample.T @ sample)
+        axes = axes[:, ::-1][:, : self.rotated]
+        centred = (sample - sample.mean(axis=0)) @ axes
         random = np.random.default_rng(seed)
         found = []
-        for _ in range(rotations):
-            turn = np.linalg.qr(random.standard_normal((bits, bits)))[0]
-            seen = centred @ axes
-            for _ in range(rounds):
-                signs = np.where(seen @ turn >= 0, 1.0, -1.0)
-                left, _, right = np.linalg.svd(signs.T @ seen)
+        for k in range(-(-n // self.rotated)):
+            turn = np.linalg.qr(random.standard_normal((self.rotated, self.rotated)))[0]
+            for _ in range(0 if self.rotated < FEW_BITS and k % 2 else rounds):
+                signs = np.where(centred @ turn >= 0, 1.0, -1.0)
+                left, _, right = np.linalg.svd(signs.T @ centred)
                 turn = (left @ right).T
             found.append(axes @ turn)
-        self.planes = np.concatenate(found, axis=1)
+        self.planes = np.concatenate(found, axis=1)[:, :n]
 
     def bits(self, unit: np.ndarray) -> np.ndarray:
-        return (unit - self.mean) @ self.planes >= 0
+        return unit @ self.planes >= 0
+
+
+def tables_of(chunk: int, cosine: float, miss: float = MISS) -> int:
+    """Tables of ``chunk`` bits in which a pair at ``cosine`` shares no key with odds of ``miss``."""
+    agree = (1 - np.arccos(min(1.0, cosine)) / np.pi) ** chunk
+    return 1 if agree >= 1 - miss else int(np.ceil(np.log(miss) / np.log1p(-agree)))
 
 
 def chunk_keys(bits: np.ndarray, chunk: int) -> np.ndarray:
@@ -94,31 +103,32 @@ def _blocks(rows: pa.Table) -> tuple[bool, np.ndarray]:
     return rows.column("i")[0].as_py() == rows.column("j")[0].as_py(), rows.column("side").to_numpy()
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, rotations: int = ROTATIONS, chunk: int = CHUNK, radius: int = RADIUS, seed: int = 0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, chunk: int | None = None, miss: float = MISS, seed: int = 0) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (``vec_id, embedding``).
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows without an id
-    and vectors whose length isn't the table's most frequent one. Rows that repeat an id count as one vertex. An empty
-    table gives no rows; other columns are not read. ``chunk`` near the binary logarithm of the number of vectors keeps
-    buckets small; more ``rotations`` raise the recall.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows without an id.
+    Vectors of unlike lengths are compared with their own length only, each length by a search of its own. Rows that
+    repeat an id are judged by their own vectors; only a component takes its smallest id. An empty table gives no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", (F.col("vec_id").isNotNull() & _sound()).alias("sound"))
-    lengths = rows.where("sound").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = lengths.dim if lengths else 0
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("embedding") == dim))
     plain = rows.where("NOT sound OR sound IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return plain
-    good = rows.where("sound").select("vec_id", F.transform("embedding", lambda x: x.cast("float") + 0).alias("v") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double") + 0).alias("v"))
-    classes = settle(good.groupBy("v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size")))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    good = rows.where("sound").select("vec_id", F.transform("embedding", lambda x: x.cast(kind) + 0).alias("v"))
+    for row in good.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
+        plain = plain.unionByName(_of_length(good.where(F.size("v") == row.dim), row.dim, cosine, sample, chunk, miss, seed))
+    return plain
+
+
+def _of_length(good: DataFrame, dim: int, cosine: float, sample: int, chunk: int | None, miss: float, seed: int) -> DataFrame:
+    classes = settle(good.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size")).withColumn("cls", F.monotonically_increasing_id()))
     total = classes.count()
     part = min(1.0, 1.5 * sample / max(1, total))
-    drawn = classes.where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(sample).toArrow()
-    codes = Codes(_unit(_matrix(drawn.column("v"), dim)), rotations, seed=seed)
-    tables = -(-codes.planes.shape[1] // chunk)
-    wide = min(rotations, FILTER) * (codes.planes.shape[1] // rotations)
-    reach = radius * min(rotations, FILTER)
+    drawn = classes.where(F.pmod(F.xxhash64("first", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(sample).toArrow()
+    chunk = chunk or max(LEAST_CHUNK, (total - 1).bit_length())
+    tables = tables_of(chunk, cosine, miss)
+    codes = Codes(_unit(_matrix(drawn.column("v"), dim)), tables * chunk, seed=seed)
+    wide = min(FILTER_BITS, tables * chunk)
+    reach = wide if codes.rotated < FEW_BITS else int(REACH * wide)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +175,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 
     fields = "tab int, key long, i int, j int, side int, cls long, code binary"
     hopeful = settle(spread.repartition(*where).sortWithinPartitions(*where).mapInArrow(close, fields))
+    discard(placed)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_runs(batches, where):
@@ -176,9 +187,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             np.fill_diagonal(like, False)
             if not same:
                 like &= side[:, None] != side[None, :]
-            fresh = like.copy()
-            for t in range(tab):
-                fresh &= keys[:, t][:, None] != keys[:, t][None, :]
+            n = np.zeros(len(cls), np.int64)
+            for k in range(0, len(cls), 256):
+                x, y = np.nonzero(like[k : k + 256])
+                x += k
+                for t in range(tab):  # pairs that met in an earlier table were counted there
+                    apart = keys[x, t] != keys[y, t]
+                    x, y = x[apart], y[apart]
+                np.add.at(n, x, size[y])
             low = cls.copy()
             while True:
                 met = np.where(like, low[None, :], low[:, None]).min(axis=1)
@@ -186,17 +202,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                 if (met == low).all():
                     break
                 low = met
-            n = fresh @ size
             some = (n > 0) | (low != cls)
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(low[some]), pa.array(n[some])], ["a", "b", "n"])
 
     judged = hopeful.drop("code").join(classes, "cls").join(whole, "cls").select(*where, "side", "cls", "code", "v", "size")
     judged = settle(judged.repartition(*where).sortWithinPartitions(*where).mapInArrow(links, "a long, b long, n long"))
+    discard(hopeful)
+    discard(whole)
     counts = judged.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = connected_components(judged.select("a", "b").where("a <> b").distinct()).withColumnRenamed("id", "cls")
-    answer = classes.join(counts, "cls", "left").join(roots, "cls", "left").select("v", F.coalesce("root", "cls").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    return good.join(answer, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(plain)
+    placed = classes.join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    answer = placed.join(smallest, "root").select("v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    return good.join(answer, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 @query("op9_embedding_near_dedup")

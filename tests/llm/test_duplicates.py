@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from surveykit.llm import embeddings, ngram_join, passages
 
@@ -221,20 +222,67 @@ def test_passages_of_two_sources_that_overlap(docs_of):
     assert covered == set(range(131))
 
 
-def test_embeddings_recall_by_band(spark):
-    """Pairs at a stated cosine from 0.90 up, 64 components, each vector with one partner."""
+def pairs_of_bands(shared, bands, n, dim=64):
+    """2 n vectors a band with a mean cosine of ``shared``; vector k and its partner are at the band's cosine."""
     r = np.random.default_rng(8)
-    bands, n = (0.901, 0.92, 0.95, 0.98), 150
-    x = r.standard_normal((len(bands) * n, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ways = np.linalg.qr(r.standard_normal((dim, dim)))[0]
+    x = r.standard_normal((len(bands) * n, dim - 1))
+    x = np.sqrt(1 - shared) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([np.full((len(x), 1), np.sqrt(shared)), x], axis=1) @ ways
     z = r.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     c = np.repeat(bands, n)[:, None]
-    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z])
-    got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(vectors(spark, [(k, v.tolist()) for k, v in enumerate(both)])).collect()}
-    recall = [np.mean([got[k] > 0 for k in range(b * n, (b + 1) * n)]) for b in range(len(bands))]
-    assert min(recall) >= 0.99, recall
+    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).astype(np.float32)
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8, 0.9])
+def test_embeddings_recall_by_band(spark, shared):
+    """Links at cosines from 0.90 up, 64 components, with and without a direction that all vectors have in common."""
+    bands = (0.901, 0.92, 0.95, 0.98)
+    x = pairs_of_bands(shared, bands, 150)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    like = unit @ unit.T
+    np.fill_diagonal(like, 0)
+    got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])).collect()}
+    found, true = np.array([got[k] for k in range(len(x))]), (like >= 0.9).sum(axis=1)
+    assert (found <= true).all()
+    for b in range(len(bands)):
+        own = slice(b * 150, (b + 1) * 150)
+        assert found[own].sum() >= 0.99 * true[own].sum(), (bands[b], found[own].sum(), true[own].sum())
+
+
+def test_codes_meet_in_some_table_by_band():
+    """The search alone, as it is set for 2^20 vectors: pairs of each band that share a key and pass the filter."""
+    for shared in (0.0, 0.5, 0.8, 0.9):
+        x = pairs_of_bands(shared, (0.9, 0.95), 1000).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n = embeddings.tables_of(20, 0.9)
+        bits = embeddings.Codes(x[:1500], 20 * n, rounds=5).bits(x)
+        keys = embeddings.chunk_keys(bits, 20)
+        half = len(x) // 2
+        near = (bits[:half, : embeddings.FILTER_BITS] != bits[half:, : embeddings.FILTER_BITS]).sum(axis=1) <= embeddings.REACH * embeddings.FILTER_BITS
+        met = (keys[:half] == keys[half:]).any(axis=1) & near
+        assert met[:1000].mean() >= 0.99 and met[1000:].mean() >= 0.999
+
+
+def test_embeddings_of_unlike_lengths_and_few_components(spark):
+    r = np.random.default_rng(3)
+    turns = r.uniform(0, 2 * np.pi, 60)
+    flat = np.stack([np.cos(turns), np.sin(turns)], axis=1)
+    rows = [(k, [1.0, 2.0, 3 + k / 1000]) for k in range(5)] + [(10, [2.0]), (11, [5.0]), (12, [-1.0])]
+    rows += [(100 + k, v.tolist()) for k, v in enumerate(flat)]
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.near_duplicates(vectors(spark, rows)).collect()}
+    assert [got[k] for k in range(5)] == [(4, 0)] * 5
+    assert (got[10], got[11], got[12]) == ((1, 10), (1, 10), (0, 12))
+    true = (flat @ flat.T >= 0.9).sum() - 60
+    assert 0.99 * true <= sum(got[100 + k][0] for k in range(60)) <= true
+
+
+def test_embeddings_of_a_repeated_id(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.1]), (7, [1.0, 0.1, 0.0]), (7, [1.0, 0.1, 0.0])]
+    got = sorted((v.vec_id, v.n_links, v.component_id) for v in embeddings.near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (7, 2, 5), (7, 2, 5), (9, 1, 5)]
 
 
 def test_cutting_leaves_other_texts_of_a_repeated_id(docs_of):
