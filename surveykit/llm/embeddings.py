@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveykit.llm.registry import query, table
-from surveykit.llm.runs import key_runs
+from surveykit.llm.runs import whole_runs
 from surveykit.operators.components import connected_components
 from surveykit.session import discard, settle
 
@@ -38,6 +38,8 @@ REACH = 18 / 64
 #: rotations of fewer bits say too little about an angle: every second one stays random, and no row is filtered out
 FEW_BITS = 16
 BLOCK = 1024
+#: buckets of up to so many rows are compared side by side
+SMALL = 64
 COSINE = 0.9
 
 
@@ -99,8 +101,42 @@ def _sound(vector: str = "embedding"):
     return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _blocks(rows: pa.Table) -> tuple[bool, np.ndarray]:
-    return rows.column("i")[0].as_py() == rows.column("j")[0].as_py(), rows.column("side").to_numpy()
+def _pairs(rows: pa.Table, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of each bucket, or of its two blocks: small buckets together by distance in the order, others by stretches."""
+    sizes = np.diff(cuts)
+    side, crossed = rows.column("side").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy()
+    small = (sizes <= SMALL) & ~crossed[cuts[:-1]]
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    x, apart = np.flatnonzero(small[run]), 0
+    while len(x):
+        apart += 1
+        x = x[x + apart < len(run)]
+        x = x[run[x] == run[x + apart]]
+        yield x, x + apart
+    for k in np.flatnonzero(~small):
+        at = np.arange(cuts[k], cuts[k + 1])
+        left, right = (at[side[at] == 0], at[side[at] == 1]) if crossed[at[0]] else (at, at)
+        for own in np.split(left, range(256, len(left), 256)):
+            x, y = (v.ravel() for v in np.broadcast_arrays(own[:, None], right[None, :]))
+            yield (x, y) if crossed[at[0]] else (x[x < y], y[x < y])
+
+
+def _joined(x: np.ndarray, y: np.ndarray, low: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest labels once more pairs are joined, and the labels that rows left with those they took (two rows).
+
+    A row that leaves a label which is not its own would lose those that still bear it; the second answer keeps them.
+    """
+    left = []
+    while len(x):
+        met = low.copy()
+        np.minimum.at(met, x, low[y])
+        np.minimum.at(met, y, low[x])
+        if (met == low).all():
+            break
+        moved = (met != low) & (low != cls)
+        left.append(np.stack([low[moved], met[moved]]))
+        low = met
+    return low, np.unique(np.concatenate(left, axis=1), axis=1) if left else np.zeros((0, 0), np.int64)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, chunk: int | None = None, miss: float = MISS, seed: int = 0) -> DataFrame:
@@ -156,20 +192,16 @@ def _of_length(good: DataFrame, dim: int, cosine: float, sample: int, chunk: int
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a pair of blocks that have a partner within reach of their code."""
-        for rows in key_runs(batches, where):
-            same, side = _blocks(rows)
-            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(len(side), -1)
-            near = np.zeros(len(side), bool)
-            left = np.arange(len(side)) if same else np.flatnonzero(side == 0)
-            right = left if same else np.flatnonzero(side == 1)
-            for k in range(0, len(left), 256):
-                own = left[k : k + 256]
-                apart = np.zeros((len(own), len(right)), np.int32)
+        for rows, cuts in whole_runs(batches, where):
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+            near = np.zeros(rows.num_rows, bool)
+            for x, y in _pairs(rows, cuts):
+                apart = np.zeros(len(x), np.int32)
                 for w in range(code.shape[1]):
-                    apart += np.bitwise_count(code[own, w][:, None] ^ code[right, w][None, :])
-                hit = (apart <= reach) & (own[:, None] != right[None, :])
-                near[own] |= hit.any(axis=1)
-                near[right] |= hit.any(axis=0)
+                    apart += np.bitwise_count(code[x, w] ^ code[y, w])
+                hit = apart <= reach
+                near[x[hit]] = True
+                near[y[hit]] = True
             if near.any():
                 yield from rows.filter(pa.array(near)).to_batches()
 
@@ -178,30 +210,22 @@ def _of_length(good: DataFrame, dim: int, cosine: float, sample: int, chunk: int
     discard(placed)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in key_runs(batches, where):
-            same, side = _blocks(rows)
-            cls, size, tab = rows.column("cls").to_numpy(), rows.column("size").to_numpy(), rows.column("tab")[0].as_py()
+        for rows, cuts in whole_runs(batches, where):
+            cls, size, tab = (rows.column(c).to_numpy() for c in ("cls", "size", "tab"))
             unit = _unit(_matrix(rows.column("v"), dim))
-            keys = chunk_keys(_unpacked(rows.column("code"), codes.planes.shape[1]), chunk)[:, :tab]
-            like = unit @ unit.T >= cosine
-            np.fill_diagonal(like, False)
-            if not same:
-                like &= side[:, None] != side[None, :]
-            n = np.zeros(len(cls), np.int64)
-            for k in range(0, len(cls), 256):
-                x, y = np.nonzero(like[k : k + 256])
-                x += k
-                for t in range(tab):  # pairs that met in an earlier table were counted there
-                    apart = keys[x, t] != keys[y, t]
-                    x, y = x[apart], y[apart]
+            keys = chunk_keys(_unpacked(rows.column("code"), codes.planes.shape[1])[:, : max(1, tab.max()) * chunk], chunk)
+            low, n = cls.copy(), np.zeros(len(cls), np.int64)
+            for x, y in _pairs(rows, cuts):
+                like = np.concatenate([np.einsum("ij,ij->i", unit[x[k : k + 65536]], unit[y[k : k + 65536]]) for k in range(0, len(x), 65536)] or [np.zeros(0)]) >= cosine
+                x, y = x[like], y[like]
+                low, left = _joined(x, y, low, cls)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(left[0]), pa.array(left[1]), pa.array(np.zeros(len(left[0]), np.int64))], ["a", "b", "n"])
+                for t in range(tab.max()):  # pairs that met in an earlier table were counted there
+                    fresh = (tab[x] <= t) | (keys[x, t] != keys[y, t])
+                    x, y = x[fresh], y[fresh]
                 np.add.at(n, x, size[y])
-            low = cls.copy()
-            while True:
-                met = np.where(like, low[None, :], low[:, None]).min(axis=1)
-                met = np.minimum(met, low)
-                if (met == low).all():
-                    break
-                low = met
+                np.add.at(n, y, size[x])
             some = (n > 0) | (low != cls)
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(low[some]), pa.array(n[some])], ["a", "b", "n"])
