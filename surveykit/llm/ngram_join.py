@@ -25,7 +25,7 @@ from surveykit.llm.registry import query, table
 from surveykit.llm.runs import key_runs
 from surveykit.llm.shingles import mixed, shingles, split
 from surveykit.operators.components import connected_components
-from surveykit.session import settle
+from surveykit.session import discard, settle
 
 WIDTH = 5
 PERCENT = 75
@@ -53,21 +53,29 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _unfolded(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps at the width of the widest, and the bits set in each as it came.
+def _unfolded(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps at the width of the widest, the bits set in each as it came, and the bytes it came in.
 
-    A narrow bitmap is repeated: that sets every bit that the set would set in a wide one, so bounds stay bounds.
+    A narrow bitmap is repeated: that sets every bit that the set would set in a wide one, so bounds stay bounds. Two
+    bitmaps meet in a pattern that repeats at the wider one's own width; what they share is counted once per repetition.
     """
     width = max(map(len, bitmaps))
     own = np.array([int.from_bytes(x).bit_count() for x in bitmaps], np.int64)
-    return np.frombuffer(b"".join(x * (width // len(x)) for x in bitmaps), np.uint64).reshape(len(bitmaps), -1), own
+    bits = np.frombuffer(b"".join(x * (width // len(x)) for x in bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    return bits, own, np.array([len(x) for x in bitmaps], np.int64)
+
+
+def _shared_bits(x: np.ndarray, y: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Bits that unfolded bitmaps share, row by row; ``width`` is the wider one's own number of bytes."""
+    return _ones(x & y) // (8 * x.shape[-1] // width)
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (``doc_id, n, cls, bits``) and one per task with its shingle counts by hash bucket.
+    """One row per document (``doc_id, mark, n, cls, bits``) and one per task with its shingle counts by hash bucket.
 
-    ``cls`` is a fingerprint of the set; equal sets share it.
+    ``cls`` is a fingerprint of the set; equal sets share it. ``mark`` tells the texts of a repeated id apart.
     """
+    names = ["doc_id", "mark", "n", "cls", "bits", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, at, held = np.zeros(BUCKETS, np.int64), [], 0
@@ -84,13 +92,14 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                     seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
                     at, held = [], 0
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none], ["doc_id", "n", "cls", "bits", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), none], names)
         if at:
             seen += np.bincount(np.concatenate(at), minlength=BUCKETS)
-        blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "cls", "bits", "seen"])
+        blank = [pa.nulls(1, t) for t in (*[pa.int64()] * 4, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, seen binary")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return marked.mapInArrow(run, "doc_id long, mark long, n long, cls long, bits binary, seen binary")
 
 
 def bucket_ranks(parts: DataFrame) -> np.ndarray:
@@ -113,6 +122,7 @@ def bucket_ranks(parts: DataFrame) -> np.ndarray:
     ranks = np.zeros(BUCKETS, np.uint8)
     for row in counts.where(F.col("n") >= 2 * mean).collect():
         ranks[row.bucket] = min(60, int(np.log2(row.n / mean)))
+    discard(counts)
     return ranks
 
 
@@ -149,7 +159,9 @@ def shared_tokens(tokens: DataFrame, of: DataFrame) -> DataFrame:
     kept = settle(kept.join(of, "cls"))
     posting = kept.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls", F.lit(7))).alias("y"), F.min_by("cls", F.struct("doc_id", "cls")).alias("leader"), F.max("cls").alias("hi"))
     one = posting.groupBy("sets", "x", "y", "leader", "hi").agg(F.min("token").alias("token")).select("token", "sets", "leader")
-    return settle(kept.drop("doc_id").join(one, "token"))
+    shared = settle(kept.drop("doc_id").join(one, "token"))
+    discard(kept)
+    return shared
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
@@ -159,16 +171,16 @@ def _ones(bits: np.ndarray) -> np.ndarray:
 class Tree:
     """Sets of one tree, or of one part of it, as levels of nodes; each node has up to ``FAN`` nodes of the level below."""
 
-    def __init__(self, classes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, ones: np.ndarray):
+    def __init__(self, classes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, ones: np.ndarray, widths: np.ndarray):
         order = np.lexsort((classes, sizes, labels))
         self.classes = classes[order]
         bits, sizes, labels = bits[order], sizes[order], labels[order]
-        extra = sizes - ones[order]
-        self.levels = [(bits, sizes, sizes, extra, labels, labels)]
+        self.levels = [(bits, widths[order], sizes, sizes, sizes - ones[order], labels, labels)]
+        most, least = np.maximum, np.minimum
         while len(self.levels[-1][0]) > 1:
-            b, small, large, extra, low, high = self.levels[-1]
-            at = np.arange(0, len(b), FAN)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(small, at), np.maximum.reduceat(large, at), np.maximum.reduceat(extra, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            at = np.arange(0, len(self.levels[-1][0]), FAN)
+            by = (np.bitwise_or, most, least, most, most, least, most)
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip(by, self.levels[-1], strict=True)))
 
     def level(self, up: int):
         return self.levels[min(up, len(self.levels) - 1)]
@@ -176,13 +188,15 @@ class Tree:
 
 def possible(a: Tree, b: Tree, up: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Of pairs of nodes of a level, those that may hold a link between different labels."""
-    (bits_a, small_a, large_a, extra_a, low_a, high_a), (bits_b, small_b, large_b, extra_b, low_b, high_b) = a.level(up), b.level(up)
+    bits_a, width_a, small_a, large_a, extra_a, low_a, high_a = a.level(up)
+    bits_b, width_b, small_b, large_b, extra_b, low_b, high_b = b.level(up)
     fit = 100 * np.minimum(large_a[i], large_b[j]) >= percent * np.maximum(small_a[i], small_b[j])
     fit &= ~((low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j]))
     i, j = i[fit], j[fit]
     overlap = np.empty(len(i), np.int64)
     for k in range(0, len(i), 65536):
-        overlap[k : k + 65536] = _ones(bits_a[i[k : k + 65536]] & bits_b[j[k : k + 65536]])
+        x, y = i[k : k + 65536], j[k : k + 65536]
+        overlap[k : k + 65536] = _shared_bits(bits_a[x], bits_b[y], np.maximum(width_a[x], width_b[y]))
     overlap = np.minimum(overlap + np.minimum(extra_a[i], extra_b[j]), np.minimum(large_a[i], large_b[j]))
     fit[fit] = (100 + percent) * overlap >= percent * (small_a[i] + small_b[j])
     return fit
@@ -226,14 +240,13 @@ def candidate_pairs(trees: DataFrame, percent: int) -> DataFrame:
 
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         side = rows.column("side").to_numpy()
-        bits, ones = _unfolded(rows.column("bits").to_pylist())
-        cls, n, label = (rows.column(c).to_numpy() for c in ("cls", "n", "label"))
+        sets = [*(rows.column(c).to_numpy() for c in ("cls", "n", "label")), *_unfolded(rows.column("bits").to_pylist())]
         if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
-            a = b = Tree(cls, n, label, bits, ones)
+            a = b = Tree(*sets)
         else:
             if side.all() or not side.any():
                 return
-            a, b = (Tree(cls[side == s], n[side == s], label[side == s], bits[side == s], ones[side == s]) for s in (0, 1))
+            a, b = (Tree(*(x[side == s] for x in sets)) for s in (0, 1))
         for x, y in dual_traversal(a, b, percent):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -250,10 +263,10 @@ def possible_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
-            (x, one), (y, two) = _unfolded(batch.column("x").to_pylist()), _unfolded(batch.column("y").to_pylist())
-            width = max(x.shape[1], y.shape[1])
-            overlap = _ones(np.tile(x, width // x.shape[1]) & np.tile(y, width // y.shape[1]))
-            overlap = np.minimum(overlap + np.minimum(m - one, n - two), np.minimum(m, n))
+            bits, ones, widths = _unfolded(batch.column("x").to_pylist() + batch.column("y").to_pylist())
+            k = batch.num_rows
+            overlap = _shared_bits(bits[:k], bits[k:], np.maximum(widths[:k], widths[k:]))
+            overlap = np.minimum(overlap + np.minimum(m - ones[:k], n - ones[k:]), np.minimum(m, n))
             yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * overlap >= percent * (m + n)))
 
     left = signs.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
@@ -296,10 +309,20 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of classes whose sets are similar. ``of``: ``cls, doc_id`` of one document per class."""
+    """The pairs of classes whose sets are similar. ``of``: ``cls, doc_id`` of one document per class.
+
+    Where an id is repeated with other texts, only the text of the class is read for it.
+    """
     pairs = settle(pairs)
     needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(of, "cls"))
-    texts = settle(of_ids(docs, needed).join(needed, "doc_id").groupBy("cls").agg(F.min("text").alias("text")))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            real = [_class_of(_set_of(t, width)) == c for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(real, pa.bool_()))
+
+    texts = of_ids(docs, needed).join(needed, "doc_id").select("cls", "text").mapInArrow(own, "cls long, text string")
+    texts = settle(texts.groupBy("cls").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -312,16 +335,14 @@ def linked(pairs: DataFrame, docs: DataFrame, of: DataFrame, width: int, percent
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
-    return settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
+    found = settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    for cut in (pairs, needed, texts):
+        discard(cut)
+    return found
 
-def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
-    A null or empty text has no shingles and links with nothing. Rows with equal sets are one class, linked by
-    themselves; a null id is never a component's id unless no row of the component has another. Rows that repeat an id
-    are described one by one. An empty table gives no rows; other columns are not read.
-    """
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, mark, n, root`` of each row; ``root`` is a class of the component, null for sets without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = settle(described(docs, width))
     known = parts.where("seen IS NULL")
@@ -336,19 +357,39 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     open_trees = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     trees = labelled.join(open_trees, "token").join(signs, "cls")
     more = linked(candidate_pairs(trees, percent), docs, of, width, percent)
-    roots = connected_components(found.unionByName(more)).withColumnRenamed("id", "cls")
-    placed = known.select("doc_id", "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    with_words = placed.where("n > 0").join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.unionByName(placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    roots = settle(connected_components(found.unionByName(more)))
+    for cut in (shared, signs, labels, found, more):
+        discard(cut)
+    placed = known.select("doc_id", "mark", "n", "cls").join(roots.withColumnRenamed("id", "cls"), "cls", "left")
+    return placed.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls"))).drop("cls")
+
+
+def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+
+    A null or empty text has no shingles and links with nothing. Rows with equal sets are one class, linked by
+    themselves; a null id is never a component's id unless no row of the component has another. Rows that repeat an id
+    are described one by one, each by its own text. An empty table gives no rows; other columns are not read.
+    """
+    placed = _components(docs, width, percent)
+    smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    with_words = placed.where("root IS NOT NULL").join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return with_words.unionByName(placed.where("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of the smallest id, with the columns it came with. Rows without an id stay."""
-    lost = ngram_components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    """One row of each component, that of the smallest id, with the columns it came with. Rows without an id stay.
+
+    A row is known by its id and its text: of rows that repeat an id, each text goes or stays by its own component, the
+    smaller hash of text deciding where both are the component's first. Rows equal in both are one.
+    """
+    placed = _components(docs, width, percent).where("doc_id IS NOT NULL")
+    first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    lost = placed.join(first, "root").where(F.struct("doc_id", "mark") != F.col("first")).select("doc_id", "mark").distinct()
+    mark = F.xxhash64("text").alias("mark")
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    held = docs.select("doc_id", alone.alias("alone"), F.struct("*").alias("row")).join(lost, "doc_id", "left_anti")
-    return held.dropDuplicates(["doc_id", "alone"]).select("row.*")
+    held = docs.select("doc_id", mark, alone.alias("alone"), F.struct("*").alias("row")).join(lost, ["doc_id", "mark"], "left_anti")
+    return held.dropDuplicates(["doc_id", "mark", "alone"]).select("row.*")
 
 
 @query("op10_ngram_jaccard_join")

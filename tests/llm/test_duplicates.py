@@ -82,7 +82,7 @@ def test_tree_traversal_is_exact_for_any_split(monkeypatch):
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 2**63, r.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], r.integers(0, 2**63, 5).astype(np.uint64)])) for s in sets]
-    bits, ones = ngram_join._unfolded([ngram_join._bitmap(s) for s in sets])
+    bits, ones, wide = ngram_join._unfolded([ngram_join._bitmap(s) for s in sets])
     cls, n = np.arange(len(sets)), np.array([len(s) for s in sets])
     want = set()
     for a, b in itertools.combinations(range(len(sets)), 2):
@@ -90,278 +90,36 @@ def test_tree_traversal_is_exact_for_any_split(monkeypatch):
         if 100 * both >= 75 * (n[a] + n[b] - both):
             want.add((a, b))
     label = cls.copy()
-    tree = ngram_join.Tree(cls, n, label, bits, ones)
+    tree = ngram_join.Tree(cls, n, label, bits, ones, wide)
     pairs = {tuple(sorted(p)) for x, y in ngram_join.dual_traversal(tree, tree, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert want and want <= pairs and len(pairs) < 4 * len(want)
     left = cls % 3 == 0
-    one, two = (ngram_join.Tree(cls[m], n[m], label[m], bits[m], ones[m]) for m in (left, ~left))
+    one, two = (ngram_join.Tree(cls[m], n[m], label[m], bits[m], ones[m], wide[m]) for m in (left, ~left))
     crossed = {tuple(sorted(p)) for x, y in ngram_join.dual_traversal(one, two, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert {p for p in want if left[p[0]] != left[p[1]]} <= crossed
     same = np.zeros(len(sets), np.int64)
-    assert not list(ngram_join.dual_traversal(t := ngram_join.Tree(cls, n, same, bits, ones), t, 75))
+    assert not list(ngram_join.dual_traversal(t := ngram_join.Tree(cls, n, same, bits, ones, wide), t, 75))
 
 
-def test_split_trees_find_the_same(docs_of, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TREE_SETS", 4)
-    texts = family_texts(2)[:120]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(texts)).collect()}
-    assert got == brute_components(texts)
-
-
-def test_compact_windows_equal_definition():
-    r = np.random.default_rng(1)
-    for n, width in ((0, 3), (2, 3), (3, 3), (50, 7), (64, 8), (5, 1)):
-        values = r.integers(0, 30, n).astype(np.uint64)
-        low, first, last = passages.compact_windows(values, width)
-        of = {}
-        for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            for i in range(a, b - width + 2):
-                of[i] = low[k]
-        assert of == {i: values[i : i + width].min() for i in range(n - width + 1)}
-
-
-def test_passages(docs_of):
-    r = random.Random(7)
-    shared, short = words(r, 70), words(r, 40)
-    texts = [None, "", "few words"]
-    for k in range(60):
-        own = words(r, 150, 10**6)
-        at = r.randrange(len(own))
-        if k % 3 == 0:
-            own[at:at] = shared
-        elif k % 3 == 1:
-            own[at:at] = short
-        texts.append(" ".join(own))
-    copy = " ".join(words(r, 90, 10**6))
-    texts += [copy] * 8
-    near = words(r, 300, 10**6)
-    texts += [" ".join(near), " ".join(edited(r, near, 5)).upper()]
-    docs = docs_of(texts)
-    found = passages.repeated_passages(docs).collect()
-    with_shared = [k for k, t in enumerate(texts) if t and " ".join(shared) in t]
-    copies = [k for k, t in enumerate(texts) if t == copy]
-    last = len(texts) - 1
-    assert {f.doc_id for f in found} == {*with_shared[1:], *copies[1:], last}
-    for f in found:
-        w = texts[f.doc_id].split()
-        if f.doc_id in with_shared:
-            assert f.source_doc_id in with_shared and " ".join(w[f.start : f.start + f.n_words]) == " ".join(shared)
-        elif f.doc_id in copies:
-            assert (f.start, f.n_words) == (0, 90)
-    assert sum(f.n_words for f in found if f.doc_id == last) >= 250
-    cut = {x.doc_id: x for x in passages.cut_repeats(docs).collect()}
-    assert sorted(set(range(len(texts))) - set(cut)) == [*copies[1:], last]
-    for k, t in enumerate(texts):
-        if k in cut and k not in with_shared[1:] and k != last:
-            assert cut[k].text == t
-    for k in with_shared[1:]:
-        assert " ".join(shared) not in cut[k].text and len(cut[k].text.split()) == 150 and cut[k].n_chars == len(cut[k].text)
-    assert passages.cut_repeats(docs).columns == docs.columns
-    assert passages.repeated_passages(docs_of([])).count() == 0
-    twice = [(None, copy, "s"), (3, copy, "s"), (3, copy, "s"), (4, copy, "s")]
-    assert {(f.doc_id, f.source_doc_id) for f in passages.repeated_passages(docs_of(twice)).collect()} == {(4, 3)}
-
-
-def vectors(spark, rows):
-    return spark.createDataFrame([(*r, 1, "k") for r in rows], "vec_id long, embedding array<float>, cls int, key string")
-
-
-def test_embeddings_equal_brute_force(spark, monkeypatch):
+def test_bounds_of_narrow_bitmaps_beside_a_wide_one():
     r = np.random.default_rng(5)
-    centres = r.standard_normal((12, 32))
-    x = np.concatenate([r.standard_normal((300, 32)), *(c + 0.08 * r.standard_normal((40, 32)) for c in centres), np.repeat(centres[:1], 30, axis=0)]).astype(np.float32)
-    x = x[r.permutation(len(x))]
-    rows = [(int(k) + 10, v.tolist()) for k, v in enumerate(x)]
-    extra = [(1, None), (2, [0.0] * 32), (3, [float("nan")] * 32), (4, [1.0, None] * 16), (5, [1.0]), (None, x[0].tolist())]
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
-    got = {v.vec_id: v for v in embeddings.near_duplicates(vectors(spark, rows + extra)).collect()}
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    like = unit @ unit.T >= 0.9
-    np.fill_diagonal(like, False)
-    found = sum(got[k + 10].n_links for k in range(len(x)))
-    assert 0.9 * like.sum() <= found <= like.sum()
-    assert all(got[k + 10].n_links <= n for k, n in enumerate(like.sum(axis=1)))
-    assert all(v.kept == (v.vec_id == v.component_id) for v in got.values() if v.vec_id is not None)
-    for k in (1, 2, 3, 4, 5):
-        assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
-    assert got[None].n_links == 0
-    for k in range(len(x)):
-        assert got[k + 10].component_id <= k + 10
-
-
-def test_embeddings_edges(spark):
-    assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
-    same = [(k, [1.0, 2.0, 3.0]) for k in range(5)] + [(9, [2.0, 4.0, 6.0]), (12, [-1.0, 0.0, 0.5])]
-    got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.near_duplicates(vectors(spark, same)).collect()}
-    assert got == {0: (5, 0), 1: (5, 0), 2: (5, 0), 3: (5, 0), 4: (5, 0), 9: (5, 0), 12: (0, 12)}
-
-
-def test_passages_behind_popular_runs(docs_of):
-    """Every older document holds a run of the passage, and documents between source and copy hold it too."""
-    r = random.Random(11)
-    run = words(r, 44, 10**6)
-    filler = lambda: words(r, 80, 10**6)
-    popular = lambda n: [" ".join([*filler(), *run, *filler()]) for _ in range(n)]
-    passages_ = [[*words(r, 8, 10**6), *run, *words(r, 8, 10**6)] for _ in range(12)]
-    near = [edited(r, p, 1) for p in passages_[6:]]
-    texts = popular(25) + [" ".join([*filler(), *p, *filler()]) for p in passages_] + popular(25)
-    at = len(texts)
-    texts += [" ".join([*filler(), *p, *filler()]) for p in passages_[:6] + near]
-    found = passages.repeated_passages(docs_of(texts)).collect()
-    exact = {(f.doc_id, f.source_doc_id): f for f in found}
-    for k in range(6):
-        f = exact[at + k, 25 + k]
-        assert texts[f.doc_id].split()[f.start : f.start + f.n_words] == passages_[k]
-    assert {f.doc_id for f in found} <= set(range(at, at + 12))
-
-
-def test_passages_of_two_sources_that_overlap(docs_of):
-    x = words(random.Random(3), 131, 10**6)
-    found = passages.repeated_passages(docs_of([" ".join(x[:100]), " ".join(x[60:]), " ".join(x)])).collect()
-    assert {(f.doc_id, f.source_doc_id, f.start, f.n_words) for f in found} >= {(2, 0, 0, 100)}
-    covered = {w for f in found if f.doc_id == 2 for w in range(f.start, f.start + f.n_words)}
-    assert covered == set(range(131))
-
-
-def pairs_of_bands(shared, bands, n, dim=64):
-    """2 n vectors a band with a mean cosine of ``shared``; vector k and its partner are at the band's cosine."""
-    r = np.random.default_rng(8)
-    ways = np.linalg.qr(r.standard_normal((dim, dim)))[0]
-    x = r.standard_normal((len(bands) * n, dim - 1))
-    x = np.sqrt(1 - shared) * x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.concatenate([np.full((len(x), 1), np.sqrt(shared)), x], axis=1) @ ways
-    z = r.standard_normal(x.shape)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    c = np.repeat(bands, n)[:, None]
-    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).astype(np.float32)
-
-
-@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8, 0.9])
-def test_embeddings_recall_by_band(spark, shared):
-    """Links at cosines from 0.90 up, 64 components, with and without a direction that all vectors have in common."""
-    bands = (0.901, 0.92, 0.95, 0.98)
-    x = pairs_of_bands(shared, bands, 150)
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    like = unit @ unit.T
-    np.fill_diagonal(like, 0)
-    got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])).collect()}
-    found, true = np.array([got[k] for k in range(len(x))]), (like >= 0.9).sum(axis=1)
-    assert (found <= true).all()
-    for b in range(len(bands)):
-        own = slice(b * 150, (b + 1) * 150)
-        assert found[own].sum() >= 0.99 * true[own].sum(), (bands[b], found[own].sum(), true[own].sum())
-
-
-def test_codes_meet_in_some_table_by_band():
-    """The search alone, as it is set for 2^20 vectors: pairs of each band that share a key and pass the filter."""
-    for shared in (0.0, 0.5, 0.8, 0.9):
-        x = pairs_of_bands(shared, (0.9, 0.95), 1000).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        n = embeddings.tables_of(20, 0.9)
-        bits = embeddings.Codes(x[:1500], 20 * n, rounds=5).bits(x)
-        keys = embeddings.chunk_keys(bits, 20)
-        half = len(x) // 2
-        near = (bits[:half, : embeddings.FILTER_BITS] != bits[half:, : embeddings.FILTER_BITS]).sum(axis=1) <= embeddings.REACH * embeddings.FILTER_BITS
-        met = (keys[:half] == keys[half:]).any(axis=1) & near
-        assert met[:1000].mean() >= 0.99 and met[1000:].mean() >= 0.999
-
-
-def test_embeddings_of_unlike_lengths_and_few_components(spark):
-    r = np.random.default_rng(3)
-    turns = r.uniform(0, 2 * np.pi, 60)
-    flat = np.stack([np.cos(turns), np.sin(turns)], axis=1)
-    rows = [(k, [1.0, 2.0, 3 + k / 1000]) for k in range(5)] + [(10, [2.0]), (11, [5.0]), (12, [-1.0])]
-    rows += [(100 + k, v.tolist()) for k, v in enumerate(flat)]
-    got = {v.vec_id: (v.n_links, v.component_id) for v in embeddings.near_duplicates(vectors(spark, rows)).collect()}
-    assert [got[k] for k in range(5)] == [(4, 0)] * 5
-    assert (got[10], got[11], got[12]) == ((1, 10), (1, 10), (0, 12))
-    true = (flat @ flat.T >= 0.9).sum() - 60
-    assert 0.99 * true <= sum(got[100 + k][0] for k in range(60)) <= true
-
-
-def test_labels_and_left_labels_keep_components():
-    """Pairs that come in portions: rows with their labels, and labels left, hold each component together."""
-    r = np.random.default_rng(4)
-
-    def roots(n, edges):
-        root = list(range(n))
-        for a, b in edges:
-            old, new = max(root[a], root[b]), min(root[a], root[b])
-            root = [new if k == old else k for k in root]
-        return root
-
-    for _ in range(60):
-        own = words(r, r.randrange(6, 300)) + line
-        texts.append(" ".join(own))
-        if r.random() < 0.5:
-            texts.append(" ".join(edited(r, own, r.randrange(1, 8))))
-    texts.append(" ".join(words(r, 20_000, 10**6)))
-    texts.append(texts[-1] + " more words at the end")
-    return texts
-
-
-def brute_components(texts, percent=75):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    low = list(range(len(sets)))
-
-    def find(x):
-        while low[x] != x:
-            x = low[x]
-        return x
-
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((find(a), find(b)))
-            low[y] = x
-    return {k: (len(s), find(k)) for k, s in enumerate(sets)}
-
-
-def test_ngram_join_equals_brute_force(docs_of):
-    texts = family_texts()
-    docs = docs_of(texts)
-    want = brute_components(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect()}
-    assert got == want
-    kept = ngram_join.keep_one_per_group(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
-
-
-def test_ngram_join_edges(docs_of):
-    assert ngram_join.ngram_components(docs_of([])).count() == 0
-    rows = [(None, "a b c d e f", "s"), (None, None, "s"), (4, "a b c d e f", "s"), (4, "a b c d e f", "s"), (2, "x y z", "s")]
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id is not None and r.component_id or -1) for r in ngram_join.ngram_components(docs_of(rows)).collect())
-    assert got == [(False, 0, 0, -1), (False, 0, 2, 4), (True, 2, 1, 2), (True, 4, 2, 4), (True, 4, 2, 4)]
-    kept = sorted(str(r.doc_id) for r in ngram_join.keep_one_per_group(docs_of(rows)).collect())
-    assert kept == ["2", "4", "None", "None"]
-
-
-def test_tree_traversal_is_exact_for_any_split(monkeypatch):
-    r = np.random.default_rng(3)
-    sets = [np.unique(r.integers(0, 2**63, r.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
-    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], r.integers(0, 2**63, 5).astype(np.uint64)])) for s in sets]
-    bits, ones = ngram_join._unfolded([ngram_join._bitmap(s) for s in sets])
-    cls, n = np.arange(len(sets)), np.array([len(s) for s in sets])
-    want = set()
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        both = len(np.intersect1d(sets[a], sets[b]))
-        if 100 * both >= 75 * (n[a] + n[b] - both):
-            want.add((a, b))
-    label = cls.copy()
-    tree = ngram_join.Tree(cls, n, label, bits, ones)
-    pairs = {tuple(sorted(p)) for x, y in ngram_join.dual_traversal(tree, tree, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert want and want <= pairs and len(pairs) < 4 * len(want)
-    left = cls % 3 == 0
-    one, two = (ngram_join.Tree(cls[m], n[m], label[m], bits[m], ones[m]) for m in (left, ~left))
-    crossed = {tuple(sorted(p)) for x, y in ngram_join.dual_traversal(one, two, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert {p for p in want if left[p[0]] != left[p[1]]} <= crossed
-    same = np.zeros(len(sets), np.int64)
-    assert not list(ngram_join.dual_traversal(t := ngram_join.Tree(cls, n, same, bits, ones), t, 75))
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (100, 100, 4000)]
+    bits, ones, wide = ngram_join._unfolded([ngram_join._bitmap(s) for s in sets])
+    assert len(set(wide.tolist())) == 2
+    alone, _, own = ngram_join._unfolded([ngram_join._bitmap(s) for s in sets[:2]])
+    assert ngram_join._shared_bits(bits[0], bits[1], wide[0]) == ngram_join._shared_bits(alone[0], alone[1], own[0])
+    tree = ngram_join.Tree(np.arange(3), np.array([len(s) for s in sets]), np.arange(3), bits, ones, wide)
+    assert not list(ngram_join.dual_traversal(tree, tree, 75))
+
+
+def test_ngram_join_of_repeated_ids(docs_of):
+    b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "bcd")
+    rows = [(5, b, "s"), (5, c, "s"), (9, c + " y", "s")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(rows)).collect())
+    assert got == [(5, 26, 5), (5, 26, 5), (9, 27, 5)]
+    rows = [(1, b, "s"), (5, b, "s"), (5, c, "s"), (7, b, "s"), (7, d, "s"), (7, d, "s"), (8, c + " y", "s")]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one_per_group(docs_of(rows)).collect())
+    assert kept == [(1, b), (5, c), (7, d)]
 
 
 def test_split_trees_find_the_same(docs_of, monkeypatch):
