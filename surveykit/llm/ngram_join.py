@@ -29,7 +29,7 @@ from surveykit.session import discard, settle
 
 WIDTH = 5
 PERCENT = 75
-LEAST_BITS, MOST_BITS = 512, 1 << 14
+LEAST_BITS, MOST_BITS = 256, 1 << 14
 BUCKETS = 1 << 18
 TREE_SETS = 4096
 FAN = 8
@@ -46,8 +46,12 @@ def _class_of(values: np.ndarray) -> int:
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """A power of two of bits, about four for each shingle within limits."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(values) - 1).bit_length()))
+    """A power of two of bits, one and a half to three for each shingle within limits.
+
+    Sets without a common shingle then show five eighths of the overlap that a link needs at most, at a third of the
+    bytes that four bits a shingle take through the shuffles.
+    """
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (3 * len(values) // 2).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(values % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -127,39 +131,40 @@ def bucket_ranks(parts: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, cls``: the shingles of each set of which similar sets share one."""
+    """``token, cls, doc_id``: the shingles of each set of which similar sets share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens, classes = [], []
-            for text in batch.column("text").to_pylist():
+            tokens, classes, ids = [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 values = _set_of(text, width)
                 if n := len(values):
                     order = np.argsort(ranks[(values >> np.uint64(46)).astype(np.int64)], kind="stable")
                     first = values[order[: n - -(-percent * n // 100) + 1]]
                     tokens.append(first.view(np.int64))
                     classes.append(np.full(len(first), _class_of(values), np.int64))
+                    ids.append(np.full(len(first), doc, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(classes))], ["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, classes, ids)], ["token", "cls", "doc_id"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "token long, cls long, doc_id long")
 
 
-def shared_tokens(tokens: DataFrame, of: DataFrame) -> DataFrame:
+def shared_tokens(tokens: DataFrame) -> DataFrame:
     """The rows of tokens that two classes have, once each, and of tokens with the same classes only one token's.
 
-    ``leader`` is the class of the tree's smallest document id: copies mostly resemble what came first.
+    ``leader`` is the class of the tree's smallest document id: copies mostly resemble what came first. All that is
+    known of a token's classes is found where the token's rows meet once.
     """
     by = Window.partitionBy("token")
     kept = (
-        tokens.withColumns({"lo": F.min("cls").over(by), "hi": F.max("cls").over(by), "prev": F.lag("cls").over(by.orderBy("cls"))})
+        tokens.withColumns({"lo": F.min("cls").over(by), "hi": F.max("cls").over(by), "prev": F.lag("cls").over(by.orderBy("cls", "doc_id"))})
         .where("lo <> hi AND (prev IS NULL OR prev <> cls)")
-        .select("token", "cls")
+        .withColumns({"sets": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("cls")).over(by), "y": F.bit_xor(F.hash("cls", F.lit(7))).over(by), "leader": F.min_by("cls", F.struct("doc_id", "cls")).over(by)})
     )
-    kept = settle(kept.join(of, "cls"))
-    posting = kept.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls", F.lit(7))).alias("y"), F.min_by("cls", F.struct("doc_id", "cls")).alias("leader"), F.max("cls").alias("hi"))
-    one = posting.groupBy("sets", "x", "y", "leader", "hi").agg(F.min("token").alias("token")).select("token", "sets", "leader")
-    shared = settle(kept.drop("doc_id").join(one, "token"))
+    kept = settle(kept.select("token", "cls", "sets", "x", "y", "leader", "hi"))
+    one = kept.where("cls = leader").groupBy("sets", "x", "y", "leader", "hi").agg(F.min("token").alias("token")).select("token")
+    shared = settle(kept.select("token", "cls", "sets", "leader").join(one, "token"))
     discard(kept)
     return shared
 
@@ -347,7 +352,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = settle(described(docs, width))
     known = parts.where("seen IS NULL")
     of = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent), of)
+    shared = shared_tokens(prefix_tokens(docs, bucket_ranks(parts), width, percent))
     signs = known.where("n > 0").join(of, ["cls", "doc_id"]).select("cls", "n", "bits").dropDuplicates(["cls"])
     signs = settle(signs.join(shared.select("cls").distinct(), "cls"))
     stars = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()

@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: words kept by a worker; past that the table starts anew
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 _KNOWN: dict[bytes, int] = {}
 _ODD = (2 * np.arange(1, 65, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
