@@ -105,6 +105,11 @@ def open_table(path: str) -> PieceTable:
     return _OPEN[path]
 
 
+def forget() -> None:
+    """Give back what this worker keeps of pieces; a task that encodes none calls it, as workers outlive tasks."""
+    _OPEN.clear()
+
+
 def encoded(texts: Iterable[str | None], path: str, end: int) -> Iterator[bytes]:
     table, tail = open_table(path), np.array([end], dtype="<u4").tobytes()
     for text in texts:

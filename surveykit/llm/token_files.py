@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveykit.llm.bpe import encoded, public_vocabulary, slices
+from surveykit.llm.bpe import encoded, forget, public_vocabulary, slices
 from surveykit.llm.registry import query, table
 from surveykit.session import discard, scratch_path, settle
 
@@ -73,31 +73,38 @@ def _narrow(ids: int) -> np.dtype:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end: int, ids: int) -> DataFrame:
-    """``doc_id, ids``: all ids of the text and the end id, in as few bytes each as a vocabulary of ``ids`` needs."""
-    kind = _narrow(ids)
+    """``doc_id, ids``: all ids of the text and the end id, in as few bytes each as a vocabulary of ``ids`` needs.
+
+    One more row per task has ``seen``, how often each id came in the task, and nulls for the rest.
+    """
+    kind, names = _narrow(ids), ["doc_id", "ids", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(ids, np.int64)
         for batch in slices(batches):
-            held = (np.frombuffer(one, "<u4").astype(kind).tobytes() for one in encoded(batch.column("text").to_pylist(), vocabulary, end))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], ["doc_id", "ids"])
+            held = [np.frombuffer(one, "<u4").astype(kind).tobytes() for one in encoded(batch.column("text").to_pylist(), vocabulary, end)]
+            seen += np.bincount(np.frombuffer(b"".join(held), kind), minlength=ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary()), pa.nulls(len(held), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, seen binary")
 
 
 def frequency_ranks(tokens: DataFrame, ids: int) -> np.ndarray:
     """Ids by falling frequency in all documents, the smaller first on ties; as long as the vocabulary."""
-    kind = _narrow(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen = np.zeros(ids, np.int64)
         for batch in batches:
-            for one in batch.column("ids"):
-                seen += np.bincount(np.frombuffer(one.as_buffer(), kind), minlength=ids)
+            for one in batch.column("seen"):
+                seen += np.frombuffer(one.as_buffer(), np.int64)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 
     total = np.zeros(ids, np.int64)
-    for row in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(count, "id long, n long")
+    for row in counts.groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[row.id] = row.n
     return np.argsort(-total, kind="stable").astype("<u4")
 
@@ -117,6 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
     target = f"{folder}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         task = TaskContext.get()
         store, root = pyarrow.fs.FileSystem.from_uri(_plain(target))
         store.create_dir(root, recursive=True)
@@ -144,7 +152,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
             number, before = flush()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([before], pa.int64())], ["part", "ids"])
 
-    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    ordered = tokens.where("seen IS NULL").select("doc_id", "ids").withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     sizes = ordered.mapInArrow(run, "part long, ids long").collect()
     discard(tokens)
     out = np.zeros(max((r.part for r in sizes), default=-1) + 1, np.int64)
@@ -166,6 +174,7 @@ def read_token_files(spark: SparkSession, folder: str, part_ids: np.ndarray) ->
     first = np.concatenate([[0], np.cumsum(part_ids)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for one in batch.column("content"):
                 part, before, doc_ids, counts, values = from_file(one.as_py())
