@@ -21,6 +21,14 @@ def _cells(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> Colum
     )
 
 
+def listed(rows: DataFrame) -> DataFrame:
+    """Rows that are listed once per cell, for a join by cell that never sends them whole to the driver.
+
+    The planner takes a listing to be as small as the rows before it, and would broadcast it.
+    """
+    return rows.hint("merge")
+
+
 def radius_join(points: DataFrame, targets: DataFrame, keys: Sequence[str], radius: float, px="x", py="y", tx="tx", ty="ty", strict: bool = False) -> DataFrame:
     """All (point, target) rows within ``radius`` with the distance ``d``.
 
@@ -33,7 +41,7 @@ def radius_join(points: DataFrame, targets: DataFrame, keys: Sequence[str], radi
         "_g", F.struct(F.floor(F.col(tx) / size).alias("gx"), F.floor(F.col(ty) / size).alias("gy"))
     )
     d = hypot2(F.col(px) - F.col(tx), F.col(py) - F.col(ty))
-    found = p.join(t, [*keys, "_g"]).withColumn("d", d).drop("_g")
+    found = listed(p).join(t, [*keys, "_g"]).withColumn("d", d).drop("_g")
     return found.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
@@ -58,7 +66,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: Sequence[st
         F.explode(_cells(c("x", F.array_min), c("x", F.array_max), c("y", F.array_min), c("y", F.array_max), cell)),
     ).select(*keys, "_g", F.col("ord").alias("_ord"), "polygon")
     p = points.withColumn("_g", F.struct(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")))
-    hit = p.join(boxed, [*keys, "_g"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("polygon")))
+    hit = p.join(listed(boxed), [*keys, "_g"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("polygon")))
     first = hit.groupBy(*keys, *point_id).agg(F.min("_ord").alias("room_ord"))
     return points.join(first, [*keys, *point_id], "left")
 
@@ -95,7 +103,7 @@ def snap_to_edges(points: DataFrame, edges: DataFrame, keys: Sequence[str], poin
         "_g", F.explode(_cells(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")), low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")), size))
     )
     p = points.withColumn("_g", F.struct(F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy")))
-    j = p.join(spread.select(*keys, "_g", "ord", "edge_no", "ax", "ay", "bx", "by"), [*keys, "_g"])
+    j = p.join(listed(spread.select(*keys, "_g", "ord", "edge_no", "ax", "ay", "bx", "by")), [*keys, "_g"])
     qx, qy, d = foot_on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     j = j.withColumn("_d", d).where(F.col("_d") <= limit)
     angle = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
@@ -173,7 +181,7 @@ def overlap_pairs(boxes: DataFrame, keys: Sequence[str], iou: float, cross_label
         {k: F.col(f"a_{k}") for k in ("cx", "cy", "sx", "sy")}, {k: F.col(f"b_{k}") for k in ("cx", "cy", "sx", "sy")}
     )
     return (
-        left.join(right, [*keys, "_g"])
+        listed(left).join(right, [*keys, "_g"])
         .where((F.col("a_seq") < F.col("b_seq")) & labels)
         .withColumn("iou", share)
         .where(F.col("iou") >= iou)
