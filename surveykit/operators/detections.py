@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from surveykit.functions.boxes import box_iou, clip_box, orient_back, side, warp_box_back
 from surveykit.functions.text import canonical_label
 from surveykit.operators.components import connected_components
-from surveykit.operators.spatial import home_cell, overlap_pairs, probe_cells
+from surveykit.operators.spatial import home_cell, listed, overlap_pairs, probe_cells
 from surveykit.session import discard, settle
 
 FRAME = ("run_id", "stamp_ns")
@@ -55,11 +55,11 @@ def nms(boxes: DataFrame, keys: Sequence[str] = FRAME, iou: float = 0.50) -> Dat
         probes = left.select(*keys, "seq", "cx", "cy", "sx", "sy", rank.alias("_rank"), F.explode(probe_cells(iou)).alias("_g"))
         homes = left.withColumn("_g", home_cell()).withColumn("_rank", rank)
         tops = homes.groupBy(*cell).agg(F.min("_rank").alias("_top"))
-        best = probes.join(tops, cell).groupBy(*keys, "seq").agg(F.min("_top").alias("_top"))
+        best = listed(probes).join(tops, cell).groupBy(*keys, "seq").agg(F.min("_top").alias("_top"))
         won = settle(homes.join(best, [*keys, "seq"]).where(F.col("_rank") == F.col("_top")).drop("_top", "_rank"))
         lead = won.select(*cell, *[F.col(c).alias(f"w_{c}") for c in ("cx", "cy", "sx", "sy")])
         over = box_iou(side(), side("w_")) > iou
-        gone = probes.join(lead, cell).where(over).select(*keys, "seq").distinct()
+        gone = listed(probes).join(lead, cell).where(over).select(*keys, "seq").distinct()
         gone = gone.unionByName(won.select(*keys, "seq")).distinct()
         kept = kept.unionByName(won.drop("_g").select(*kept.columns))
         before, left = left, settle(left.join(gone, [*keys, "seq"], "left_anti"))
