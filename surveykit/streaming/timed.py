@@ -15,6 +15,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +23,7 @@ from surveykit.operators.asof import SIDES4, span_sets
 from surveykit.operators.association import radius_of
 from surveykit.operators.fusion import _Track
 from surveykit.streaming.live import event_time
+from surveykit.streaming.shards import dealt, packed, undealt, unpacked
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -90,32 +92,81 @@ def _keep(state, rows: pd.DataFrame) -> None:
         state.clear()
 
 
-def _in_order(held: pd.DataFrame, new: pd.DataFrame | None, passed: int, by: Sequence[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Rows that the watermark has passed, in order, and those that wait on."""
-    rows = held if new is None else new[held.columns] if not len(held) else pd.concat([held, new[held.columns]])
-    rows = rows.astype(dict.fromkeys(held.columns, "int64")) if len(rows) else rows
-    ripe = rows["stamp_ns"].to_numpy(np.int64) <= passed
-    return rows[ripe].sort_values(list(by), kind="stable"), rows[~ripe]
+class _Shard(_Woken):
+    """State of all keys of a shard: tables by name, each kept as one value."""
+
+    TABLES: dict[str, pa.Schema] = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = {name: handle.getValueState(name, "rows binary") for name in self.TABLES}
+
+    def load(self, name: str) -> pa.Table:
+        state = self.kept[name]
+        return unpacked(bytes(state.get()[0])) if state.exists() else self.TABLES[name].empty_table()
+
+    def save(self, name: str, table: pa.Table) -> None:
+        state = self.kept[name]
+        if table.num_rows:
+            state.update((packed(table),))
+        elif state.exists():
+            state.clear()
+
+    def ripe(self, new: pd.DataFrame | None, passed: int, by: Sequence[str]) -> tuple[pd.DataFrame, int]:
+        """Rows of table ``waiting`` and new ones that the watermark has passed, in order, and the next stamp waiting."""
+        schema = self.TABLES["waiting"]
+        held = self.load("waiting").to_pandas()
+        rows = held if new is None else new[schema.names] if not len(held) else pd.concat([held, new[schema.names]])
+        done = rows["stamp_ns"].to_numpy(np.int64) <= passed
+        waiting = rows[~done]
+        self.save("waiting", pa.Table.from_pandas(waiting, schema=schema, preserve_index=False))
+        return rows[done].sort_values(list(by), kind="stable"), int(waiting["stamp_ns"].min()) if len(waiting) else NEVER
+
+
+def _by_key(rows: pd.DataFrame, columns: Sequence[str]) -> dict[str, list[tuple]]:
+    found: dict[str, list[tuple]] = {}
+    for key, *row in zip(rows["key"].tolist(), *[rows[c].tolist() for c in columns], strict=True):
+        found.setdefault(key, []).append(tuple(row))
+    return found
+
+
+def _table(schema: pa.Schema, rows: Sequence[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 # ---------------------------------------------------------------- a topic that falls silent
 
 
-class _Watch(_Woken):
-    def __init__(self, keys: Sequence[str], timeout_ns: int, grace_ns: int, forget_ns: int | None):
-        self.keys, self.timeout, self.grace, self.forget = list(keys), timeout_ns, grace_ns, forget_ns
+class _Watch(_Shard):
+    TABLES = {
+        "waiting": pa.schema([("key", pa.string()), ("stamp_ns", pa.int64()), ("start", pa.int64())]),
+        "watch": pa.schema([("key", pa.string()), ("began", pa.int64()), ("last", pa.int64()), ("heard", pa.int64()), ("failed", pa.bool_()), ("wake", pa.int64())]),
+    }
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.waiting = handle.getListState("waiting", "stamp_ns bigint, start int")
-        self.watch = handle.getValueState("watch", "began bigint, last bigint, heard bigint, failed boolean")
+    def __init__(self, timeout_ns: int, grace_ns: int, forget_ns: int | None):
+        self.timeout, self.grace, self.forget = timeout_ns, grace_ns, forget_ns
 
     def advance(self, key, new, passed):
-        if new is not None:
-            new = new.assign(start=new["start"].astype("int64"))
-        ripe, waiting = _in_order(_held(self.waiting, ["stamp_ns", "start"]), new, passed, ["stamp_ns"])
-        began, last, heard, failed = self.watch.get() if self.watch.exists() else (None, None, None, False)
-        stamps, starts = (ripe[c].to_numpy(np.int64) for c in ("stamp_ns", "start"))
+        rows, wake = self.ripe(new, passed, ["stamp_ns"])
+        watch = {k: v for k, *v in zip(*[c.to_pylist() for c in self.load("watch").columns], strict=True)}
+        todo = dict.fromkeys((k for k, v in watch.items() if v[4] <= passed), ())
+        todo |= _by_key(rows, ["stamp_ns", "start"])
+        found = []
+        for k, seen in todo.items():
+            stamps, starts = np.array(seen, np.int64).reshape(-1, 2).T
+            facts, failures = self._turned(watch.pop(k, (None, None, None, False))[:4], stamps, starts, passed)
+            found += [(k, *f) for f in failures]
+            if facts is not None:
+                watch[k] = facts
+        self.save("watch", _table(self.TABLES["watch"], [(k, *v) for k, v in watch.items()]))
+        # a stamp beside a null must not become a double
+        columns = zip(["key", "reason", "last_ns", "due_ns"], list(zip(*found, strict=True)) or [()] * 4, [object, object, "Int64", "Int64"], strict=True)
+        return pd.DataFrame({n: pd.array(c, dtype=t) if t == "Int64" else pd.Series(c, dtype=t) for n, c, t in columns}), min([wake, *[v[4] for v in watch.values()]])
+
+    def _turned(self, facts: Sequence, stamps: np.ndarray, starts: np.ndarray, passed: int) -> tuple[tuple | None, list[tuple]]:
+        """What is known of one key after its rows, with the stamp to wake up at (null: nothing), and its failures."""
+        began, last, heard, failed = facts
         found = []
         while True:
             if failed:
@@ -128,23 +179,16 @@ class _Watch(_Woken):
             began, last, failure = self._judged(stamps, starts == 1, began, last, passed)
             if failure is None:
                 break
-            found.append((*key, *failure))
+            found.append(failure)
             failed, heard = True, began if failure[1] is None else failure[1]
             later = stamps > heard
             stamps, starts = stamps[later], starts[later]
-        _keep(self.waiting, waiting)
         if failed:
             wake = NEVER if self.forget is None else heard + self.forget + _MS
         else:
             wake = last + self.timeout + _MS if last is not None else began + self.grace + _MS if began is not None else NEVER
-        if failed or began is not None or last is not None:
-            self.watch.update((began, last, heard, failed))
-        elif self.watch.exists():
-            self.watch.clear()
-        if len(waiting):
-            wake = min(wake, int(waiting["stamp_ns"].min()))
-        out = pd.DataFrame(found, columns=[*self.keys, "reason", "last_ns", "due_ns"])
-        return out.astype({"last_ns": "Int64", "due_ns": "Int64"}), wake
+        known = failed or began is not None or last is not None
+        return (began, last, heard, failed, wake) if known else None, found
 
     def _after_silence(self, heard: int, stamps: np.ndarray, passed: int) -> int | None:
         """Where the rows after a silence of ``forget`` begin; none while the failure is remembered."""
@@ -182,47 +226,54 @@ def silent_topics(messages: DataFrame, keys: Sequence[str], key_ddl: str, timeou
     message. Without ``forget_ns`` a failed key stays failed for ever; with it, its state goes once it has been silent so
     long, and a later message is watched anew.
     """
-    rows = _timed(messages.select(*keys, "stamp_ns", F.coalesce("start", F.lit(False)).cast("int").alias("start")), delay)
-    watch = _Watch(keys, timeout_ns, grace_ns, forget_ns)
-    return rows.groupBy(*keys).transformWithStateInPandas(watch, f"{key_ddl}, reason string, last_ns bigint, due_ns bigint", "append", "eventtime")
+    rows = _timed(dealt(messages, keys, "stamp_ns", F.coalesce("start", F.lit(False)).cast("bigint").alias("start")), delay)
+    watch = _Watch(timeout_ns, grace_ns, forget_ns)
+    out = rows.groupBy("shard").transformWithStateInPandas(watch, "key string, reason string, last_ns bigint, due_ns bigint", "append", "eventtime")
+    return undealt(out, key_ddl)
 
 
 # ---------------------------------------------------------------- nearest row of another stream
 
 
-class _Nearest(_Woken):
-    def __init__(self, keys: Sequence[str], tolerance_ns: int):
-        self.keys, self.tolerance = list(keys), tolerance_ns
+class _Nearest(_Shard):
+    SIDE = pa.schema([("key", pa.string()), ("bucket", pa.int64()), ("stamp_ns", pa.int64()), ("seq", pa.int64())])
+    TABLES = {"left": SIDE, "right": SIDE}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.left, self.right = (handle.getListState(n, "stamp_ns bigint, seq bigint") for n in ("left", "right"))
+    def __init__(self, tolerance_ns: int):
+        self.tolerance = tolerance_ns
 
     def advance(self, key, new, passed):
-        left, right = (_held(s, ["stamp_ns", "seq"]) for s in (self.left, self.right))
+        left, right = (self.load(n).to_pandas() for n in self.TABLES)
         if new is not None:
-            left, right = (pd.concat([h, new.loc[new["side"] == k, ["stamp_ns", "seq"]]]) if len(h) else new.loc[new["side"] == k, ["stamp_ns", "seq"]] for k, h in enumerate((left, right)))
-        right = right.sort_values(["stamp_ns", "seq"], kind="stable")
-        ripe = left["stamp_ns"].to_numpy(np.int64) + self.tolerance <= passed
-        asked, left = left[ripe].sort_values(["stamp_ns", "seq"], kind="stable"), left[~ripe]
-        first = right.drop_duplicates("stamp_ns")  # the smallest seq speaks for its stamp
-        stamps, seqs = first["stamp_ns"].to_numpy(np.int64), first["seq"].to_numpy(np.int64)
-        t = asked["stamp_ns"].to_numpy(np.int64)
-        after = np.searchsorted(stamps, t, side="right")
+            left, right = (pd.concat([h, new.loc[new["side"] == k, self.SIDE.names]]) if len(h) else new.loc[new["side"] == k, self.SIDE.names] for k, h in enumerate((left, right)))
+        rows = pd.concat([left, right])
+        group = rows.groupby(["key", "bucket"], sort=False).ngroup().to_numpy(np.int64)
+        known, rank = np.unique(rows["stamp_ns"].to_numpy(np.int64), return_inverse=True)
+        # one number per group and stamp, in their order
+        place = group * (len(known) + 1) + rank
+        n = len(left)
+        by_place = np.lexsort((right["seq"].to_numpy(np.int64), place[n:]))
+        places, first = np.unique(place[n:][by_place], return_index=True)  # the smallest seq speaks for its stamp
+        first = by_place[first]
+        stamps, seqs, of = (v[first] for v in (right["stamp_ns"].to_numpy(np.int64), right["seq"].to_numpy(np.int64), group[n:]))
+        left_ns = left["stamp_ns"].to_numpy(np.int64)
+        ripe = left_ns + self.tolerance <= passed
+        t, mine = left_ns[ripe], group[:n][ripe]
+        after = np.searchsorted(places, place[:n][ripe], side="right")
         far = np.int64(self.tolerance) + 1
-        padded = np.concatenate([stamps, [0]])
-        gap_before = np.where(after > 0, t - padded[after - 1], far)
-        gap_after = np.where(after < len(stamps), padded[np.minimum(after, len(stamps))] - t, far)
+        stamps, seqs, of = (np.concatenate([v, [e]]) for v, e in ((stamps, 0), (seqs, 0), (of, -1)))
+        gap_before = np.where(of[after - 1] == mine, t - stamps[after - 1], far)
+        gap_after = np.where(of[after] == mine, stamps[after] - t, far)
         pick = np.where(gap_before <= gap_after, after - 1, after)
-        gap = np.minimum(gap_before, gap_after)
-        near = gap <= self.tolerance
-        pick = pick[near]
-        out = pd.DataFrame({**dict(zip(self.keys, key, strict=False)), "left_seq": asked["seq"].to_numpy(np.int64)[near], "right_seq": seqs[pick], "left_ns": t[near], "right_ns": stamps[pick]})
+        near = np.minimum(gap_before, gap_after) <= self.tolerance
+        pick, asked = pick[near], left[ripe][near]
+        out = pd.DataFrame({"key": asked["key"].to_numpy(), "left_seq": asked["seq"].to_numpy(np.int64), "right_seq": seqs[pick], "left_ns": t[near], "right_ns": stamps[pick]})
         # rows that may still come lie behind the watermark
-        oldest = min(passed, int(left["stamp_ns"].min()) if len(left) else passed) - self.tolerance
-        right = right[right["stamp_ns"].to_numpy(np.int64) >= oldest]
-        _keep(self.left, left)
-        _keep(self.right, right)
+        oldest = np.full(group.max(initial=-1) + 1, passed)
+        np.minimum.at(oldest, group[:n][~ripe], left_ns[~ripe])
+        left, right = left[~ripe], right[right["stamp_ns"].to_numpy(np.int64) >= oldest[group[n:]] - self.tolerance]
+        for name, rest in (("left", left), ("right", right)):
+            self.save(name, pa.Table.from_pandas(rest, schema=self.SIDE, preserve_index=False))
         wake = int(left["stamp_ns"].min()) if len(left) else int(right["stamp_ns"].max()) if len(right) else NEVER
         return out, wake if wake == NEVER else wake + self.tolerance
 
@@ -239,9 +290,9 @@ def nearest_live(left: DataFrame, right: DataFrame, keys: Sequence[str], key_ddl
     bucket = lambda c: F.floor(c / width)
     l = left.select(*keys, F.lit(0).alias("side"), "stamp_ns", "seq", bucket(t).alias("bucket"))
     r = right.select(*keys, F.lit(1).alias("side"), "stamp_ns", "seq", F.explode(F.sequence(bucket(t - tolerance_ns), bucket(t + tolerance_ns))).alias("bucket"))
-    rows = _timed(l.unionByName(r), delay)
-    ddl = f"{key_ddl}, left_seq bigint, right_seq bigint, left_ns bigint, right_ns bigint"
-    return rows.groupBy(*keys, "bucket").transformWithStateInPandas(_Nearest(keys, tolerance_ns), ddl, "append", "eventtime")
+    rows = _timed(dealt(l.unionByName(r), keys, "side", "bucket", "stamp_ns", "seq", by=["bucket"]), delay)
+    out = rows.groupBy("shard").transformWithStateInPandas(_Nearest(tolerance_ns), "key string, left_seq bigint, right_seq bigint, left_ns bigint, right_ns bigint", "append", "eventtime")
+    return undealt(out, key_ddl)
 
 
 # ---------------------------------------------------------------- tracks
@@ -323,30 +374,30 @@ def live_tracks(observations: DataFrame, keys: Sequence[str], key_ddl: str, dela
 # ---------------------------------------------------------------- sets of four streams
 
 
-class _Sets(_Woken):
-    def __init__(self, keys: Sequence[str], slop_ns: int):
-        self.keys, self.slop = list(keys), slop_ns
+class _Sets(_Shard):
+    WAITING = pa.schema([("key", pa.string()), ("stamp_ns", pa.int64()), ("side", pa.int64()), ("seq", pa.int64())])
+    TABLES = {"waiting": WAITING, "open": WAITING}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.waiting, self.open = (handle.getListState(n, "stamp_ns bigint, side int, seq bigint") for n in ("waiting", "open"))
+    def __init__(self, slop_ns: int):
+        self.slop = slop_ns
 
     def advance(self, key, new, passed):
         names = ["stamp_ns", "side", "seq"]
-        ripe, waiting = _in_order(_held(self.waiting, names), new, passed, names)
-        held = [[] for _ in SIDES4]
-        for t, side, seq in self.open.get() if self.open.exists() else []:
-            held[side].append((t, seq))
-        sets = span_sets(zip(*[ripe[c].tolist() for c in names], strict=True), held, self.slop)
-        _keep(self.waiting, waiting)
-        still = [(t, side, seq) for side, rows in enumerate(held) for t, seq in rows if t + self.slop >= passed]
-        _keep(self.open, pd.DataFrame(still, columns=names))
-        wake = min([int(waiting["stamp_ns"].min()) if len(waiting) else NEVER, *[t + self.slop + _MS for t, _, _ in still]])
-        return pd.DataFrame([(*key, *s) for s in sets], columns=[*self.keys, "stamp_ns", *[f"{s}_seq" for s in SIDES4], "span_ns"]), wake
+        rows, wake = self.ripe(new, passed, names)
+        held: dict[str, list[list[tuple[int, int]]]] = {}
+        for k, t, side, seq in zip(*[c.to_pylist() for c in self.load("open").columns], strict=True):
+            held.setdefault(k, [[] for _ in SIDES4])[side].append((t, seq))
+        sets = []
+        for k, seen in _by_key(rows, names).items():
+            sets += [(k, *s) for s in span_sets(seen, held.setdefault(k, [[] for _ in SIDES4]), self.slop)]
+        still = [(k, t, side, seq) for k, sides in held.items() for side, kept in enumerate(sides) for t, seq in kept if t + self.slop >= passed]
+        self.save("open", _table(self.WAITING, still))
+        wake = min([wake, *[t + self.slop + _MS for _, t, _, _ in still]])
+        return pd.DataFrame(sets, columns=["key", "stamp_ns", *[f"{s}_seq" for s in SIDES4], "span_ns"]), wake
 
 
 def sync_sets(messages: DataFrame, keys: Sequence[str], key_ddl: str, slop_ns: int, delay: str) -> DataFrame:
     """Live form of ``asof.approx_sync``, with the same rows: sets of one message of each of four streams."""
-    rows = _timed(messages.select(*keys, "stamp_ns", F.col("side").cast("int").alias("side"), "seq"), delay)
-    ddl = f"{key_ddl}, stamp_ns bigint, {', '.join(f'{s}_seq bigint' for s in SIDES4)}, span_ns bigint"
-    return rows.groupBy(*keys).transformWithStateInPandas(_Sets(keys, slop_ns), ddl, "append", "eventtime")
+    rows = _timed(dealt(messages, keys, "stamp_ns", F.col("side").cast("bigint").alias("side"), "seq"), delay)
+    ddl = f"key string, stamp_ns bigint, {', '.join(f'{s}_seq bigint' for s in SIDES4)}, span_ns bigint"
+    return undealt(rows.groupBy("shard").transformWithStateInPandas(_Sets(slop_ns), ddl, "append", "eventtime"), key_ddl)

@@ -152,3 +152,20 @@ def test_tracks_unseen_for_long_are_forgotten(spark, tmp_path):
     schema = "run_id bigint, label string, stamp_ns bigint, seq bigint, x double, y double"
     got = play(spark, f"file:{tmp_path}", schema, rows, lambda s: timed.live_tracks(s, ["run_id", "label"], "run_id bigint, label string", DELAY, forget_ns=10 * SECOND))
     assert sorted((g.seq, g.track) for g in got if g.run_id == 1) == [(10, 0), (12, 0), (40, 1), (41, 1)]
+
+
+def test_state_of_many_keys_is_held_by_shard(spark, tmp_path, monkeypatch):
+    from surveykit.streaming import shards
+
+    monkeypatch.setattr(shards, "SHARDS", 2)
+    began = 1_704_163_170_377_255_001  # no double holds it
+    rows = [(k if k else None, "a\"b", began + k, k % 2 == 0) for k in range(40)]
+    schema = "run_id bigint, topic string, stamp_ns bigint, start boolean"
+    batches = [rows, [(-1, "end", began + 100 * SECOND, False)]]
+
+    make = lambda s: timed.silent_topics(s, ["run_id", "topic"], "run_id bigint, topic string", 3 * SECOND, 5 * SECOND, "1 second")
+    got = play(spark, f"file:{tmp_path}", schema, batches, make)
+    want = [(None if k == 0 else k, "a\"b", *(("stale", began + k, began + k + 3 * SECOND) if k % 2 else ("missing", None, began + k + 5 * SECOND))) for k in range(40)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    state = spark.read.format("statestore").option("stateVarName", "watch").load(f"file:{tmp_path}/mark")
+    assert state.count() <= 2
