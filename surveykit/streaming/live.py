@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from surveykit.streaming.shards import dealt, packed, undealt, unpacked
+
 
 def event_time(ns: Column) -> Column:
     """Timestamp for watermarks only; joins and equality stay on the nanosecond integer."""
@@ -92,19 +95,29 @@ def late_rows(messages: DataFrame, keys: Sequence[str], key_ddl: str, allowed_ns
     per key.
     """
 
-    def run(key, batches, state: GroupState):
-        stamps = np.concatenate([b["stamp_ns"].to_numpy(np.int64) for b in batches])
-        newest = state.get[0] if state.exists else None
-        if newest is not None:
-            slip = newest - stamps
-            late = slip > allowed_ns
-            if late.any():
-                yield pd.DataFrame([(*key, newest, int(late.sum()), int(slip.max()))], columns=[*keys, "newest_ns", "late", "latest_slip_ns"])
-        state.update((int(stamps.max() if newest is None else max(newest, stamps.max())),))
-
-    return messages.groupBy(*keys).applyInPandasWithState(
-        run, f"{key_ddl}, newest_ns bigint, late bigint, latest_slip_ns bigint", "newest bigint", "append", GroupStateTimeout.NoTimeout
+    def run(shard, batches, state: GroupState):
+        rows = pd.concat(list(batches))[["key", "stamp_ns"]]
+        known = dict(zip(*[c.to_pylist() for c in unpacked(bytes(state.get[0])).columns], strict=True)) if state.exists else {}
+        of, found = pd.factorize(rows["key"])
+        stamps = rows["stamp_ns"].to_numpy(np.int64)
+        top = np.full(len(found), np.iinfo(np.int64).min)
+        np.maximum.at(top, of, stamps)
+        seen = np.array([k in known for k in found], bool)
+        newest = np.array([known.get(k, 0) for k in found], np.int64)
+        slip = newest[of] - stamps
+        late = seen[of] & (slip > allowed_ns)
+        number = np.bincount(of[late], minlength=len(found))
+        far = np.zeros(len(found), np.int64)
+        np.maximum.at(far, of[late], slip[late])
+        hit = number > 0
+        known.update(zip(found, np.where(seen, np.maximum(newest, top), top).tolist(), strict=True))
+        state.update((packed(pa.table({"key": pa.array(known.keys(), pa.string()), "newest": pa.array(known.values(), pa.int64())})),))
+        yield pd.DataFrame({"key": np.asarray(found, object)[hit], "newest_ns": newest[hit], "late": number[hit].astype(np.int64), "latest_slip_ns": far[hit]})
+
+    out = dealt(messages, keys, "stamp_ns").groupBy("shard").applyInPandasWithState(
+        run, "key string, newest_ns bigint, late bigint, latest_slip_ns bigint", "newest binary", "append", GroupStateTimeout.NoTimeout
     )
+    return undealt(out, key_ddl)
 
 
 def late_counter(messages: DataFrame, keys: Sequence[str], tolerance_ns: int) -> DataFrame:
@@ -171,26 +184,28 @@ def drift_alarm(distances: DataFrame, keys: Sequence[str], key_ddl: str, require
 def staleness_latch(messages: DataFrame, keys: Sequence[str], key_ddl: str, timeout_ns: int) -> DataFrame:
     """First gap above the timeout per key. The failure is terminal: later messages never clear it."""
 
-    def run(key, batches, state: GroupState):
-        last, failed = state.get if state.exists else (None, False)
+    def run(shard, batches, state: GroupState):
+        names = ("key", "last", "failed")
+        known = {k: (last, failed) for k, last, failed in zip(*[c.to_pylist() for c in unpacked(bytes(state.get[0])).columns], strict=True)} if state.exists else {}
         out = []
         for pdf in _ordered(batches):
-            for t in pdf["stamp_ns"]:
-                if failed:
-                    break
-                if last is not None and t <= last:
+            for key, t in zip(pdf["key"].tolist(), pdf["stamp_ns"].tolist(), strict=True):
+                last, failed = known.get(key, (None, False))
+                if failed or (last is not None and t <= last):
                     continue  # a repeated or backward stamp does not refresh
                 if last is not None and t - last > timeout_ns:
-                    failed = True
-                    out.append((*key, int(last), int(t - last)))
+                    known[key] = (last, True)
+                    out.append((key, last, t - last))
                 else:
-                    last = int(t)
-        state.update((last, failed))
-        yield pd.DataFrame(out, columns=[*keys, "last_ns", "gap_ns"])
+                    known[key] = (t, False)
+        rows = ([*known], [v[0] for v in known.values()], [v[1] for v in known.values()])
+        state.update((packed(pa.table([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=names)),))
+        yield pd.DataFrame(out, columns=["key", "last_ns", "gap_ns"])
 
-    return messages.groupBy(*keys).applyInPandasWithState(
-        run, f"{key_ddl}, last_ns bigint, gap_ns bigint", "last bigint, failed boolean", "append", GroupStateTimeout.NoTimeout
+    out = dealt(messages, keys, "stamp_ns", "seq").groupBy("shard").applyInPandasWithState(
+        run, "key string, last_ns bigint, gap_ns bigint", "known binary", "append", GroupStateTimeout.NoTimeout
     )
+    return undealt(out, key_ddl)
 
 
 def motion_localization(samples: DataFrame, keys: Sequence[str], key_ddl: str, confirm: int, stable: int, bad_limit: int, timeout_ns: int) -> DataFrame:

@@ -110,3 +110,25 @@ def test_staleness_latch_is_terminal_across_batches(spark, tmp_path):
     q.writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     got = spark.read.schema(q.schema).parquet(out).collect()
     assert [(r.last_ns, r.gap_ns) for r in got] == [(20, 75)]
+
+
+def played_in_shards(spark, folder, monkeypatch, make):
+    """Result of two micro-batches of 40 keys, and how many states they left."""
+    from surveykit.streaming import shards
+
+    monkeypatch.setattr(shards, "SHARDS", 2)
+    schema = "run_id bigint, topic string, stamp_ns bigint, seq bigint"
+    at = 1_704_163_170_377_255_001  # no double holds it
+    for rows in ([(k if k else None, "a\"b", at + k, k) for k in range(40)], [(k if k else None, "a\"b", at + k + (100 if k % 2 else -100), k) for k in range(40)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    out.writeStream.option("checkpointLocation", f"{folder}/mark").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    states = spark.read.format("statestore").load(f"{folder}/mark").count()
+    return sorted(map(str, map(tuple, spark.read.schema(out.schema).parquet(f"{folder}/out").collect()))), at, states
+
+
+def test_late_rows_of_many_keys_share_a_state(spark, tmp_path, monkeypatch):
+    from surveykit.streaming import live
+
+    got, at, states = played_in_shards(spark, f"file:{tmp_path}", monkeypatch, lambda s: live.late_rows(s, ["run_id"], "run_id bigint", 50))
+    assert got == sorted(str((k or None, at + k, 1, 100)) for k in range(0, 40, 2)) and states <= 2
