@@ -132,3 +132,10 @@ def test_late_rows_of_many_keys_share_a_state(spark, tmp_path, monkeypatch):
 
     got, at, states = played_in_shards(spark, f"file:{tmp_path}", monkeypatch, lambda s: live.late_rows(s, ["run_id"], "run_id bigint", 50))
     assert got == sorted(str((k or None, at + k, 1, 100)) for k in range(0, 40, 2)) and states <= 2
+
+
+def test_gap_latches_of_many_keys_share_a_state(spark, tmp_path, monkeypatch):
+    from surveykit.streaming import live
+
+    got, at, states = played_in_shards(spark, f"file:{tmp_path}", monkeypatch, lambda s: live.staleness_latch(s, ["run_id", "topic"], "run_id bigint, topic string", 50))
+    assert got == sorted(str((k, "a\"b", at + k, 100)) for k in range(1, 40, 2)) and states <= 2
