@@ -328,10 +328,11 @@ def nearest_cells(targets: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _by_lines(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Nearest ``hit`` cell of each ``want`` cell, and of ``targets``; a row's sources are the nearest hits of its cells."""
-    w = W.partitionBy("map_id", "col").orderBy("row")
+    # both ways from an end of the line: a frame that reaches on to the other end is read anew for every cell
+    w = W.partitionBy("map_id", "col").rowsBetween(W.unboundedPreceding, 0)
     hit = F.when(F.col("hit"), F.col("row"))
-    low = F.last(hit, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    high = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    low = F.last(hit, ignorenulls=True).over(w.orderBy("row", F.desc("hit")))
+    high = F.last(hit, ignorenulls=True).over(w.orderBy(F.desc("row"), F.desc("hit")))
     lines = cells.withColumns({"_a": low, "_b": high})
     up = F.col("_b") - F.col("row")
     down = F.col("row") - F.col("_a")

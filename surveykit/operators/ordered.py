@@ -64,8 +64,10 @@ def scan(df: DataFrame, line: Timeline, steps: Sequence[Step]) -> DataFrame:
     part = W.partitionBy(*keys, BUCKET).orderBy(*order)
     upto = part.rowsBetween(W.unboundedPreceding, 0)
     before = part.rowsBetween(W.unboundedPreceding, -1)
-    onward = part.rowsBetween(0, W.unboundedFollowing)
-    after = part.rowsBetween(1, W.unboundedFollowing)
+    # a frame that ends at the partition's end is read anew for every row; one that begins there, backwards, is not
+    back = W.partitionBy(*keys, BUCKET).orderBy(*[c.desc() for c in order])
+    onward = back.rowsBetween(W.unboundedPreceding, 0)
+    after = back.rowsBetween(W.unboundedPreceding, -1)
     local, summary = [], []
     for s in steps:
         e = F.col(f"_e_{s.out}")
@@ -82,7 +84,7 @@ def scan(df: DataFrame, line: Timeline, steps: Sequence[Step]) -> DataFrame:
             local.append(F.last(here, ignorenulls=True).over(upto if s.kind == "last" else before))
             summary.append(F.max_by(here, pos))
         elif s.kind in ("next", "following"):
-            local.append(F.first(here, ignorenulls=True).over(onward if s.kind == "next" else after))
+            local.append(F.last(here, ignorenulls=True).over(onward if s.kind == "next" else after))
             summary.append(F.min_by(here, pos))
         elif s.kind in ("sum", "count"):
             local.append(F.sum(e).over(upto) if s.kind == "sum" else F.count(e).over(upto))
@@ -96,12 +98,12 @@ def scan(df: DataFrame, line: Timeline, steps: Sequence[Step]) -> DataFrame:
     totals = work.groupBy(*keys, BUCKET).agg(*[c.alias(f"_s_{n}") for n, c in zip(names, summary)])
     by_bucket = W.partitionBy(*keys).orderBy(BUCKET)
     past = by_bucket.rowsBetween(W.unboundedPreceding, -1)
-    future = by_bucket.rowsBetween(1, W.unboundedFollowing)
+    future = W.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for s in steps:
         c = F.col(f"_s_{s.out}")
         if s.kind in _FORWARD:
-            carried.append(F.first(c, ignorenulls=True).over(future))
+            carried.append(F.last(c, ignorenulls=True).over(future))
         elif s.kind in ("sum", "count"):
             carried.append(F.sum(c).over(past))
         elif s.kind in ("max", "max_prev"):
