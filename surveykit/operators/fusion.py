@@ -5,8 +5,10 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections import deque
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -335,9 +337,46 @@ def missing_labels(confirmed: DataFrame, runs: DataFrame, required: Sequence[str
 # ---------------------------------------------------------------- de-duplication
 
 
-def _merge_closest(pdf: pd.DataFrame, limit: float) -> list[dict]:
+#: places that a cell of the first round may hold; the mesh is halved until none holds more
+_CROWD = 8
+
+
+def _merged(a: dict, b: dict, d: float) -> dict:
+    hits = a["hits"] + b["hits"]
+    return {
+        **a,
+        "x": round((a["x"] * a["hits"] + b["x"] * b["hits"]) / float(hits), 3),
+        "y": round((a["y"] * a["hits"] + b["y"] * b["hits"]) / float(hits), 3),
+        "hits": hits,
+        "spread_m": round(max(a["spread_m"], b["spread_m"], d / 2.0), 3),
+        "merged_from": a["merged_from"] + b["merged_from"],
+    }
+
+
+def _merge_copies(objs: dict[int, dict], fresh: int) -> int:
+    """Merge points of one place, the two oldest of a place first; returns the next free number."""
+    places: dict[tuple[float, float], deque[int]] = {}
+    for i, o in objs.items():
+        places.setdefault((o["x"], o["y"]), deque()).append(i)
+    heap = [(ids[0], ids[1], at) for at, ids in places.items() if len(ids) > 1]
+    heapq.heapify(heap)
+    while heap:
+        i, j, at = heapq.heappop(heap)
+        places[at].popleft(), places[at].popleft()
+        objs[fresh] = o = _merged(objs.pop(i), objs.pop(j), 0.0)
+        there = places.setdefault((o["x"], o["y"]), deque())
+        there.append(fresh)
+        fresh += 1
+        for where in {at, (o["x"], o["y"])}:
+            ids = places[where]
+            # a place that only grew behind its first two is on the heap already
+            if len(ids) > 1 and (where == at or len(ids) == 2):
+                heapq.heappush(heap, (ids[0], ids[1], where))
+    return fresh
+
+
+def _merge_below(objs: dict[int, dict], fresh: int, limit: float) -> int:
     """Merge the closest pair below ``limit`` until none is left, looking only into nearby cells."""
-    objs: dict[int, dict] = {}
     grid: dict[tuple[int, int], set[int]] = {}
     heap: list[tuple[float, int, int]] = []
 
@@ -357,27 +396,35 @@ def _merge_closest(pdf: pd.DataFrame, limit: float) -> list[dict]:
         grid[(math.floor(o["x"] / limit), math.floor(o["y"] / limit))].discard(i)
         return o
 
-    for n, o in enumerate(pdf.sort_values("ord").to_dict("records")):
-        place(n, o)
-    fresh = len(pdf)
+    for i, o in list(objs.items()):
+        place(i, o)
     while heap:
         d, i, j = heapq.heappop(heap)
         if i not in objs or j not in objs:
             continue
-        a, b = remove(i), remove(j)
-        hits = a["hits"] + b["hits"]
-        place(
-            fresh,
-            {
-                **a,
-                "x": round((a["x"] * a["hits"] + b["x"] * b["hits"]) / float(hits), 3),
-                "y": round((a["y"] * a["hits"] + b["y"] * b["hits"]) / float(hits), 3),
-                "hits": hits,
-                "spread_m": round(max(a["spread_m"], b["spread_m"], d / 2.0), 3),
-                "merged_from": a["merged_from"] + b["merged_from"],
-            },
-        )
+        place(fresh, _merged(remove(i), remove(j), d))
         fresh += 1
+    return fresh
+
+
+def _merge_closest(pdf: pd.DataFrame, limit: float) -> list[dict]:
+    """Merge the closest pair below ``limit`` until none is left, the older of equally close ones first.
+
+    Points of one place queue for each other. Then pairs are looked for in rounds, each with twice the mesh of the one
+    before: points that are left lie at least a mesh apart, so few lie in a cell of the next, and few pairs are kept.
+    """
+    objs = dict(enumerate(pdf.sort_values("ord").to_dict("records")))
+    fresh = _merge_copies(objs, len(objs))
+    at = np.array([(o["x"], o["y"]) for o in objs.values()]).reshape(-1, 2)
+    mesh = limit
+    for _ in range(40):
+        if np.unique(np.floor(at / mesh), axis=0, return_counts=True)[1].max(initial=0) <= _CROWD:
+            break
+        mesh /= 2.0
+    while mesh < limit:
+        fresh = _merge_below(objs, fresh, mesh)
+        mesh *= 2.0
+    _merge_below(objs, fresh, limit)
     return list(objs.values())
 
 
