@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surveykit.functions.geometry import all_finite, is_finite
 from surveykit.operators.contracts import all_reasons, first_reason
 from surveykit.operators.quantile import group_percentiles
-from surveykit.session import settle
+from surveykit.operators.spatial import listed
+from surveykit.session import discard, settle
 
 
 def view_residuals(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,55 +45,77 @@ def outlier_view(views: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: the last mesh tried; cells of one direction each end the search before
+_FINEST = 2.0**-50
+#: what bounds may be off by through rounding
+_SLACK = 1e-12
+
+
 def _direction_cell(mesh: float) -> Column:
     """Cell of a unit vector on the cube around the sphere."""
     return F.struct(*[F.floor(F.col(f"n{a}") / mesh).alias(a) for a in "xyz"])
 
 
-def pose_spread(normals: DataFrame, keys: Sequence[str], meshes: Sequence[float] = (0.125, 0.008)) -> DataFrame:
+def _length(parts: Sequence[Column]) -> Column:
+    return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+
+
+def pose_spread(normals: DataFrame, keys: Sequence[str], mesh: float = 0.25) -> DataFrame:
     """Largest angle between two board normals of a calibration, in degrees.
 
-    Directions are grouped into cells. The chord of two members differs from the chord of their cell
-    means by at most two cell diagonals each, so cell pairs that cannot hold the maximum are dropped
-    and the rest is split into finer cells. Members are compared only in the cell pairs that are left,
-    so the work follows the number of occupied cells, not the square of the number of views.
+    Directions are grouped into cells of half the mesh per round. The box around a cell's members bounds the difference
+    and the sum of two members, and the widest pair has the longest difference and the shortest sum, so a pair of cells
+    that can't hold it by either is dropped; only pairs that are left are split. A cell keeps a handful of partners, so
+    the pairs of a round follow the number of views, and members are compared once few pairs of them are left.
     """
     keys = list(keys)
-    norm = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    norm = _length([F.col(f"n{a}") for a in "xyz"])
     unit = normals.select(*keys, *[F.try_divide(F.col(f"n{a}"), norm).alias(f"n{a}") for a in "xyz"])
     unit = settle(unit.where("nx is not null").distinct())
-    parents: list[str] = []
-    live = None
-    for mesh in meshes:
-        unit = unit.withColumn("cell", _direction_cell(mesh))
-        cells = unit.groupBy(*keys, *parents, "cell").agg(*[F.avg(f"n{a}").alias(f"m{a}") for a in "xyz"])
-        side = lambda s: cells.select(
-            *keys, *[F.col(p).alias(f"{p}_{s}") for p in parents], F.col("cell").alias(f"cell_{s}"), *[F.col(f"m{x}").alias(f"m{x}_{s}") for x in "xyz"]
-        )
+    few = 16 * unit.count() + 10_000
+    live = found = None
+    while True:
+        parent = [] if live is None else [_direction_cell(2.0 * mesh).alias("parent")]
+        placed = unit.select(*keys, *parent, _direction_cell(mesh).alias("cell"), "nx", "ny", "nz")
+        names = [*keys, *(["parent"] if parent else []), "cell"]
+        cells = placed.groupBy(*names).agg(
+            F.count("*").alias("n"), *[f(f"n{x}").alias(f"{p}{x}") for x in "xyz" for f, p in ((F.min, "a"), (F.max, "b"))])
+        reach = _length([F.col(f"b{x}") - F.col(f"a{x}") for x in "xyz"]) / 2.0
+        cells = cells.select(*names, "n", *[((F.col(f"a{x}") + F.col(f"b{x}")) / 2.0).alias(f"c{x}") for x in "xyz"], (reach * (1 + 1e-9)).alias("r"))
+        side = lambda s: cells.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in cells.columns if c not in keys])
         if live is None:
-            pair = side("a").join(side("b"), keys)
+            pair = side("a").join(side("b"), keys).where("cell_a <= cell_b").withColumns({"shortest": F.lit(2.0), "longest": F.lit(0.0)})
         else:
-            pair = live.join(side("a"), [*keys, "parent_a"]).join(side("b"), [*keys, "parent_b"])
-        d = [F.col(f"m{x}_a") - F.col(f"m{x}_b") for x in "xyz"]
-        pair = pair.withColumn("_gap", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-        top = pair.groupBy(*keys).agg(F.max("_gap").alias("_top"))
-        slack = 4.0 * mesh * 3.0**0.5
-        live = pair.join(top, keys).where(F.col("_gap") >= F.col("_top") - slack).select(
-            *keys, F.col("cell_a").alias("parent_a"), F.col("cell_b").alias("parent_b")
-        )
-        live = settle(live)
-        unit = unit.drop(*parents).withColumnRenamed("cell", "parent")
-        used = live.select(*keys, F.col("parent_a").alias("parent")).distinct()
-        unit = settle(unit.join(used, [*keys, "parent"], "left_semi"))
-        parents = ["parent"]
-    ends = lambda s: unit.select(*keys, F.col("parent").alias(f"parent_{s}"), *[F.col(f"n{x}").alias(f"n{x}_{s}") for x in "xyz"])
-    both = live.join(ends("a"), [*keys, "parent_a"]).join(ends("b"), [*keys, "parent_b"])
+            pair = listed(listed(live).join(side("a"), [*keys, "parent_a"])).join(side("b"), [*keys, "parent_b"])
+        wide = F.col("r_a") + F.col("r_b")
+        apart = _length([F.col(f"c{x}_a") - F.col(f"c{x}_b") for x in "xyz"])
+        both = _length([F.col(f"c{x}_a") + F.col(f"c{x}_b") for x in "xyz"])
+        hopeful = (F.col("both") - F.col("wide") <= F.col("shortest") + _SLACK) & (F.col("apart") + F.col("wide") >= F.col("longest") - _SLACK)
+        pair = pair.select(*keys, "cell_a", "cell_b", (F.col("n_a") * F.col("n_b")).alias("n"), apart.alias("apart"), both.alias("both"), wide.alias("wide"), "shortest", "longest")
+        pair = settle(pair.where(hopeful))
+        best = pair.groupBy(*keys).agg(F.least(F.min(F.col("both") + F.col("wide")), F.first("shortest")).alias("shortest"), F.greatest(F.max(F.col("apart") - F.col("wide")), F.first("longest")).alias("longest"))
+        kept = settle(pair.drop("shortest", "longest").join(best, keys).where(hopeful).select(
+            *keys, F.col("cell_a").alias("parent_a"), F.col("cell_b").alias("parent_b"), "n", "wide", "shortest", "longest"))
+        discard(pair)
+        left = kept.agg(F.sum("n").alias("n"), F.max("wide").alias("wide")).first()
+        used = kept.select(*keys, F.explode(F.array("parent_a", "parent_b")).alias("cell")).distinct()
+        before, unit = unit, settle(unit.withColumn("cell", _direction_cell(mesh)).join(used, [*keys, "cell"], "left_semi").drop("cell"))
+        discard(before)
+        if found is not None:
+            discard(found)
+        found, live = kept, kept.drop("n", "wide")
+        if (left.n or 0) <= few or not left.wide or mesh <= _FINEST:
+            break
+        mesh /= 2.0
+    placed = unit.withColumn("parent", _direction_cell(mesh))
+    ends = lambda s: placed.select(*keys, F.col("parent").alias(f"parent_{s}"), *[F.col(f"n{x}").alias(f"n{x}_{s}") for x in "xyz"])
+    met = listed(listed(live).join(ends("a"), [*keys, "parent_a"])).join(ends("b"), [*keys, "parent_b"])
     dot = sum((F.col(f"n{x}_a") * F.col(f"n{x}_b") for x in "yz"), F.col("nx_a") * F.col("nx_b"))
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min(dot)))))
-    found = both.groupBy(*keys).agg(F.count("*").alias("_n"), angle.alias("_angle"))
+    widest = met.groupBy(*keys).agg(angle.alias("_angle"))
     # rounding can make a direction differ from itself by a hair, one view alone has no spread
     many = normals.groupBy(*keys).agg(F.count("*").alias("_views"))
-    return found.join(many, keys).select(*keys, F.when(F.col("_views") > 1, F.col("_angle")).otherwise(0.0).alias("pose_spread_deg"))
+    return widest.join(many, keys).select(*keys, F.when(F.col("_views") > 1, F.col("_angle")).otherwise(0.0).alias("pose_spread_deg"))
 
 
 def loo_summary(drops: DataFrame, keys: Sequence[str]) -> DataFrame:
