@@ -27,19 +27,29 @@ from surveykit.streaming.shards import dealt, packed, undealt, unpacked
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTS = "spark.sql.shuffle.partitions"
+#: parts of the state per core
+WAVES = 3
 _MS = 1_000_000
 NEVER = np.iinfo(np.int64).max
 
 
 @contextmanager
 def timer_store(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which timers, lists and maps of state need."""
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    """Queries started inside keep their state in RocksDB, which timers, lists and maps of state need.
+
+    Their state has at most ``WAVES`` parts per core: each part starts a Python worker's state of its own in every
+    micro-batch, however few rows it gets. A checkpoint keeps the number it began with.
+    """
+    parts = min(int(spark.conf.get(_PARTS)), WAVES * spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name) for name in (_STORE, _PARTS)}
     try:
+        spark.conf.set(_STORE, _ROCKS)
+        spark.conf.set(_PARTS, parts)
         yield
     finally:
-        spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _timed(df: DataFrame, delay: str) -> DataFrame:

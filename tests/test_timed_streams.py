@@ -169,3 +169,16 @@ def test_state_of_many_keys_is_held_by_shard(spark, tmp_path, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     state = spark.read.format("statestore").option("stateVarName", "watch").load(f"file:{tmp_path}/mark")
     assert state.count() <= 2
+
+
+def test_state_has_few_parts_per_core(spark):
+    """Each part of the state is a task with a Python worker of its own in every micro-batch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 2000)
+        with timed.timer_store(spark):
+            assert int(spark.conf.get(name)) <= timed.WAVES * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(name) == "2000"
+    finally:
+        spark.conf.set(name, before)
