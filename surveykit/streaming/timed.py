@@ -91,17 +91,6 @@ class _Woken(StatefulProcessor):
         pass
 
 
-def _held(state, names: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame(list(state.get()) if state.exists() else [], columns=list(names))
-
-
-def _keep(state, rows: pd.DataFrame) -> None:
-    if len(rows):
-        state.put([tuple(r) for r in rows.itertuples(index=False)])
-    elif state.exists():
-        state.clear()
-
-
 class _Shard(_Woken):
     """State of all keys of a shard: tables by name, each kept as one value."""
 
@@ -311,21 +300,24 @@ def nearest_live(left: DataFrame, right: DataFrame, keys: Sequence[str], key_ddl
 class _Tracks(_Woken):
     """Small facts of all tracks and the members of each are kept apart: a batch reads and writes members of few tracks."""
 
-    COLUMNS = ("stamp_ns", "seq", "x", "y", "rad")
+    WAITING = pa.schema([("stamp_ns", pa.int64()), ("seq", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("rad", pa.float64())])
 
     def __init__(self, keys: Sequence[str], forget_ns: int | None):
         self.keys, self.forget = list(keys), forget_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("waiting", "stamp_ns bigint, seq bigint, x double, y double, rad double")
+        # as one table: rows kept one by one would be sent one by one
+        self.waiting = handle.getValueState("waiting", "rows binary")
         self.opened = handle.getValueState("opened", "n int")
         self.facts = handle.getMapState("facts", "track int", "x double, y double, last bigint")
         self.members = handle.getMapState("members", "track int", "xs array<double>, ys array<double>")
 
     def advance(self, key, new, passed):
-        held = _held(self.waiting, self.COLUMNS)
-        rows = held if new is None else new[list(self.COLUMNS)] if not len(held) else pd.concat([held, new[list(self.COLUMNS)]])
+        held = unpacked(bytes(self.waiting.get()[0])) if self.waiting.exists() else self.WAITING.empty_table()
+        rows = held.to_pandas()
+        if new is not None:
+            rows = pd.concat([rows, new[self.WAITING.names]]) if len(rows) else new[self.WAITING.names]
         ripe = rows["stamp_ns"].to_numpy(np.int64) <= passed
         now, waiting = rows[ripe].sort_values(["stamp_ns", "seq"], kind="stable"), rows[~ripe]
         known = sorted((k[0], *v) for k, v in self.facts.iterator()) if self.facts.exists() else []
@@ -363,7 +355,10 @@ class _Tracks(_Woken):
                 self.facts.updateValue((name,), (x, y, t))
                 self.members.updateValue((name,), touched[name])
         self.opened.update((opened,))
-        _keep(self.waiting, waiting.astype({"stamp_ns": "int64", "seq": "int64"}))
+        if len(waiting):
+            self.waiting.update((packed(pa.Table.from_pandas(waiting, schema=self.WAITING, preserve_index=False)),))
+        elif self.waiting.exists():
+            self.waiting.clear()
         wake = int(waiting["stamp_ns"].min()) if len(waiting) else NEVER
         if self.forget is not None:
             wake = min([wake, *[t + self.forget + _MS for t in last if passed - t <= self.forget]])

@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,49 @@ def test_state_has_few_parts_per_core(spark):
         assert spark.conf.get(name) == "2000"
     finally:
         spark.conf.set(name, before)
+
+
+class OneValue:
+    """State of one key that counts its writes."""
+
+    def __init__(self):
+        self.value, self.writes = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+
+class ManyValues(dict):
+    exists, iterator, containsKey = dict.__len__, dict.items, dict.__contains__
+    getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.pop
+
+
+class Handle:
+    """Single values and maps only: a list of rows would go to the store row by row."""
+
+    def getValueState(self, name, schema):
+        return self.__dict__.setdefault(name, OneValue())
+
+    def getMapState(self, name, key, value):
+        return ManyValues()
+
+
+def test_waiting_sightings_are_one_value():
+    handle = Handle()
+    tracks = timed._Tracks(["run_id", "label"], None)
+    tracks.init(handle)
+    new = pd.DataFrame({"stamp_ns": [30, 10, 20], "seq": [3, 1, 2], "x": [0.1, 0.0, 9.0], "y": 0.0, "rad": 0.5})
+    assert not len(tracks.advance((0, "cup"), new, 5)[0]) and handle.waiting.writes == 1
+    out, wake = tracks.advance((0, "cup"), None, 20)
+    assert out["track"].tolist() == [0, 1] and wake == 30 and handle.waiting.writes == 2
+    out, _ = tracks.advance((0, "cup"), None, 30)
+    assert out["track"].tolist() == [0] and not handle.waiting.exists()
