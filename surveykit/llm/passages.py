@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
-from surveykit.llm.shingles import mixed, shingles, split
+from surveykit.llm.shingles import mixed, shingles
 from surveykit.session import settle
 
 WIDTH = 5
@@ -74,7 +74,7 @@ def window_rows(docs: DataFrame, hashes: int, words: int, width: int) -> DataFra
         for batch in slices(batches):
             keys, docs_, places = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingles(split(text), width)
+                own = shingles(text, width)
                 if len(own) < least:
                     continue
                 for k in range(hashes):
@@ -177,7 +177,7 @@ def exact_repeats(shared: DataFrame, texts: DataFrame, every: DataFrame, width:
         for batch in slices(batches):
             keys, docs, starts = [], [], []
             for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
-                runs = run_hashes(shingles(split(text), width), least)
+                runs = run_hashes(shingles(text, width), least)
                 place = held.values.to_numpy()
                 met = np.zeros((hashes, len(runs) + 1), np.int32)
                 # a repeated id has windows of all its texts, the longest is read
@@ -231,7 +231,7 @@ def others_of_key(shared: DataFrame, texts: DataFrame, with_texts, every: DataFr
 
     def every_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [np.unique(shingles(split(t), width)) for t in batch.column("text").to_pylist()]
+            own = [np.unique(shingles(t, width)) for t in batch.column("text").to_pylist()]
             docs = np.repeat(batch.column("doc").to_numpy(), [len(x) for x in own])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(docs)], ["sh", "to"])
 
@@ -239,7 +239,7 @@ def others_of_key(shared: DataFrame, texts: DataFrame, with_texts, every: DataFr
         for batch in slices(batches):
             out = []
             for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
-                own, there = shingles(split(text), width), held.values.to_numpy()
+                own, there = shingles(text, width), held.values.to_numpy()
                 met = np.zeros(len(own), bool)
                 for x in np.unique(there & 0xFFFFFFFFFFFFFFF).tolist():
                     met[x >> 30 : (x & 0x3FFFFFFF) + 1] = True
@@ -314,7 +314,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
                 whom = ws.values.field("to").to_numpy()
                 first, last, fn = place >> 30 & 0x3FFFFFFF, place & 0x3FFFFFFF, place >> 60
                 own, got = whom == to, []
-                a, b = (shingles(split(t), width) for t in (x, y))
+                a, b = (shingles(t, width) for t in (x, y))
                 for s, e, s0, e0 in matching_passages(a, b, least, percent):
                     if len(np.unique(fn[own & (first <= e) & (last >= s)])) >= enough:
                         got.append((s, e, s0, e0))

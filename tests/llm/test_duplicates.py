@@ -350,3 +350,24 @@ def test_cutting_leaves_other_texts_of_a_repeated_id(docs_of):
     rows = [(1, shared, "s"), (2, f"{shared} {tail}", "s"), (2, f"{shared} {tail}", "s"), (2, None, "s"), (2, "short one", "s"), (2, "", "s"), (None, shared, "s")]
     got = passages.cut_repeats(docs_of(rows))
     assert sorted(((g.doc_id or 0, g.text) for g in got.collect()), key=repr) == sorted([(1, shared), (2, tail), (2, tail), (2, None), (2, "short one"), (2, ""), (0, shared)], key=repr)
+
+
+def test_sets_of_a_family_that_are_not_similar_enough_are_ruled_out():
+    """Copies of one text, edited so much that most of their pairs have a similarity of about 0.65."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 146).astype(np.uint64)
+    sets = []
+    for _ in range(200):
+        own = base.copy()
+        own[r.permutation(146)[:17]] = r.integers(0, 2**63, 17).astype(np.uint64)
+        sets.append(np.unique(own))
+    tree = ngram_join.Tree(np.arange(200), np.array([len(s) for s in sets]), np.arange(200), *ngram_join._unfolded([ngram_join._bitmap(s) for s in sets]))
+    pairs = {tuple(sorted(p)) for x, y in ngram_join.dual_traversal(tree, tree, 75) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    similar = {(a, b) for a, b in itertools.combinations(range(200), 2) if 175 * len(np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]))}
+    assert similar <= pairs and len(pairs) < 0.1 * 200 * 199 / 2
+
+
+def test_shingles_of_words_in_another_order_differ(docs_of):
+    texts = ["a b b a c", "b a a b c", "xa yb zb wa v", "xb ya za wb v"]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
