@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
 from surveykit.llm.shingles import mixed, shingles
-from surveykit.session import settle
+from surveykit.session import discard, settle, settle_by
 
 WIDTH = 5
 WORDS = 50
@@ -42,24 +42,30 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest value of each window of ``width``, by minima up to and from the ends of blocks of that width."""
-    n = len(values)
-    if n < width:
-        return values[:0]
-    blocks = np.pad(values, (0, -n % width), constant_values=np.iinfo(values.dtype).max).reshape(-1, width)
-    up = np.minimum.accumulate(blocks, axis=1).ravel()
-    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(down[: n - width + 1], up[width - 1 : n])
+    """Smallest value of each window of ``width`` along the last axis, by minima of windows of doubled width."""
+    if values.shape[-1] < width:
+        return values[..., :0]
+    low, wide = values, 1
+    while 2 * wide <= width:
+        low = np.minimum(low[..., :-wide], low[..., wide:])
+        wide *= 2
+    rest = width - wide
+    return np.minimum(low[..., : low.shape[-1] - rest], low[..., rest:]) if rest else low
+
+
+def windows_of_rows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, smallest hash, first and last shingle of each node of at least ``width`` of each row."""
+    low = window_minima(values, width)
+    new = np.ones(low.shape, bool)
+    new[:, 1:] = low[:, 1:] != low[:, :-1]
+    row, first = np.nonzero(new)
+    after = np.append(first, 0)[1:]
+    return row, low[new], first, np.where(after > 0, after, low.shape[1]) + width - 2
 
 
 def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smallest hash, first and last shingle of each node of at least ``width``."""
-    low = window_minima(values, width)
-    if not len(low):
-        return low, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    last = np.concatenate([first[1:], [len(low)]]) - 1 + width - 1
-    return low[first], first, last
+    return windows_of_rows(values[None], width)[1:]
 
 
 def _seed(k: int) -> np.uint64:
@@ -69,6 +75,7 @@ def _seed(k: int) -> np.uint64:
 def window_rows(docs: DataFrame, hashes: int, words: int, width: int) -> DataFrame:
     """``key, doc, place``: the window's hash, its document, and hash function, first and last shingle in one number."""
     least = words - width + 1
+    seeds = np.array([_seed(k) for k in range(hashes)])[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -77,11 +84,10 @@ def window_rows(docs: DataFrame, hashes: int, words: int, width: int) -> DataFra
                 own = shingles(text, width)
                 if len(own) < least:
                     continue
-                for k in range(hashes):
-                    low, first, last = compact_windows(mixed(own ^ _seed(k)), least)
-                    keys.append(low.view(np.int64))
-                    places.append((k << 60) | (first << 30) | last)
-                    docs_.append(np.full(len(low), doc, np.int64))
+                k, low, first, last = windows_of_rows(mixed(own ^ seeds), least)
+                keys.append(low.view(np.int64))
+                places.append((k << 60) | (first << 30) | last)
+                docs_.append(np.full(len(low), doc, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places))], ["key", "doc", "place"])
 
@@ -110,17 +116,20 @@ def _in(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == values
 
 
-def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = GAP) -> Iterator[tuple[int, int, int, int]]:
-    """Spans (first and last shingle in ``a``, then in ``b``) of at least ``least`` shingles that are similar enough."""
+def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = GAP, wanted=lambda s, e: True) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (first and last shingle in ``a``, then in ``b``) of at least ``least`` shingles that are similar enough.
+
+    ``wanted`` tells of a span in ``a`` whether it counts; where it doesn't, no part of the span may count.
+    """
     in_b, at_b = np.unique(b, return_index=True)
     which, there = _in(in_b, a)
-    todo = [r for r in _runs(np.flatnonzero(there), gap) if r[-1] - r[0] + 1 >= least]
+    todo = [r for r in _runs(np.flatnonzero(there), gap) if r[-1] - r[0] + 1 >= least and wanted(r[0], r[-1])]
     if not todo:
         return
     inverse = _in(in_b, b)[0]
     while todo:
         run = todo.pop()
-        if run[-1] - run[0] + 1 < least:
+        if run[-1] - run[0] + 1 < least or not wanted(run[0], run[-1]):
             continue
         shared = np.zeros(len(in_b), bool)
         shared[which[run]] = True
@@ -140,16 +149,45 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, ga
             todo += [run[:cut], run[cut:]]
 
 
-def _unexplained(first: int, last: int, spans: list[tuple[int, int]], least: int) -> bool:
-    """Whether the window holds ``least`` shingles in a row outside the spans."""
-    at = first
-    for s, e in sorted(spans):
-        if s > last:
-            break
-        if s - at >= least:
-            return True
-        at = max(at, e + 1)
-    return last + 1 - at >= least
+def _unexplained(first: np.ndarray, last: np.ndarray, s: np.ndarray, e: np.ndarray, least: int) -> np.ndarray:
+    """Which windows hold ``least`` shingles in a row outside the spans from ``s`` to ``e``."""
+    free = np.ones(int(last.max(initial=0)) + 1, bool)
+    for x, y in zip(s.tolist(), e.tolist(), strict=True):
+        free[x : y + 1] = False
+    held = np.concatenate([[0], np.cumsum(free)])
+    begins = np.concatenate([[0], np.cumsum(held[least:] - held[:-least] == least)])
+    return begins[np.minimum(last - least + 2, len(begins) - 1)] > begins[np.minimum(first, len(begins) - 1)]
+
+
+def _outside(first: np.ndarray, last: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which windows lie inside none of the spans."""
+    return ~((s <= first[:, None]) & (e >= last[:, None])).any(axis=1)
+
+
+def _ends(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> 30 & 0x3FFFFFFF, place & 0x3FFFFFFF
+
+
+def _covered(place: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` shingles lie in one of the places."""
+    steps = np.zeros(n + 1, np.int64)
+    first, last = _ends(place)
+    np.add.at(steps, np.minimum(first, n), 1)
+    np.add.at(steps, np.minimum(last + 1, n), -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def _numbers(lists: pa.Array, *names: str) -> Iterator[list[np.ndarray]]:
+    """The named fields of each list of structs, none of a null."""
+    for one in lists:
+        yield [one.values.field(c).to_numpy() if one.is_valid else np.zeros(0, np.int64) for c in names]
+
+
+def _lists(parts: list[list[np.ndarray]], names: list[str]) -> pa.Array:
+    """Lists of structs of whole numbers."""
+    ends = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int64)) for k in range(len(names))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
 def _with_spans(rows: DataFrame, every: DataFrame) -> DataFrame:
@@ -157,45 +195,52 @@ def _with_spans(rows: DataFrame, every: DataFrame) -> DataFrame:
     return rows.join(every.groupBy("doc").agg(F.collect_set(F.struct("p.s", "p.e")).alias("cuts")), "doc", "left")
 
 
-def _inside(first, last):
-    return F.coalesce(F.exists("cuts", lambda c: (c["s"] <= first) & (c["e"] >= last)), F.lit(False))
+def open_windows(windows: DataFrame, every: DataFrame, is_open, enough: int = 1) -> DataFrame:
+    """``key, doc, place`` of windows that are open beside the spans, of documents with those of ``enough`` functions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [[np.zeros(0, np.int64)] * 3]
+            for doc, (key, place), (s, e) in zip(batch.column("doc").to_pylist(), _numbers(batch.column("ws"), "key", "place"), _numbers(batch.column("cuts"), "s", "e"), strict=True):
+                keep = is_open(*_ends(place), s, e)
+                if len(np.unique(place[keep] >> 60)) >= enough:
+                    out.append([key[keep], np.full(keep.sum(), doc, np.int64), place[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "doc", "place"])
+
+    held = windows.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("ws"))
+    return _with_spans(held, every).select("doc", "ws", "cuts").mapInArrow(run, "key long, doc long, place long")
 
 
-def exact_repeats(shared: DataFrame, texts: DataFrame, every: DataFrame, width: int, least: int, hashes: int) -> DataFrame:
+def exact_repeats(shared: DataFrame, texts: DataFrame, keys: DataFrame, every: DataFrame, width: int, least: int, hashes: int) -> DataFrame:
     """``doc, to, p``: runs of ``least`` shingles and more that lie in no span of ``every`` and repeat word by word.
 
     ``to`` is the first document with the run. A run's windows of all functions are open where it is, and shared with
     each document that holds it; so only the places of documents are hashed that such windows of every function cover.
+    ``keys`` are those of the windows that lie in no span.
     """
-    last = F.col("place").bitwiseAND(0x3FFFFFFF)
-    first = F.shiftright("place", 30).bitwiseAND(0x3FFFFFFF)
-    keys = _with_spans(shared.where("doc <> lead").select("key", "doc", "place"), every).where(~_inside(first, last)).select("key").distinct()
     places = shared.join(keys, "key").groupBy("doc").agg(F.collect_list("place").alias("places"))
     places = places.where(F.size(F.array_distinct(F.transform("places", lambda x: F.shiftright(x, 60)))) == hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, docs, starts = [], [], []
-            for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
+            out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]]
+            for doc, text, held, (s, e) in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), _numbers(batch.column("cuts"), "s", "e"), strict=True):
                 runs = run_hashes(shingles(text, width), least)
                 place = held.values.to_numpy()
-                met = np.zeros((hashes, len(runs) + 1), np.int32)
                 # a repeated id has windows of all its texts, the longest is read
                 place = place[(place & 0x3FFFFFFF) < len(runs) + least - 1]
-                np.add.at(met, (place >> 60, place >> 30 & 0x3FFFFFFF), 1)
-                np.add.at(met, (place >> 60, (place & 0x3FFFFFFF) - least + 2), -1)
+                met = np.zeros((hashes, len(runs) + 1), np.int32)
+                first, last = _ends(place)
+                np.add.at(met, (place >> 60, first), 1)
+                np.add.at(met, (place >> 60, last - least + 2), -1)
                 at = np.flatnonzero((np.cumsum(met, axis=1) > 0).all(axis=0)[:-1])
-                keys.append(runs[at].view(np.int64))
-                docs.append(np.full(len(at), doc, np.int64))
-                starts.append(at)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, starts)], ["run", "doc", "at"])
+                out.append([runs[at].view(np.int64), np.full(len(at), doc, np.int64), at, _outside(at, at + least - 1, s, e)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["run", "doc", "at", "out"])
 
-    runs = settle(places.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "places").mapInArrow(run, "run long, doc long, at long"))
-    heads = runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("h"), F.max("doc").alias("hi")).where("h.doc <> hi").select("run", F.col("h.doc").alias("to"), F.col("h.at").alias("from"))
-    met = _with_spans(runs.join(heads, "run").where("doc <> to"), every).where(~_inside(F.col("at"), F.col("at") + least - 1))
-    by = ["doc", "to", (F.col("from") - F.col("at")).alias("off")]
-    met = met.select(*by, "at").distinct().withColumn("isle", F.col("at") - F.row_number().over(Window.partitionBy("doc", "to", "off").orderBy("at")))
+    runs = _with_spans(places.join(texts, "doc"), every).select("doc", "text", "places", "cuts").mapInArrow(run, "run long, doc long, at long, out boolean")
+    by = Window.partitionBy("run")
+    met = runs.withColumn("h", F.min(F.struct("doc", "at")).over(by)).where("out AND doc <> h.doc").select("doc", "at", F.col("h.doc").alias("to"), (F.col("h.at") - F.col("at")).alias("off"))
+    met = met.distinct().withColumn("isle", F.col("at") - F.row_number().over(Window.partitionBy("doc", "to", "off").orderBy("at")))
     spans = met.groupBy("doc", "to", "off", "isle").agg(F.min("at").alias("s"), (F.max("at") + least - 1).alias("e"))
     return settle(spans.select("doc", "to", F.struct("s", "e", (F.col("s") + F.col("off")).alias("s0"), (F.col("e") + F.col("off")).alias("e0")).alias("p")))
 
@@ -216,63 +261,61 @@ def rarest(counts: np.ndarray, values: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def others_of_key(shared: DataFrame, texts: DataFrame, with_texts, every: DataFrame, verified, schema: str, width: int, least: int, enough: int) -> DataFrame:
-    """``doc, to, p``: passages of windows that no span of ``every`` explains, with any earlier document of their keys.
+def _of_enough(pairs: DataFrame, enough: int) -> DataFrame:
+    return pairs.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
 
-    Of all documents of a key those are read that share a shingle with the window that is rare among them.
-    """
-    texts = texts.withColumnRenamed("doc_id", "doc")
 
-    def unexplained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, cuts = batch.column("place").to_pylist(), batch.column("cuts").to_pylist()
-            keep = [_unexplained(x >> 30 & 0x3FFFFFFF, x & 0x3FFFFFFF, [(c["s"], c["e"]) for c in cut or ()], least) for x, cut in zip(place, cuts, strict=True)]
-            yield batch.select(["key", "doc", "place"]).filter(pa.array(keep, pa.bool_()))
+def others_of_key(shared: DataFrame, texts: DataFrame, open_: DataFrame, verify, width: int, least: int, enough: int) -> DataFrame:
+    """``doc, to, p``: passages of windows that no passage explains, with any earlier document of their keys.
 
-    def every_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [np.unique(shingles(t, width)) for t in batch.column("text").to_pylist()]
-            docs = np.repeat(batch.column("doc").to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(docs)], ["sh", "to"])
+    Of all documents of a key those are read that share a shingle with the window that is rare among them, where their
+    own windows of the keys lie.
+    """
 
-    def open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles in windows of a document, with their places in its open windows, -1 elsewhere."""
         for batch in slices(batches):
-            out = []
-            for doc, text, held in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
-                own, there = shingles(text, width), held.values.to_numpy()
-                met = np.zeros(len(own), bool)
-                for x in np.unique(there & 0xFFFFFFFFFFFFFFF).tolist():
-                    met[x >> 30 : (x & 0x3FFFFFFF) + 1] = True
-                at = np.flatnonzero(met)
-                out.append((own[at].view(np.int64), np.full(len(at), doc, np.int64), at))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc", "at"])
+            out = [[np.zeros(0, np.int64)] * 3]
+            for doc, text, held, mine in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("held"), batch.column("places"), strict=True):
+                own = shingles(text, width).view(np.int64)
+                asks = _covered(mine.values.to_numpy(), len(own)) if mine.is_valid else np.zeros(len(own), bool)
+                at = np.flatnonzero(asks)
+                rest = np.setdiff1d(own[_covered(held.values.to_numpy(), len(own))], own[at])
+                out.append([np.concatenate([own[at], rest]), np.full(len(at) + len(rest), doc, np.int64), np.concatenate([at, np.full(len(rest), -1)])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc", "at"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for doc, held in zip(batch.column("doc").to_pylist(), batch.column("all"), strict=True):
-                at, n, sh = (held.values.field(c).to_numpy() for c in ("at", "n", "sh"))
-                by = np.argsort(at)
-                at, n, sh = at[by], n[by], sh[by]
+            out = [[np.zeros(0, np.int64)] * 2]
+            for doc, (at, n, sh), mine in zip(batch.column("doc").to_pylist(), _numbers(batch.column("all"), "at", "n", "sh"), batch.column("places"), strict=True):
+                covered = _covered(place := mine.values.to_numpy(), int((place & 0x3FFFFFFF).max()) + 1)
+                counts, values = np.ones(len(covered), np.int64), np.arange(len(covered))
+                counts[at], values[at] = n, sh
+                here = np.flatnonzero(covered)
                 got = [np.zeros(0, np.int64)]
-                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1):
+                for run in np.split(here, np.flatnonzero(np.diff(here) > 1) + 1):
                     if len(run) >= least:
-                        got.append(run[rarest(n[run], sh[run], least)])
+                        got.append(run[rarest(counts[run], values[run], least)])
                 kept = np.concatenate(got)
-                found = np.unique(sh[kept[n[kept] > 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc, np.int64))], ["sh", "doc"])
-
-    open_ = settle(_with_spans(shared.where("doc <> lead").select("key", "doc", "place"), every).select("key", "doc", "place", "cuts").mapInArrow(unexplained, "key long, doc long, place long"))
-    holders = settle(shared.join(open_.select("key").distinct(), "key").select("key", F.col("doc").alias("to")).distinct())
-    places = open_.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    own = settle(places.join(texts, "doc").select("doc", "text", "places").mapInArrow(open_shingles, "sh long, doc long, at long"))
-    held = texts.join(holders.select(F.col("to").alias("doc")).distinct(), "doc").select("doc", "text").mapInArrow(every_shingle, "sh long, to long")
-    held = settle(held.join(own.select("sh").distinct(), "sh"))
-    ranked = own.join(held.groupBy("sh").agg(F.count("*").alias("n")), "sh").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "sh")).alias("all"))
-    near = ranked.mapInArrow(rare, "sh long, doc long").join(held, "sh").where("to < doc").select("doc", "to").distinct()
-    pairs = near.join(open_, "doc").join(holders, ["key", "to"]).groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws"))
-    pairs = pairs.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
-    return settle(with_texts(pairs).select("doc", "ws", "to", "x", "y").mapInArrow(verified, schema).select("doc", "to", F.explode("spans").alias("p")))
+                found = np.unique(values[kept[counts[kept] > 1]])
+                out.append([found, np.full(len(found), doc, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc"])
+
+    holders = settle(shared.join(open_.select("key").distinct(), "key").select("key", F.col("doc").alias("to"), "place"))
+    mine = open_.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    held = holders.groupBy(F.col("to").alias("doc")).agg(F.collect_list("place").alias("held"))
+    by = Window.partitionBy("sh")
+    met = held.join(texts, "doc").join(mine, "doc", "left").select("doc", "text", "held", "places").mapInArrow(sides, "sh long, doc long, at long")
+    met = met.withColumns({"n": F.count("*").over(by), "lo": F.min("doc").over(by), "hi": F.max("doc").over(by), "asked": F.max("at").over(by)})
+    met = settle_by(met.where("lo <> hi AND asked >= 0").select("sh", "doc", "at", "n"), "sh")
+    ranked = met.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "sh")).alias("all")).join(mine, "doc")
+    near = ranked.select("doc", "all", "places").mapInArrow(rare, "sh long, doc long").join(met.select("sh", F.col("doc").alias("to")), "sh").where("to < doc").select("doc", "to").distinct()
+    pairs = near.join(open_, "doc").join(holders.select("key", "to").distinct(), ["key", "to"]).groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws"))
+    pairs = settle(_of_enough(pairs, enough))
+    found = settle(verify(pairs).select("doc", "to", F.explode("spans").alias("p")))
+    for cut in (holders, met, pairs):
+        discard(cut)
+    return found
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
@@ -286,56 +329,70 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by = Window.partitionBy("key")
     before = by.orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
-    shared = settle(
+    shared = settle_by(
         window_rows(docs, hashes, words, width)
         .withColumns({"lead": F.min("doc").over(by), "hi": F.max("doc").over(by), "prev": F.max("doc").over(before)})
         .where("lead <> hi")
-        .select("key", "doc", "place", "lead", "prev")
+        .select("key", "doc", "place", "lead", "prev"),
+        "key",
     )
-    needed = shared.select(F.col("doc").alias("doc_id")).distinct()
-    texts = settle(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.max_by("text", F.struct(F.char_length("text"), "text")).alias("text")))
-    partner = F.explode(F.array_distinct(F.array("lead", "prev"))).alias("to")
-    todo = shared.where("doc <> lead").select("doc", "place", partner)
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        y = texts.select(F.col("doc_id").alias("to"), F.col("text").alias("y"))
-        return pairs.join(y, "to").join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("x")), "doc")
+    needed = shared.select("doc").distinct()
+    texts = settle_by(docs.withColumnRenamed("doc_id", "doc").join(needed, "doc").groupBy("doc").agg(F.max_by("text", F.struct(F.char_length("text"), "text")).alias("text")), "doc")
 
-    most = todo.groupBy("doc", "to").agg(F.count("*").alias("n"), F.count_distinct(F.shiftright("place", 60)).alias("fns"))
-    most = most.where(F.col("fns") >= enough).groupBy("doc").agg(F.max(F.struct("n", (-F.col("to")).alias("to")))["to"].alias("to")).withColumn("to", -F.col("to"))
-    most = most.join(todo.groupBy("doc").agg(F.collect_list(F.struct("place", "to")).alias("ws")), "doc")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partner with most windows of a document, of those of enough functions, the first one of equals."""
+        for batch in slices(batches):
+            docs, tos, ws = [], [], []
+            for doc, (place, lead, prev) in zip(batch.column("doc").to_pylist(), _numbers(batch.column("all"), "place", "lead", "prev"), strict=True):
+                other = prev != lead
+                place, to = np.concatenate([place, place[other]]), np.concatenate([lead, prev[other]])
+                whom, at, n = np.unique(to, return_inverse=True, return_counts=True)
+                met = np.zeros((len(whom), hashes), bool)
+                met[at, place >> 60] = True
+                n[met.sum(axis=1) < enough] = 0
+                if n.any():
+                    docs.append(doc)
+                    tos.append(int(whom[n.argmax()]))
+                    ws.append([place, to])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tos, pa.int64()), _lists(ws, ["place", "to"])], ["doc", "to", "ws"])
+
+    pairs_of = "doc long, to long, ws array<struct<place:bigint,to:bigint>>"
+    later = shared.where("doc <> lead")
+    most = later.groupBy("doc").agg(F.collect_list(F.struct("place", "lead", "prev")).alias("all")).mapInArrow(best, pairs_of)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Passages of a document and a partner, and the windows with other partners that they don't explain."""
         for batch in slices(batches, 64):
             spans, rest = [], []
-            for ws, to, x, y in zip(batch.column("ws"), *(batch.column(c).to_pylist() for c in ("to", "x", "y")), strict=True):
-                place = ws.values.field("place").to_numpy()
-                whom = ws.values.field("to").to_numpy()
-                first, last, fn = place >> 30 & 0x3FFFFFFF, place & 0x3FFFFFFF, place >> 60
-                own, got = whom == to, []
+            for (place, whom), to, x, y in zip(_numbers(batch.column("ws"), "place", "to"), *(batch.column(c).to_pylist() for c in ("to", "x", "y")), strict=True):
+                first, last = _ends(place)
+                own = whom == to
+                mine = list(zip(first[own].tolist(), last[own].tolist(), (place[own] >> 60).tolist(), strict=True))
+                wanted = lambda s, e: len({k for f, l, k in mine if f <= e and l >= s}) >= enough
                 a, b = (shingles(t, width) for t in (x, y))
-                for s, e, s0, e0 in matching_passages(a, b, least, percent):
-                    if len(np.unique(fn[own & (first <= e) & (last >= s)])) >= enough:
-                        got.append((s, e, s0, e0))
-                cuts = [(s, e) for s, e, _, _ in got]
-                left = [k for k in np.flatnonzero(~own).tolist() if _unexplained(int(first[k]), int(last[k]), cuts, least)]
-                spans.append([dict(zip(("s", "e", "s0", "e0"), g, strict=True)) for g in got])
-                rest.append([{"place": int(place[k]), "to": int(whom[k])} for k in left])
-            found = pa.array(spans, pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "s0", "e0")])))
-            open_ = pa.array(rest, pa.list_(pa.struct([(c, pa.int64()) for c in ("place", "to")])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("to"), found, open_], ["doc", "to", "spans", "rest"])
-
-    schema = "doc long, to long, spans array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>, rest array<struct<place:bigint,to:bigint>>"
-    columns = ["doc", "ws", "to", "x", "y"]
-    done = settle(with_texts(most).select(columns).mapInArrow(verified, schema))
+                cuts = np.array(list(matching_passages(a, b, least, percent, wanted=wanted)), np.int64).reshape(-1, 4).T
+                left = ~own & _unexplained(first, last, cuts[0], cuts[1], least)
+                spans.append(list(cuts))
+                rest.append([place[left], whom[left]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("to"), _lists(spans, ["s", "e", "s0", "e0"]), _lists(rest, ["place", "to"])], ["doc", "to", "spans", "rest"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        y = texts.select(F.col("doc").alias("to"), F.col("text").alias("y"))
+        both = pairs.join(y, "to").join(texts.withColumnRenamed("text", "x"), "doc")
+        return both.select("doc", "ws", "to", "x", "y").mapInArrow(verified, "doc long, to long, spans array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>, rest array<struct<place:bigint,to:bigint>>")
+
+    done = settle(verify(most))
     others = done.select("doc", F.explode("rest").alias("w")).groupBy("doc", F.col("w.to").alias("to")).agg(F.collect_list("w").alias("ws"))
-    others = others.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
-    also = with_texts(others).select(columns).mapInArrow(verified, schema)
     span = F.explode("spans").alias("p")
-    every = settle(done.select("doc", "to", span).unionByName(also.select("doc", "to", span)))
-    every = every.unionByName(exact_repeats(shared, texts, every, width, least, hashes))
-    every = every.unionByName(others_of_key(shared, texts, with_texts, every, verified, schema, width, least, enough))
+    every = settle(done.select("doc", "to", span).unionByName(verify(_of_enough(others, enough)).select("doc", "to", span)))
+    discard(done)
+    free = settle(open_windows(later.select("key", "doc", "place"), every, _outside))
+    every = every.unionByName(exact_repeats(shared, texts, free.select("key").distinct(), every, width, least, hashes))
+    open_ = settle(open_windows(free, every, lambda first, last, s, e: _unexplained(first, last, s, e, least), enough))
+    discard(free)
+    every = every.unionByName(others_of_key(shared, texts, open_, verify, width, least, enough))
+    for cut in (shared, texts, open_):
+        discard(cut)
     edge = width - 1
     return every.select(
         F.col("doc").alias("doc_id"),

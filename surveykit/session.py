@@ -100,9 +100,25 @@ def settle(df: DataFrame) -> DataFrame:
     return cut
 
 
+def settle_by(df: DataFrame, key: str) -> DataFrame:
+    """A settled table in buckets of ``key``, which joins and groups on ``key`` read without shuffling it again.
+
+    ``df`` should come from a shuffle on ``key``, so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    path, name = scratch_path(spark, "cut"), f"cut_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    cut = spark.table(name)
+    cut._cut_path, cut._cut_table = path, name
+    return cut
+
+
 def discard(cut: DataFrame) -> None:
     """Delete the table behind a settled frame that nothing reads any more, as loops do with the round before."""
     spark, path = cut.sparkSession, cut.__dict__.pop("_cut_path", None)
+    if name := cut.__dict__.pop("_cut_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -371,3 +371,31 @@ def test_shingles_of_words_in_another_order_differ(docs_of):
     texts = ["a b b a c", "b a a b c", "xa yb zb wa v", "xb ya za wb v"]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(texts)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_passages_leave_only_tables_that_their_rows_read(spark, docs_of):
+    from pathlib import Path
+
+    from surveykit.session import shared_dir
+
+    r = random.Random(13)
+    shared = words(r, 80)
+    docs = docs_of([" ".join([*words(r, 60), *shared, *words(r, 60)]) for _ in range(6)])
+    there = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("cut-*")}
+    before = there()
+    found = passages.repeated_passages(docs)
+    assert len(there() - before) <= 3 and not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
+    assert {(f.doc_id, f.n_words) for f in found.collect()} >= {(k, 80) for k in range(1, 6)}
+
+
+def test_windows_explained_by_spans_equal_definition():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        first = r.integers(0, 60, 8)
+        last = first + 5 + r.integers(0, 30, 8)
+        s = r.integers(0, 80, 3)
+        e = s + r.integers(0, 25, 3)
+        free = [not ((s <= k) & (e >= k)).any() for k in range(120)]
+        want = [any(all(free[k : k + 6]) for k in range(f, l - 4)) for f, l in zip(first.tolist(), last.tolist(), strict=True)]
+        assert passages._unexplained(first, last, s, e, 6).tolist() == want
+        assert passages._outside(first, last, s, e).tolist() == [not any(a <= f and b >= l for a, b in zip(s, e, strict=True)) for f, l in zip(first, last, strict=True)]
