@@ -13,7 +13,7 @@ are read after that. Most windows of copies end here, at 2 g comparisons for a p
 Windows that do not lie inside a passage found so far go on. Runs of ``LEAST`` shingles in them are compared by hash
 with those of all documents that share the windows' hashes of every function, so an exact repeat is found whatever other
 documents hold its smallest shingle. Windows still without a passage are held against every earlier document of their
-hash that shares a rare one of their shingles, as each passage of them does.
+hash by sketches, one bit a shingle, and those that may hold enough of their shingles are read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
+from surveykit.llm.runs import key_runs
 from surveykit.llm.shingles import mixed, shingles
 from surveykit.session import discard, settle, settle_by
 
@@ -37,6 +38,15 @@ ENOUGH = 2
 PERCENT = 75
 #: shingles without a partner that a passage may run over: two changed words next to each other
 GAP = 10
+#: a window's sketch has two to the power of this bits, without the last one
+SLOT_BITS = 12
+NO_BIT, AGAIN, TAKEN = (np.uint16(x) for x in ((1 << SLOT_BITS) - 1, 1 << 14, 1 << 15))
+#: sketches of a key that are held side by side
+BLOCK = 1024
+#: rows of a batch that a group hands on
+ROWS_OUT = 20_000
+#: partners of a window that are read before all others of its key
+FIRST = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -245,77 +255,143 @@ def exact_repeats(shared: DataFrame, texts: DataFrame, keys: DataFrame, every: D
     return settle(spans.select("doc", "to", F.struct("s", "e", (F.col("s") + F.col("off")).alias("s0"), (F.col("e") + F.col("off")).alias("e0")).alias("p")))
 
 
-def rarest(counts: np.ndarray, values: np.ndarray, least: int) -> np.ndarray:
-    """Places that are among the ``least // 2`` rarest of some ``least`` in a row.
+def sketch(values: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by its hash, and ``AGAIN`` where an earlier place has the same shingle."""
+    out = np.minimum((values >> np.uint64(64 - SLOT_BITS)).astype(np.uint16), NO_BIT - np.uint16(1)) | AGAIN
+    out[np.unique(values, return_index=True)[1]] &= NO_BIT
+    return out
 
-    A passage shares three quarters of its shingles, so somewhere in it more than half of ``least`` in a row, and one of
-    these places at least.
+
+def side_by_side(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of windows as rows, filled up with ``NO_BIT``, and the bits that each has."""
+    wide = np.full((len(sketches), max(map(len, sketches))), NO_BIT, np.uint16)
+    for row, one in zip(wide, sketches, strict=True):
+        row[: len(one)] = one & ~TAKEN
+    held = np.zeros((len(wide), NO_BIT + 1), bool)
+    held[np.arange(len(wide))[:, None], wide & NO_BIT] = True
+    held[:, NO_BIT] = False
+    return wide, held
+
+
+def margins(own: np.ndarray, wide: np.ndarray, held: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """By how much window ``own`` may hold a passage of ``least`` shingles or more, none taken, with each window beside it.
+
+    In hundredths of a shingle, below zero where there can be none: of ``both`` shared shingles and others of either side,
+    ``percent`` in a hundred must be shared. Others of the partner are those among as many shared ones as a passage has at
+    least. Where a shingle is repeated or shares its bit with another a margin is larger, never smaller.
     """
-    rank = np.empty(len(counts), np.int64)
-    rank[np.lexsort((values, counts))] = np.arange(len(counts))
-    chosen = np.zeros(len(counts), bool)
-    views = np.lib.stride_tricks.sliding_window_view(rank, least)
-    for k in range(0, len(views), 4096):
-        part = np.argpartition(views[k : k + 4096], least // 2 - 1, axis=1)[:, : least // 2]
-        chosen[(part + np.arange(k, k + len(part))[:, None]).ravel()] = True
-    return np.flatnonzero(chosen)
+    if len(own) < least:
+        return np.full(len(wide), -1, np.int64)
+    bits, again = own & NO_BIT, own & AGAIN != 0
+    gain = np.where(held[:, bits], 100 - percent, np.where(again, 0, -percent))
+    gain[:, own & TAKEN != 0] = -100 * len(own)
+    sums = np.zeros((len(held), len(own) + 1), np.int64)
+    np.cumsum(gain, axis=1, out=sums[:, 1:])
+    margin = (sums[:, least:] - np.minimum.accumulate(sums[:, : len(own) + 1 - least], axis=1)).max(axis=1)
+    near = np.flatnonzero(margin >= 0)
+    if len(near) and not again.any():
+        mine = np.zeros(NO_BIT + 1, bool)
+        mine[bits] = True
+        theirs = wide[near]
+        shared = mine[theirs & NO_BIT]
+        row, at = np.nonzero(shared)
+        others = np.cumsum(~shared & (theirs < AGAIN) & (theirs != NO_BIT), axis=1)[row, at]
+        span = -(-least * percent // 100) - 1
+        fewest = np.full(len(near), len(own))
+        same = row[span:] == row[: max(len(row) - span, 0)]
+        np.minimum.at(fewest, row[span:][same], (others[span:] - others[: max(len(row) - span, 0)])[same])
+        margin[near] -= percent * fewest
+    return margin
 
 
 def _of_enough(pairs: DataFrame, enough: int) -> DataFrame:
     return pairs.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
 
 
-def others_of_key(shared: DataFrame, texts: DataFrame, open_: DataFrame, verify, width: int, least: int, enough: int) -> DataFrame:
-    """``doc, to, p``: passages of windows that no passage explains, with any earlier document of their keys.
+def others_of_key(shared: DataFrame, texts: DataFrame, open_: DataFrame, every: DataFrame, verify, width: int, least: int, percent: int, enough: int) -> DataFrame:
+    """``doc, to, p``: passages of windows that no passage of ``every`` explains, with any earlier document of their keys.
 
-    Of all documents of a key those are read that share a shingle with the window that is rare among them, where their
-    own windows of the keys lie.
+    Each window of a key comes with the bits of its shingles in order. Of all earlier documents of the key those are read whose
+    bits allow a passage in both windows that overlaps none found so far; pairs that don't are never rows. The
+    ``FIRST`` of them that hold most of a window are read first, whatever their other windows, and all others of ``enough``
+    functions where the passages of those leave it open.
     """
-
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingles in windows of a document, with their places in its open windows, -1 elsewhere."""
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = [[np.zeros(0, np.int64)] * 3]
-            for doc, text, held, mine in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("held"), batch.column("places"), strict=True):
-                own = shingles(text, width).view(np.int64)
-                asks = _covered(mine.values.to_numpy(), len(own)) if mine.is_valid else np.zeros(len(own), bool)
-                at = np.flatnonzero(asks)
-                rest = np.setdiff1d(own[_covered(held.values.to_numpy(), len(own))], own[at])
-                out.append([np.concatenate([own[at], rest]), np.full(len(at) + len(rest), doc, np.int64), np.concatenate([at, np.full(len(rest), -1)])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc", "at"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = [[np.zeros(0, np.int64)] * 2]
-            for doc, (at, n, sh), mine in zip(batch.column("doc").to_pylist(), _numbers(batch.column("all"), "at", "n", "sh"), batch.column("places"), strict=True):
-                covered = _covered(place := mine.values.to_numpy(), int((place & 0x3FFFFFFF).max()) + 1)
-                counts, values = np.ones(len(covered), np.int64), np.arange(len(covered))
-                counts[at], values[at] = n, sh
-                here = np.flatnonzero(covered)
-                got = [np.zeros(0, np.int64)]
-                for run in np.split(here, np.flatnonzero(np.diff(here) > 1) + 1):
-                    if len(run) >= least:
-                        got.append(run[rarest(counts[run], values[run], least)])
-                kept = np.concatenate(got)
-                found = np.unique(values[kept[counts[kept] > 1]])
-                out.append([found, np.full(len(found), doc, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sh", "doc"])
-
-    holders = settle(shared.join(open_.select("key").distinct(), "key").select("key", F.col("doc").alias("to"), "place"))
-    mine = open_.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    held = holders.groupBy(F.col("to").alias("doc")).agg(F.collect_list("place").alias("held"))
-    by = Window.partitionBy("sh")
-    met = held.join(texts, "doc").join(mine, "doc", "left").select("doc", "text", "held", "places").mapInArrow(sides, "sh long, doc long, at long")
-    met = met.withColumns({"n": F.count("*").over(by), "lo": F.min("doc").over(by), "hi": F.max("doc").over(by), "asked": F.max("at").over(by)})
-    met = settle_by(met.where("lo <> hi AND asked >= 0").select("sh", "doc", "at", "n"), "sh")
-    ranked = met.where("at >= 0").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "sh")).alias("all")).join(mine, "doc")
-    near = ranked.select("doc", "all", "places").mapInArrow(rare, "sh long, doc long").join(met.select("sh", F.col("doc").alias("to")), "sh").where("to < doc").select("doc", "to").distinct()
-    pairs = near.join(open_, "doc").join(holders.select("key", "to").distinct(), ["key", "to"]).groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws"))
-    pairs = settle(_of_enough(pairs, enough))
-    found = settle(verify(pairs).select("doc", "to", F.explode("spans").alias("p")))
-    for cut in (holders, met, pairs):
+            keys, docs, places, bits = [], [], [], []
+            for doc, text, (key, place), (s, e) in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), _numbers(batch.column("held"), "key", "place"), _numbers(batch.column("cuts"), "s", "e"), strict=True):
+                own = sketch(shingles(text, width))
+                own[_covered(s << 30 | e, len(own))] |= TAKEN
+                bits += [own[first : last + 1].tobytes() for first, last in zip(*(x.tolist() for x in _ends(place)), strict=True)]
+                keys.append(key)
+                places.append(place)
+                docs.append(np.full(len(key), doc, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (keys, docs, places)), pa.array(bits, pa.binary())], ["key", "doc", "place", "bits"])
+
+    def meeting(first: int | None):
+        """Pairs of a window and an earlier document, the ``first`` best of a window, and whether it has more."""
+
+        def of_key(rows: pa.Table) -> Iterator[list[np.ndarray]]:
+            docs, places, asks = rows["doc"].to_numpy(), rows["place"].to_numpy(), rows["open"].to_numpy()
+            own = [np.frombuffer(one.as_buffer(), np.uint16) for one in rows["bits"].combine_chunks()]
+            asking = np.flatnonzero(asks)
+            before = np.searchsorted(docs, docs[asking])
+            best = {k: (np.zeros(0, np.int64), np.zeros(0, np.int64), 0) for k in asking.tolist()}
+            for at in range(0, int(before.max(initial=0)), BLOCK):
+                wide, held = side_by_side(own[at : at + BLOCK])
+                for k, n in zip(asking.tolist(), before.tolist(), strict=True):
+                    if n <= at:
+                        continue
+                    score = margins(own[k], wide[: n - at], held[: n - at], least, percent)
+                    found = np.flatnonzero(score >= 0)
+                    whom, scores, many = np.concatenate([best[k][0], docs[at + found]]), np.concatenate([best[k][1], score[found]]), best[k][2] + len(found)
+                    if first is None:
+                        yield [np.full(len(whom), docs[k]), whom, np.full(len(whom), places[k]), np.zeros(len(whom), bool)]
+                    else:
+                        top = np.argsort(-scores, kind="stable")[:first]
+                        best[k] = (whom[top], scores[top], many)
+            for k, (whom, _, many) in best.items():
+                yield [np.full(len(whom), docs[k]), whom, np.full(len(whom), places[k]), np.full(len(whom), many > len(whom))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["doc", "to", "place", "more"]
+            out, n = [], 0
+            for rows in key_runs(batches, ["key"]):
+                for part in of_key(rows.combine_chunks()):
+                    out.append(part)
+                    n += len(part[0])
+                    if n > ROWS_OUT:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+                        out, n = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+        return run
+
+    def met(windows: DataFrame, spans: DataFrame, first: int | None) -> DataFrame:
+        held = shared.join(windows.select("key").distinct(), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("held"))
+        sketches = _with_spans(held.join(texts, "doc"), spans).select("doc", "text", "held", "cuts").mapInArrow(sketched, "key long, doc long, place long, bits binary")
+        now = windows.select("key", "doc", "place", F.lit(True).alias("open"))
+        sketches = sketches.repartition("key").join(now, ["key", "doc", "place"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        return sketches.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meeting(first), "doc long, to long, place long, more boolean")
+
+    def read(met: DataFrame, enough: int) -> DataFrame:
+        pairs = settle(_of_enough(met.groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws")), enough))
+        found = settle(verify(pairs, enough).select("doc", "to", F.explode("spans").alias("p")))
+        discard(pairs)
+        return found
+
+    best = settle(met(open_, every, FIRST))
+    found = read(best, 1)
+    both = every.unionByName(found)
+    more = open_.join(best.where("more").select("doc", "place").distinct(), ["doc", "place"], "left_semi")
+    left = settle(open_windows(more.select("key", "doc", "place"), both, lambda first, last, s, e: _unexplained(first, last, s, e, least)))
+    rest = read(met(left, both, None), enough)
+    out = settle(found.unionByName(rest))
+    for cut in (best, left, found, rest):
         discard(cut)
-    return found
+    return out
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
@@ -360,7 +436,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     later = shared.where("doc <> lead")
     most = later.groupBy("doc").agg(F.collect_list(F.struct("place", "lead", "prev")).alias("all")).mapInArrow(best, pairs_of)
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
         """Passages of a document and a partner, and the windows with other partners that they don't explain."""
         for batch in slices(batches, 64):
             spans, rest = [], []
@@ -376,10 +452,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
                 rest.append([place[left], whom[left]])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("to"), _lists(spans, ["s", "e", "s0", "e0"]), _lists(rest, ["place", "to"])], ["doc", "to", "spans", "rest"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, enough: int = enough) -> DataFrame:
         y = texts.select(F.col("doc").alias("to"), F.col("text").alias("y"))
         both = pairs.join(y, "to").join(texts.withColumnRenamed("text", "x"), "doc")
-        return both.select("doc", "ws", "to", "x", "y").mapInArrow(verified, "doc long, to long, spans array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>, rest array<struct<place:bigint,to:bigint>>")
+        return both.select("doc", "ws", "to", "x", "y").mapInArrow(lambda batches: verified(batches, enough), "doc long, to long, spans array<struct<s:bigint,e:bigint,s0:bigint,e0:bigint>>, rest array<struct<place:bigint,to:bigint>>")
 
     done = settle(verify(most))
     others = done.select("doc", F.explode("rest").alias("w")).groupBy("doc", F.col("w.to").alias("to")).agg(F.collect_list("w").alias("ws"))
@@ -390,7 +466,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     every = every.unionByName(exact_repeats(shared, texts, free.select("key").distinct(), every, width, least, hashes))
     open_ = settle(open_windows(free, every, lambda first, last, s, e: _unexplained(first, last, s, e, least), enough))
     discard(free)
-    every = every.unionByName(others_of_key(shared, texts, open_, verify, width, least, enough))
+    every = every.unionByName(others_of_key(shared, texts, open_, every, verify, width, least, percent, enough))
     for cut in (shared, texts, open_):
         discard(cut)
     edge = width - 1

@@ -399,3 +399,28 @@ def test_windows_explained_by_spans_equal_definition():
         want = [any(all(free[k : k + 6]) for k in range(f, l - 4)) for f, l in zip(first.tolist(), last.tolist(), strict=True)]
         assert passages._unexplained(first, last, s, e, 6).tolist() == want
         assert passages._outside(first, last, s, e).tolist() == [not any(a <= f and b >= l for a, b in zip(s, e, strict=True)) for f, l in zip(first, last, strict=True)]
+
+
+def test_family_of_edited_copies_is_found_without_all_its_pairs(docs_of):
+    r = random.Random(17)
+    base = words(r, 220, 10**6)
+    texts = [" ".join(words(r, 1, 10**6)[0] if r.random() < 0.035 else w for w in base) for _ in range(60)]
+    found = passages.repeated_passages(docs_of(texts)).collect()
+    assert {f.doc_id for f in found} >= set(range(10, 60))
+    assert len({(f.doc_id, f.source_doc_id) for f in found}) <= 8 * len(texts)
+
+
+def test_margins_never_rule_out_a_passage():
+    r = np.random.default_rng(4)
+    least, percent = 20, 75
+    for trial in range(300):
+        base = r.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2)
+        a, b = (np.where(r.random(60) < 0.002 * (trial % 60), r.integers(0, 1 << 63, 60).astype(np.uint64), base) for _ in range(2))
+        b = b[r.integers(0, 8) : 60 - r.integers(0, 8)]
+        wide, held = passages.side_by_side([passages.sketch(b)])
+        margin = passages.margins(passages.sketch(a), wide, held, least, percent)[0]
+        if any(True for _ in passages.matching_passages(a, b, least, percent)):
+            assert margin >= 0
+        taken = passages.sketch(a) | np.where(np.arange(60) % least == 0, passages.TAKEN, 0).astype(np.uint16)
+        assert passages.margins(taken, wide, held, least, percent)[0] < 0
+    assert passages.margins(passages.sketch(base), *passages.side_by_side([passages.sketch(~base)]), least, percent)[0] < 0
