@@ -12,8 +12,11 @@ are read after that. Most windows of copies end here, at 2 g comparisons for a p
 
 Windows that do not lie inside a passage found so far go on. Runs of ``LEAST`` shingles in them are compared by hash
 with those of all documents that share the windows' hashes of every function, so an exact repeat is found whatever other
-documents hold its smallest shingle. Windows still without a passage are held against every earlier document of their
-hash by sketches, one bit a shingle, and those that may hold enough of their shingles are read.
+documents hold its smallest shingle. Windows still with room for a passage go to their key with a sketch of each
+shingle. Where a window's shingles can't make up a passage, wherever earlier windows of the key have them, it is done at
+once, which needs one sort of a key's shingles; others are held against the earlier windows, some at a time, until the
+passages found leave no room. So a family of g edited copies costs g windows and not their pairs, as long as most windows
+find a partner soon or can have none.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from surveykit.llm.bpe import slices
 from surveykit.llm.registry import query, table
-from surveykit.llm.runs import key_runs
-from surveykit.llm.shingles import mixed, shingles
+from surveykit.llm.runs import whole_runs
+from surveykit.llm.shingles import mixed, shingles, shingles_of_words, word_hashes
 from surveykit.session import discard, settle, settle_by
 
 WIDTH = 5
@@ -38,15 +41,17 @@ ENOUGH = 2
 PERCENT = 75
 #: shingles without a partner that a passage may run over: two changed words next to each other
 GAP = 10
-#: a window's sketch has two to the power of this bits, without the last one
-SLOT_BITS = 12
-NO_BIT, AGAIN, TAKEN = (np.uint16(x) for x in ((1 << SLOT_BITS) - 1, 1 << 14, 1 << 15))
-#: sketches of a key that are held side by side
-BLOCK = 1024
-#: rows of a batch that a group hands on
+#: a sketch has this many bits of flags: taken, an earlier place has the shingle, another place has it, and the code of a joint
+BITS, JOINT = 5, 3
+FLAGS, TAKEN, AGAIN, TWICE = (np.uint32(x) for x in ((1 << BITS) - 1, 1, 2, 4))
+#: by code, how many other shingles stand at least where shingles of a passage were replaced
+BETWEEN = np.array([0, 2, 3, 4])
+#: cost of a place that no passage has
+NEVER = 1 << 24
+#: earlier windows that a window is held against first, and places that are looked at side by side
+NEXT, CELLS = 64, 1 << 18
+#: rows of a batch that are handed on
 ROWS_OUT = 20_000
-#: partners of a window that are read before all others of its key
-FIRST = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -126,6 +131,38 @@ def _in(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == values
 
 
+def steps(first: np.ndarray, again: np.ndarray, others: np.ndarray | None, single: np.ndarray, percent: int, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and cost of each shingle of a text beside each partner, a row each, from the places where the partner first has it.
+
+    In hundredths: a shared shingle counts ``100 - percent``, another one of the text ``-percent``, and so do those of the partner
+    (``others`` counts them up to each place) between places close to each other of shingles that follow each other in the
+    text. Those around a place of the partner that isn't ``single`` don't count, nor does one that comes ``again``.
+    """
+    found, places = first >= 0, np.arange(first.shape[1])
+    last = np.maximum.accumulate(np.where(found, places, -1), axis=1)
+    last = np.concatenate([np.full((len(first), 1), -1), last[:, :-1]], axis=1)
+    follows = found & (last >= 0)
+    cost = np.where(follows & (places - last > gap), NEVER, 0)
+    if others is not None:
+        before = np.take_along_axis(first, np.maximum(last, 0), axis=1)
+        near = follows & (first > before) & (first - before <= gap) & single[first] & single[before]
+        cost += np.where(near, percent * (others[first] - others[before]), 0)
+    return np.where(found, 100 - percent, np.where(again, 0, -percent)), cost
+
+
+def best_part(gain: np.ndarray, cost: np.ndarray, least: int) -> tuple[int, int] | None:
+    """First and last place of the longest span around the one of the largest sum, if there is one that isn't below 0."""
+    sums = np.cumsum(gain - cost)
+    begin = np.where(gain > 0, sums - gain, NEVER * len(gain))
+    best = np.where(gain > 0, sums, -NEVER * len(gain))[least - 1 :] - np.minimum.accumulate(begin)[: len(gain) + 1 - least]
+    if not len(best) or best.max() < 0:
+        return None
+    end = int(best.argmax()) + least - 1
+    s = int(begin[: end + 2 - least].argmin())
+    e = int(np.flatnonzero((gain > 0) & (sums - begin[s] >= 0))[-1])
+    return int(np.flatnonzero((gain > 0) & (sums[e] - begin >= 0))[0]), e
+
+
 def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = GAP, wanted=lambda s, e: True) -> Iterator[tuple[int, int, int, int]]:
     """Spans (first and last shingle in ``a``, then in ``b``) of at least ``least`` shingles that are similar enough.
 
@@ -133,14 +170,14 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, ga
     """
     in_b, at_b = np.unique(b, return_index=True)
     which, there = _in(in_b, a)
-    todo = [r for r in _runs(np.flatnonzero(there), gap) if r[-1] - r[0] + 1 >= least and wanted(r[0], r[-1])]
-    if not todo:
+    wide = lambda r: len(r) and r[-1] - r[0] + 1 >= least and wanted(r[0], r[-1])
+    whole = [r for r in _runs(np.flatnonzero(there), gap) if wide(r)]
+    if not whole:
         return
     inverse = _in(in_b, b)[0]
-    while todo:
-        run = todo.pop()
-        if run[-1] - run[0] + 1 < least or not wanted(run[0], run[-1]):
-            continue
+
+    def partner(run: np.ndarray) -> tuple[int, int] | None:
+        """The span of ``b`` that is similar to the one of the run."""
         shared = np.zeros(len(in_b), bool)
         shared[which[run]] = True
         best = max(_runs(np.flatnonzero(shared[inverse]), gap), key=lambda r: len(np.unique(inverse[r])))
@@ -149,14 +186,48 @@ def matching_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, ga
         both, mine = int((shared & theirs).sum()), int(shared.sum())
         inside = a[run[0] : run[-1] + 1][~there[run[0] : run[-1] + 1]]
         union = mine + len(np.unique(inside)) + int(theirs.sum()) - both
-        if 100 * both >= percent * union:
-            yield int(run[0]), int(run[-1]), int(best[0]), int(best[-1])
+        return (int(best[0]), int(best[-1])) if 100 * both >= percent * union else None
+
+    for long in whole:
+        if other := partner(long):
+            yield int(long[0]), int(long[-1]), *other
             continue
-        # two passages of b side by side in a, or loose ends: part where the partner jumps, else at the widest gap
-        jumps = np.abs(np.diff(at_b[which[run]])) + gap * np.diff(run)
-        if len(jumps) and jumps.max() > gap + 1:
-            cut = int(jumps.argmax()) + 1
-            todo += [run[:cut], run[cut:]]
+        begin, own = long[0], a[long[0] : long[-1] + 1]
+        again, new, shared = np.ones(len(own), bool), np.zeros(len(b), bool), np.zeros(len(in_b), bool)
+        again[np.unique(own, return_index=True)[1]] = False
+        new[at_b] = shared[which[long]] = True
+        first = np.full(len(own), -1)
+        first[long - begin] = at_b[which[long]]
+        others = None if again.any() else np.cumsum(~shared[inverse] & new)
+        gain, cost = (x[0] for x in steps(first[None], again, others, np.bincount(inverse)[inverse] == 1, percent, gap))
+        left, todo, ends = gain.copy(), [long], best_part(gain, cost, least)
+        # parts of the run, then the longest of what they leave and parts of that
+        while ends:
+            while todo:
+                run = todo.pop()
+                if not wide(run):
+                    continue
+                span = slice(run[0] - begin, run[-1] + 1 - begin)
+                if run is not long:
+                    if not best_part(gain[span], cost[span], least):
+                        continue
+                    if other := partner(run):
+                        yield int(run[0]), int(run[-1]), *other
+                        left[span] = -NEVER
+                        continue
+                # two passages of b side by side in a, or loose ends: part where the partner jumps, else at the widest gap
+                jumps = np.abs(np.diff(at_b[which[run]])) + gap * np.diff(run)
+                if len(jumps) and jumps.max() > gap + 1:
+                    cut = int(jumps.argmax()) + 1
+                    todo += [run[:cut], run[cut:]]
+            if ends := best_part(left, cost, least):
+                todo = [np.flatnonzero(first[ends[0] : ends[1] + 1] >= 0) + begin + ends[0]]
+                left[ends[0] : ends[1] + 1] = -NEVER
+
+
+def _longest(free: np.ndarray) -> int:
+    """The most places in a row that are free."""
+    return int(np.diff(np.flatnonzero(np.concatenate([[True], ~free, [True]]))).max()) - 1
 
 
 def _unexplained(first: np.ndarray, last: np.ndarray, s: np.ndarray, e: np.ndarray, least: int) -> np.ndarray:
@@ -256,142 +327,186 @@ def exact_repeats(shared: DataFrame, texts: DataFrame, keys: DataFrame, every: D
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """A bit for each shingle, by its hash, and ``AGAIN`` where an earlier place has the same shingle."""
-    out = np.minimum((values >> np.uint64(64 - SLOT_BITS)).astype(np.uint16), NO_BIT - np.uint16(1)) | AGAIN
-    out[np.unique(values, return_index=True)[1]] &= NO_BIT
+    """27 bits of each shingle above its flags: ``TWICE`` where another place has it too, ``AGAIN`` where an earlier one has."""
+    out = (values >> np.uint64(32)).astype(np.uint32) & ~FLAGS
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] |= AGAIN | TWICE
+    out[order[:-1][same]] |= TWICE
+    return out
+
+
+def joints(words: np.ndarray, n: int, width: int = WIDTH) -> np.ndarray:
+    """Flags of ``n`` shingles: how many others stand at least before one where what is before it in a text was replaced.
+
+    Shingles around a joint that share no words have ``width - 1`` others between them, and fewer only by as many words as
+    stand near the joint twice.
+    """
+    same = np.zeros((GAP + 1, n + width - 1), bool)
+    for k, by in enumerate((-2, -1, *range(1, GAP))):
+        if by > 0:
+            same[k, by:] = words[by:] == words[:-by]
+        else:
+            same[k, :by] = words[-by:] == words[:by]
+    long, level = np.ones((GAP + 1, n), bool), np.zeros(n, np.int64)
+    for k in range(width - 1):
+        long &= same[:, k : k + n]
+        any_ = long.any(axis=0)
+        if not any_.any():
+            break
+        level += any_
+    return np.searchsorted(BETWEEN[1:], width - 1 - level, side="right").astype(np.uint32) << JOINT
+
+
+def best_spans(gain: np.ndarray, cost: np.ndarray, free: np.ndarray, begins: np.ndarray, least: int) -> np.ndarray:
+    """The largest sum of a span with ``least`` free places in a row in each row, less than 0 where there is none.
+
+    Rows lie one behind the other. A span begins and ends with a gain; the cost of its first place doesn't count.
+    """
+    size = np.diff(begins)
+    row, at = np.repeat(np.arange(len(size)), size), np.arange(len(gain))
+    sums = np.cumsum(gain - cost) - row * (100 * np.int64(size.max(initial=0) + 1))
+    low = np.minimum.accumulate(np.where(gain > 0, sums - gain, np.iinfo(np.int64).max >> 1))
+    # where the run of free places begins, and the last place at which so many begin
+    run = np.maximum(np.maximum.accumulate(np.where(free, 0, at + 1)), begins[row])
+    start = np.maximum.accumulate(np.where(at + 1 - run >= least, at + 1 - least, -1))
+    ends = np.flatnonzero((gain > 0) & (start >= begins[row]))
+    out = np.full(len(size), -1, np.int64)
+    np.maximum.at(out, row[ends], sums[ends] - low[start[ends]])
     return out
 
 
 def side_by_side(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches of windows as rows, filled up with ``NO_BIT``, and the bits that each has."""
-    wide = np.full((len(sketches), max(map(len, sketches))), NO_BIT, np.uint16)
-    for row, one in zip(wide, sketches, strict=True):
-        row[: len(one)] = one & ~TAKEN
-    held = np.zeros((len(wide), NO_BIT + 1), bool)
-    held[np.arange(len(wide))[:, None], wide & NO_BIT] = True
-    held[:, NO_BIT] = False
-    return wide, held
-
-
-def margins(own: np.ndarray, wide: np.ndarray, held: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """By how much window ``own`` may hold a passage of ``least`` shingles or more, none taken, with each window beside it.
-
-    In hundredths of a shingle, below zero where there can be none: of ``both`` shared shingles and others of either side,
-    ``percent`` in a hundred must be shared. Others of the partner are those among as many shared ones as a passage has at
-    least. Where a shingle is repeated or shares its bit with another a margin is larger, never smaller.
+    """Sketches of windows one behind the other, and where each begins and the last one ends."""
+    return np.concatenate(sketches), np.concatenate([[0], np.cumsum([len(one) for one in sketches])])
+
+
+def margins(own: np.ndarray, theirs: np.ndarray, begins: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """By how much window ``own`` may hold a passage with each window beside it that has ``least`` shingles in a row not taken.
+
+    In hundredths of a shingle, below zero where there can be none: of shared shingles and others of either side, ``percent``
+    in a hundred must be shared. Others of the partner are those between places close to each other of shingles that follow
+    each other in ``own``. Where a shingle is repeated the margin is larger, never smaller.
     """
-    if len(own) < least:
-        return np.full(len(wide), -1, np.int64)
-    bits, again = own & NO_BIT, own & AGAIN != 0
-    gain = np.where(held[:, bits], 100 - percent, np.where(again, 0, -percent))
-    gain[:, own & TAKEN != 0] = -100 * len(own)
-    sums = np.zeros((len(held), len(own) + 1), np.int64)
-    np.cumsum(gain, axis=1, out=sums[:, 1:])
-    margin = (sums[:, least:] - np.minimum.accumulate(sums[:, : len(own) + 1 - least], axis=1)).max(axis=1)
-    near = np.flatnonzero(margin >= 0)
-    if len(near) and not again.any():
-        mine = np.zeros(NO_BIT + 1, bool)
-        mine[bits] = True
-        theirs = wide[near]
-        shared = mine[theirs & NO_BIT]
-        row, at = np.nonzero(shared)
-        others = np.cumsum(~shared & (theirs < AGAIN) & (theirs != NO_BIT), axis=1)[row, at]
-        span = -(-least * percent // 100) - 1
-        fewest = np.full(len(near), len(own))
-        same = row[span:] == row[: max(len(row) - span, 0)]
-        np.minimum.at(fewest, row[span:][same], (others[span:] - others[: max(len(row) - span, 0)])[same])
-        margin[near] -= percent * fewest
-    return margin
+    n, m = len(begins) - 1, len(own)
+    if m < least or not n:
+        return np.full(n, -1, np.int64)
+    known, which = np.unique(own >> BITS, return_inverse=True)
+    at, there = _in(known, theirs >> BITS)
+    row = np.repeat(np.arange(n), np.diff(begins))
+    first = np.full((n, len(known)), -1, np.int64)
+    shared = np.flatnonzero(there)[::-1]
+    first[row[shared], at[shared]] = shared
+    gain, cost = steps(first[:, which], own & AGAIN != 0, None if (own & TWICE).any() else np.cumsum(~there & (theirs & AGAIN == 0)), theirs & TWICE == 0, percent)
+    return best_spans(gain.ravel(), cost.ravel(), np.tile(own & TAKEN == 0, n), np.arange(n + 1) * m, least)
+
+
+def gains(flat: np.ndarray, begins: np.ndarray, held: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain and cost of each shingle, and whether it is free, where a passage may have its shingles from any windows that hold them."""
+    row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    gain = np.where(held, 100 - percent, np.where(flat & AGAIN != 0, 0, -percent))
+    at = np.arange(len(flat))
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(held, at, -1))])[:-1]
+    joint = np.where(held & (last >= begins[row]), at - last, 0)
+    single = np.bincount(row[flat & TWICE != 0], minlength=len(begins) - 1)[row] == 0
+    return gain, np.where(joint > GAP, NEVER, np.where((joint > 1) & single, percent * BETWEEN[flat >> JOINT & 3], 0)), flat & TAKEN == 0
+
+
+def partners(docs: np.ndarray, asks: np.ndarray, flat: np.ndarray, begins: np.ndarray, cuts: np.ndarray, least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of an asking window and an earlier document's, of the same key, that hold a passage not taken.
+
+    Keys' windows lie between ``cuts``, in order of document. A window whose shingles, wherever earlier windows of the key
+    have them, can't make up a passage is done; others are held against the earlier windows until the passages found
+    leave no room for one.
+    """
+    size = np.diff(begins)
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    _, at, which = np.unique(np.repeat(group.astype(np.uint64) << np.uint64(32), size) | flat >> BITS, return_index=True, return_inverse=True)
+    doc = np.repeat(docs, size)
+    asking = np.repeat(asks & (size >= least), size)
+    held = doc[at][which[asking]] < doc[asking]
+    rows = np.flatnonzero(asks & (size >= least))
+    starts = np.concatenate([[0], np.cumsum(size[rows])])
+    for j in np.flatnonzero(best_spans(*gains(flat[asking], starts, held, percent), starts, least) >= 0).tolist():
+        k, span = rows[j], slice(starts[j], starts[j + 1])
+        own, ends = flat[begins[k] : begins[k + 1]].copy(), np.array([0, size[k]])
+        now = cuts[group[k]]
+        before, many = now + np.searchsorted(docs[now : cuts[group[k] + 1]], docs[k]), NEXT
+        while now < before:
+            to = min(before, now + max(1, min(many, CELLS // len(own))))
+            tried = np.zeros(to - now, bool)
+            while True:
+                score = margins(own, flat[begins[now] : begins[to]], begins[now : to + 1] - begins[now], least, percent)
+                found = False
+                for x in np.argsort(-score, kind="stable")[: (score >= 0).sum()].tolist():
+                    if tried[x]:
+                        continue
+                    tried[x] = True
+                    theirs = flat[begins[now + x] : begins[now + x + 1]]
+                    for s, e, _, _ in matching_passages(own >> BITS, theirs >> BITS, least, percent, wanted=lambda s, e: _longest(own[s : e + 1] & TAKEN == 0) >= least):  # noqa: B023
+                        found = True
+                        own[s : e + 1] |= TAKEN
+                    if found:
+                        yield k, now + x
+                        break
+                if not found:
+                    break
+            if best_spans(*gains(own, ends, held[span], percent), ends, least)[0] < 0:
+                break
+            now, many = to, 4 * many
 
 
 def _of_enough(pairs: DataFrame, enough: int) -> DataFrame:
     return pairs.where(F.size(F.array_distinct(F.transform("ws", lambda w: F.shiftright(w["place"], 60)))) >= enough)
 
 
-def others_of_key(shared: DataFrame, texts: DataFrame, open_: DataFrame, every: DataFrame, verify, width: int, least: int, percent: int, enough: int) -> DataFrame:
-    """``doc, to, p``: passages of windows that no passage of ``every`` explains, with any earlier document of their keys.
+def others_of_key(shared: DataFrame, texts: DataFrame, open_: DataFrame, every: DataFrame, verify, width: int, least: int, percent: int) -> DataFrame:
+    """``doc, to, p``: passages of open windows that no passage of ``every`` explains, with any earlier document of their keys.
 
-    Each window of a key comes with the bits of its shingles in order. Of all earlier documents of the key those are read whose
-    bits allow a passage in both windows that overlaps none found so far; pairs that don't are never rows. The
-    ``FIRST`` of them that hold most of a window are read first, whatever their other windows, and all others of ``enough``
-    functions where the passages of those leave it open.
+    Each window of a key comes with sketches of its shingles in order. A window and the documents in which it finds passages
+    there are pairs that are read; others are never rows.
     """
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, docs, places, bits = [], [], [], []
-            for doc, text, (key, place), (s, e) in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), _numbers(batch.column("held"), "key", "place"), _numbers(batch.column("cuts"), "s", "e"), strict=True):
-                own = sketch(shingles(text, width))
-                own[_covered(s << 30 | e, len(own))] |= TAKEN
-                bits += [own[first : last + 1].tobytes() for first, last in zip(*(x.tolist() for x in _ends(place)), strict=True)]
-                keys.append(key)
-                places.append(place)
-                docs.append(np.full(len(key), doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (keys, docs, places)), pa.array(bits, pa.binary())], ["key", "doc", "place", "bits"])
-
-    def meeting(first: int | None):
-        """Pairs of a window and an earlier document, the ``first`` best of a window, and whether it has more."""
-
-        def of_key(rows: pa.Table) -> Iterator[list[np.ndarray]]:
-            docs, places, asks = rows["doc"].to_numpy(), rows["place"].to_numpy(), rows["open"].to_numpy()
-            own = [np.frombuffer(one.as_buffer(), np.uint16) for one in rows["bits"].combine_chunks()]
-            asking = np.flatnonzero(asks)
-            before = np.searchsorted(docs, docs[asking])
-            best = {k: (np.zeros(0, np.int64), np.zeros(0, np.int64), 0) for k in asking.tolist()}
-            for at in range(0, int(before.max(initial=0)), BLOCK):
-                wide, held = side_by_side(own[at : at + BLOCK])
-                for k, n in zip(asking.tolist(), before.tolist(), strict=True):
-                    if n <= at:
-                        continue
-                    score = margins(own[k], wide[: n - at], held[: n - at], least, percent)
-                    found = np.flatnonzero(score >= 0)
-                    whom, scores, many = np.concatenate([best[k][0], docs[at + found]]), np.concatenate([best[k][1], score[found]]), best[k][2] + len(found)
-                    if first is None:
-                        yield [np.full(len(whom), docs[k]), whom, np.full(len(whom), places[k]), np.zeros(len(whom), bool)]
-                    else:
-                        top = np.argsort(-scores, kind="stable")[:first]
-                        best[k] = (whom[top], scores[top], many)
-            for k, (whom, _, many) in best.items():
-                yield [np.full(len(whom), docs[k]), whom, np.full(len(whom), places[k]), np.full(len(whom), many > len(whom))]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["doc", "to", "place", "more"]
-            out, n = [], 0
-            for rows in key_runs(batches, ["key"]):
-                for part in of_key(rows.combine_chunks()):
-                    out.append(part)
-                    n += len(part[0])
-                    if n > ROWS_OUT:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
-                        out, n = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
-
-        return run
-
-    def met(windows: DataFrame, spans: DataFrame, first: int | None) -> DataFrame:
-        held = shared.join(windows.select("key").distinct(), "key").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("held"))
-        sketches = _with_spans(held.join(texts, "doc"), spans).select("doc", "text", "held", "cuts").mapInArrow(sketched, "key long, doc long, place long, bits binary")
-        now = windows.select("key", "doc", "place", F.lit(True).alias("open"))
-        sketches = sketches.repartition("key").join(now, ["key", "doc", "place"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        return sketches.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meeting(first), "doc long, to long, place long, more boolean")
-
-    def read(met: DataFrame, enough: int) -> DataFrame:
-        pairs = settle(_of_enough(met.groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws")), enough))
-        found = settle(verify(pairs, enough).select("doc", "to", F.explode("spans").alias("p")))
-        discard(pairs)
-        return found
-
-    best = settle(met(open_, every, FIRST))
-    found = read(best, 1)
-    both = every.unionByName(found)
-    more = open_.join(best.where("more").select("doc", "place").distinct(), ["doc", "place"], "left_semi")
-    left = settle(open_windows(more.select("key", "doc", "place"), both, lambda first, last, s, e: _unexplained(first, last, s, e, least)))
-    rest = read(met(left, both, None), enough)
-    out = settle(found.unionByName(rest))
-    for cut in (best, left, found, rest):
-        discard(cut)
-    return out
+            out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool), np.zeros(0, np.int64)]]
+            flat = [np.zeros(0, np.uint32)]
+            for doc, text, (key, place, asks), (s, e) in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), _numbers(batch.column("held"), "key", "place", "open"), _numbers(batch.column("cuts"), "s", "e"), strict=True):
+                words = word_hashes(text)
+                values = shingles_of_words(words, width)
+                own = sketch(values)
+                if asks.any():
+                    if len(words) >= width:
+                        own |= joints(words, len(own), width)
+                    own[_covered(s << 30 | e, len(own))] |= TAKEN
+                windows = [own[first : last + 1] for first, last in zip(*(x.tolist() for x in _ends(place)), strict=True)]
+                flat += windows
+                out.append([key, np.full(len(key), doc, np.int64), place, asks > 0, np.array([len(x) for x in windows], np.int64)])
+            key, doc_, place, asks, size = (np.concatenate(x) for x in zip(*out, strict=True))
+            ends = np.concatenate([[0], 4 * np.cumsum(size)]).astype(np.int32)
+            sketches = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(flat))])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_), pa.array(place), pa.array(asks), sketches], ["key", "doc", "place", "open", "sketch"])
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in whole_runs(batches, ["key"]):
+            if not rows.num_rows:
+                continue
+            docs, places = rows["doc"].to_numpy(), rows["place"].to_numpy()
+            sketches = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["sketch"].combine_chunks()]
+            met = list(partners(docs, rows["open"].to_numpy(), *side_by_side(sketches), cuts, least, percent))
+            who, to = np.array(met, np.int64).reshape(-1, 2).T
+            for at in range(0, len(who), ROWS_OUT):
+                part = slice(at, at + ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(docs[who[part]]), pa.array(docs[to[part]]), pa.array(places[who[part]])], ["doc", "to", "place"])
+
+    asking = open_.select("key", "doc", "place", F.lit(1).cast("long").alias("open"))
+    held = shared.join(open_.select("key").distinct(), "key").join(asking, ["key", "doc", "place"], "left").select("doc", "key", "place", F.coalesce("open", F.lit(0)).alias("open"))
+    held = held.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "open")).alias("held"))
+    sketches = _with_spans(held.join(texts, "doc"), every).select("doc", "text", "held", "cuts").mapInArrow(sketched, "key long, doc long, place long, open boolean, sketch binary")
+    met = sketches.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meeting, "doc long, to long, place long")
+    pairs = settle(met.groupBy("doc", "to").agg(F.collect_set(F.struct("place", "to")).alias("ws")))
+    found = settle(verify(pairs, 1).select("doc", "to", F.explode("spans").alias("p")))
+    discard(pairs)
+    return found
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
@@ -466,7 +581,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, width: int = WIDTH, p
     every = every.unionByName(exact_repeats(shared, texts, free.select("key").distinct(), every, width, least, hashes))
     open_ = settle(open_windows(free, every, lambda first, last, s, e: _unexplained(first, last, s, e, least), enough))
     discard(free)
-    every = every.unionByName(others_of_key(shared, texts, open_, every, verify, width, least, percent, enough))
+    every = every.unionByName(others_of_key(shared, texts, open_, every, verify, width, least, percent))
     for cut in (shared, texts, open_):
         discard(cut)
     edge = width - 1

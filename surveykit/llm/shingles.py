@@ -53,9 +53,8 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]])
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+def shingles_of_words(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words, in order; of the whole sequence where it is shorter, none without words."""
-    h = word_hashes(text)
     if not len(h):
         return np.zeros(0, np.uint64)
     n = max(1, len(h) - width + 1)
@@ -63,3 +62,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     for k in range(min(width, len(h))):
         out += h[k : k + n] * _ODD[k]
     return mixed(out)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """``shingles_of_words`` of the words of a text."""
+    return shingles_of_words(word_hashes(text), width)

@@ -424,3 +424,79 @@ def test_margins_never_rule_out_a_passage():
         taken = passages.sketch(a) | np.where(np.arange(60) % least == 0, passages.TAKEN, 0).astype(np.uint16)
         assert passages.margins(taken, wide, held, least, percent)[0] < 0
     assert passages.margins(passages.sketch(base), *passages.side_by_side([passages.sketch(~base)]), least, percent)[0] < 0
+
+
+def test_passage_between_loose_ends_is_found():
+    """44 of 54 shingles of the middle are shared, but neither the whole run nor its parts at the first gap are similar."""
+    r = np.random.default_rng(9)
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    blocks = [new(k) for k in (3, 26, 18, 4)]
+    a, b = (np.concatenate([x for k in blocks for x in (k, new(5))]) for _ in range(2))
+    found = list(passages.matching_passages(a, b, 46, 75))
+    assert found == [(8, 56, 8, 56)]
+    assert list(passages.matching_passages(a, b, 50, 75)) == []
+
+
+def test_best_spans_equal_definition():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        sizes = r.integers(0, 14, 5)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        gain, cost, free = r.choice([25, 0, -75], begins[-1], p=[0.7, 0.1, 0.2]), r.choice([0, 75, passages.NEVER], begins[-1], p=[0.8, 0.15, 0.05]), r.random(begins[-1]) < 0.8
+        got = passages.best_spans(gain, cost, free, begins, 4)
+        for k, (x, y) in enumerate(itertools.pairwise(begins.tolist())):
+            sums = [gain[s : e + 1].sum() - cost[s + 1 : e + 1].sum() for s in range(x, y) for e in range(s, y) if gain[s] > 0 and gain[e] > 0 and any(free[i : i + 4].all() for i in range(s, e - 2))]
+            assert max(got[k], -1) == max([-1, *sums])
+
+
+def test_partners_of_a_family_are_one_for_each_part():
+    """Windows of edited copies: one partner for each part that has some, however many copies hold it, and none is missed."""
+    r = random.Random(31)
+    base, least = words(r, 100, 10**6), 46
+    sketches, values = [], []
+    for k in range(150):
+        text = " ".join(edited(r, base, r.choice((1, 2, 3, 6)) if k else 0))
+        own = passages.shingles(text, 5)
+        values.append(own)
+        sketches.append(passages.sketch(own) | passages.joints(passages.word_hashes(text), len(own)))
+    docs = np.arange(150)
+    met = list(passages.partners(docs, docs > 0, *passages.side_by_side(sketches), np.array([0, 150]), least, 75))
+    spans = {}
+    for k, x in met:
+        assert x < k
+        spans.setdefault(k, []).extend((s, e) for s, e, _, _ in passages.matching_passages(values[k], values[x], least, 75))
+    assert len(met) < 1.5 * 150
+    for k in range(1, 150):
+        free = np.ones(96, bool)
+        for s, e in spans.get(k, ()):
+            free[s : e + 1] = False
+        left = [(s, e) for x in range(k) for s, e, _, _ in passages.matching_passages(values[k], values[x], least, 75) if passages._longest(free[s : e + 1]) >= least]
+        assert not left
+
+
+def test_joints_are_never_more_than_the_others_between():
+    """Words of a text are replaced by others, or by words of the text: shingles of a partner between those around it."""
+    r = random.Random(6)
+    for trial in range(400):
+        text = [f"w{r.randrange(6 if trial % 2 else 40)}" for _ in range(40)]
+        at, cut = r.randrange(8, 30), r.randrange(0, 4)
+        other = [*text[:at], *[f"w{r.randrange(6)}" for _ in range(r.randrange(0, 4))], *text[at + cut :]]
+        a, b = (passages.shingles(" ".join(t), 5) for t in (text, other))
+        if len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b):
+            continue
+        codes = passages.joints(passages.word_hashes(" ".join(text)), len(a))
+        where = {v: k for k, v in enumerate(b.tolist())}
+        shared = [k for k, v in enumerate(a.tolist()) if v in where]
+        for i, j in itertools.pairwise(shared):
+            if 1 < j - i <= passages.GAP and 0 < where[a.tolist()[j]] - where[a.tolist()[i]]:
+                assert passages.BETWEEN[codes[j] >> passages.JOINT & 3] <= where[a.tolist()[j]] - where[a.tolist()[i]] - 1
+
+
+def test_family_of_edited_copies_has_few_sources(docs_of):
+    r = random.Random(17)
+    base = words(r, 220, 10**6)
+    texts = [" ".join(words(r, 1, 10**6)[0] if r.random() < 0.035 else w for w in base) for _ in range(120)]
+    found = passages.repeated_passages(docs_of(texts)).collect()
+    sets = [passages.shingles(t, 5) for t in texts]
+    assert {f.doc_id for f in found} == {k for k in range(120) if any(True for x in range(k) for _ in passages.matching_passages(sets[k], sets[x], 46, 75))}
+    assert len({(f.doc_id, f.source_doc_id) for f in found}) <= 4 * len(texts)
