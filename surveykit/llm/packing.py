@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveykit.llm.bpe import encoded, public_vocabulary, slices
+from surveykit.llm.bpe import encoded, forget, public_vocabulary, slices
 from surveykit.llm.registry import query, table
 from surveykit.session import settle
 
@@ -75,6 +75,36 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int, room: int = ROOM) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>")
 
 
+def packed(key: tuple, rows: pd.DataFrame, room: int) -> pd.DataFrame:
+    """The pieces of a group's documents. Pieces of text are not looked up any more here, and their table is given back."""
+    forget()
+    rows = rows.sort_values(["doc_id", "deal"], kind="stable")
+    tokens = rows["doc_tokens"].to_numpy()
+    left, whole = tokens % room, tokens // room
+    some = np.flatnonzero(left)
+    bins, places = first_fit_decreasing(left[some], room)
+    used = int(bins.max()) + 1 if len(bins) else 0
+    base = int(key[0]) << 32
+    n = whole + (left > 0)
+    of = np.repeat(np.arange(len(rows)), n)
+    cut = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    last = left[of] * (cut == whole[of])
+    sequence, offset = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    sequence[last > 0], offset[last > 0] = base + bins, places
+    sequence[last == 0] = base + used + np.arange(int((last == 0).sum()))
+    return pd.DataFrame(
+        {
+            "doc_id": rows["doc_id"].to_numpy()[of],
+            "start": cut * room,
+            "length": np.where(last > 0, last, room),
+            "ids_crc32": np.concatenate([*rows["crcs"], np.zeros(0, np.int64)]).astype(np.int64),
+            "doc_tokens": tokens[of],
+            "sequence_id": sequence,
+            "offset": offset,
+        }
+    )
+
+
 def pack(docs: DataFrame, vocabulary: str, end: int, room: int = ROOM, group: int = GROUP, seed: int = 0) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
@@ -84,34 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, room: int = ROOM, group: in
     cuts = settle(token_pieces(docs, vocabulary, end, room).withColumn("deal", F.xxhash64("doc_id", "crcs", F.monotonically_increasing_id(), F.lit(seed))))
     groups = max(1, -(-cuts.count() // group))
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "deal"], kind="stable")
-        tokens = rows["doc_tokens"].to_numpy()
-        left, whole = tokens % room, tokens // room
-        some = np.flatnonzero(left)
-        bins, places = first_fit_decreasing(left[some], room)
-        used = int(bins.max()) + 1 if len(bins) else 0
-        base = int(key[0]) << 32
-        n = whole + (left > 0)
-        of = np.repeat(np.arange(len(rows)), n)
-        cut = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        last = left[of] * (cut == whole[of])
-        sequence, offset = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-        sequence[last > 0], offset[last > 0] = base + bins, places
-        sequence[last == 0] = base + used + np.arange(int((last == 0).sum()))
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].to_numpy()[of],
-                "start": cut * room,
-                "length": np.where(last > 0, last, room),
-                "ids_crc32": np.concatenate([*rows["crcs"], np.zeros(0, np.int64)]).astype(np.int64),
-                "doc_tokens": tokens[of],
-                "sequence_id": sequence,
-                "offset": offset,
-            }
-        )
-
-    return cuts.withColumn("grp", F.pmod("deal", F.lit(groups))).groupBy("grp").applyInPandas(packed, PIECES)
+    return cuts.withColumn("grp", F.pmod("deal", F.lit(groups))).groupBy("grp").applyInPandas(lambda key, rows: packed(key, rows, room), PIECES)
 
 
 VOCABULARY, END = "byte_bpe_50k.json", 1

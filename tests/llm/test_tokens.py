@@ -105,3 +105,13 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([]), bpe.public_vocabulary("byte_bpe_50k.json"), 1).count() == 0
     odd = packing.pack(docs_of([(None, "a b", "s"), (1, "x", "s"), (1, "x", "s")]), bpe.public_vocabulary("byte_bpe_50k.json"), 1).collect()
     assert sorted((p.doc_id is None, p.length) for p in odd) == [(False, 2), (False, 2), (True, 3)]
+
+
+def test_packing_a_group_gives_back_the_table_of_pieces():
+    import pandas as pd
+
+    bpe.open_table(bpe.public_vocabulary(packing.VOCABULARY)).ids("some words that a worker keeps")
+    assert bpe._OPEN
+    got = packing.packed((3,), pd.DataFrame({"doc_id": [7, 8], "doc_tokens": [5, 20], "crcs": [[1], [2, 3]], "deal": [0, 1]}), 16)
+    assert not bpe._OPEN
+    assert sorted(got[["doc_id", "start", "length", "offset"]].values.tolist()) == [[7, 0, 5, 0], [8, 0, 16, 0], [8, 16, 4, 5]]
